@@ -234,7 +234,7 @@ class PieceModel:
             cuts = [-1, *(k for k, i in enumerate(ids) if kinds[i] == CONTROL), len(ids)]
             text = "".join(b"".join([raw[i] for i in ids[lo + 1 : hi]]).decode("utf-8", "factloom-each-byte") for lo, hi in zip(cuts, cuts[1:], strict=False))
         else:
-            text = b"".join([raw[i] for i in ids]).decode("utf-8", "factloom-each-byte")
+            text = b"".join(map(raw.__getitem__, ids)).decode("utf-8", "factloom-each-byte")
         return text[1:] if kinds[ids[first]] == NORMAL and text[:1] == " " else text
 
 
@@ -246,18 +246,27 @@ class PieceCodec:
 
     def __init__(self, model: bytes):
         self.model = PieceModel(model)
-        self.known: dict[str, list[int]] = {}
+        #: ids of a word, and the same as decimals joined by spaces
+        self.known: dict[str, tuple[list[int], bytes]] = {}
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """Ids of whole texts, each closed by the end id."""
+    def words(self, texts: list[str | None]) -> list[list[tuple[list[int], bytes]]]:
+        """What is known of the words of whole texts, after meeting the new ones."""
         split = [WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = list({w for ws in split for w in ws if w not in self.known})
+        found = [list(map(self.known.get, ws)) for ws in split]
+        lacking = [k for k, got in enumerate(found) if None in got]
+        new = list({w for k in lacking for w, got in zip(split[k], found[k], strict=True) if got is None})
         if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
+            self.known, lacking = {}, range(len(split))
             new = list({w for ws in split for w in ws})
-        self.known.update(zip(new, self.model.encode_words(new), strict=True))
-        get, end = self.known.__getitem__, self.model.end
-        return [[i for w in ws for i in get(w)] + [end] for ws in split]
+        for w, ids in zip(new, self.model.encode_words(new), strict=True):
+            self.known[w] = ids, " ".join(map(str, ids)).encode()
+        for k in lacking:
+            found[k] = list(map(self.known.__getitem__, split[k]))
+        return found
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        """Ids of whole texts, each closed by the end id."""
+        return [[i for ids, _ in ws for i in ids] + [self.model.end] for ws in self.words(texts)]
 
     def decode(self, ids: list[int]) -> str:
         return self.model.decode(ids)
@@ -318,14 +327,16 @@ def round_trip(spark: SparkSession, docs: DataFrame, model: bytes, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
-        names = [b"%d" % i for i in range(len(c.model.pieces))]
+        end = b"%d" % c.model.end
         for b in batches:
             texts = b.column(1).to_pylist()
             for lo, hi in batches_of(texts):
                 n, of_ids, of_text = [], [], []
-                for ids in c.encode(texts[lo:hi]):
+                for ws in c.words(texts[lo:hi]):
+                    ids = [i for w, _ in ws for i in w]
+                    ids.append(c.model.end)
                     n.append(len(ids))
-                    of_ids.append(hashlib.sha256(b" ".join([names[i] for i in ids])).hexdigest())
+                    of_ids.append(hashlib.sha256(b" ".join([*(w for _, w in ws), end])).hexdigest())
                     of_text.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
