@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, exact_dedup, pieces, sharding, simhash, toxicity
+from factloom.llm import decontaminate, exact_dedup, pieces, pii, sharding, simhash, toxicity, url_filter
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -76,3 +76,16 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.overlaps(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "doc_word", "item_word", "n_words", "n_equal")
+
+
+@query
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filter.judge(spark, table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "trust", "distrust")
+
+
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(spark, table(spark, sf_dir, "documents"))
+    of = lambda k: F.size(F.filter("base", lambda s: s["rank"] == pii.KINDS.index(k))).cast("long").alias(f"n_{k}")
+    return found.select(F.col("id").alias("doc_id"), *(of(k) for k in pii.KINDS[:4]), F.sha2(pii.spelled(F.col("base")), 256).alias("base_sha256"), pii.spelled(F.col("all")).alias("spans"))
