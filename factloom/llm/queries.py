@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, exact_dedup, pieces, pii, sharding, simhash, toxicity, url_filter
+from factloom.llm import decontaminate, exact_dedup, pieces, pii, sharding, simhash, suffix_dedup, toxicity, url_filter
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -89,3 +89,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(spark, table(spark, sf_dir, "documents"))
     of = lambda k: F.size(F.filter("base", lambda s: s["rank"] == pii.KINDS.index(k))).cast("long").alias(f"n_{k}")
     return found.select(F.col("id").alias("doc_id"), *(of(k) for k in pii.KINDS[:4]), F.sha2(pii.spelled(F.col("base")), 256).alias("base_sha256"), pii.spelled(F.col("all")).alias("spans"))
+
+
+@query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_spans(spark, table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
