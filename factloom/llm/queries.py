@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, exact_dedup, pieces, pii, sharding, simhash, suffix_dedup, toxicity, url_filter
+from factloom.llm import decontaminate, exact_dedup, passage_dedup, pieces, pii, sharding, simhash, suffix_dedup, toxicity, url_filter
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -96,3 +96,9 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.repeated_spans(spark, table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
     return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passage_dedup.repeated_passages(spark, table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("start").alias("start_byte"), F.col("stop").alias("stop_byte"), F.col("passage").alias("component_id"), F.col("keep_id").alias("keep_doc_id"), "removed")
