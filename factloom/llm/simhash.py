@@ -10,6 +10,11 @@ Large buckets are dealt into about sqrt(size)/4 blocks and every pair of blocks
 walks its fingerprints breadth-first and emits a spanning forest of the verified links, at most one row per fingerprint
 and task, never all pairs.  No candidate is capped.
 
+``similar_groups`` is the same index at work for copies at a Jaccard similarity of 0.8 over 5-word shingles.  There some 15 %
+of the bits may differ, too many for 64 of them: fingerprints have 18 segments of 24 bits, and two texts at 0.8 with
+scattered edits have a segment with at most one differing bit with probability 0.98.  Bit counts only preselect; every
+link that counts is verified by exact Jaccard, inside the groups that the preselected links form.
+
 Defined results: null and empty texts have fingerprint zero and link like any other; texts of fewer words than a shingle
 use the whole sequence; repeated rows share a fingerprint; an empty table gives an empty table.
 """
@@ -25,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.components import connected_components
+from factloom.llm.jaccard import verify_sets
 from factloom.llm.store import Scratch
 
 SHINGLE = 3
@@ -48,6 +54,27 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def wide_fingerprint(text: bytes | None, shingle: int = SHINGLE, segments: int = 18, width: int = 24) -> np.ndarray:
+    """SimHash of ``segments`` x ``width`` bits, one integer a segment, from 64-bit hashes mixed anew for further bits."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(segments, np.int32)
+    n = max(1, len(words) - shingle + 1)
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    grams = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [words]
+    h = np.fromiter((digest(join(g), 42) for g in grams), np.uint64, n)
+    bits = segments * width
+    ones = np.zeros(-(-bits // 64) * 64, np.int64)
+    for k in range(len(ones) // 64):
+        x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        for i in range(0, n, 4096):
+            ones[64 * k : 64 * k + 64] += np.unpackbits(x[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return (2 * ones[:bits] > n).reshape(segments, width) @ (1 << np.arange(width)).astype(np.int64)
+
+
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -57,15 +84,24 @@ def _fingerprints(shingle: int):
     return run
 
 
+def _wide_fingerprints(shingle: int, segments: int, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints = [wide_fingerprint(t, shingle, segments, width).astype(np.int32) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.list_(pa.int32()))], ["id", "segs"])
+
+    return run
+
+
 def spanning_links(prints: np.ndarray, side: np.ndarray | None, most: int) -> list[tuple[int, int]]:
-    """Links at ``most`` or fewer bits, thinned to a spanning forest; with ``side`` only links between the two sides."""
+    """``prints`` has a row of segments for each.  Links at ``most`` or fewer bits, thinned to a spanning forest; with ``side`` only links between the two sides."""
     links: list[tuple[int, int]] = []
     left = np.arange(len(prints))
     while len(left):
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count(prints[left] ^ prints[x]) <= most
+            near = np.bitwise_count(prints[left] ^ prints[x]).sum(axis=1, dtype=np.int64) <= most
             if side is not None:
                 near &= side[left] != side[x]
             if near.any():
@@ -79,60 +115,59 @@ def spanning_links(prints: np.ndarray, side: np.ndarray | None, most: int) -> li
 def _verify(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by bucket and block pair; a group may span batches."""
-        rest: np.ndarray | None = None
+        rest: tuple[np.ndarray, np.ndarray] | None = None
 
-        def links(rows: np.ndarray, last: bool):
-            if not len(rows):
-                return rows, []
+        def links(rows: np.ndarray, prints: np.ndarray, last: bool):
             new = np.flatnonzero((rows[1:, :5] != rows[:-1, :5]).any(axis=1)) + 1
             cuts = [0, *new.tolist(), len(rows)]
-            out = []
+            a, b = [], []
             for lo, hi in zip(cuts[: len(cuts) - 1 - (not last)], cuts[1:], strict=False):
                 if hi - lo > 1:
                     g = rows[lo:hi]
                     one_sided = g[0, 1] == g[0, 2] and g[0, 3] == g[0, 4]
-                    out += [(int(g[a, 7]), int(g[b, 7])) for a, b in spanning_links(g[:, 6].view(np.uint64), None if one_sided else g[:, 5], most)]
-            return (rows[:0] if last else rows[cuts[-2] :]), out
-
-        def packed(out):
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+                    for x, y in spanning_links(prints[lo:hi], None if one_sided else g[:, 5], most):
+                        a.append(int(g[x, 6]))
+                        b.append(int(g[y, 6]))
+            at = len(rows) if last else cuts[-2]
+            return (rows[at:], prints[at:]), pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            rows = np.ascontiguousarray(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1))
-            rest = rows if rest is None or not len(rest) else np.concatenate([rest, rows])
-            rest, out = links(rest, False)
-            if out:
-                yield packed(out)
+            if not batch.num_rows:
+                continue
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:7]], axis=1)
+            prints = batch.column(7).flatten().to_numpy(zero_copy_only=False).view(np.uint32).reshape(len(rows), -1)
+            if rest is not None:
+                rows, prints = np.concatenate([rest[0], rows]), np.concatenate([rest[1], prints])
+            rest, out = links(rows, prints, False)
+            yield out
         if rest is not None:
-            yield packed(links(rest, True)[1])
+            yield links(*rest, True)[1]
 
     return run
 
 
-def near_links(spark: SparkSession, prints: DataFrame, scratch: Scratch, most: int = DISTANCE) -> DataFrame:
-    """Spanning links ``(a, b)`` between the representatives of distinct fingerprints ``prints(fp, rep)``."""
-    if not 0 <= most <= 3:
-        raise ValueError("two segments with one wildcard find at most three differing bits")
-    low = F.lit(0xFFFFFFFF)
-    seg = prints.select("fp", "rep", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), (F.shiftrightunsigned("fp", 32 * s).bitwiseAND(low)).alias("seg")) for s in (0, 1)))).alias("x")).select("fp", "rep", "x.side", "x.seg")
+def near_links(prints: DataFrame, scratch: Scratch, most: int, width: int) -> DataFrame:
+    """Spanning links ``(a, b)`` at ``most`` differing bits between rows ``prints(rep, segs)`` with distinct ``segs`` that
+    have a segment (of ``width`` bits) with at most one differing bit."""
+    seg = prints.select("rep", "segs", F.posexplode("segs").alias("side", "s")).select("rep", "segs", "side", F.col("s").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("seg"))
     sizes = scratch.keep(seg.groupBy("side", "seg").agg(F.count("*").alias("n")), "segments")
-    variants = sizes.select("side", "seg", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("at"))
-    bit = F.expr("shiftright(seg, at) & 1")
-    variants = variants.select("side", "at", F.expr("seg & ~shiftleft(1L, at)").alias("masked"), F.when(bit == 1, 2).otherwise(1).alias("has"))
-    met = variants.groupBy("side", "at", "masked").agg(F.bit_or("has").alias("has")).where("has = 3").select("side", F.col("masked").alias("u"), F.expr("masked | shiftleft(1L, at)").alias("v"))
+    # a variant: which segment, which bit is left open, and the other bits, in one number
+    variants = sizes.select(F.explode(F.expr(f"transform(sequence(0, {width - 1}), at -> struct((((side * 64L + at) << 32) | (seg & ~shiftleft(1L, at))) AS variant, CAST(1 + (shiftright(seg, at) & 1) AS TINYINT) AS has))")).alias("x")).select("x.*")
+    met = variants.groupBy("variant").agg(F.bit_or("has").alias("has")).where("has = 3")
+    met = met.select(F.expr("CAST(variant >> 38 AS INT)").alias("side"), F.expr("variant & 4294967295").alias("u"), F.expr("variant & 4294967295 | shiftleft(1L, CAST((variant >> 32) & 63 AS INT))").alias("v"))
     size_of = lambda name, n: sizes.select("side", F.col("seg").alias(name), F.col("n").alias(n))
     across = met.join(size_of("u", "nu"), ["side", "u"]).join(size_of("v", "nv"), ["side", "v"]).select("side", "u", "v", (F.col("nu") + F.col("nv")).alias("n"))
     within = sizes.where("n > 1").select("side", F.col("seg").alias("u"), F.col("seg").alias("v"), "n")
     buckets = scratch.keep(within.unionByName(across).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.sqrt("n") / 4)).cast("long")), "buckets")
     roles = buckets.select("side", "u", "v", "blocks", F.lit(0).alias("role"), F.col("u").alias("seg")).unionByName(buckets.where("u <> v").select("side", "u", "v", "blocks", F.lit(1).alias("role"), F.col("v").alias("seg")))
-    members = seg.join(roles, ["side", "seg"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
-    members = members.select("side", "u", "v", "role", "fp", "rep", "block", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
+    members = seg.join(roles, ["side", "seg"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    members = members.select("side", "u", "v", "role", "segs", "rep", "block", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
     same = F.col("u") == F.col("v")
     i = F.when(same, F.least("block", "other")).when(F.col("role") == 0, F.col("block")).otherwise(F.col("other"))
     j = F.when(same, F.greatest("block", "other")).when(F.col("role") == 0, F.col("other")).otherwise(F.col("block"))
     # which of the two things compared a row belongs to: its role across segment values, its block within one
     part = F.when(same, F.col("block")).otherwise(F.col("role")).cast("long")
-    tasks = members.select(F.col("side").cast("long").alias("side"), "u", "v", i.alias("i"), j.alias("j"), part.alias("part"), "fp", "rep")
+    tasks = members.select(F.col("side").cast("long").alias("side"), "u", "v", i.alias("i"), j.alias("j"), part.alias("part"), "rep", "segs")
     keys = ["side", "u", "v", "i", "j"]
     return tasks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(most), "a long, b long")
 
@@ -142,13 +177,54 @@ def simhash_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     scratch = Scratch(spark, "simhash")
     rows = scratch.keep(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints(shingle), "id long, fp long"), "prints")
     prints = scratch.keep(rows.groupBy("fp").agg(F.min("id").alias("rep")), "distinct")
-    links = near_links(spark, prints, scratch, most)
+    if not 0 <= most <= 3:
+        raise ValueError("two segments with one wildcard find at most three differing bits")
+    halves = prints.where("rep is not null").select("rep", F.expr("array(CAST(shiftright(shiftleft(fp, 32), 32) AS INT), CAST(shiftright(fp, 32) AS INT))").alias("segs"))
+    links = near_links(halves, scratch, most, 32)
     roots = connected_components(spark, links, scratch)
     named = prints.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return rows.join(named, "fp").select("id", "fp", "component_id")
 
 
-def drop_near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, most: int = DISTANCE) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id, with all its columns."""
-    gone = simhash_groups(spark, docs, id_col, text_col, shingle, most).where("id <> component_id").select(F.col("id").alias("__gone")).distinct()
+def _shingle_sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = []
+            for t in b.column(1).cast(pa.binary()).to_pylist():
+                words = (t or b"").lower().split()
+                grams = [words[i : i + shingle] for i in range(max(1, len(words) - shingle + 1))]
+                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(g), 7) for g in grams], np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+
+    return run
+
+
+def similar_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similar: float = 0.8, segments: int = 18, width: int = 24, most: int = 95) -> DataFrame:
+    """Groups linked at a Jaccard similarity of ``similar``: id and component_id, for documents in groups of two or more.
+
+    Documents whose fingerprints agree in every bit stand for each other.  Texts of fewer words than a shingle use the
+    whole sequence; null ids are left out.
+    """
+    scratch = Scratch(spark, "similar")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    rows = scratch.keep(rows.mapInArrow(_wide_fingerprints(SHINGLE, segments, width), "id long, segs array<int>"), "prints")
+    prints = scratch.keep(rows.groupBy("segs").agg(F.min("id").alias("rep")), "distinct")
+    loose = connected_components(spark, near_links(prints.select("rep", "segs"), scratch, most, width), scratch)
+    loose = scratch.keep(loose, "loose")
+    # inside a loose group every pair of blocks is compared by exact Jaccard
+    sizes = loose.groupBy("root").agg(F.count("*").alias("n")).select("root", F.ceil(F.sqrt("n") / 4).cast("long").alias("blocks"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(loose.select(F.col("node").alias("id")), "id", "left_semi")
+    sets = scratch.keep(texts.mapInArrow(_shingle_sets(shingle), "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
+    dealt = loose.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).select(F.col("root").alias("band"), F.col("node").alias("id"), "block", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
+    tasks = dealt.join(sets, "id").select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("part"), "id", "shingles")
+    links = tasks.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(verify_sets(similar), "a long, b long")
+    roots = connected_components(spark, links, scratch)
+    named = prints.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("segs", F.coalesce("root", "rep").alias("component_id"))
+    out = rows.join(named, "segs").select("id", "component_id")
+    return out.where("id <> component_id").unionByName(out.where("id <> component_id").select(F.col("component_id").alias("id"), "component_id").distinct())
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similar: float = 0.8) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id, with all its columns."""
+    gone = similar_groups(spark, docs, id_col, text_col, shingle, similar).where("id <> component_id").select(F.col("id").alias("__gone"))
     return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti").select(*docs.columns)
