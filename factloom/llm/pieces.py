@@ -32,6 +32,7 @@ LONG = 512
 #: Words that a Python worker remembers before it starts over; bounds its memory.
 REMEMBERED = 300_000
 NO_RANK = np.int32(2**31 - 1)
+SLOT_BITS = 18
 
 codecs.register_error("factloom-each-byte", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -106,60 +107,98 @@ class PieceModel:
         self.width = len(self.pieces) + len(inner)
         pairs = sorted((part[p[:k]] * self.width + part[p[k:]], order[scores[i]], i) for p, i in self.index.items() for k in range(1, len(p)) if p[:k] in part and p[k:] in part)
         self.pair_key = np.array([x[0] for x in pairs], np.int64)
-        self.pair_rank = np.array([x[1] for x in pairs], np.int32)
-        self.pair_id = np.array([x[2] for x in pairs], np.int32)
-
-    def ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and merged symbol of pairs; NO_RANK where there is none."""
-        key = left.astype(np.int64) * self.width + right
-        at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
-        hit = (self.pair_key[at] == key) & (left >= 0) & (right >= 0)
-        return np.where(hit, self.pair_rank[at], NO_RANK), np.where(hit, self.pair_id[at], -1)
+        # open addressing: where a pair stands, -1 for an empty place; a miss ends at an empty place
+        self.slots = np.full(1 << SLOT_BITS, -1, np.int64)
+        size = len(self.slots)
+        if 2 * len(pairs) > size:
+            raise ValueError("too many pairs for the table")
+        place = self._place(self.pair_key).tolist()
+        for n, at in enumerate(place):
+            while self.slots[at] >= 0:
+                at = (at + 1) % size
+            self.slots[at] = n
+        none = len(pairs)  # the entry that stands for no pair
+        self.slots[self.slots < 0] = none
+        self.pair_key = np.append(self.pair_key, -1)
+        self.pair_rank = np.array([*(x[1] for x in pairs), NO_RANK], np.int32)
+        self.pair_id = np.array([*(x[2] for x in pairs), -1], np.int32)
+
+    @staticmethod
+    def _place(key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Number of each pair in the tables; the last number where there is none."""
+        none = len(self.pair_key) - 1
+        key = np.where((left >= 0) & (right >= 0), left.astype(np.int64) * self.width + right, -2)
+        at = self._place(key)
+        found = self.slots[at]
+        todo = np.flatnonzero((self.pair_key[found] != key) & (found != none))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (len(self.slots) - 1)
+            found[todo] = self.slots[at[todo]]
+            f = found[todo]
+            todo = todo[(self.pair_key[f] != key[todo]) & (f != none)]
+        return found
 
     def _rounds(self, words: list[str]) -> list[list[int]]:
         points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         size = np.array([len(w) for w in words], np.int64)
-        word = np.repeat(np.arange(len(words)), size)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), size)
         sym = self.char_id[points]
-        point = np.arange(len(points))  # the character that a symbol starts at
+        point = np.arange(len(points), dtype=np.int32)  # the character that a symbol starts at
+        none = len(self.pair_key) - 1
+        pair = np.full(len(sym), none, np.int32)  # the pair that starts at a symbol
+        inside = np.flatnonzero(word[:-1] == word[1:])
+        pair[inside] = self.pairs(sym[inside], sym[inside + 1])
+        rank = self.pair_rank[pair]
         done_sym, done_word, done_point = [], [], []
         while len(sym):
             n = len(sym)
-            rank = np.full(n, NO_RANK, np.int32)
-            merged = np.full(n, -1, np.int32)
-            inside = np.flatnonzero(word[:-1] == word[1:])
-            rank[inside], merged[inside] = self.ranks(sym[inside], sym[inside + 1])
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            count = np.diff(np.append(first, n))
-            least = np.repeat(np.minimum.reduceat(rank, first), count)
+            least = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, n)))
             live = least < NO_RANK
             if not live.all():
                 done_sym.append(sym[~live])
                 done_word.append(word[~live])
                 done_point.append(point[~live])
-            at = np.flatnonzero((rank == least) & live)
-            if not len(at):
-                break
+                sym, word, point, pair, rank, least = (x[live] for x in (sym, word, point, pair, rank, least))
+                n = len(sym)
+                if not n:
+                    break
+            at = np.flatnonzero(rank == least)
             # leftmost without overlap: every other place of a run of neighbouring candidates
+            each = np.arange(len(at))
             new_run = np.concatenate([[True], np.diff(at) != 1])
-            at = at[(np.arange(len(at)) - np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))) % 2 == 0]
-            if len(at) > 1:
-                # a merge whose new neighbours rank as well or better must be the word's last one in this round
-                now = sym.copy()
-                now[at + 1] = merged[at]
-                has_left = (at > 0) & (word[at - 1] == word[at])
-                lr, _ = self.ranks(np.where(has_left, now[at - 1], -1), merged[at])
-                after = np.minimum(at + 2, n - 1)
-                has_right = (at + 2 < n) & (word[after] == word[at])
-                rr, _ = self.ranks(merged[at], np.where(has_right, sym[after], -1))
-                breaks = (np.minimum(lr, rr) <= least[at]).astype(np.int64)
+            at = at[(each - np.maximum.accumulate(np.where(new_run, each, 0))) % 2 == 0]
+            # the pairs that the merges make with what stands left (merged already, if it merges too) and right of them
+            made = self.pair_id[pair[at]]
+            now = sym.copy()
+            now[at + 1] = made
+            has_left = (at > 0) & (word[at - 1] == word[at])
+            left = self.pairs(np.where(has_left, now[at - 1], -1), made)
+            after = np.minimum(at + 2, n - 1)
+            has_right = (at + 2 < n) & (word[after] == word[at])
+            right = self.pairs(made, np.where(has_right, sym[after], -1))
+            # a merge whose new pairs rank as well or better must be the word's last one in this round
+            breaks = (np.minimum(self.pair_rank[left], self.pair_rank[right]) <= least[at]).astype(np.int64)
+            if breaks.any():
                 before = np.cumsum(breaks) - breaks
                 start = np.concatenate([[True], word[at][1:] != word[at][:-1]])
                 base = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
-                at = at[before == before[base]]
-            sym[at] = merged[at]
-            live[at + 1] = False
-            sym, word, point = sym[live], word[live], point[live]
+                ok = before == before[base]
+                at, made, has_left, left, right = at[ok], made[ok], has_left[ok], left[ok], right[ok]
+            gone = np.zeros(n, bool)
+            gone[at + 1] = True
+            sym[at] = made
+            pair[at] = right
+            back = at[has_left] - 1
+            back -= gone[back]
+            pair[back] = left[has_left]
+            rank[at] = self.pair_rank[right]
+            rank[back] = self.pair_rank[left[has_left]]
+            keep = ~gone
+            sym, word, point, pair, rank = (x[keep] for x in (sym, word, point, pair, rank))
         sym, word, point = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_sym, done_word, done_point))
         order = np.lexsort((point, word))
         sym, word, point = sym[order], word[order], point[order]
@@ -207,7 +246,7 @@ class PieceModel:
 
     def _pair_table(self) -> dict:
         if not hasattr(self, "_table"):
-            self._table = {(int(k) // self.width, int(k) % self.width): (int(r), int(i)) for k, r, i in zip(self.pair_key, self.pair_rank, self.pair_id, strict=True)}
+            self._table = {(int(k) // self.width, int(k) % self.width): (int(r), int(i)) for k, r, i in zip(self.pair_key[:-1], self.pair_rank[:-1], self.pair_id[:-1], strict=True)}
         return self._table
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
