@@ -16,6 +16,8 @@ Defined results: null and empty texts encode to the end id alone and decode to t
 from __future__ import annotations
 
 import codecs
+import contextlib
+import gc
 import hashlib
 import heapq
 import re
@@ -285,22 +287,24 @@ class PieceCodec:
 
     def __init__(self, model: bytes):
         self.model = PieceModel(model)
+        self.names = [b"%d" % i for i in range(len(self.model.pieces))]
         #: ids of a word, and the same as decimals joined by spaces
         self.known: dict[str, tuple[list[int], bytes]] = {}
 
     def words(self, texts: list[str | None]) -> list[list[tuple[list[int], bytes]]]:
         """What is known of the words of whole texts, after meeting the new ones."""
         split = [WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        names, join = self.names, b" ".join
         found = [list(map(self.known.get, ws)) for ws in split]
         lacking = [k for k, got in enumerate(found) if None in got]
         new = list({w for k in lacking for w, got in zip(split[k], found[k], strict=True) if got is None})
         if len(self.known) + len(new) > REMEMBERED:
-            self.known, lacking = {}, range(len(split))
+            self.known, lacking, found = {}, range(len(split)), [[None] * len(ws) for ws in split]
             new = list({w for ws in split for w in ws})
         for w, ids in zip(new, self.model.encode_words(new), strict=True):
-            self.known[w] = ids, " ".join(map(str, ids)).encode()
+            self.known[w] = ids, join([names[i] for i in ids])
         for k in lacking:
-            found[k] = list(map(self.known.__getitem__, split[k]))
+            found[k] = [got or self.known[w] for w, got in zip(split[k], found[k], strict=True)]
         return found
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
@@ -311,6 +315,18 @@ class PieceCodec:
         return self.model.decode(ids)
 
 
+@contextlib.contextmanager
+def no_cycles() -> Iterator[None]:
+    """Hundreds of thousands of remembered words and no cycle among them: walking them again and again finds nothing."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 _codecs: dict[bytes, PieceCodec] = {}
 
 
@@ -371,12 +387,13 @@ def round_trip(spark: SparkSession, docs: DataFrame, model: bytes, id_col: str =
             texts = b.column(1).to_pylist()
             for lo, hi in batches_of(texts):
                 n, of_ids, of_text = [], [], []
-                for ws in c.words(texts[lo:hi]):
-                    ids = [i for w, _ in ws for i in w]
-                    ids.append(c.model.end)
-                    n.append(len(ids))
-                    of_ids.append(hashlib.sha256(b" ".join([*(w for _, w in ws), end])).hexdigest())
-                    of_text.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
+                with no_cycles():
+                    for ws in c.words(texts[lo:hi]):
+                        ids = [i for w, _ in ws for i in w]
+                        ids.append(c.model.end)
+                        n.append(len(ids))
+                        of_ids.append(hashlib.sha256(b" ".join([*(w for _, w in ws), end])).hexdigest())
+                        of_text.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"CAST(`{text_col}` AS STRING) AS text")
