@@ -4,14 +4,14 @@ A byte goes if it is covered by a ``DEPTH``-byte string that also starts in a do
 the suffixes of all documents need sorting to depth 50 only, as far as telling equal from different strings; the order of
 unequal ones does not matter.  As in bucket-pointer refinement, suffixes first fall into q-gram buckets; a bucket is
 refined by the bucket identifiers found at later offsets of its suffixes, and identifiers of deep buckets are built from
-those of shallower ones (1, 2, 4, 8, 16, then 25 and the pair 25 + 25 = 50 bytes).  Identifiers are 64-bit functions of
+those of shallower ones (1, 2, 4, 8, 16, then 20, 25 and the pair 25 + 25 = 50 bytes).  Identifiers are 64-bit functions of
 the bucket's string, so all machines agree on them without numbering buckets globally; a string of 50 bytes is told by
 the pair of its two 25-byte identifiers, 128 bits.
 
 Not all suffixes need to be sorted:
 
 1. A 50-byte string is represented by its least q-gram (by identifier, leftmost among equals), which depends on the
-   string alone.  Neighbouring strings with the same least q-gram form a *run*; a text has one run per 13 bytes or so.
+   string alone.  Neighbouring strings with the same least q-gram form a *run*; a text has one run per 15 bytes or so.
    Runs fall into the bucket of their q-gram and are refined by the identifiers at the later offsets that cover them, all
    at once: equal runs hold equal strings throughout.  Of equal runs, those beyond the smallest id go as a whole.
 2. Only buckets in which different runs meet are refined further, string by string, and only one run of each kind: the
@@ -42,27 +42,51 @@ from factloom.llm.store import Scratch
 
 DEPTH = 50
 HALF = 25
-GRAM = 16
-CHUNK_BYTES = 6_000_000
+GRAM = 20
+CHUNK_BYTES = 4_000_000
 #: bytes worked on at once; positions must fit the low 20 bits of a sort key
-SLICE = 400_000
+SLICE = 100_000
 #: entries a bucket task gets on average
-TASK_ENTRIES = 2_500_000
+TASK_ENTRIES = 800_000
 NO_ID = -(2**63)
-C1, C2, C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-LETTER = np.random.default_rng(20240229).integers(0, 2**64, 256, np.uint64)
+C2, C3 = (np.uint64(c) for c in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+_random = np.random.default_rng(20240229)
+LETTER = _random.integers(0, 2**64, 256, np.uint64)
+FACTOR = _random.integers(0, 2**63, 10, np.uint64) * np.uint64(2) + np.uint64(1)
 LOW = np.uint64((1 << 20) - 1)
 
 
-def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Identifier of a bucket from those of its first part and of the part at the later offset."""
-    h = a * C1 + b
-    h ^= h >> np.uint64(29)
+def join(a: np.ndarray, b: np.ndarray, level: int) -> np.ndarray:
+    """Identifier of a bucket from those of its first part and of the part at the later offset.
+
+    A sum of letter values with an odd factor of its own for each place: levels have factors of their own, else letters
+    could change places unseen.  ``mix`` spreads what comes out.
+    """
+    h = a * FACTOR[level]
+    h += b
+    return h
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(32))
     h *= C2
+    h ^= h >> np.uint64(29)
+    h *= C3
     h ^= h >> np.uint64(32)
     return h
 
 
+def identifiers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Identifiers of the GRAM bytes and of the HALF bytes that start at each place."""
+    one = LETTER[data]
+    two = join(one[:-1], one[1:], 0)
+    four = join(two[:-2], two[2:], 1)
+    eight = join(four[:-4], four[4:], 2)
+    sixteen = join(eight[:-8], eight[8:], 3)
+    twenty = join(sixteen[:-4], four[16:], 4)
+    return mix(twenty), mix(join(join(twenty[:-4], four[20:], 5)[:-1], one[24:], 6))
+
+
 def slide_min(v: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each window of ``width``, by doubling."""
     have, m = 1, v
@@ -79,16 +103,10 @@ class Runs:
     def __init__(self, data: np.ndarray, ends: np.ndarray, docs: np.ndarray):
         n = len(data)
         self.first = self.count = self.doc = np.zeros(0, np.int64)
-        self.bucket = self.kind = self.half = np.zeros(0, np.uint64)
+        self.bucket = self.kind = np.zeros(0, np.uint64)
         if n < DEPTH:
             return
-        one = LETTER[data]
-        two = join(one[:-1], one[1:])
-        four = join(two[:-2], two[2:])
-        eight = join(four[:-4], four[4:])
-        gram = join(eight[:-8], eight[8:])
-        twenty_four = join(gram[:-8], eight[16:])
-        self.half = join(twenty_four[:-1], one[24:])
+        gram, h = identifiers(data)
         least = slide_min((gram & ~LOW) | np.arange(len(gram), dtype=np.uint64), DEPTH - GRAM + 1)
         at = (least & LOW).astype(np.int64)
         doc = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
@@ -100,8 +118,7 @@ class Runs:
         self.count = stop - self.first
         self.bucket = gram[at[self.first]]
         end = stop + DEPTH - 1
-        h = self.half
-        self.kind = join(join(join(h[self.first], h[self.first + HALF]), join(h[end - 2 * HALF], h[end - HALF])), (self.count.astype(np.uint64) << np.uint64(8)) + (at[self.first] - self.first).astype(np.uint64))
+        self.kind = mix(mix(join(join(h[self.first], h[self.first + HALF], 7), join(h[end - 2 * HALF], h[end - HALF], 8), 9)) + (self.count.astype(np.uint64) << np.uint64(8)) + (at[self.first] - self.first).astype(np.uint64))
         self.doc = docs[doc[self.first]]
 
 
@@ -131,7 +148,7 @@ class Chunk:
                     yield b, Runs(self.data[b:e], np.array([e - b]), np.array([at]))
                 at += 1
 
-    def runs(self, strings: bool = False):
+    def runs(self) -> Chunk:
         """All runs: first (in the chunk), count, bucket, kind, doc; then groups of equal runs."""
         parts = list(self.slices())
         get = lambda f, t: np.concatenate([f(lo, r) for lo, r in parts]) if parts else np.zeros(0, t)
@@ -149,28 +166,37 @@ class Chunk:
         n = self.count[runs]
         start = np.repeat(self.first[runs] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         k1, k2 = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
-        for lo in range(0, len(start), 50_000):
-            s = start[lo : lo + 50_000]
-            k1[lo : lo + len(s)] = self.halves(s)
-            k2[lo : lo + len(s)] = self.halves(s + HALF)
+        done = 0
+        for lo in range(0, len(runs), 4000):
+            # the runs' bytes one after another; strings across a seam are never asked for
+            first, many = self.first[runs[lo : lo + 4000]], n[lo : lo + 4000]
+            size = many + DEPTH - 1
+            seam = np.cumsum(size) - size
+            _, half = identifiers(self.data[np.repeat(first - seam, size) + np.arange(size.sum())])
+            at = np.repeat(seam - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            k1[done : done + len(at)], k2[done : done + len(at)] = half[at], half[at + HALF]
+            done += len(at)
         return start, k1, k2, np.repeat(self.id[runs], n)
 
-    def halves(self, at: np.ndarray) -> np.ndarray:
-        """25-byte identifiers at places, built like those of Runs."""
-        one = LETTER[self.data[at[:, None] + np.arange(HALF)]]
-        x = one
-        two = join(x[:, :-1], x[:, 1:])
-        four = join(two[:, :-2], two[:, 2:])
-        eight = join(four[:, :-4], four[:, 4:])
-        gram = join(eight[:, :-8], eight[:, 8:])
-        return join(join(gram[:, :-8], eight[:, 16:])[:, 0], one[:, 24])
+
+def ordered(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Order by (a, b, ids); most values of a stand alone, so only its ties are sorted by the rest."""
+    order = np.argsort(a)
+    s = a[order]
+    tie = np.zeros(len(s) + 1, bool)
+    tie[1:-1] = s[1:] == s[:-1]
+    among = np.flatnonzero(tie[1:] | tie[:-1])
+    part = order[among]
+    order[among] = part[np.lexsort((ids[part], b[part], a[part]))]
+    return order
 
 
 def grouped(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Group number of each entry by (a, b) in sorted order, an entry of each group, and its smallest id."""
-    order = np.lexsort((ids, b, a))
+    order = ordered(a, b, ids)
     new = np.ones(len(order), bool)
-    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    x, y = a[order], b[order]
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
     group = np.zeros(len(order), np.int64)
     group[order] = np.cumsum(new) - 1
     lead = order[new]
@@ -269,7 +295,7 @@ def _settle(refining: bool):
         a = np.concatenate(a)
         b = np.concatenate([unpack(x) for x in t.column("b").to_pylist()])
         ids = np.concatenate([unpack(x) for x in t.column("ids").to_pylist()]).view(np.int64)
-        order = np.lexsort((ids, b, a))
+        order = ordered(a, b, ids)
         a, b, ids = a[order], b[order], ids[order]
         new_a = np.ones(len(a), bool)
         new_a[1:] = a[1:] != a[:-1]
