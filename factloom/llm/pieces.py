@@ -23,9 +23,11 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 SPACE = "▁"
@@ -107,6 +109,7 @@ class PieceModel:
             self.char_id[ord(c)] = i
         part = self.index | {c: len(self.pieces) + n for n, c in enumerate(inner)}
         self.width = len(self.pieces) + len(inner)
+        self.ints = list(range(self.width + 1))
         pairs = sorted((part[p[:k]] * self.width + part[p[k:]], order[scores[i]], i) for p, i in self.index.items() for k in range(1, len(p)) if p[:k] in part and p[k:] in part)
         self.pair_key = np.array([x[0] for x in pairs], np.int64)
         # open addressing: where a pair stands, -1 for an empty place; a miss ends at an empty place
@@ -205,7 +208,8 @@ class PieceModel:
         order = np.lexsort((point, word))
         sym, word, point = sym[order], word[order], point[order]
         ends = np.searchsorted(word, np.arange(len(words)), "right").tolist()
-        flat, out, lo = sym.tolist(), [], 0
+        # the same int objects everywhere, or remembered words would hold millions of their own
+        flat, out, lo = list(map(self.ints.__getitem__, np.minimum(sym, self.width).tolist())), [], 0
         known = sym >= 0
         known &= sym < len(self.pieces)
         odd = set(word[~known].tolist())
@@ -288,13 +292,11 @@ class PieceCodec:
     def __init__(self, model: bytes):
         self.model = PieceModel(model)
         self.names = [b"%d" % i for i in range(len(self.model.pieces))]
-        #: ids of a word, and the same as decimals joined by spaces
-        self.known: dict[str, tuple[list[int], bytes]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
-    def words(self, texts: list[str | None]) -> list[list[tuple[list[int], bytes]]]:
-        """What is known of the words of whole texts, after meeting the new ones."""
+    def words(self, texts: list[str | None]) -> list[list[tuple[int, ...]]]:
+        """Ids of the words of whole texts, after meeting the new ones."""
         split = [WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        names, join = self.names, b" ".join
         found = [list(map(self.known.get, ws)) for ws in split]
         lacking = [k for k, got in enumerate(found) if None in got]
         new = list({w for k in lacking for w, got in zip(split[k], found[k], strict=True) if got is None})
@@ -302,14 +304,15 @@ class PieceCodec:
             self.known, lacking, found = {}, range(len(split)), [[None] * len(ws) for ws in split]
             new = list({w for ws in split for w in ws})
         for w, ids in zip(new, self.model.encode_words(new), strict=True):
-            self.known[w] = ids, join([names[i] for i in ids])
+            self.known[w] = tuple(ids)
         for k in lacking:
             found[k] = [got or self.known[w] for w, got in zip(split[k], found[k], strict=True)]
         return found
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of whole texts, each closed by the end id."""
-        return [[i for ids, _ in ws for i in ids] + [self.model.end] for ws in self.words(texts)]
+        end = (self.model.end,)
+        return [list(chain.from_iterable([*ws, end])) for ws in self.words(texts)]
 
     def decode(self, ids: list[int]) -> str:
         return self.model.decode(ids)
@@ -338,16 +341,14 @@ def codec(model: bytes) -> PieceCodec:
     return _codecs[key]
 
 
-def batches_of(texts: list, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Cuts a batch into runs of rows with about ``most`` characters, so that very long texts do not pile up."""
-    lo = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield lo, i + 1
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+def slices_of(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch with texts in its second column into slices of about ``most`` bytes, to bound memory."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    cut = np.cumsum(sizes) // most
+    at = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(at, at[1:], strict=False):
+        if lo < hi:
+            yield batch.slice(lo, hi - lo)
 
 
 def encode_ids(spark: SparkSession, docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -357,9 +358,8 @@ def encode_ids(spark: SparkSession, docs: DataFrame, model: bytes, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo, hi in batches_of(texts):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(c.encode(texts[lo:hi]), pa.list_(pa.int32()))], ["id", "ids"])
+            for part in slices_of(b):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(c.encode(part.column(1).to_pylist()), pa.list_(pa.int32()))], ["id", "ids"])
 
     return docs.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"CAST(`{text_col}` AS STRING) AS text").mapInArrow(run, "id long, ids array<int>")
 
@@ -382,19 +382,16 @@ def round_trip(spark: SparkSession, docs: DataFrame, model: bytes, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
-        end = b"%d" % c.model.end
+        name = c.names.__getitem__
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo, hi in batches_of(texts):
+            for part in slices_of(b):
                 n, of_ids, of_text = [], [], []
                 with no_cycles():
-                    for ws in c.words(texts[lo:hi]):
-                        ids = [i for w, _ in ws for i in w]
-                        ids.append(c.model.end)
+                    for ids in c.encode(part.column(1).to_pylist()):
                         n.append(len(ids))
-                        of_ids.append(hashlib.sha256(b" ".join([*(w for _, w in ws), end])).hexdigest())
+                        of_ids.append(hashlib.sha256(b" ".join(map(name, ids))).hexdigest())
                         of_text.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"CAST(`{text_col}` AS STRING) AS text")
     return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
