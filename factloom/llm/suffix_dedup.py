@@ -43,11 +43,11 @@ from factloom.llm.store import Scratch
 DEPTH = 50
 HALF = 25
 GRAM = 20
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 3_000_000
 #: bytes worked on at once; positions must fit the low 20 bits of a sort key
 SLICE = 100_000
 #: entries a bucket task gets on average
-TASK_ENTRIES = 800_000
+TASK_ENTRIES = 300_000
 NO_ID = -(2**63)
 C2, C3 = (np.uint64(c) for c in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _random = np.random.default_rng(20240229)
@@ -295,8 +295,11 @@ def _settle(refining: bool):
         a = np.concatenate(a)
         b = np.concatenate([unpack(x) for x in t.column("b").to_pylist()])
         ids = np.concatenate([unpack(x) for x in t.column("ids").to_pylist()]).view(np.int64)
+        del t
         order = ordered(a, b, ids)
-        a, b, ids = a[order], b[order], ids[order]
+        a = a[order]
+        b = b[order]
+        ids = ids[order]
         new_a = np.ones(len(a), bool)
         new_a[1:] = a[1:] != a[:-1]
         new = new_a.copy()
