@@ -75,16 +75,19 @@ def value_of(kind: str, m: Column) -> Column:
 
 def placed(text: Column, pattern: str) -> Column:
     """Array of (start, stop, found) of all matches in order."""
-    cut = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.transform(found, lambda m, i: F.struct(F.length(F.get(cut, i)).alias("gap"), F.length(m).alias("n"), m.alias("m")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,found:string>>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         lo = acc["at"] + s["gap"]
         return F.struct((lo + s["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct(lo.alias("start"), (lo + s["n"]).alias("stop"), s["m"].alias("found")))).alias("out"))
 
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    def walk(both: Column) -> Column:
+        steps = F.transform(both["found"], lambda m, i: F.struct(F.length(F.get(both["cut"], i)).alias("gap"), F.length(m).alias("n"), m.alias("m")))
+        return F.aggregate(steps, start, step, lambda acc: acc["out"])
+
+    # an array of one binds the cut and the matches to a name, else the cut would be made anew for every match
+    both = F.struct(F.split(text, pattern, -1).alias("cut"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    return F.get(F.transform(F.array(both), walk), F.lit(0))
 
 
 def spans_of(text: Column, kind: str) -> Column:
