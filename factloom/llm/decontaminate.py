@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm.batches import slices_of
+
 MASKS = ("1101100111", "1110110101", "1011011011", "1111001101")
 MIN_WORDS = 13
 WRONG = -4
@@ -162,7 +164,7 @@ def overlaps(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value)
-            for b in batches:
+            for b in (x for batch in batches for x in slices_of(batch, 1, 4_000_000)):
                 found = index.overlaps(b.column(1).to_pylist())
                 of = b.column(0).to_pylist()
                 cols = [[of[f[0]] for f in found], *([f[k] for f in found] for k in range(1, 6))]
@@ -180,7 +182,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value)
-            for b in batches:
+            for b in (x for batch in batches for x in slices_of(batch, at, 4_000_000)):
                 clean = np.ones(b.num_rows, bool)
                 clean[[f[0] for f in index.overlaps(b.column(at).cast(pa.string()).to_pylist())]] = False
                 yield b.filter(pa.array(clean))

@@ -24,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm.batches import slices_of
 from factloom.llm.store import Scratch
 
 COUNTERS = 1024
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (x for batch in batches for x in slices_of(batch, 2)):
         texts = b.column(2).cast(pa.binary()).to_pylist()
         # bytes.lower() touches A-Z only
         digests = [hashlib.sha256((t or b"").lower()).digest() for t in texts]

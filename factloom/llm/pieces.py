@@ -27,9 +27,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom.llm.batches import slices_of
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 LONG = 512
@@ -341,16 +342,6 @@ def codec(model: bytes) -> PieceCodec:
     return _codecs[key]
 
 
-def slices_of(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch with texts in its second column into slices of about ``most`` bytes, to bound memory."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-    cut = np.cumsum(sizes) // most
-    at = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), batch.num_rows]
-    for lo, hi in zip(at, at[1:], strict=False):
-        if lo < hi:
-            yield batch.slice(lo, hi - lo)
-
-
 def encode_ids(spark: SparkSession, docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ids (array<int>, end id included)."""
     shared = spark.sparkContext.broadcast(model)
@@ -358,7 +349,7 @@ def encode_ids(spark: SparkSession, docs: DataFrame, model: bytes, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
         for b in batches:
-            for part in slices_of(b):
+            for part in slices_of(b, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(c.encode(part.column(1).to_pylist()), pa.list_(pa.int32()))], ["id", "ids"])
 
     return docs.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"CAST(`{text_col}` AS STRING) AS text").mapInArrow(run, "id long, ids array<int>")
@@ -384,7 +375,7 @@ def round_trip(spark: SparkSession, docs: DataFrame, model: bytes, id_col: str =
         c = codec(shared.value)
         name = c.names.__getitem__
         for b in batches:
-            for part in slices_of(b):
+            for part in slices_of(b, 1):
                 n, of_ids, of_text = [], [], []
                 with no_cycles():
                     for ids in c.encode(part.column(1).to_pylist()):

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm.batches import slices_of
 from factloom.llm.components import connected_components
 from factloom.llm.jaccard import verify_sets
 from factloom.llm.store import Scratch
@@ -77,7 +78,7 @@ def wide_fingerprint(text: bytes | None, shingle: int = SHINGLE, segments: int =
 
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for batch in batches for x in slices_of(batch, 1)):
             prints = np.array([fingerprint(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], ["id", "fp"])
 
@@ -86,7 +87,7 @@ def _fingerprints(shingle: int):
 
 def _wide_fingerprints(shingle: int, segments: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for batch in batches for x in slices_of(batch, 1)):
             prints = [wide_fingerprint(t, shingle, segments, width).astype(np.int32) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.list_(pa.int32()))], ["id", "segs"])
 
@@ -188,7 +189,7 @@ def simhash_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
 
 def _shingle_sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for batch in batches for x in slices_of(batch, 1)):
             sets = []
             for t in b.column(1).cast(pa.binary()).to_pylist():
                 words = (t or b"").lower().split()

@@ -29,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm.batches import slices_of
 from factloom.llm.store import Scratch
 
-SAMPLE_ROWS = 40_000
+SAMPLE_ROWS = 20_000
 LEXICON = 256
 PREFIXES = (4, 5, 6, 7)
 #: Matches inside these phrases are about something else.
@@ -93,12 +94,27 @@ def _patterns(words: set[str]) -> set[str]:
     return found
 
 
+#: patterns that a worker counts before it hands them on
+COUNTED = 200_000
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per partition: documents of each class with a pattern, and its occurrences in each class."""
-    docs: tuple[Counter, Counter] = (Counter(), Counter())
-    uses: tuple[Counter, Counter] = (Counter(), Counter())
-    n, words_of = [0, 0], [0, 0]
-    for b in batches:
+    """Documents of each class with a pattern, and its occurrences in each class, in parts that bound memory."""
+
+    def part() -> pa.RecordBatch:
+        spread: tuple[Counter, Counter] = (Counter(), Counter())
+        for c in (0, 1):
+            for w, k in uses[c].items():
+                for p in _patterns({w}):
+                    spread[c][p] += k
+            # the totals travel as the empty pattern
+            docs[c][""], spread[c][""] = n[c], words_of[c]
+        keys = list(docs[0].keys() | docs[1].keys())
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[p] for p in keys], pa.int64()) for c in (*docs, *spread))], ["pattern", "d0", "d1", "u0", "u1"])
+
+    fresh = lambda: ((Counter(), Counter()), (Counter(), Counter()), [0, 0], [0, 0])
+    docs, uses, n, words_of = fresh()
+    for b in (x for batch in batches for x in slices_of(batch, 0)):
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             words = fold(text)
             count = Counter(words)
@@ -106,17 +122,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             uses[toxic].update(count)
             n[toxic] += 1
             words_of[toxic] += len(words)
-    spread: tuple[Counter, Counter] = (Counter(), Counter())
-    for c in (0, 1):
-        for w, k in uses[c].items():
-            for p in _patterns({w}):
-                spread[c][p] += k
-        # the totals travel as the empty pattern
-        docs[c][""], spread[c][""] = n[c], words_of[c]
-    keys = list(docs[0].keys() | docs[1].keys())
-    for i in range(0, len(keys), 100_000):
-        part = keys[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([c[p] for p in part], pa.int64()) for c in (*docs, *spread))], ["pattern", "d0", "d1", "u0", "u1"])
+            if len(docs[0]) + len(docs[1]) > COUNTED:
+                yield part()
+                docs, uses, n, words_of = fresh()
+    yield part()
 
 
 def _choose(rows: list, w0: int, w1: int) -> dict[str, float]:
@@ -176,7 +185,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = model.automaton()
-        for b in batches:
+        for b in (x for batch in batches for x in slices_of(batch, 0)):
             f = [features(fold(t), a) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in f], pa.float64()), pa.array([x[1] for x in f], pa.float64()), b.column(1)], ["x0", "x1", "toxic"])
 
@@ -193,7 +202,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
         a, (base, per, total) = m.automaton(), m.curve
-        for b in batches:
+        for b in (x for batch in batches for x in slices_of(batch, 1)):
             s = [sigmoid(base + per * x + total * y) for x, y in (features(fold(t), a) for t in b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], ["id", "score", "predicted"])
 
@@ -209,7 +218,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, model: Model, text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
         a, (base, per, total) = m.automaton(), m.curve
-        for b in batches:
+        for b in (x for batch in batches for x in slices_of(batch, at)):
             s = (base + per * x + total * y for x, y in (features(fold(t), a) for t in b.column(at).cast(pa.string()).to_pylist()))
             yield b.filter(pa.array([sigmoid(z) < 0.5 for z in s], pa.bool_()))
 
