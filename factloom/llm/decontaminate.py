@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.batches import slices_of
+from factloom.llm.batches import slices_of, trimmed
 
 MASKS = ("1101100111", "1110110101", "1011011011", "1111001101")
 MIN_WORDS = 13
@@ -170,7 +170,7 @@ def overlaps(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col:
                 cols = [[of[f[0]] for f in found], *([f[k] for f in found] for k in range(1, 6))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id", "item", "doc_word", "item_word", "n_words", "n_equal"])
 
-        out = out.unionByName(rows.mapInArrow(run, schema))
+        out = out.unionByName(rows.mapInArrow(trimmed(run), schema))
     return out
 
 
@@ -187,5 +187,5 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame
                 clean[[f[0] for f in index.overlaps(b.column(at).cast(pa.string()).to_pylist())]] = False
                 yield b.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(trimmed(run), docs.schema)
     return docs

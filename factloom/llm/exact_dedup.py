@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.batches import slices_of
+from factloom.llm.batches import slices_of, trimmed
 from factloom.llm.store import Scratch
 
 COUNTERS = 1024
@@ -61,9 +61,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     """One row per input row: id, keep_id, group_size, kept, digest (binary SHA-256 of the normalised text)."""
     scratch = Scratch(spark, "exact_dedup")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    hashed = scratch.keep(rows.mapInArrow(_digest, "row long, id long, digest binary"), "digests")
+    hashed = scratch.keep(rows.mapInArrow(trimmed(_digest), "row long, id long, digest binary"), "digests")
     n = hashed.count()
-    guessed = hashed.select("digest").mapInArrow(_summaries(k), "digest binary, at_least long").groupBy("digest").agg(F.sum("at_least").alias("at_least")).where(F.col("at_least") * (k + 1) >= max(n, 2 * (k + 1))).select("digest")
+    guessed = hashed.select("digest").mapInArrow(trimmed(_summaries(k)), "digest binary, at_least long").groupBy("digest").agg(F.sum("at_least").alias("at_least")).where(F.col("at_least") * (k + 1) >= max(n, 2 * (k + 1))).select("digest")
     best = F.max(F.struct("id", "row")).alias("best")
     winners = scratch.keep(hashed.join(F.broadcast(guessed), "digest").groupBy("digest").agg(best, F.count("*").alias("group_size")), "winners")
     tagged = hashed.join(F.broadcast(winners), "digest", "left")

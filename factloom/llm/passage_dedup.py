@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm.batches import trimmed
 from factloom.llm.components import connected_components
 from factloom.llm.jaccard import verify_sets
 from factloom.llm.store import Scratch
@@ -175,7 +176,7 @@ def line_links(docs: DataFrame, lines: DataFrame, scratch: Scratch, id_col: str,
     places = wanted.groupBy("id").agg(F.collect_list(F.struct("content", "start", "stop")).alias("places"))
     # rows repeated with one id hold one document; any of them will do
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(places, "id").select("text", "places")
-    sets = scratch.keep(texts.mapInArrow(_shingles, "content long, shingles array<long>").dropDuplicates(["content"]), "shingles")
+    sets = scratch.keep(texts.mapInArrow(trimmed(_shingles), "content long, shingles array<long>").dropDuplicates(["content"]), "shingles")
     dealt = members.withColumn("block", F.pmod(F.xxhash64("content"), F.col("blocks"))).select("band", "content", "block", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
     tasks = dealt.join(sets, "content").select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("part"), "content", "shingles")
     return tasks.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(verify_sets(least), "a long, b long")
@@ -185,7 +186,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     """Occurrences of passages that stand in two documents or more: id, start, stop (bytes), passage, keep_id, removed."""
     scratch = Scratch(spark, "passage_dedup")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = scratch.keep(rows.mapInArrow(_paragraphs, PARAGRAPH), "paragraphs", "kind")
+    found = scratch.keep(rows.mapInArrow(trimmed(_paragraphs), PARAGRAPH), "paragraphs", "kind")
     lines = scratch.keep(found.where(F.col("kind") == LINE).groupBy("content").agg(F.min(F.struct("id", "start", "stop")).alias("first"), F.first("bands").alias("bands")), "lines")
     root = connected_components(spark, line_links(docs, lines, scratch, id_col, text_col, similar), scratch).withColumnRenamed("node", "content")
     named = found.where(F.col("kind") == LINE).select("id", "start", "stop", "content").join(root, "content", "left").select("id", "start", "stop", F.coalesce("root", "content").alias("passage"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.batches import slices_of
+from factloom.llm.batches import slices_of, trimmed
 from factloom.llm.components import connected_components
 from factloom.llm.jaccard import verify_sets
 from factloom.llm.store import Scratch
@@ -170,13 +170,13 @@ def near_links(prints: DataFrame, scratch: Scratch, most: int, width: int) -> Da
     part = F.when(same, F.col("block")).otherwise(F.col("role")).cast("long")
     tasks = members.select(F.col("side").cast("long").alias("side"), "u", "v", i.alias("i"), j.alias("j"), part.alias("part"), "rep", "segs")
     keys = ["side", "u", "v", "i", "j"]
-    return tasks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(most), "a long, b long")
+    return tasks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(trimmed(_verify(most)), "a long, b long")
 
 
 def simhash_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, most: int = DISTANCE) -> DataFrame:
     """One row per input row: id, fp (long, the fingerprint's bits), component_id (smallest id reachable)."""
     scratch = Scratch(spark, "simhash")
-    rows = scratch.keep(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints(shingle), "id long, fp long"), "prints")
+    rows = scratch.keep(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(_fingerprints(shingle)), "id long, fp long"), "prints")
     prints = scratch.keep(rows.groupBy("fp").agg(F.min("id").alias("rep")), "distinct")
     if not 0 <= most <= 3:
         raise ValueError("two segments with one wildcard find at most three differing bits")
@@ -208,14 +208,14 @@ def similar_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     """
     scratch = Scratch(spark, "similar")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    rows = scratch.keep(rows.mapInArrow(_wide_fingerprints(SHINGLE, segments, width), "id long, segs array<int>"), "prints")
+    rows = scratch.keep(rows.mapInArrow(trimmed(_wide_fingerprints(SHINGLE, segments, width)), "id long, segs array<int>"), "prints")
     prints = scratch.keep(rows.groupBy("segs").agg(F.min("id").alias("rep")), "distinct")
     loose = connected_components(spark, near_links(prints.select("rep", "segs"), scratch, most, width), scratch)
     loose = scratch.keep(loose, "loose")
     # inside a loose group every pair of blocks is compared by exact Jaccard
     sizes = loose.groupBy("root").agg(F.count("*").alias("n")).select("root", F.ceil(F.sqrt("n") / 4).cast("long").alias("blocks"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(loose.select(F.col("node").alias("id")), "id", "left_semi")
-    sets = scratch.keep(texts.mapInArrow(_shingle_sets(shingle), "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
+    sets = scratch.keep(texts.mapInArrow(trimmed(_shingle_sets(shingle)), "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
     dealt = loose.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).select(F.col("root").alias("band"), F.col("node").alias("id"), "block", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
     tasks = dealt.join(sets, "id").select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("part"), "id", "shingles")
     links = tasks.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(verify_sets(similar), "a long, b long")

@@ -38,6 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm.batches import give_back, slices_of, trimmed
 from factloom.llm.store import Scratch
 
 DEPTH = 50
@@ -231,7 +232,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blob = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
         return _table({"p": ([part << 32 | number], pa.int64()), "ids": ([np.array(ids, np.int64).tobytes()], pa.binary()), "sizes": ([sizes.tobytes()], pa.binary()), "blob": ([blob], pa.binary())})
 
-    for b in batches:
+    for b in (x for batch in batches for x in slices_of(batch, 1)):
         for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
             ids.append(NO_ID if i is None else i)
             texts.append(t or b"")
@@ -326,6 +327,8 @@ def _settle(refining: bool):
                 out["p"].append(p)
                 out["gone"].append(number[h[gone[h]]].astype(np.uint32).tobytes())
                 out["look"].append(number[h[look[h]]].astype(np.uint32).tobytes())
+        del a, b, ids, order, new, new_a, least, gone, look, source, number
+        give_back()
         return pa.table({"p": pa.array(out["p"], pa.int64()), "gone": pa.array(out["gone"], pa.binary()), "look": pa.array(out["look"], pa.binary())})
 
     return run
@@ -364,16 +367,16 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     """One row per input row: id, n_bytes, spans (array of start, stop: the maximal removed runs), kept_sha256."""
     scratch = Scratch(spark, "suffix_dedup")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    chunks = scratch.keep(rows.mapInArrow(_chunks, "p long, ids binary, sizes binary, blob binary"), "chunks")
+    chunks = scratch.keep(rows.mapInArrow(trimmed(_chunks), "p long, ids binary, sizes binary, blob binary"), "chunks")
     size = chunks.agg(F.sum(F.expr("octet_length(sizes) / 8")).alias("n"), F.count("*").alias("chunks")).first()
     tasks = max(12, -(-(size["chunks"] or 0) * CHUNK_BYTES // 15 // TASK_ENTRIES))
     reply = "p long, gone binary, look binary"
     gather = lambda df, *cols: df.groupBy("p").agg(*(F.collect_list(c).alias(c) for c in cols))
-    first = scratch.keep(gather(chunks.mapInArrow(_send_runs(tasks), ENTRY).groupBy("r").applyInArrow(_settle(True), reply), "gone", "look"), "runs")
+    first = scratch.keep(gather(chunks.mapInArrow(trimmed(_send_runs(tasks)), ENTRY).groupBy("r").applyInArrow(_settle(True), reply), "gone", "look"), "runs")
     open_chunks = chunks.join(first.select("p", "look"), "p").select("p", "ids", "sizes", "blob", "look")
-    second = scratch.keep(gather(open_chunks.mapInArrow(_send_strings(tasks), ENTRY).groupBy("r").applyInArrow(_settle(False), reply).select("p", F.col("gone").alias("gone2")), "gone2"), "strings")
+    second = scratch.keep(gather(open_chunks.mapInArrow(trimmed(_send_strings(tasks)), ENTRY).groupBy("r").applyInArrow(_settle(False), reply).select("p", F.col("gone").alias("gone2")), "gone2"), "strings")
     whole = chunks.join(first.join(second, "p", "left"), "p", "left").select("p", "ids", "sizes", "blob", "gone", "look", "gone2")
-    return whole.mapInArrow(_finish, "id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept_sha256 string")
+    return whole.mapInArrow(trimmed(_finish), "id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept_sha256 string")
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.batches import slices_of
+from factloom.llm.batches import slices_of, trimmed
 from factloom.llm.store import Scratch
 
 SAMPLE_ROWS = 20_000
@@ -169,7 +169,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     marked = labels.select(key.alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic is not null").where(~held_out(F.col("id")))
     sample = marked.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select("text", "toxic")
-    counted = texts.mapInArrow(_count, "pattern string, d0 long, d1 long, u0 long, u1 long").groupBy("pattern").agg(*(F.sum(c).alias(c) for c in ("d0", "d1", "u0", "u1")))
+    counted = texts.mapInArrow(trimmed(_count), "pattern string, d0 long, d1 long, u0 long, u1 long").groupBy("pattern").agg(*(F.sum(c).alias(c) for c in ("d0", "d1", "u0", "u1")))
     counted = Scratch(spark, "toxicity").keep(counted, "patterns")
     total = counted.where("pattern = ''").first()  # the totals travel as the empty pattern
     if total is None or not total["d1"]:
@@ -189,7 +189,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
             f = [features(fold(t), a) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in f], pa.float64()), pa.array([x[1] for x in f], pa.float64()), b.column(1)], ["x0", "x1", "toxic"])
 
-    seen = np.array([tuple(r) for r in texts.mapInArrow(measure, "x0 double, x1 double, toxic int").collect()], np.float64).reshape(-1, 3)
+    seen = np.array([tuple(r) for r in texts.mapInArrow(trimmed(measure), "x0 double, x1 double, toxic int").collect()], np.float64).reshape(-1, 3)
     seen = seen[np.lexsort(seen.T)]  # sums must not depend on the order of partitions
     model.curve = _logistic(seen[:, :2], seen[:, 2])
     return model
@@ -207,7 +207,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], ["id", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, score double, predicted int")
+    return rows.mapInArrow(trimmed(run), "id long, score double, predicted int")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -222,4 +222,4 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, model: Model, text_col: str
             s = (base + per * x + total * y for x, y in (features(fold(t), a) for t in b.column(at).cast(pa.string()).to_pylist()))
             yield b.filter(pa.array([sigmoid(z) < 0.5 for z in s], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
