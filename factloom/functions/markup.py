@@ -8,8 +8,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from factloom.functions.text import strip, text_of
+from factloom.functions.text import let, strip, text_of
 
 # Parameter names by meaning, empty values, patterns.
 RELATIONS = {
@@ -62,7 +63,7 @@ NOVEL = r"(?i)\(novels?(?:\s*/\s*comics?)?\)|\bnovels?\b|\bbooks?\b"
 SCREEN = r"(?i)\bseasons?\s*\d+\b|\bepisodes?\b|\b(?:pilot|finale)\s+characters\b|\b(?:tv|television)\s+series\b"
 VARIANT = r"(?i)\s*\((?:novels?|comics?|books?|novels?\s*/\s*comics?|tv\s*series|television\s*series|series|show|film|movie|games?|character)\)\s*$"
 
-TEMPLATE = "array<struct<name:string,params:map<string,string>>>"
+TEMPLATE = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("params", T.MapType(T.StringType(), T.StringType()))]))
 _MARK = re.compile(r"\{\{|\}\}|\[\[|\]\]|\|")
 
 
@@ -103,7 +104,7 @@ def templates(s: pd.Series) -> pd.Series:
     return s.map(lambda x: [{"name": n, "params": p} for n, p in templates_of(x)] if isinstance(x, str) else [])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def without_templates(s: pd.Series) -> pd.Series:
     def drop(x: str) -> str:
         at, kept = 0, []
@@ -155,6 +156,10 @@ def lead_markup(c: Column) -> Column:
 
 def profile(ts: Column) -> Column:
     """The template with most profile parameters (two at least), the first among equals."""
+    return let(ts, _profile)
+
+
+def _profile(ts: Column) -> Column:
     signals = F.array(*(F.lit(x) for x in sorted({*RELATIONS, *ALIAS_FIELDS, *STATUS_FIELDS, *PROFILE_FIELDS})))
     ranked = F.transform(ts, lambda t, i: F.struct(F.size(F.array_intersect(F.map_keys(t["params"]), signals)).alias("score"), (-i).alias("at"), t.alias("t")))
     best = F.aggregate(ranked, F.struct(F.lit(1).alias("score"), F.lit(0).alias("at")), lambda a, r: F.when(r["score"] > a["score"], F.struct(r["score"].alias("score"), r["at"].alias("at"))).otherwise(a))
@@ -167,8 +172,8 @@ def usable_alias(c: Column) -> Column:
 
 def first_seen(xs: Column) -> Column:
     """Distinct without regard to case, the first spelling stays."""
-    low = F.transform(xs, lambda x: F.lower(x))
-    return F.filter(F.transform(xs, lambda x, i: F.when(F.array_position(low, F.lower(x)) == i + 1, x)), lambda x: x.isNotNull())
+    both = lambda v: let(F.transform(v, lambda x: F.lower(x)), lambda low: F.transform(v, lambda x, i: F.when(F.array_position(low, F.lower(x)) == i + 1, x)))
+    return F.array_compact(let(xs, both))
 
 
 def entries(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.text import LINE_END, strip, text_of
+from factloom.functions.text import LINE_END, let, strip, text_of
 
 # Weights, bounds and word lists.
 NEUTRAL = 0.5
@@ -38,8 +38,7 @@ def sentences(text: Column) -> Column:
 def paragraphs(text: Column) -> Column:
     """Blocks between blank lines, or lines where there is but one block."""
     full = lambda xs: F.filter(F.transform(xs, strip), lambda s: s != "")
-    blocks = full(F.split(text, r"\n\s*\n", -1))
-    return F.when(F.size(blocks) > 1, blocks).otherwise(full(F.split(text, LINE_END, -1)))
+    return let(full(F.split(text, r"\n\s*\n", -1)), lambda blocks: F.when(F.size(blocks) > 1, blocks).otherwise(full(F.split(text, LINE_END, -1))))
 
 
 def _count(s: Column) -> Column:
@@ -48,54 +47,73 @@ def _count(s: Column) -> Column:
 
 def sentence_rhythm(text: Column) -> Column:
     """Spread of sentence lengths."""
-    n = F.filter(F.transform(sentences(text), _count), lambda k: k >= 2)
-    m = mean(n)
-    spread = F.sqrt(total(F.transform(n, lambda k: (k - m) * (k - m))) / F.nullif(F.size(n), F.lit(0)))
-    return F.when(F.size(n) < 4, NEUTRAL).otherwise(ramp(spread, 2.0, 9.0))
+
+    def measure(n: Column) -> Column:
+        # whole numbers, so the sums are exact and the difference of squares is safe
+        squares = total(F.transform(n, lambda k: (k * k).cast("double")))
+        k = F.nullif(F.size(n), F.lit(0))
+        spread = F.sqrt(F.greatest(F.lit(0.0), squares / k - mean(n) * mean(n)))
+        return F.when(F.size(n) < 4, NEUTRAL).otherwise(ramp(spread, 2.0, 9.0))
+
+    return let(F.filter(F.transform(sentences(text), _count), lambda k: k >= 2), measure)
 
 
 def dialogue_craft(text: Column) -> Column:
     """Variety of speech verbs, and speech that does not always open with them."""
     verbs = "|".join(sorted(TAG_VERBS))
-    spoken = F.filter(F.split(text, LINE_END, -1), lambda x: x.rlike('["“”«»]'))
-    tags = F.flatten(F.transform(spoken, lambda x: F.transform(F.regexp_extract_all(x, F.lit(rf"(?i)\b({verbs})\b"), F.lit(1)), lambda v: F.lower(v))))
-    first = F.size(F.filter(spoken, lambda x: x.rlike(rf'^\s*["“]?\s*(?:[A-Z][a-z]+|I|He|She|They|We|You)\s+(?:{verbs})\s*,?\s*["“]')))
-    most = F.array_max(F.transform(F.array_distinct(tags), lambda v: F.size(F.filter(tags, lambda t: t == v))))
-    n = F.size(tags)
-    craft = 0.5 * (1.0 - most / F.nullif(n, F.lit(0))) + 0.5 * (1.0 - first / F.nullif(F.size(spoken), F.lit(0)))
-    return F.when(n < 3, NEUTRAL).otherwise(craft)
+
+    def measure(spoken: Column) -> Column:
+        tags = F.flatten(F.transform(spoken, lambda x: F.transform(F.regexp_extract_all(x, F.lit(rf"(?i)\b({verbs})\b"), F.lit(1)), lambda v: F.lower(v))))
+        first = F.size(F.filter(spoken, lambda x: x.rlike(rf'^\s*["“]?\s*(?:[A-Z][a-z]+|I|He|She|They|We|You)\s+(?:{verbs})\s*,?\s*["“]')))
+
+        def craft(t: Column) -> Column:
+            most = F.array_max(F.transform(F.array_distinct(t), lambda v: F.size(F.filter(t, lambda x: x == v))))
+            n = F.nullif(F.size(t), F.lit(0))
+            value = 0.5 * (1.0 - most / n) + 0.5 * (1.0 - first / F.nullif(F.size(spoken), F.lit(0)))
+            return F.when(F.size(t) < 3, NEUTRAL).otherwise(value)
+
+        return let(tags, craft)
+
+    return let(F.filter(F.split(text, LINE_END, -1), lambda x: x.rlike('["“”«»]')), measure)
 
 
 def vocabulary(text: Column) -> Column:
     """Different words among all, on windows of fixed size so that length does not count against a text."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    cuts = F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(TTR_WINDOW)), lambda i: F.slice(w, i + 1, F.lit(TTR_WINDOW)))
-    ratios = F.transform(F.filter(cuts, lambda c: F.size(c) >= TTR_LEAST), lambda c: F.size(F.array_distinct(c)) / F.size(c))
-    return F.when(F.size(w) < TTR_LEAST, NEUTRAL).otherwise(ramp(mean(ratios), 0.38, 0.62))
+
+    def measure(w: Column) -> Column:
+        cuts = F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(TTR_WINDOW)), lambda i: F.slice(w, i + 1, F.lit(TTR_WINDOW)))
+        ratios = F.transform(F.filter(cuts, lambda c: F.size(c) >= TTR_LEAST), lambda c: F.size(F.array_distinct(c)) / F.size(c))
+        return F.when(F.size(w) < TTR_LEAST, NEUTRAL).otherwise(let(ratios, lambda r: ramp(mean(r), 0.38, 0.62)))
+
+    return let(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), measure)
 
 
 def interiority(text: Column) -> Column:
     """Words of thought and sense."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    known = F.array(*(F.lit(x) for x in sorted({*INTERIOR, *SENSORY})))
-    hits = F.size(F.filter(w, lambda x: F.array_contains(known, x)))
-    return F.when(F.size(w) == 0, 0.0).otherwise(ramp(1000.0 * hits / F.nullif(F.size(w), F.lit(0)), 3.0, 30.0))
+    # counted in the text itself: a word of the list that no letter or apostrophe touches
+    known = "|".join(sorted({*INTERIOR, *SENSORY}))
+    hits = F.regexp_count(F.lower(text), F.lit(rf"(?<![a-z'’])(?:{known})(?![a-z'’])"))
+    n = _count(F.lower(text))
+    return F.when(n == 0, 0.0).otherwise(ramp(1000.0 * hits / F.nullif(n, F.lit(0)), 3.0, 30.0))
 
 
 def paragraph_structure(text: Column) -> Column:
     """Mean length within a band, fewer marks for many fragments."""
-    n = F.transform(paragraphs(text), _count)
-    m = mean(n)
-    base = F.when(m <= 20.0, ramp(m, 5.0, 20.0)).when(m <= 150.0, 1.0).otherwise(1.0 - ramp(m, 150.0, 400.0))
-    short = F.size(F.filter(n, lambda k: k < 8)) / F.nullif(F.size(n), F.lit(0))
-    return F.when(F.size(n) == 0, 0.0).otherwise(F.when(short > 0.6, base * 0.4).otherwise(base))
+
+    def measure(n: Column) -> Column:
+        m = mean(n)
+        base = F.when(m <= 20.0, ramp(m, 5.0, 20.0)).when(m <= 150.0, 1.0).otherwise(1.0 - ramp(m, 150.0, 400.0))
+        short = F.size(F.filter(n, lambda k: k < 8)) / F.nullif(F.size(n), F.lit(0))
+        return F.when(F.size(n) == 0, 0.0).otherwise(F.when(short > 0.6, base * 0.4).otherwise(base))
+
+    return let(F.transform(paragraphs(text), _count), measure)
 
 
 def punctuation(text: Column) -> Column:
     """Marks off for shouting, runs of ! and ?, and many of them."""
     n = _count(text)
     long_words = F.size(F.filter(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.length(w) >= 3))
-    caps = F.coalesce(F.regexp_count(text, F.lit(r"\b[A-Z]{3,}\b")) * 1.0 / F.nullif(long_words, F.lit(0)), F.lit(0.0))
+    caps = F.coalesce(F.regexp_count(text, F.lit(r"(?U)\b[A-Z]{3,}\b")) * 1.0 / F.nullif(long_words, F.lit(0)), F.lit(0.0))
     run = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit("[!?]{2,}"), F.lit(0)), lambda s: F.length(s))), F.lit(0))
     bangs = F.regexp_count(text, F.lit("!")) * 1.0 / F.greatest(F.size(sentences(text)), F.lit(1))
     one = F.lit(1.0)

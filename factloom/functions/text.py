@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Quotation marks, boilerplate and disclaimer patterns, language names, thresholds.
 QUOTES = '["“”«»「」]'
@@ -37,6 +38,11 @@ DISCLAIMER = r"[^.!?\n]*\b(?:i\s+(?:do\s+not|don'?t|dont)\s+own|(?:all\s+)?right
 FICTION_MARK = r"(?:fan\W*fictions?|fan\W*fics?|fics?)"
 MIN_WORDS, MIN_QUOTES_PER_1K = 500, 5.0
 
+def let(x: Column, body) -> Column:
+    """``body`` of a value that is computed once: a lambda's variable is, an expression inside a lambda is not."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85  ]"
 
 
@@ -71,17 +77,24 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+#: Line patterns with their common head taken out, so that a line is looked at from its start only; the one pattern that
+#: may stand anywhere is tried on lines that hold its first word.
+_HEADS = "(?iU)^(?:" + "|".join(p[1:] for p in BOILERPLATE if p.startswith("^")) + ")"
+_ANYWHERE = "(?iU)" + "|".join(p for p in BOILERPLATE if not p.startswith("^"))
+#: The words without which no sentence is a disclaimer.
+_TOLD = r"(?iU)\bown\b|\brights?\s|\bbased\s|\bbelongs?\s"
+
+
 def strip_boilerplate(c: Column | str) -> Column:
     """Without lines of author's notes and promotion and without disclaimer sentences; spaces inside lines collapsed."""
     lines = F.split(text_of(c), LINE_END, -1)
-    noise = "(?iU)" + "|".join(f"(?:{p})" for p in BOILERPLATE)
-    kept = F.array_join(F.filter(lines, lambda x: ~x.rlike(noise)), "\n")
-    told = F.regexp_replace(kept, f"(?iU){DISCLAIMER}", "")
-    tidy = F.transform(F.split(told, "\n", -1), lambda x: strip(F.regexp_replace(x, r"[ \t]+", " ")))
-    return strip(F.array_join(tidy, "\n"))
+    kept = F.filter(lines, lambda x: ~x.rlike(_HEADS) & ~(F.contains(F.lower(x), F.lit("read")) & x.rlike(_ANYWHERE)))
+    # a disclaimer never crosses a line, so lines are searched on their own and only those that can hold one
+    told = F.transform(kept, lambda x: F.when(x.rlike(_TOLD), F.regexp_replace(x, f"(?iU){DISCLAIMER}", "")).otherwise(x))
+    return strip(F.array_join(F.transform(told, lambda x: strip(F.regexp_replace(x, r"[ \t]+", " "))), "\n"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
@@ -185,7 +198,7 @@ def label_matches(label: Column, terms: list[str]) -> Column:
 # --- html -----------------------------------------------------------------------------------------------------------
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
@@ -233,7 +246,7 @@ def clean_aliases(titles: Column, name: Column) -> Column:
     return F.filter(F.transform(kept, lambda t, i: F.when(F.array_position(low, F.lower(t)) == i + 1, t)), lambda t: t.isNotNull())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks of two lower-cased strings (no built-in gives it)."""
     return pd.Series([difflib.SequenceMatcher(None, x.lower(), y.lower()).ratio() if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(a, b, strict=True)], dtype="float64")

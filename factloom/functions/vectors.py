@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factloom.functions.text import let
+
 # Width and gram size of the embedder.
 WIDTH = 256
 GRAM = 3
@@ -21,18 +23,25 @@ def embed(text: Column, width: int = WIDTH) -> Column:
     """Signed hashing of grams into ``width`` (256) buckets, of unit length; zeros for an empty text.
 
     The bucket is the eighth byte of the gram's SHA-256 (the first eight bytes modulo 256), the sign the parity of the
-    ninth.  Grams are sorted into runs of equal bucket once, so that the cost does not grow with width times grams.
+    ninth.  Meant for chunks, not for books: each bucket looks through all grams.
     """
     if width != 256:
         raise ValueError("the bucket is one byte of the digest")
     hashes = F.transform(grams(text), lambda g: F.sha2(g, 256))
-    signed = F.transform(hashes, lambda h: F.struct(F.conv(F.substring(h, 15, 2), 16, 10).cast("int").alias("at"), (F.lit(1) - F.lit(2) * (F.conv(F.substring(h, 18, 1), 16, 10).cast("int") % 2)).alias("sign")))
+    return let(_signed(hashes), lambda s: _buckets(s, width))
+
+
+def _signed(hashes: Column) -> Column:
+    return F.transform(hashes, lambda h: F.struct(F.conv(F.substring(h, 15, 2), 16, 10).cast("int").alias("at"), (F.lit(1) - F.lit(2) * (F.conv(F.substring(h, 18, 1), 16, 10).cast("int") % 2)).alias("sign")))
+
+
+def _buckets(signed: Column, width: int) -> Column:
     up = F.transform(F.filter(signed, lambda s: s["sign"] > 0), lambda s: s["at"])
     down = F.transform(F.filter(signed, lambda s: s["sign"] < 0), lambda s: s["at"])
     count = lambda xs, i: F.size(F.filter(xs, lambda x: x == i))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: (count(up, i) - count(down, i)).cast("double"))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(raw, lambda x: x / F.nullif(norm, F.lit(0.0)))).otherwise(raw)
+    raw = let(F.struct(up.alias("up"), down.alias("down")), lambda d: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: (count(d["up"], i) - count(d["down"], i)).cast("double")))
+    unit = lambda v: let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), lambda norm: F.when(norm > 0, F.transform(v, lambda x: x / F.nullif(norm, F.lit(0.0)))).otherwise(v))
+    return let(raw, unit)
 
 
 def dot(a: Column, b: Column) -> Column:

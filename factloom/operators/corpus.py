@@ -17,11 +17,12 @@ def clean_chapters(chapters: DataFrame, min_words: int, min_quotes: float, plain
     The first of equal texts in order of ``pos`` stays, whatever its work; chapters that are no prose never shadow others.
     The order decides by a minimum per fingerprint, map-side combined, not by sorting all chapters.
     """
-    c = chapters.withColumn("clean", strip_boilerplate("text"))
-    c = c.withColumn("prose", is_prose("clean", min_words, min_quotes)).withColumn("print", fingerprint("clean", plain)).drop("text")
+    # the explode of one keeps the cleaned text from being made anew for each of its uses
+    c = chapters.select("work", "pos", F.explode(F.array(strip_boilerplate("text"))).alias("clean"))
+    c = c.withColumn("prose", is_prose("clean", min_words, min_quotes)).withColumn("print", fingerprint("clean", plain)).withColumn("words", words("clean"))
     first = c.where("prose").groupBy("print").agg(F.min("pos").alias("first"))
     fate = F.when(~F.col("prose"), "prose").when(F.col("pos") == F.col("first"), "kept").otherwise("duplicate")
-    return c.join(first, "print", "left").select("work", "pos", "clean", "print", fate.alias("fate"), words("clean").alias("words"))
+    return c.join(first, "print", "left").select("work", "pos", "clean", "print", fate.alias("fate"), "words")
 
 
 def report(cleaned: DataFrame) -> DataFrame:

@@ -23,13 +23,13 @@ def as_of(resolved: DataFrame, chapter: int) -> DataFrame:
 
 
 def as_of_probe(resolved: DataFrame, probes: DataFrame) -> DataFrame:
-    """The same for many probes (root, subject_id, predicate, at): an equi-join on the key with the interval as residue.
+    """The same for many probes (root, subject_id, predicate, chapter): an equi-join on the key with the interval as residue.
 
     Probes must be distinct; those without a fact are left out.
     """
-    hit = probes.join(resolved, list(KEY)).where((F.col("status") != "quarantined") & is_valid_at(F.col("at")))
+    hit = probes.join(resolved, list(KEY)).where((F.col("status") != "quarantined") & is_valid_at(F.col("chapter")))
     order = F.struct(F.col("status") != "invalidated", "valid_from", "recorded_at", "id")
-    return hit.groupBy(*KEY, "at").agg(F.max_by("id", order).alias("id"))
+    return hit.groupBy(*KEY, "chapter").agg(F.max_by("id", order).alias("id"))
 
 
 def conflicts(facts: DataFrame, chapter: int) -> DataFrame:
