@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.batches import give_back, slices_of, trimmed
+from factloom.llm.batches import slices_of, trimmed
 from factloom.llm.store import Scratch
 
 DEPTH = 50
@@ -287,16 +287,27 @@ def numbers(blobs: list[bytes] | None) -> np.ndarray:
 
 
 def _settle(refining: bool):
-    """In a bucket task: which entries of which chunk go, and (refining) which need a look string by string."""
+    """In a bucket task: which entries of which chunk go, and (refining) which need a look string by string.
 
-    def run(t: pa.Table) -> pa.Table:
+    A partition holds the blobs of a few ranges; they are put together here, so that Spark only passes them through and
+    neither sorts nor copies them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges: dict[int, list[pa.RecordBatch]] = {}
+        for batch in batches:
+            for k, r in enumerate(batch.column(0).to_pylist()):
+                ranges.setdefault(r, []).append(batch.slice(k, 1))
+        while ranges:
+            yield from settle(pa.Table.from_batches(ranges.popitem()[1])).to_batches()
+
+    def settle(t: pa.Table) -> pa.Table:
         ps, bases = t.column("p").to_pylist(), t.column("base").to_pylist()
         a = [unpack(x, True) for x in t.column("a").to_pylist()]
         sizes = [len(x) for x in a]
         a = np.concatenate(a)
         b = np.concatenate([unpack(x) for x in t.column("b").to_pylist()])
         ids = np.concatenate([unpack(x) for x in t.column("ids").to_pylist()]).view(np.int64)
-        del t
         order = ordered(a, b, ids)
         a = a[order]
         b = b[order]
@@ -327,8 +338,6 @@ def _settle(refining: bool):
                 out["p"].append(p)
                 out["gone"].append(number[h[gone[h]]].astype(np.uint32).tobytes())
                 out["look"].append(number[h[look[h]]].astype(np.uint32).tobytes())
-        del a, b, ids, order, new, new_a, least, gone, look, source, number
-        give_back()
         return pa.table({"p": pa.array(out["p"], pa.int64()), "gone": pa.array(out["gone"], pa.binary()), "look": pa.array(out["look"], pa.binary())})
 
     return run
@@ -372,9 +381,9 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     tasks = max(12, -(-(size["chunks"] or 0) * CHUNK_BYTES // 15 // TASK_ENTRIES))
     reply = "p long, gone binary, look binary"
     gather = lambda df, *cols: df.groupBy("p").agg(*(F.collect_list(c).alias(c) for c in cols))
-    first = scratch.keep(gather(chunks.mapInArrow(trimmed(_send_runs(tasks)), ENTRY).groupBy("r").applyInArrow(_settle(True), reply), "gone", "look"), "runs")
+    first = scratch.keep(gather(chunks.mapInArrow(trimmed(_send_runs(tasks)), ENTRY).repartition(tasks, "r").mapInArrow(trimmed(_settle(True)), reply), "gone", "look"), "runs")
     open_chunks = chunks.join(first.select("p", "look"), "p").select("p", "ids", "sizes", "blob", "look")
-    second = scratch.keep(gather(open_chunks.mapInArrow(trimmed(_send_strings(tasks)), ENTRY).groupBy("r").applyInArrow(_settle(False), reply).select("p", F.col("gone").alias("gone2")), "gone2"), "strings")
+    second = scratch.keep(gather(open_chunks.mapInArrow(trimmed(_send_strings(tasks)), ENTRY).repartition(tasks, "r").mapInArrow(trimmed(_settle(False)), reply).select("p", F.col("gone").alias("gone2")), "gone2"), "strings")
     whole = chunks.join(first.join(second, "p", "left"), "p", "left").select("p", "ids", "sizes", "blob", "gone", "look", "gone2")
     return whole.mapInArrow(trimmed(_finish), "id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept_sha256 string")
 
