@@ -111,3 +111,12 @@ def classify(texts: DataFrame, entities: DataFrame, id_col: str, text_col: str)
     some = lambda b: F.exists("found", lambda x: x["basis"] == b)
     basis = F.when(some("screen"), "screen").when(F.forall("found", lambda x: x["basis"] == "unknown"), "unknown").when(some("novel"), "novel").otherwise("both")
     return seen.select("id", F.transform("found", lambda x: x["name"]).alias("names"), basis.alias("basis"))
+
+
+def harvest_report(seen: DataFrame, least_words: int) -> DataFrame:
+    """One row about an index run: sightings, thin ones, kept, merged away, relationships, attributes."""
+    kept = thick(seen, least_words)
+    names = kept.select(norm(F.col("canonical_name")).alias("name"), F.size("relationships").alias("r"), F.size("attributes").alias("a"))
+    by = names.groupBy("name").agg(F.count("*").alias("n"), F.sum("r").alias("r"), F.sum("a").alias("a"))
+    sums = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("kept"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates_merged"), F.coalesce(F.sum("r"), F.lit(0)).alias("relationships"), F.coalesce(F.sum("a"), F.lit(0)).alias("attributes"))
+    return seen.agg(F.count("*").alias("seen")).join(sums).select("seen", (F.col("seen") - F.col("kept")).alias("thin"), "kept", "duplicates_merged", "relationships", "attributes")

@@ -137,3 +137,37 @@ def apply_choices(choices: DataFrame, chosen: DataFrame) -> tuple[DataFrame, Dat
 def playthroughs(turns: DataFrame, most: int = TURNS) -> DataFrame:
     """Depth (the opening turn counts) and whether the ceiling is reached: ``turns(play_id, turn)``."""
     return turns.groupBy("play_id").agg(F.count("*").alias("depth")).withColumn("complete", F.col("depth") >= most)
+
+
+def options_per_chapter(branches: DataFrame) -> DataFrame:
+    """Authored rows ``(chapter, pos, option_id, label, secret)`` nested per chapter in authored order."""
+    nested = F.array_sort(F.collect_list(F.struct("pos", "option_id", "label", "secret")))
+    return branches.groupBy("chapter").agg(F.transform(nested, lambda o: F.struct(o["option_id"].alias("option_id"), o["label"].alias("label"), o["secret"].alias("secret"))).alias("options"))
+
+
+def options_at(nested: DataFrame, chapter: int) -> DataFrame:
+    """The options of a chapter, none for an unmapped one."""
+    return nested.where(F.col("chapter") == chapter).select(F.explode("options").alias("o")).select("o.*")
+
+
+def is_canon_baseline(option_id: Column, source_work_id: Column) -> Column:
+    return F.coalesce(source_work_id.isNull() & F.endswith(option_id, F.lit(":canon")), F.lit(False))
+
+
+def seed_from_anchors(anchors: DataFrame, texts: DataFrame) -> DataFrame:
+    """Anchors ``(fact_id, chapter, char_start, char_end, must_contain)`` cut out of their chapters; a quote without its
+    sentinel fails the query."""
+    quote = F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
+    cut = anchors.join(texts, "chapter").select("fact_id", "chapter", "char_start", "char_end", "must_contain", quote.alias("quote"))
+    checked = F.when(F.contains("quote", F.col("must_contain")), F.col("quote")).otherwise(F.raise_error(F.concat(F.lit("anchor misses its sentinel: "), F.col("fact_id").cast("string"))).cast("string"))
+    return cut.select("fact_id", "chapter", "char_start", "char_end", checked.alias("quote"))
+
+
+def open_threads(threads: Column) -> Column:
+    """Open ones of a nested list of threads."""
+    return F.filter(threads, lambda t: t["status"] == "open")
+
+
+def audit_payoffs(commitments: DataFrame) -> DataFrame:
+    """A commitment is paid off exactly if it says where: ``(id, state, payoff_at)``."""
+    return commitments.where((F.col("state") == "paid_off") != F.col("payoff_at").isNotNull()).select("id", F.lit("payoff consistent").alias("rule"))

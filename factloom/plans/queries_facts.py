@@ -338,3 +338,31 @@ def as_of_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest line per part and flag: the as-of aggregate over the largest table."""
     li = views.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("subject_id"), F.col("l_returnflag").alias("predicate"), F.struct("l_shipdate", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).alias("k"))
     return li.groupBy("subject_id", "predicate").agg(F.max("k").alias("k")).select("subject_id", "predicate", "k.id")
+
+
+@query("SELECT CAST(turn + 1 AS INT) AS chapter, string_agg(conv_id || ':' || role, ',' ORDER BY conv_id) AS options FROM conversations GROUP BY turn")
+def options_per_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.table(spark, sf_dir, "conversations").select((F.col("turn") + 1).cast("int").alias("chapter"), F.col("conv_id").alias("pos"), F.concat_ws(":", F.col("conv_id").cast("string"), "role").alias("option_id"), F.col("role").alias("label"), F.lit(False).alias("secret"))
+    return knowledge.options_per_chapter(rows).select("chapter", F.array_join(F.transform("options", lambda o: o["option_id"]), ",").alias("options"))
+
+
+@query("SELECT doc_id AS fact_id, doc_id AS chapter, substr(text, 2, 5) AS quote FROM documents WHERE length(text) >= 6")
+def anchor_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One anchor per document, its sentinel being what stands there."""
+    d = views.table(spark, sf_dir, "documents").where("length(text) >= 6")
+    anchors = d.select(F.col("doc_id").alias("fact_id"), F.col("doc_id").alias("chapter"), F.lit(1).alias("char_start"), F.lit(6).alias("char_end"), F.substring("text", 3, 2).alias("must_contain"))
+    return knowledge.seed_from_anchors(anchors, d.select(F.col("doc_id").alias("chapter"), "text")).select("fact_id", "chapter", "quote")
+
+
+@query("SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS open FROM events GROUP BY user_id")
+def open_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as threads of a user, views being open: filtered inside the nested list."""
+    t = views.table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.struct("event_id", F.when(F.col("event_type") == "view", "open").otherwise("closed").alias("status"))).alias("threads"))
+    return t.select("user_id", F.size(knowledge.open_threads(F.col("threads"))).cast("long").alias("open"))
+
+
+@query("SELECT event_id AS id, 'payoff consistent' AS rule FROM events WHERE (event_id % 4 = 2) <> (event_id % 3 = 0)")
+def payoff_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    rows = views.table(spark, sf_dir, "events").select(e.alias("id"), F.element_at(F.array(*(F.lit(s) for s in STATES)), (e % 4 + 1).cast("int")).alias("state"), F.when(e % 3 == 0, e).alias("payoff_at"))
+    return knowledge.audit_payoffs(rows)

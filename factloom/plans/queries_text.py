@@ -396,3 +396,16 @@ def corpus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def numbered_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that have heading lines, with the chapters cut at them."""
     return corpus.chapters_of(docs(spark, sf_dir), "doc_id", F.col("text")).groupBy("id").agg(F.count("*").alias("chapters"))
+
+
+@query("""WITH k AS (SELECT lower(trim(p_brand)) AS name FROM part WHERE len(string_split(p_name, ' ')) >= 2)
+SELECT (SELECT count(*) FROM part) AS seen, (SELECT count(*) FROM part) - count(*) AS thin, count(*) AS kept, count(*) - count(DISTINCT name) AS duplicates_merged, count(*) AS relationships, count(*) AS attributes FROM k""")
+def entity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.harvest_report(views.entities(spark, sf_dir), 2)
+
+
+@query()
+def alias_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts against one name: respellings rank last (the ratio of matching blocks is beyond SQL)."""
+    p = views.table(spark, sf_dir, "part").select("p_name").distinct()
+    return p.select("p_name", text.is_variant(F.col("p_name"), F.lit("small ring")).alias("is_variant"))
