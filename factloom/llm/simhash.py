@@ -4,7 +4,8 @@ A 64-bit fingerprint is cut into two segments of 32 bits.  Two fingerprints at t
 segment in which they differ by one bit at most, so the index holds, for each segment value, its 32 variants with one
 bit wildcarded; two segment values meet in a variant exactly when they differ in that bit alone.  The equality join runs
 on *distinct segment values*, where a variant can hold two values and no more, so it cannot blow up however many
-fingerprints share a segment.  Fingerprints under equal or meeting segment values are then verified bit by bit.
+fingerprints share a segment.  Values that agree outside one half of the segment are brought together and their variants
+are made and joined there, which moves two rows per value instead of 32.  Fingerprints under equal or meeting segment values are then verified bit by bit.
 
 Large buckets are dealt into about sqrt(size)/4 blocks and every pair of blocks is compared in a task of its own; a task
 walks its fingerprints breadth-first and emits a spanning forest of the verified links, at most one row per fingerprint
@@ -147,15 +148,43 @@ def _verify(most: int):
     return run
 
 
+def _meet(width: int):
+    """Pairs of segment values that share a one-wildcard variant: (side, value with a 0, value with a 1 at the wildcard).
+
+    A wildcard lies in the lower or the upper half of a segment.  Values that agree in the other half have been brought
+    together, so all their variants are looked up here and never travel: two rows per value instead of one per bit.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+        if not got:
+            return
+        side, half, seg = (np.concatenate(x) for x in zip(*got, strict=True))
+        for h, bits in ((0, range(width // 2)), (1, range(width // 2, width))):
+            mine = half == h
+            values = np.unique(side[mine].astype(np.int64) << 40 | seg[mine])
+            for bit in bits:
+                zero = values[(values >> bit) & 1 == 0]
+                one = zero | (1 << bit)
+                at = np.minimum(np.searchsorted(values, one), max(0, len(values) - 1))
+                hit = values[at] == one if len(values) else np.zeros(0, bool)
+                u, v = zero[hit], one[hit]
+                if len(u):
+                    mask = (1 << 40) - 1
+                    yield pa.RecordBatch.from_arrays([pa.array((u >> 40).astype(np.int32)), pa.array(u & mask), pa.array(v & mask)], ["side", "u", "v"])
+
+    return run
+
+
 def near_links(prints: DataFrame, scratch: Scratch, most: int, width: int) -> DataFrame:
     """Spanning links ``(a, b)`` at ``most`` differing bits between rows ``prints(rep, segs)`` with distinct ``segs`` that
     have a segment (of ``width`` bits) with at most one differing bit."""
     seg = prints.select("rep", "segs", F.posexplode("segs").alias("side", "s")).select("rep", "segs", "side", F.col("s").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("seg"))
     sizes = scratch.keep(seg.groupBy("side", "seg").agg(F.count("*").alias("n")), "segments")
-    # a variant: which segment, which bit is left open, and the other bits, in one number
-    variants = sizes.select(F.explode(F.expr(f"transform(sequence(0, {width - 1}), at -> struct((((side * 64L + at) << 32) | (seg & ~shiftleft(1L, at))) AS variant, CAST(1 + (shiftright(seg, at) & 1) AS TINYINT) AS has))")).alias("x")).select("x.*")
-    met = variants.groupBy("variant").agg(F.bit_or("has").alias("has")).where("has = 3")
-    met = met.select(F.expr("CAST(variant >> 38 AS INT)").alias("side"), F.expr("variant & 4294967295").alias("u"), F.expr("variant & 4294967295 | shiftleft(1L, CAST((variant >> 32) & 63 AS INT))").alias("v"))
+    low = width // 2
+    part = F.when(F.col("half") == 0, F.shiftright("seg", low)).otherwise(F.col("seg").bitwiseAND(F.lit((1 << low) - 1)))
+    open_halves = sizes.select("side", "seg", F.explode(F.array(F.lit(0), F.lit(1))).alias("half")).withColumn("rest", part)
+    met = open_halves.repartition("side", "half", "rest").select("side", "half", "seg").mapInArrow(trimmed(_meet(width)), "side int, u long, v long")
     size_of = lambda name, n: sizes.select("side", F.col("seg").alias(name), F.col("n").alias(n))
     across = met.join(size_of("u", "nu"), ["side", "u"]).join(size_of("v", "nv"), ["side", "v"]).select("side", "u", "v", (F.col("nu") + F.col("nv")).alias("n"))
     within = sizes.where("n > 1").select("side", F.col("seg").alias("u"), F.col("seg").alias("v"), "n")
