@@ -48,7 +48,7 @@ CHUNK_BYTES = 3_000_000
 #: bytes worked on at once; positions must fit the low 20 bits of a sort key
 SLICE = 100_000
 #: entries a bucket task gets on average
-TASK_ENTRIES = 300_000
+TASK_ENTRIES = 600_000
 NO_ID = -(2**63)
 C2, C3 = (np.uint64(c) for c in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _random = np.random.default_rng(20240229)
@@ -117,7 +117,8 @@ class Runs:
         self.first = np.flatnonzero(turn & whole)
         stop = np.flatnonzero(np.concatenate([(turn | ~whole)[1:], [True]]) & whole) + 1
         self.count = stop - self.first
-        self.bucket = gram[at[self.first]]
+        # mixed anew: these are minima, and tasks take ranges of identifiers
+        self.bucket = mix(gram[at[self.first]])
         end = stop + DEPTH - 1
         self.kind = mix(mix(join(join(h[self.first], h[self.first + HALF], 7), join(h[end - 2 * HALF], h[end - HALF], 8), 9)) + (self.count.astype(np.uint64) << np.uint64(8)) + (at[self.first] - self.first).astype(np.uint64))
         self.doc = docs[doc[self.first]]
