@@ -195,6 +195,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     for part in (named, blocks):
         # the first occurrence of each passage, for passages of several documents
         first = part.groupBy("passage").agg(F.min(F.struct("id", "start")).alias("first"), F.max("id").alias("last")).where("first.id < last").select("passage", "first")
+        # written, so that the join has a plain shuffle on either side and a passage that is everywhere can be split
+        first = scratch.keep(first, "first")
         hit = part.join(first, "passage").select("id", "start", "stop", "passage", F.col("first.id").alias("keep_id"), (F.struct("id", "start") != F.col("first")).alias("removed"))
         out = hit if out is None else out.unionByName(hit)
     return out
