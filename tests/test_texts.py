@@ -166,3 +166,46 @@ def test_fact_append_refuses_taken_ids(spark, tmp_path):
     assert [r.id for r in bad.collect()] == [2]
     assert sorted(r.id for r in tables.read_facts(spark, path).collect()) == [1, 2, 3]
     assert [r.id for r in tables.read_facts(spark, path, "child").collect()] == [2]
+
+
+def test_retry_waits_and_gives_up():
+    from factloom.sources.retry import HostError, with_retry
+
+    waits, left = [], [503, 429]
+
+    def call():
+        if left:
+            raise HostError(left.pop())
+        return "ok"
+
+    assert with_retry(call, sleep=waits.append) == "ok"
+    assert len(waits) == 2 and 1 <= waits[0] <= 1.25 and 2 <= waits[1] <= 2.25
+    with pytest.raises(HostError):
+        with_retry(lambda: (_ for _ in ()).throw(HostError(404)), sleep=waits.append)
+    assert len(waits) == 2
+
+
+def test_host_rows_and_wiki_names(spark):
+    from factloom.sources import hosts
+
+    raw = spark.createDataFrame([('{"id": "a", "title": "T", "metadata": {"words": "1.5", "chapters": "2/?", "Language": "Deutsch"}}',), ('{"id": "", "title": "x"}',), ("broken",)], "raw string")
+    got = hosts.archive_rows(raw, "raw").collect()
+    assert [(r.id, r.words, r.completed, r.language) for r in got] == [("a", 15, False, "de")]
+    raw = spark.createDataFrame([('{"id": "a", "title": "T", "readCount": "1.5", "parts": [{"id": "p", "title": "x", "draft": true}, {"id": "q", "title": "y"}]}',), ('{"id": "b", "title": "T", "deleted": true}',)], "raw string")
+    got = hosts.host_rows(raw, "raw").collect()
+    assert [(r.id, r.reads, [(c.source_id, c["index"]) for c in r.chapter_refs]) for r in got] == [("a", 1, [("q", 1)])]
+    assert one(spark, "The Long Road", hosts.wiki_candidates) == ["thelongroad", "the-long-road", "longroad", "long-road"]
+
+
+def test_payoffs_anchors_and_options(spark):
+    from factloom.operators import knowledge
+
+    branches = spark.createDataFrame([(1, 2, "b", "B", False), (1, 1, "a", "A", True)], "chapter int, pos int, option_id string, label string, secret boolean")
+    nested = knowledge.options_per_chapter(branches)
+    assert [r.option_id for r in knowledge.options_at(nested, 1).collect()] == ["a", "b"]
+    assert knowledge.options_at(nested, 2).count() == 0
+    texts = spark.createDataFrame([(1, "The dark hall.")], "chapter int, text string")
+    anchor = lambda w: spark.createDataFrame([("f", 1, 4, 8, w)], "fact_id string, chapter int, char_start int, char_end int, must_contain string")
+    assert knowledge.seed_from_anchors(anchor("dark"), texts).first()["quote"] == "dark"
+    with pytest.raises(Exception, match="sentinel"):
+        knowledge.seed_from_anchors(anchor("light"), texts).collect()
