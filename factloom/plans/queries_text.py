@@ -147,10 +147,9 @@ def ranked_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).withColumn("rank", rank).where("rank <= 10 and n_chars >= 100").select(F.col("source").alias("work"), F.col("doc_id").alias("pos"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("SELECT bool_and(ok) AS ranked FROM (SELECT n_chars <= coalesce(lag(n_chars) OVER (ORDER BY n_chars DESC, doc_id), n_chars) AS ok FROM documents)")
+@query("SELECT coalesce(bool_and(ok), true) AS ranked FROM (SELECT n_chars <= coalesce(lag(n_chars) OVER (ORDER BY doc_id), n_chars) AS ok FROM documents)")
 def ranking_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).orderBy(F.desc("n_chars"), "doc_id").select(F.col("n_chars").alias("score"), F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")).alias("pos"))
-    return corpus.is_ranked(d)
+    return corpus.is_ranked(docs(spark, sf_dir).select(F.col("n_chars").alias("score"), F.col("doc_id").alias("pos")))
 
 
 @query(r"""WITH d AS (SELECT doc_id, lang, source, left(text, 300) AS head, n_chars AS reads FROM documents)

@@ -209,3 +209,10 @@ def test_payoffs_anchors_and_options(spark):
     assert knowledge.seed_from_anchors(anchor("dark"), texts).first()["quote"] == "dark"
     with pytest.raises(Exception, match="sentinel"):
         knowledge.seed_from_anchors(anchor("light"), texts).collect()
+
+
+def test_ranking_is_checked_across_blocks(spark):
+    df = lambda xs: spark.createDataFrame(list(enumerate(xs)), "pos long, score double")
+    ok = lambda xs: corpus.is_ranked(df(xs), 3).first()["ranked"]
+    assert ok([9.0, 8.0, 8.0, 7.0, 5.0]) and ok([]) and ok([1.0])
+    assert not ok([9.0, 8.0, 7.0, 8.0]) and not ok([9.0, None, 7.0]) and not ok([1.0, 2.0])
