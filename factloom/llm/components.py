@@ -49,7 +49,11 @@ def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch
     ignored; an empty table gives an empty table.
     """
     pairs = edges.toDF("a", "b").where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    e = scratch.keep(pairs.mapInArrow(_forest, "u long, v long"), "forest")
+    # forests of partitions, then of a few partitions together: links found many times over shrink to one per node and task
+    local = scratch.keep(pairs.mapInArrow(_forest, "u long, v long"), "local")
+    few = max(1, local.rdd.getNumPartitions() // 8)
+    e = scratch.keep(local.coalesce(few).mapInArrow(_forest, "u long, v long").distinct(), "forest")
+    scratch.drop(local)
     seen = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

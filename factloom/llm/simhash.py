@@ -7,13 +7,14 @@ on *distinct segment values*, where a variant can hold two values and no more, s
 fingerprints share a segment.  Values that agree outside one half of the segment are brought together and their variants
 are made and joined there, which moves two rows per value instead of 32.  Fingerprints under equal or meeting segment values are then verified bit by bit.
 
-Large buckets are dealt into about sqrt(size)/4 blocks and every pair of blocks is compared in a task of its own; a task
+Large buckets are dealt into about sqrt(size)/10 blocks and every pair of blocks is compared in a task of its own; a task
 walks its fingerprints breadth-first and emits a spanning forest of the verified links, at most one row per fingerprint
 and task, never all pairs.  No candidate is capped.
 
 ``similar_groups`` is the same index at work for copies at a Jaccard similarity of 0.8 over 5-word shingles.  There some 15 %
-of the bits may differ, too many for 64 of them: fingerprints have 18 segments of 24 bits, and two texts at 0.8 with
-scattered edits have a segment with at most one differing bit with probability 0.98.  Bit counts only preselect; every
+of the bits may differ, too many for 64 of them: fingerprints have 30 segments of 30 bits, and two texts at 0.8 with
+scattered edits have a segment with at most one differing bit with probability 0.98; strangers meet in one by chance once in
+half a billion pairs, so that candidates do not outgrow the input.  Bit counts only preselect; every
 link that counts is verified by exact Jaccard, inside the groups that the preselected links form.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; texts of fewer words than a shingle
@@ -56,7 +57,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def wide_fingerprint(text: bytes | None, shingle: int = SHINGLE, segments: int = 18, width: int = 24) -> np.ndarray:
+def wide_fingerprint(text: bytes | None, shingle: int = SHINGLE, segments: int = 30, width: int = 30) -> np.ndarray:
     """SimHash of ``segments`` x ``width`` bits, one integer a segment, from 64-bit hashes mixed anew for further bits."""
     words = (text or b"").lower().split()
     if not words:
@@ -188,7 +189,7 @@ def near_links(prints: DataFrame, scratch: Scratch, most: int, width: int) -> Da
     size_of = lambda name, n: sizes.select("side", F.col("seg").alias(name), F.col("n").alias(n))
     across = met.join(size_of("u", "nu"), ["side", "u"]).join(size_of("v", "nv"), ["side", "v"]).select("side", "u", "v", (F.col("nu") + F.col("nv")).alias("n"))
     within = sizes.where("n > 1").select("side", F.col("seg").alias("u"), F.col("seg").alias("v"), "n")
-    buckets = scratch.keep(within.unionByName(across).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.sqrt("n") / 4)).cast("long")), "buckets")
+    buckets = scratch.keep(within.unionByName(across).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.sqrt("n") / 10)).cast("long")), "buckets")
     roles = buckets.select("side", "u", "v", "blocks", F.lit(0).alias("role"), F.col("u").alias("seg")).unionByName(buckets.where("u <> v").select("side", "u", "v", "blocks", F.lit(1).alias("role"), F.col("v").alias("seg")))
     members = seg.join(roles, ["side", "seg"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     members = members.select("side", "u", "v", "role", "segs", "rep", "block", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
@@ -229,7 +230,7 @@ def _shingle_sets(shingle: int):
     return run
 
 
-def similar_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similar: float = 0.8, segments: int = 18, width: int = 24, most: int = 95) -> DataFrame:
+def similar_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similar: float = 0.8, segments: int = 30, width: int = 30, most: int = 200) -> DataFrame:
     """Groups linked at a Jaccard similarity of ``similar``: id and component_id, for documents in groups of two or more.
 
     Documents whose fingerprints agree in every bit stand for each other.  Texts of fewer words than a shingle use the
