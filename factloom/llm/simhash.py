@@ -96,8 +96,11 @@ def _wide_fingerprints(shingle: int, segments: int, width: int):
     return run
 
 
-def spanning_links(prints: np.ndarray, side: np.ndarray | None, most: int) -> list[tuple[int, int]]:
-    """``prints`` has a row of segments for each.  Links at ``most`` or fewer bits, thinned to a spanning forest; with ``side`` only links between the two sides."""
+def spanning_links(prints: np.ndarray, most: int, role: np.ndarray, block: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links at ``most`` or fewer bits, thinned to a spanning forest.  ``prints`` has a row of segments for each.
+
+    Two of role 1 are not compared here, and with ``block`` neither are two of one block.
+    """
     links: list[tuple[int, int]] = []
     left = np.arange(len(prints))
     while len(left):
@@ -105,8 +108,10 @@ def spanning_links(prints: np.ndarray, side: np.ndarray | None, most: int) -> li
         while queue and len(left):
             x = queue.pop()
             near = np.bitwise_count(prints[left] ^ prints[x]).sum(axis=1, dtype=np.int64) <= most
-            if side is not None:
-                near &= side[left] != side[x]
+            if role[x] == 1:
+                near &= role[left] == 0
+            if block is not None:
+                near &= block[left] != block[x]
             if near.any():
                 found = left[near]
                 links.extend((x, int(y)) for y in found)
@@ -121,14 +126,13 @@ def _verify(most: int):
         rest: tuple[np.ndarray, np.ndarray] | None = None
 
         def links(rows: np.ndarray, prints: np.ndarray, last: bool):
-            new = np.flatnonzero((rows[1:, :5] != rows[:-1, :5]).any(axis=1)) + 1
+            new = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1)) + 1
             cuts = [0, *new.tolist(), len(rows)]
             a, b = [], []
             for lo, hi in zip(cuts[: len(cuts) - 1 - (not last)], cuts[1:], strict=False):
                 if hi - lo > 1:
                     g = rows[lo:hi]
-                    one_sided = g[0, 1] == g[0, 2] and g[0, 3] == g[0, 4]
-                    for x, y in spanning_links(prints[lo:hi], None if one_sided else g[:, 5], most):
+                    for x, y in spanning_links(prints[lo:hi], most, g[:, 4], None if g[0, 2] == g[0, 3] else g[:, 5]):
                         a.append(int(g[x, 6]))
                         b.append(int(g[y, 6]))
             at = len(rows) if last else cuts[-2]
@@ -187,19 +191,20 @@ def near_links(prints: DataFrame, scratch: Scratch, most: int, width: int) -> Da
     open_halves = sizes.select("side", "seg", F.explode(F.array(F.lit(0), F.lit(1))).alias("half")).withColumn("rest", part)
     met = open_halves.repartition("side", "half", "rest").select("side", "half", "seg").mapInArrow(trimmed(_meet(width)), "side int, u long, v long")
     size_of = lambda name, n: sizes.select("side", F.col("seg").alias(name), F.col("n").alias(n))
-    across = met.join(size_of("u", "nu"), ["side", "u"]).join(size_of("v", "nv"), ["side", "v"]).select("side", "u", "v", (F.col("nu") + F.col("nv")).alias("n"))
-    within = sizes.where("n > 1").select("side", F.col("seg").alias("u"), F.col("seg").alias("v"), "n")
-    buckets = scratch.keep(within.unionByName(across).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.sqrt("n") / 10)).cast("long")), "buckets")
-    roles = buckets.select("side", "u", "v", "blocks", F.lit(0).alias("role"), F.col("u").alias("seg")).unionByName(buckets.where("u <> v").select("side", "u", "v", "blocks", F.lit(1).alias("role"), F.col("v").alias("seg")))
+    pairs = met.join(size_of("u", "nu"), ["side", "u"]).join(size_of("v", "nv"), ["side", "v"])
+    # of two values that meet, the one with more fingerprints is the centre: its fingerprints stand in its bucket once,
+    # however many values it meets, and only the others' are brought to it
+    first = F.col("nu") >= F.col("nv")
+    pairs = pairs.select("side", F.when(first, F.col("u")).otherwise(F.col("v")).alias("centre"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("seg"), F.least("nu", "nv").alias("n"))
+    leaves = scratch.keep(pairs, "leaves")
+    own = sizes.select("side", F.col("seg").alias("centre"), "n").join(leaves.groupBy("side", "centre").agg(F.sum("n").alias("more")), ["side", "centre"], "left").where("n > 1 or more is not null")
+    buckets = scratch.keep(own.select("side", "centre", F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("n") + F.coalesce("more", F.lit(0))) / 10)).cast("long").alias("blocks")), "buckets")
+    roles = buckets.select("side", "centre", "blocks", F.lit(0).alias("role"), F.col("centre").alias("seg")).unionByName(leaves.join(buckets, ["side", "centre"]).select("side", "centre", "blocks", F.lit(1).alias("role"), "seg"))
     members = seg.join(roles, ["side", "seg"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    members = members.select("side", "u", "v", "role", "segs", "rep", "block", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
-    same = F.col("u") == F.col("v")
-    i = F.when(same, F.least("block", "other")).when(F.col("role") == 0, F.col("block")).otherwise(F.col("other"))
-    j = F.when(same, F.greatest("block", "other")).when(F.col("role") == 0, F.col("other")).otherwise(F.col("block"))
-    # which of the two things compared a row belongs to: its role across segment values, its block within one
-    part = F.when(same, F.col("block")).otherwise(F.col("role")).cast("long")
-    tasks = members.select(F.col("side").cast("long").alias("side"), "u", "v", i.alias("i"), j.alias("j"), part.alias("part"), "rep", "segs")
-    keys = ["side", "u", "v", "i", "j"]
+    members = members.select("side", "centre", "role", "segs", "rep", "block", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
+    i, j = F.least("block", "other"), F.greatest("block", "other")
+    tasks = members.select(F.col("side").cast("long").alias("side"), "centre", i.alias("i"), j.alias("j"), F.col("role").cast("long").alias("role"), "block", "rep", "segs")
+    keys = ["side", "centre", "i", "j"]
     return tasks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(trimmed(_verify(most)), "a long, b long")
 
 
