@@ -7,7 +7,7 @@ on *distinct segment values*, where a variant can hold two values and no more, s
 fingerprints share a segment.  Values that agree outside one half of the segment are brought together and their variants
 are made and joined there, which moves two rows per value instead of 32.  Fingerprints under equal or meeting segment values are then verified bit by bit.
 
-Large buckets are dealt into about sqrt(size)/10 blocks and every pair of blocks is compared in a task of its own; a task
+Large buckets are dealt into about sqrt(size)/16 blocks and every pair of blocks is compared in a task of its own; a task
 walks its fingerprints breadth-first and emits a spanning forest of the verified links, at most one row per fingerprint
 and task, never all pairs.  No candidate is capped.
 
@@ -198,7 +198,7 @@ def near_links(prints: DataFrame, scratch: Scratch, most: int, width: int) -> Da
     pairs = pairs.select("side", F.when(first, F.col("u")).otherwise(F.col("v")).alias("centre"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("seg"), F.least("nu", "nv").alias("n"))
     leaves = scratch.keep(pairs, "leaves")
     own = sizes.select("side", F.col("seg").alias("centre"), "n").join(leaves.groupBy("side", "centre").agg(F.sum("n").alias("more")), ["side", "centre"], "left").where("n > 1 or more is not null")
-    buckets = scratch.keep(own.select("side", "centre", F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("n") + F.coalesce("more", F.lit(0))) / 10)).cast("long").alias("blocks")), "buckets")
+    buckets = scratch.keep(own.select("side", "centre", F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("n") + F.coalesce("more", F.lit(0))) / 16)).cast("long").alias("blocks")), "buckets")
     roles = buckets.select("side", "centre", "blocks", F.lit(0).alias("role"), F.col("centre").alias("seg")).unionByName(leaves.join(buckets, ["side", "centre"]).select("side", "centre", "blocks", F.lit(1).alias("role"), "seg"))
     members = seg.join(roles, ["side", "seg"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     members = members.select("side", "centre", "role", "segs", "rep", "block", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
