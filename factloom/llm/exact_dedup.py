@@ -18,11 +18,12 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DataType, StructField, StructType
 
 from factloom.llm.batches import slices_of, trimmed
 from factloom.llm.store import Scratch
@@ -30,11 +31,14 @@ from factloom.llm.store import Scratch
 COUNTERS = 1024
 
 
+def _digests(texts: list[bytes | None]) -> list[bytes]:
+    # bytes.lower() touches A-Z only
+    return [hashlib.sha256((t or b"").lower()).digest() for t in texts]
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in (x for batch in batches for x in slices_of(batch, 2)):
-        texts = b.column(2).cast(pa.binary()).to_pylist()
-        # bytes.lower() touches A-Z only
-        digests = [hashlib.sha256((t or b"").lower()).digest() for t in texts]
+        digests = _digests(b.column(2).cast(pa.binary()).to_pylist())
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.binary())], ["row", "id", "digest"])
 
 
@@ -73,17 +77,39 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     return heavy.unionByName(light).select("id", F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "digest")
 
 
+def with_column(run_of: Callable[[list[bytes | None]], pa.Array], docs: DataFrame, text_col: str, name: str, kind: DataType) -> DataFrame:
+    """``docs`` with one more column, made by ``run_of`` from the texts (bytes or None) of a slice."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x for batch in batches for x in slices_of(batch, at)):
+            more = run_of(b.column(at).cast(pa.binary()).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, more], [*b.schema.names, name])
+
+    return docs.mapInArrow(trimmed(run), StructType([*docs.schema.fields, StructField(name, kind)]))
+
+
+def keep_rows(docs: DataFrame, found: DataFrame, id_col: str, mark: str) -> DataFrame:
+    """Rows of ``docs`` without the (id, mark) that ``found(id, mark, kept, n)`` drops, one row for each (id, mark).
+
+    The mark stands for the text, so rows are told apart that share an id (or have none) and differ in their texts.
+    ``found`` has at most one row for each (id, mark); rows without one stay.
+    """
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col(mark) == F.col("__mark"))
+    gone = found.where("not kept").select(F.col("id").alias("__id"), F.col("mark").alias("__mark"))
+    thin = found.where("kept and n > 1").select(F.col("id").alias("__id"), F.col("mark").alias("__mark"))
+    left = docs.join(gone, same, "left_anti")
+    repeated = left.join(thin, same, "left_semi").dropDuplicates([id_col, mark])
+    return left.join(thin, same, "left_anti").unionByName(repeated).drop(mark)
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of equal texts, the one with the largest id.
 
+    The decision is looked up by id and digest, so rows that share an id (or have none) stay or go by their own text.
     Rows that repeat both id and text count as one document, of which one row stays.
     """
     found = exact_dedup(spark, docs, id_col, text_col)
-    # ids of dropped documents; an id whose kept row stands beside repeats of itself stays here and is thinned below
-    gone = found.groupBy("id").agg(F.max(F.col("kept").cast("int")).alias("any_kept"), F.count("*").alias("n"))
-    thin = gone.where("n > 1 and any_kept = 1").select(F.col("id").alias("__thin"))
-    drop = gone.where("any_kept = 0").select(F.col("id").alias("__gone"))
-    left = docs.join(drop, F.col(id_col).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__thin"))
-    repeated = left.join(thin, same, "left_semi").dropDuplicates([id_col])
-    return left.join(thin, same, "left_anti").unionByName(repeated).select(*docs.columns)
+    found = found.groupBy("id", F.col("digest").alias("mark")).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    marked = with_column(lambda texts: pa.array(_digests(texts), pa.binary()), docs, text_col, "__digest", BinaryType())
+    return keep_rows(marked, found, id_col, "__digest").select(*docs.columns)

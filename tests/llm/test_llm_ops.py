@@ -252,6 +252,13 @@ def test_exact_drop_and_odd_rows(spark, frame):
     assert exact_dedup.drop_exact_copies(spark, frame([(4, "a"), (4, "a")])).count() == 1
 
 
+def test_exact_drop_goes_by_the_text_of_a_row(spark, frame):
+    rows = [(None, f"clean {k}") for k in range(5)] + [(7, "one"), (7, "two"), (7, "copy"), (8, "COPY"), (None, "one"), (9, "z"), (9, "Z"), (None, None), (None, "")]
+    got = exact_dedup.drop_exact_copies(spark, wide(frame, rows)).select("doc_id", "text").collect()
+    left = Counter((r.doc_id, (r.text or "").lower()) for r in got)
+    assert left == Counter([*[(None, f"clean {k}") for k in range(5)], (7, "one"), (7, "two"), (8, "copy"), (9, "z"), (None, "")])
+
+
 def test_misra_gries_keeps_what_is_frequent():
     rng = random.Random(1)
     counts = Counter()
