@@ -11,10 +11,10 @@ Large buckets are dealt into about sqrt(size)/16 blocks and every pair of blocks
 walks its fingerprints breadth-first and emits a spanning forest of the verified links, at most one row per fingerprint
 and task, never all pairs.  No candidate is capped.
 
-``similar_groups`` is the same index at work for copies at a Jaccard similarity of 0.8 over 5-word shingles.  There some 15 %
-of the bits may differ, too many for 64 of them: fingerprints have 30 segments of 30 bits, and two texts at 0.8 with
-scattered edits have a segment with at most one differing bit with probability 0.98; strangers meet in one by chance once in
-half a billion pairs, so that candidates do not outgrow the input.  Bit counts only preselect; every
+``similar_groups`` is the same index at work for copies at a Jaccard similarity of 0.8 over distinct 5-word shingles, with a
+fingerprint for that measure: 30 segments of 30 one-bit min-hashes of the shingle set.  At 0.8 a bit differs with
+probability 0.1, however the differences are spread, and two texts have a segment with at most one differing bit with
+probability 0.997; strangers meet in one by chance once in a million pairs.  Bit counts only preselect; every
 link that counts is verified by exact Jaccard, inside the groups that the preselected links form.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; texts of fewer words than a shingle
@@ -30,14 +30,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from factloom.llm.batches import slices_of, trimmed
 from factloom.llm.components import connected_components
+from factloom.llm.exact_dedup import keep_rows, with_column
 from factloom.llm.jaccard import verify_sets
 from factloom.llm.store import Scratch
 
 SHINGLE = 3
 DISTANCE = 3
+SEGMENTS = 30
+WIDTH = 30
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -57,25 +61,40 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def wide_fingerprint(text: bytes | None, shingle: int = SHINGLE, segments: int = 30, width: int = 30) -> np.ndarray:
-    """SimHash of ``segments`` x ``width`` bits, one integer a segment, from 64-bit hashes mixed anew for further bits."""
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of A-Z-lower-cased words; a shorter text is one shingle."""
     words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(segments, np.int32)
-    n = max(1, len(words) - shingle + 1)
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    grams = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [words]
-    h = np.fromiter((digest(join(g), 42) for g in grams), np.uint64, n)
+    grams = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) > shingle else [words]
+    return np.unique(np.array([digest(join(g), 7) for g in grams], np.uint64))
+
+
+def set_key(grams: np.ndarray) -> int:
+    """What stands for a shingle set: a 64-bit hash of its fingerprint."""
+    return xxhash.xxh3_64_intdigest(set_fingerprint(grams).tobytes(), 11)
+
+
+def _fixed(n: int, seed: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 32, n, np.uint32)
+
+
+def set_fingerprint(grams: np.ndarray, segments: int = SEGMENTS, width: int = WIDTH) -> np.ndarray:
+    """``segments`` x ``width`` one-bit min-hashes of a shingle set, one integer a segment.
+
+    Each bit hangs on the least member under an order of its own, so two sets differ in a bit with probability
+    (1 - Jaccard) / 2, wherever in the texts their differences lie.
+    """
     bits = segments * width
-    ones = np.zeros(-(-bits // 64) * 64, np.int64)
-    for k in range(len(ones) // 64):
-        x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)) * np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(32)
-        for i in range(0, n, 4096):
-            ones[64 * k : 64 * k + 64] += np.unpackbits(x[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return (2 * ones[:bits] > n).reshape(segments, width) @ (1 << np.arange(width)).astype(np.int64)
+    flip, times, salt = _fixed(bits, 1), _fixed(bits, 2) | np.uint32(1), _fixed(bits, 3)
+    h = (grams >> np.uint64(32)).astype(np.uint32)
+    least = np.full(bits, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(h), 64):
+        np.minimum(least, ((h[i : i + 64, None] ^ flip) * times).min(axis=0), out=least)
+    x = least ^ salt  # the finaliser of murmur3: equal least members give equal bits, others independent ones
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    x ^= x >> np.uint32(16)
+    return (x & np.uint32(1)).reshape(segments, width).astype(np.int64) @ (1 << np.arange(width)).astype(np.int64)
 
 
 def _fingerprints(shingle: int):
@@ -87,15 +106,20 @@ def _fingerprints(shingle: int):
     return run
 
 
-def _wide_fingerprints(shingle: int, segments: int, width: int):
+def _set_fingerprints(shingle: int, segments: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for batch in batches for x in slices_of(batch, 1)):
-            prints = [wide_fingerprint(t, shingle, segments, width).astype(np.int32) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.list_(pa.int32()))], ["id", "segs"])
+            sets = [shingle_set(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            prints = [set_fingerprint(g, segments, width).astype(np.int32) for g in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), _keys(sets), pa.array(prints, pa.list_(pa.int32()))], ["id", "key", "segs"])
 
     return run
 
 
+def _keys(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.array([set_key(g) for g in sets], np.uint64).view(np.int64))
+
+
 def spanning_links(prints: np.ndarray, most: int, role: np.ndarray, block: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links at ``most`` or fewer bits, thinned to a spanning forest.  ``prints`` has a row of segments for each.
 
@@ -225,42 +249,59 @@ def simhash_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
 def _shingle_sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for batch in batches for x in slices_of(batch, 1)):
-            sets = []
-            for t in b.column(1).cast(pa.binary()).to_pylist():
-                words = (t or b"").lower().split()
-                grams = [words[i : i + shingle] for i in range(max(1, len(words) - shingle + 1))]
-                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(g), 7) for g in grams], np.uint64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+            sets = [shingle_set(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([_keys(sets), pa.array([g.view(np.int64) for g in sets], pa.list_(pa.int64()))], ["key", "shingles"])
 
     return run
 
 
-def similar_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similar: float = 0.8, segments: int = 30, width: int = 30, most: int = 200) -> DataFrame:
-    """Groups linked at a Jaccard similarity of ``similar``: id and component_id, for documents in groups of two or more.
-
-    Documents whose fingerprints agree in every bit stand for each other.  Texts of fewer words than a shingle use the
-    whole sequence; null ids are left out.
-    """
+def _similar_rows(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, shingle: int, similar: float, segments: int, width: int, most: int) -> DataFrame:
+    """One row per id and shingle set: id, key (of the set), n (rows), root (one of the group's keys)."""
     scratch = Scratch(spark, "similar")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    rows = scratch.keep(rows.mapInArrow(trimmed(_wide_fingerprints(SHINGLE, segments, width)), "id long, segs array<int>"), "prints")
-    prints = scratch.keep(rows.groupBy("segs").agg(F.min("id").alias("rep")), "distinct")
-    loose = connected_components(spark, near_links(prints.select("rep", "segs"), scratch, most, width), scratch)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    found = scratch.keep(rows.mapInArrow(trimmed(_set_fingerprints(shingle, segments, width)), "id long, key long, segs array<int>"), "prints")
+    prints = scratch.keep(found.groupBy("key").agg(F.first("segs").alias("segs"), F.min("id").alias("id")), "distinct")
+    loose = connected_components(spark, near_links(prints.select(F.col("key").alias("rep"), "segs"), scratch, most, width), scratch)
     loose = scratch.keep(loose, "loose")
     # inside a loose group every pair of blocks is compared by exact Jaccard
     sizes = loose.groupBy("root").agg(F.count("*").alias("n")).select("root", F.ceil(F.sqrt("n") / 4).cast("long").alias("blocks"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(loose.select(F.col("node").alias("id")), "id", "left_semi")
-    sets = scratch.keep(texts.mapInArrow(trimmed(_shingle_sets(shingle)), "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
-    dealt = loose.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).select(F.col("root").alias("band"), F.col("node").alias("id"), "block", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
-    tasks = dealt.join(sets, "id").select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("part"), "id", "shingles")
+    keys = loose.select(F.col("node").alias("key"))
+    ids = prints.join(keys, "key", "left_semi").select(F.col("id").alias("__id")).distinct()
+    texts = rows.join(ids, F.col("id").eqNullSafe(F.col("__id")), "left_semi")
+    sets = texts.mapInArrow(trimmed(_shingle_sets(shingle)), "key long, shingles array<long>").join(keys, "key", "left_semi")
+    sets = scratch.keep(sets.dropDuplicates(["key"]), "shingles")
+    dealt = loose.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).select(F.col("root").alias("band"), F.col("node").alias("key"), "block", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
+    tasks = dealt.join(sets, "key").select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("part"), "key", "shingles")
     links = tasks.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(verify_sets(similar), "a long, b long")
     roots = connected_components(spark, links, scratch)
-    named = prints.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("segs", F.coalesce("root", "rep").alias("component_id"))
-    out = rows.join(named, "segs").select("id", "component_id")
+    pairs = found.groupBy("id", "key").agg(F.count("*").alias("n")).join(roots.withColumnRenamed("node", "key"), "key", "left")
+    return scratch.keep(pairs.select("id", "key", "n", F.coalesce("root", "key").alias("root")), "pairs")
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """Of each group with two ids, sets or rows: root and best, the smallest id (nulls last) with its key."""
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    return pairs.groupBy("root").agg(F.min(order).alias("best"), F.sum("n").alias("n")).where("n > 1").select("root", "best")
+
+
+def similar_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similar: float = 0.8, segments: int = SEGMENTS, width: int = WIDTH, most: int = 200) -> DataFrame:
+    """Groups linked at a Jaccard similarity of ``similar``: id and component_id, for documents in groups of two or more.
+
+    Documents whose fingerprints agree in every bit stand for each other.  Texts of fewer words than a shingle use the whole sequence;
+    null ids link others and are not listed.
+    """
+    pairs = _similar_rows(spark, docs, id_col, text_col, shingle, similar, segments, width, most)
+    out = pairs.join(_best(pairs), "root").select("id", F.col("best.id").alias("component_id"))
     return out.where("id <> component_id").unionByName(out.where("id <> component_id").select(F.col("component_id").alias("id"), "component_id").distinct())
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similar: float = 0.8) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id, with all its columns."""
-    gone = similar_groups(spark, docs, id_col, text_col, shingle, similar).where("id <> component_id").select(F.col("id").alias("__gone"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti").select(*docs.columns)
+    """One document of each group of near copies, the one with the smallest id (nulls last), with all its columns.
+
+    Rows are told apart by id and shingle set, so rows that share an id, or have none, stay or go by their own text.
+    """
+    pairs = _similar_rows(spark, docs, id_col, text_col, shingle, similar, SEGMENTS, WIDTH, 200)
+    kept = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key"))
+    found = pairs.join(_best(pairs), "root").select("id", F.col("key").alias("mark"), kept.alias("kept"), "n")
+    marked = with_column(lambda texts: _keys([shingle_set(t, shingle) for t in texts]), docs, text_col, "__key", LongType())
+    return keep_rows(marked, found, id_col, "__key").select(*docs.columns)

@@ -487,3 +487,21 @@ def test_similar_groups_hold_the_true_pairs(spark, frame):
     assert not {i for i in got if i >= 1000} - {2000, 2001}
     kept = simhash.drop_near_copies(spark, wide(frame, rows))
     assert kept.columns == wide(frame, rows).columns and kept.where("doc_id between 1000 and 1999 or doc_id > 2001").count() == 51
+
+
+def test_similar_groups_find_contiguous_edits(spark, frame):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(5))
+    rows, pairs = [], []
+    while len(pairs) < 240:
+        n = rng.randint(200, 600)
+        w = [word() for _ in range(n)]
+        k, p = int(n * rng.uniform(0.08, 0.105)), rng.randrange(n // 2)
+        v = [w[: int(n * rng.uniform(0.8, 0.85))], w + [word() for _ in range(int(n * rng.uniform(0.18, 0.25)))], w[:p] + [word() for _ in range(k)] + w[p + k :]][len(pairs) % 3]
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (w, v))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            i = 2 * len(pairs)
+            pairs.append(i)
+            rows += [(i, " ".join(w)), (i + 1, " ".join(v))]
+    got = {r.id: r.component_id for r in simhash.similar_groups(spark, frame(rows)).collect()}
+    assert sum(got.get(i + 1) == i for i in pairs) >= 0.98 * len(pairs) and set(got) <= {*pairs, *(i + 1 for i in pairs)}
