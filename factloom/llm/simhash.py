@@ -70,8 +70,8 @@ def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
 
 
 def set_key(grams: np.ndarray) -> int:
-    """What stands for a shingle set: a 64-bit hash of its fingerprint."""
-    return xxhash.xxh3_64_intdigest(set_fingerprint(grams).tobytes(), 11)
+    """What stands for a shingle set: a 64-bit hash of its sorted members."""
+    return xxhash.xxh3_64_intdigest(grams.tobytes(), 11)
 
 
 def _fixed(n: int, seed: int) -> np.ndarray:
@@ -287,7 +287,7 @@ def _best(pairs: DataFrame) -> DataFrame:
 def similar_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similar: float = 0.8, segments: int = SEGMENTS, width: int = WIDTH, most: int = 200) -> DataFrame:
     """Groups linked at a Jaccard similarity of ``similar``: id and component_id, for documents in groups of two or more.
 
-    Documents whose fingerprints agree in every bit stand for each other.  Texts of fewer words than a shingle use the whole sequence;
+    Documents with equal shingle sets stand for each other.  Texts of fewer words than a shingle use the whole sequence;
     null ids link others and are not listed.
     """
     pairs = _similar_rows(spark, docs, id_col, text_col, shingle, similar, segments, width, most)

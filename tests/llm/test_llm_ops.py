@@ -505,3 +505,19 @@ def test_similar_groups_find_contiguous_edits(spark, frame):
             rows += [(i, " ".join(w)), (i + 1, " ".join(v))]
     got = {r.id: r.component_id for r in simhash.similar_groups(spark, frame(rows)).collect()}
     assert sum(got.get(i + 1) == i for i in pairs) >= 0.98 * len(pairs) and set(got) <= {*pairs, *(i + 1 for i in pairs)}
+
+
+def test_only_equal_shingle_sets_stand_for_each_other(spark, frame):
+    rng = random.Random(15)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijkl") for _ in range(5)) for _ in range(n))
+    foo = "foo " * 1000
+    block, body = text(20), text(300)
+    rows = [(1, foo + text(300)), (2, foo + text(300)), (3, f"{body} {block}"), (4, f"{body} " + f"{block} " * 30), (5, "x y  z"), (6, "X\ny z")]
+    # one id with different texts, and no id at all
+    far = text(100)
+    rows += [(7, f"{body} {block} more"), (7, text(100)), (None, far), (None, text(100)), (None, f"{far} end")]
+    got = simhash.drop_near_copies(spark, frame(rows)).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == [1, 2, 3, 5, 7]
+    assert [r.text for r in got if r.doc_id == 7] == [rows[7][1]]
+    assert len([r for r in got if r.doc_id is None]) == 2
+    assert {r.id: r.component_id for r in simhash.similar_groups(spark, frame(rows[:6])).collect()} == {3: 3, 4: 3, 5: 5, 6: 5}
