@@ -4,21 +4,26 @@ Texts become lower-cased words.  A seed is a fixed mask of 1s and 0s; the hash o
 and ignores those under the 0s, so a substituted word leaves the hash of some mask intact.  The masks' hashes of the
 benchmark are joined with those of every document; each hit fixes a diagonal (document place minus item place), along
 which item and document are compared word by word: +1 for an equal word, -4 for another, and the best-scoring stretch
-is the overlap.  A stretch counts when it has at least ``MIN_WORDS`` words (or the whole item, if that is shorter); by the
-scores four of five words agree in it at least.  Items shorter than the masks are hashed whole.
+is the overlap.  A stretch counts when it has at least ``MIN_WORDS`` words (or the whole item, if that is shorter).
+
+Whole copies of items are sought besides with a milder measure: an item that lies in a document along a diagonal with at
+least ``WHOLE`` of its words equal is an overlap, wherever the other words are.  With so few others some run of words is
+intact (four words, three or two for the shortest items; items under five words have to be equal), so the hashes of such
+runs find every one of these copies.  Of both measures the one with more equal words is reported.
 
 The benchmark is the stated query set and is joined map-side: its index goes to the executors in blocks of at most
 ``BLOCK_WORDS`` words, one pass over the documents per block, so nothing that is broadcast grows without bound and the
 documents are never shuffled.
 
-Defined results: null and empty texts hit nothing; repeated rows are judged alike; items without a word are skipped;
+Defined results: null and empty texts hit nothing; repeated rows are judged alike; items without a word are skipped, items
+without an id are not;
 an empty benchmark leaves all documents clean; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +35,14 @@ from factloom.llm.batches import slices_of, trimmed
 MASKS = ("1101100111", "1110110101", "1011011011", "1111001101")
 MIN_WORDS = 13
 WRONG = -4
+#: Share of equal words in a whole copy of an item, as a fraction.
+WHOLE = (4, 5)
+LONGEST_RUN = 4
 BLOCK_WORDS = 400_000
 WORDS = re.compile(r"\w+")
-#: Words of documents hashed at once.
+#: Words of documents hashed at once, and hits looked at together.
 AT_ONCE = 400_000
+HITS = 200_000
 FILTER_BITS = 22
 
 
@@ -41,6 +50,12 @@ def words_of(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
+def intact_run(n: int) -> int:
+    """Length of a run of equal words that every whole copy of an item of ``n`` words has, ``LONGEST_RUN`` at most."""
+    wrong = n - -(-n * WHOLE[0] // WHOLE[1])
+    return min(LONGEST_RUN if wrong else n, -(-(n - wrong) // (wrong + 1)))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
@@ -59,34 +74,53 @@ def seed_hashes(ids: np.ndarray, mask: str) -> np.ndarray:
     return _mix(h)
 
 
+class Seeds:
+    """The hashes under one mask of the items that have a fitting number of words."""
+
+    def __init__(self, items: list[np.ndarray], mask: str, fits: Callable[[int], bool]):
+        self.mask = mask
+        got = [(seed_hashes(x, mask), k) for k, x in enumerate(items) if fits(len(x))]
+        keys = np.concatenate([h for h, _ in got]) if got else np.zeros(0, np.uint64)
+        which = np.repeat(np.array([k for _, k in got], np.int64), [len(h) for h, _ in got])
+        place = np.concatenate([np.arange(len(h)) for h, _ in got]) if got else np.zeros(0, np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.which, self.place = keys[order], which[order], place[order]
+        self.filter = np.zeros(1 << FILTER_BITS, bool)
+        self.filter[self.keys >> np.uint64(64 - FILTER_BITS)] = True
+
+    def hits(self, ids: np.ndarray) -> Iterator[np.ndarray]:
+        """Rows of item, diagonal and place, for about ``HITS`` hits at a time."""
+        h = seed_hashes(ids, self.mask)
+        at = np.flatnonzero(self.filter[h >> np.uint64(64 - FILTER_BITS)])
+        lo, hi = np.searchsorted(self.keys, h[at], "left"), np.searchsorted(self.keys, h[at], "right")
+        n = hi - lo
+        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+        total = np.cumsum(n)
+        cuts = [*np.unique(np.searchsorted(total, np.arange(0, n.sum(), HITS), "left")).tolist(), len(n)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            m = n[a:b]
+            hit = np.repeat(lo[a:b], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            yield np.column_stack([self.which[hit], np.repeat(at[a:b], m) - self.place[hit], np.repeat(at[a:b], m)])
+
+
 class Index:
-    """Spaced-seed index of a block of items."""
+    """Spaced-seed and run index of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], min_words: int = MIN_WORDS):
+    def __init__(self, items: list[tuple[int | None, str]], min_words: int = MIN_WORDS):
         self.min_words = min_words
         self.vocab: dict[str, int] = {}
-        self.names: list[int] = []
+        self.names: list[int | None] = []
         self.items: list[np.ndarray] = []
         for name, text in items:
             words = words_of(text)
             if words:
                 self.names.append(name)
                 self.items.append(np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], np.int64))
-        short = sorted({len(x) for x in self.items if len(x) < len(MASKS[0])})
-        self.masks = [*MASKS, *("1" * n for n in short)]
-        keys, which, place = [], [], []
-        for m in self.masks:
-            for k, x in enumerate(self.items):
-                if (len(x) >= len(MASKS[0])) if m in MASKS else (len(x) == len(m)):
-                    h = seed_hashes(x, m)
-                    keys.append(h)
-                    which.append(np.full(len(h), k))
-                    place.append(np.arange(len(h)))
-        self.keys, self.which, self.place = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (which, np.int64), (place, np.int64)))
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.which, self.place = self.keys[order], self.which[order], self.place[order]
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[self.keys >> np.uint64(64 - FILTER_BITS)] = True
+        self.size = np.array([len(x) for x in self.items], np.int64)
+        self.flat = np.concatenate(self.items) if self.items else np.zeros(0, np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.seeds = [Seeds(self.items, m, lambda n: n >= len(MASKS[0])) for m in MASKS]
+        self.runs = [Seeds(self.items, "1" * r, lambda n, r=r: intact_run(n) == r) for r in sorted({intact_run(len(x)) for x in self.items})]
 
     def overlaps(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int, int]]:
         """(text number, item, first word in the text, first word in the item, words, equal words) of the best overlap of each text and item."""
@@ -109,42 +143,53 @@ class Index:
         return out
 
     def _scan(self, ids: np.ndarray, starts: np.ndarray, numbers: list[int]) -> list[tuple[int, int, int, int, int, int]]:
-        pairs = []
-        for m in self.masks:
-            h = seed_hashes(ids, m)
-            at = np.flatnonzero(self.filter[h >> np.uint64(64 - FILTER_BITS)])
-            lo, hi = np.searchsorted(self.keys, h[at], "left"), np.searchsorted(self.keys, h[at], "right")
-            n = hi - lo
-            at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-            hit = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            pairs.append(np.column_stack([self.which[hit], np.repeat(at, n) - self.place[hit], np.repeat(at, n)]))
-        found = np.concatenate(pairs)
-        if not len(found):
-            return []
-        doc = np.searchsorted(starts, found[:, 2], "right") - 1
-        tasks = np.unique(np.column_stack([doc, found[:, 0], found[:, 1]]), axis=0)
         best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        for d, k, shift in tasks.tolist():
-            item = self.items[k]
-            lo, hi = max(shift, int(starts[d])), min(shift + len(item), int(starts[d + 1]))
-            if hi - lo < min(self.min_words, len(item)):
+
+        def better(d: int, k: int, place: int, item_place: int, n: int, same: int) -> None:
+            if same > best.get((d, k), (0, 0, 0, 0))[3]:
+                best[d, k] = (place - int(starts[d]), item_place, n, same)
+
+        for tasks in self._tasks(self.seeds, ids, starts):
+            for d, k, shift in tasks.tolist():
+                item = self.items[k]
+                lo, hi = max(shift, int(starts[d])), min(shift + len(item), int(starts[d + 1]))
+                if hi - lo < min(self.min_words, len(item)):
+                    continue
+                equal = ids[lo:hi] == item[lo - shift : hi - shift]
+                sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, WRONG))])
+                low = np.minimum.accumulate(sums)
+                end = int(np.argmax(sums - low))
+                first = int(np.argmax(sums[: end + 1] == low[end]))
+                n = end - first
+                if n >= min(self.min_words, len(item)):
+                    better(d, k, lo + first, lo + first - shift, n, int(equal[first:end].sum()))
+        for tasks in self._tasks(self.runs, ids, starts):
+            d, k, shift = tasks.T
+            inside = (shift >= starts[d]) & (shift + self.size[k] <= starts[d + 1])
+            d, k, shift = d[inside], k[inside], shift[inside]
+            if not len(k):
                 continue
-            equal = ids[lo:hi] == item[lo - shift : hi - shift]
-            sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, WRONG))])
-            low = np.minimum.accumulate(sums)
-            end = int(np.argmax(sums - low))
-            first = int(np.argmax(sums[: end + 1] == low[end]))
-            n = end - first
-            if n >= min(self.min_words, len(item)):
-                same = int(equal[first:end].sum())
-                if same > best.get((d, k), (0, 0, 0, 0))[3]:
-                    best[d, k] = (lo + first - int(starts[d]), lo + first - shift, n, same)
+            n = self.size[k]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            equal = ids[np.repeat(shift, n) + at] == self.flat[np.repeat(self.first[k], n) + at]
+            same = np.add.reduceat(equal.astype(np.int64), np.cumsum(n) - n)
+            whole = same * WHOLE[1] >= n * WHOLE[0]
+            for x in np.flatnonzero(whole).tolist():
+                better(int(d[x]), int(k[x]), int(shift[x]), 0, int(n[x]), int(same[x]))
         return [(numbers[d], self.names[k], *v) for (d, k), v in best.items()]
 
+    @staticmethod
+    def _tasks(seeds: list[Seeds], ids: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+        """Distinct (document, item, diagonal) of the hits of some seeds, for about ``HITS`` hits at a time."""
+        for s in seeds:
+            for found in s.hits(ids):
+                doc = np.searchsorted(starts, found[:, 2], "right") - 1
+                yield np.unique(np.column_stack([doc, found[:, 0], found[:, 1]]), axis=0)
+
 
-def blocks(spark: SparkSession, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str]]]:
+def blocks(spark: SparkSession, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int | None, str]]]:
     """The items in blocks of about ``block_words`` words."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     sized = items.withColumn("n", F.regexp_count("text", F.lit(r"(?U)\w+")))
     total = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     count = max(1, -(-int(total) // max(1, block_words // 2)))

@@ -373,6 +373,31 @@ def test_decontamination_tolerates_substitutions(spark, frame):
     assert decontaminate.drop_contaminated(spark, frame(rows), bench.limit(0)).count() == len(rows)
 
 
+def test_whole_copies_with_four_of_five_words_are_found(spark, frame):
+    rng = random.Random(16)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    items, rows, want = [], [], set()
+    for k, n in enumerate([*range(1, 41), 59]):
+        item = words(n)
+        items.append((k, " ".join(item)))
+        for t in range(12):
+            copy, wrong = list(item), n // 5
+            # as many substitutions as may be, evenly or anywhere; then one too many
+            for at in range(4, n, 5) if t == 0 else rng.sample(range(n), wrong + (t == 11)):
+                copy[at] = "other"
+            rows.append((100 * k + t, " ".join([*words(7), *copy, *words(9)])))
+            if t < 11:
+                want.add((100 * k + t, k))
+    bench = spark.createDataFrame([*items, (None, " ".join(words(20)))], "item_id long, text string")
+    lost = bench.where("item_id is null").first()["text"]
+    got = decontaminate.overlaps(spark, frame([*rows, (9000, lost)]), bench).collect()
+    assert want <= {(r.id, r["item"]) for r in got} and (9000, None) in {(r.id, r["item"]) for r in got}
+    assert not {r.id for r in got} & {100 * k + 11 for k in range(13)}
+    assert {r.id for r in got if r.n_equal * 5 < r.n_words * 4} == set()
+    index = decontaminate.Index([(0, " ".join(words(3)))])
+    assert index.overlaps([None, "", "a b"]) == [] and decontaminate.Index([]).overlaps(["a"]) == []
+
+
 # --- 9 -----------------------------------------------------------------------------------------------------------------
 
 
