@@ -8,12 +8,13 @@ backtracks, which keeps runs of any length linear; each is equivalent to its pla
 * email: a match can only begin where a run of local-part characters begins, or where the previous match ended;
 * card: only whole runs of digits with single separators count, and only those with 14 to 19 digits can pass.
 
-Terms.  Every protected value (an address or number) is an entity.  Its contexts are the words within ``REACH``
-characters of its spans; equal contexts of one entity count once, so copies of a document prove nothing.  For a term t
-and an entity e the corpus gives PMI(t; e) = log2(P(t | e) / P(t)), where P(t) is taken over all documents, and the
+Terms.  Every protected value (an address or number) is an entity.  Its contexts are the documents it stands in, without
+their base spans; equal contexts of one entity count once, so copies of a document prove nothing.  For a term t
+and an entity e the corpus gives PMI(t; e) = log2(P(t | e) / P(t)), both over whole documents, and the
 information content IC(e) = -log2 P(e).  The share PMI / IC is how much of the entity the term gives away.  Terms seen in
-at least ``SUPPORT`` different contexts of an entity and with a share of at least ``SHARE`` exceed the disclosure threshold: in the
-contexts of that entity they become spans of kind ``term``, to be generalised or removed with the base spans.
+at least ``SUPPORT`` different contexts of an entity and with a share of at least ``SHARE`` exceed the disclosure threshold:
+wherever they stand in the documents of that entity they become spans of kind ``term``, to be generalised or removed with the
+base spans.
 
 Defined results: null texts count as empty; empty texts have no spans and the digest of the empty string; repeated rows
 get equal results; an empty table gives an empty table; further columns are ignored.
@@ -21,13 +22,12 @@ get equal results; an empty table gives an empty table; further columns are igno
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.store import Scratch
 
 KINDS = ("email", "ip", "card", "phone", "term")
-REACH = 80
 SUPPORT = 2
 SHARE = 0.6
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -102,18 +102,13 @@ def spans_of(text: Column, kind: str) -> Column:
     return F.when(likely, spans).otherwise(F.array().cast(SPAN))
 
 
-def context_words(text: Column, span: Column) -> Column:
-    """Words near a span: (term, start, stop).  Words cut by the window's edge are left out."""
-
-    def words(chunk: Column, offset: Column, cut_left: Column, cut_right: Column) -> Column:
-        found = F.transform(placed(chunk, WORD), lambda w: F.struct(F.lower(w["found"]).alias("term"), (w["start"] + offset).alias("start"), (w["stop"] + offset).alias("stop"), (w["start"] == 0).alias("first"), (w["stop"] == F.length(chunk)).alias("last")))
-        kept = F.filter(found, lambda w: ~(w["first"] & cut_left) & ~(w["last"] & cut_right))
-        return F.transform(kept, lambda w: F.struct(w["term"].alias("term"), w["start"].alias("start"), w["stop"].alias("stop")))
-
-    lo = F.greatest(span["start"] - REACH, F.lit(0))
-    left = F.substring(text, lo + 1, span["start"] - lo)
-    right = F.substring(text, span["stop"] + 1, F.lit(REACH))
-    return F.concat(words(left, lo, lo > 0, F.lit(False)), words(right, span["stop"], F.lit(False), F.length(right) == REACH))
+def context_words(text: Column, base: Column) -> Column:
+    """Distinct lower-cased words outside the spans, in order of their first place."""
+    stops = F.transform(base, lambda s: s["stop"])
+    lo = lambda i: F.coalesce(F.array_max(F.slice(stops, 1, i)), F.lit(0))
+    gaps = F.transform(base, lambda s, i: F.substring(text, lo(i) + 1, F.greatest(s["start"] - lo(i), F.lit(0))))
+    rest = F.concat_ws("\n", F.array_join(gaps, "\n"), F.substring(text, F.coalesce(F.array_max(stops), F.lit(0)) + 1, F.length(text)))
+    return F.array_distinct(F.transform(F.regexp_extract_all(rest, F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))
 
 
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,13 +117,16 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.withColumn("base", F.array_sort(F.concat(*(spans_of(F.col("text"), k) for k in KINDS[:4]))))
 
 
-def disclosing_terms(docs: DataFrame, near: DataFrame, text_col: str = "text", support: int = SUPPORT, share: float = SHARE) -> DataFrame:
-    """Pairs (value, term) above the threshold, from contexts ``near(value, context, term)`` and all documents."""
+def disclosing_terms(docs: DataFrame, entity: DataFrame, words: DataFrame, text_col: str = "text", support: int = SUPPORT, share: float = SHARE) -> DataFrame:
+    """Pairs (value, term) above the threshold, from contexts ``entity(row, value, context)``, ``words(row, words)`` and all documents."""
     n = F.lit(docs.count()).cast("double")
-    of_term = near.select("value", "context", "term").distinct().groupBy("value", "term").agg(F.count("*").alias("together")).where(F.col("together") >= support)
-    of_value = near.select("value", "context").distinct().groupBy("value").agg(F.count("*").alias("contexts"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit(WORD), F.lit(0)))
-    spread = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("documents"))
+    # one row for each context; a value with fewer than ``support`` of them has no term
+    once = entity.groupBy("value", "context").agg(F.min("row").alias("row"))
+    of_value = once.groupBy("value").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support)
+    near = once.join(of_value.select("value"), "value").join(words, "row").select("value", F.explode("words").alias("term"))
+    of_term = near.groupBy("value", "term").agg(F.count("*").alias("together")).where(F.col("together") >= support)
+    all_words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit(WORD), F.lit(0)))
+    spread = docs.select(F.explode(all_words).alias("term")).groupBy("term").agg(F.count("*").alias("documents"))
     pairs = of_term.join(of_value, "value").join(spread, "term")
     pmi = F.log2(F.col("together") / F.col("contexts") * n / F.col("documents"))
     ic = F.log2(F.greatest(n, F.lit(2.0)) / F.least(F.col("contexts"), n / 2))
@@ -139,13 +137,19 @@ def find(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     """One row per input row: row, id, base and all (arrays of spans in order of start and kind)."""
     scratch = Scratch(spark, "pii")
     seen = base_spans(docs, id_col, text_col)
-    around = F.transform("base", lambda s: F.struct(s["value"].alias("value"), context_words(F.col("text"), s).alias("words")))
-    found = scratch.keep(seen.select("row", "id", "base", around.alias("around")), "base")
-    entity = found.select("row", F.explode("around").alias("e")).select("row", "e.value", F.xxhash64(F.array_join(F.transform("e.words", lambda w: w["term"]), " ")).alias("context"), "e.words")
-    near = entity.select("row", "value", "context", F.explode("words").alias("w")).select("row", "value", "context", "w.term", "w.start", "w.stop")
-    terms = disclosing_terms(docs, near, text_col)
+    has = F.size("base") > 0
+    found = scratch.keep(seen.select("row", "id", "base", F.when(has, F.col("text")).alias("text"), F.when(has, context_words(F.col("text"), F.col("base"))).alias("words")), "base")
+    held = found.where("text is not null")
+    entity = held.select("row", F.xxhash64(F.array_join("words", " ")).alias("context"), F.explode(F.array_distinct(F.transform("base", lambda s: s["value"]))).alias("value"))
+    terms = disclosing_terms(docs, entity, held.select("row", "words"), text_col)
+    told = scratch.keep(entity.select("row", "value").join(terms, "value").select("row", "term").distinct(), "told")
+    # every place of those terms in those documents; the lengths of cuts and words, summed up, are the positions
+    both = F.arrays_zip(F.split("text", WORD, -1).alias("cut"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("word"))
+    places = held.join(told.select("row").distinct(), "row", "left_semi").select("row", F.posexplode(both).alias("at", "w")).where("w.word is not null")
+    stop = F.sum(F.length("w.cut") + F.length("w.word")).over(Window.partitionBy("row").orderBy("at")).cast("int")
+    places = places.select("row", F.lower("w.word").alias("term"), (stop - F.length("w.word")).alias("start"), stop.alias("stop"))
     blank = F.lit(None).cast("string").alias("value")
-    told = near.join(terms, ["value", "term"]).groupBy("row").agg(F.collect_set(F.struct("start", F.lit(KINDS.index("term")).alias("rank"), "stop", blank)).alias("terms"))
+    told = places.join(told, ["row", "term"]).groupBy("row").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("term")).alias("rank"), "stop", blank)).alias("terms"))
     clear = F.filter(F.coalesce("terms", F.array().cast(SPAN)), lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
     return found.join(told, "row", "left").select("row", "id", "base", F.array_sort(F.concat("base", clear)).alias("all"))
 

@@ -344,6 +344,17 @@ def test_disclosing_terms(spark, frame):
     assert "<TERM> <EMAIL>" in clean[0] and "zebra" not in clean[0] and clean[90] == "zebra alone" and clean[91] == ""
 
 
+def test_terms_are_found_and_marked_anywhere_in_the_document(spark, frame):
+    filler = lambda i, n: " ".join(f"w{chr(97 + (i * 7 + k) % 26)}{chr(97 + (i * 3 + k * 5) % 26)}x" for k in range(n))
+    rows = [(i, f"Zebra {filler(i, 60)} é me@x.org {filler(i + 9, 60)} zebra.") for i in range(3)] + [(10 + i, filler(i, 60)) for i in range(60)] + [(90, "zebra alone")]
+    got = {r.id: r.s for r in pii.find(spark, frame(rows)).select("id", pii.spelled(F.col("all")).alias("s")).collect()}
+    for i in range(3):
+        t = rows[i][1]
+        assert {"term:0:5", f"term:{len(t) - 6}:{len(t) - 1}"} <= set(got[i].split(","))
+    clean = {r.id: r.text for r in pii.sanitise(spark, frame(rows)).collect()}
+    assert "zebra" not in clean[1].lower() and "<EMAIL>" in clean[1] and clean[90] == "zebra alone"
+
+
 def test_pii_plan_is_native_and_odd_rows(spark, frame, sf):
     df = QUERIES["op7_pii"](spark, sf)
     plan = df._jdf.queryExecution().toString()
