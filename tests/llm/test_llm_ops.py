@@ -115,6 +115,15 @@ def test_trust_and_distrust_travel(spark):
     assert got["fan"].distrust > 0 and got["near"].distrust < got["fan"].distrust and got["near"].trust > 0 and got["lone"].trust == 0
 
 
+def test_distrust_travels_to_the_end_of_a_long_chain(spark):
+    hosts = spark.createDataFrame([(f"h{k:02}", 0, 1000 if k == 0 else 0) for k in range(36)], "host string, trusted long, blocked long")
+    edges = spark.createDataFrame([(f"h{k + 1:02}", f"h{k:02}", 1) for k in range(35)], "src string, dst string, n long")
+    got = {r.host: r.distrust for r in url_filter.propagate(spark, hosts, edges, Scratch(spark, "t")).collect()}
+    assert abs(got["h35"] - 1000 * 0.85**35) < 0.05
+    with pytest.raises(RuntimeError):
+        url_filter.propagate(spark, hosts, edges, Scratch(spark, "t"), rounds=3)
+
+
 # --- 2 -----------------------------------------------------------------------------------------------------------------
 
 
