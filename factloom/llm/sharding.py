@@ -1,25 +1,26 @@
 """Sharding by jump consistent hashing.
 
 A document's shard depends on its stable key and the number of shards alone: no ring table, no state.  Going from ``n``
-to ``n + 1`` shards moves about ``1 / (n + 1)`` of the keys, all of them into the new shard.  Slots inside a shard are
-gapless without ever sorting a whole shard in one task: keys are dealt into hashed blocks of bounded size, the blocks of
-a shard are counted and summed up, and rows are numbered inside their (shard, block).
-
-Defined results: a null text has no bytes; a null key hashes like key 0; rows repeated with the same key share a shard
-and get slots of their own; an empty table gives an empty table; further columns are ignored.
+to ``n + 1`` shards moves about ``1 / (n + 1)`` of the keys, all of them into the new shard.  A slot is a row's place in its
+shard in order of key, checksum and size, found without ever sorting a whole shard in one task: ranges of that order are
+sorted side by side, the rows of each shard and range are counted, and the counts before a range are its offset.
+
+Defined results: a null text has no bytes; a null key hashes like key 0 (before it reaches numpy, where a null beside it
+would turn a key beyond 2^53 into its neighbour) and comes first in order; rows repeated with the same key share a shard and
+get slots of their own, also when a third of all rows are one row; an empty table gives an empty table; further columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.store import Scratch
 
 SHARDS = 24
-BLOCK_ROWS = 2048
 
 
 def mix64(keys: np.ndarray) -> np.ndarray:
@@ -44,12 +45,14 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
     return at
 
 
-def shard_of(shards: int):
+def shard_of(key: Column, shards: int) -> Column:
+    """The shard of each key."""
+
     @F.pandas_udf("int")
     def jump(key: pd.Series) -> pd.Series:
-        return pd.Series(jump_hash(key.fillna(0).to_numpy(np.int64), shards).astype(np.int32))
+        return pd.Series(jump_hash(key.to_numpy(np.int64), shards).astype(np.int32))
 
-    return jump
+    return jump(F.coalesce(key.cast("long"), F.lit(0).cast("long")))
 
 
 def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,19 +60,28 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, id_col: st
     scratch = Scratch(spark, "sharding")
     data = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.col(id_col).cast("long")
-    rows = docs.select(key.alias("id"), (F.octet_length(data).cast("long") + 8).alias("size"), F.crc32(data.cast("binary")).cast("long").alias("text_crc32"), shard_of(shards)(key).alias("shard"), shard_of(shards + 1)(key).alias("grown_shard"))
-    rows = scratch.keep(rows, "rows")
-    blocks = max(1, -(-rows.count() // (shards * BLOCK_ROWS)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text_crc32"), F.lit(blocks)))
-    sums = rows.groupBy("shard", "block").count()
-    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("shard", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    inside = F.row_number().over(Window.partitionBy("shard", "block").orderBy("id", "text_crc32", "size")) - 1
-    return rows.withColumn("n", inside).join(offsets, ["shard", "block"]).select("id", "size", "text_crc32", "shard", (F.col("offset") + F.col("n")).alias("slot"), "grown_shard")
+    rows = docs.select(
+        key.alias("id"),
+        (F.octet_length(data).cast("long") + 8).alias("size"),
+        F.crc32(data.cast("binary")).cast("long").alias("text_crc32"),
+        shard_of(key, shards).alias("shard"),
+        shard_of(key, shards + 1).alias("grown_shard"),
+    )
+    # the number tells repeated rows apart, so that they spread over ranges as well
+    rows = scratch.keep(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    order = ["shard", "id", "text_crc32", "size", "row"]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # a partition's number stands in the upper bits, the place in it in the others
+    dealt = scratch.keep(dealt.withColumn("at", F.monotonically_increasing_id()).withColumn("range", F.shiftright("at", 33)), "dealt")
+    sums = dealt.groupBy("shard", "range").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("shard", "range", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    slot = F.col("offset") + F.col("at") - F.col("first")
+    return dealt.join(offsets, ["shard", "range"]).select("id", "size", "text_crc32", "shard", slot.alias("slot"), "grown_shard")
 
 
 def write_shards(spark: SparkSession, docs: DataFrame, path: str, shards: int = SHARDS, id_col: str = "doc_id", files_per_shard: int = 8) -> None:
     """Write the documents as Parquet folders ``shard=0`` and so on, each in several files so that no task holds a shard."""
-    out = docs.withColumn("shard", shard_of(shards)(F.col(id_col).cast("long")))
-    salt = F.pmod(F.xxhash64(F.col(id_col)), F.lit(files_per_shard))
+    out = docs.withColumn("shard", shard_of(F.col(id_col), shards))
+    salt = F.pmod(F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind)), F.lit(files_per_shard))
     out.repartition(shards * files_per_shard, "shard", salt).write.mode("overwrite").partitionBy("shard").parquet(path)
