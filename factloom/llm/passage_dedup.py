@@ -1,27 +1,35 @@
-"""Substring deduplication: repeated paragraphs found by MinHash banding, verified by exact Jaccard, grouped by components.
+"""Substring deduplication: paragraph MinHash banding, exact Jaccard on colliding paragraphs, removals by components.
 
-A paragraph is one of two things, both found in one pass over the bytes of a text:
+A paragraph is one of two things:
 
-* a line of at least ``LINE_WORDS`` words: its 5-word shingles get ``BANDS`` x ``ROWS`` MinHash values.  With 8 bands of 3
-  rows a pair at Jaccard 0.8 shares a band with probability 1 - (1 - 0.8^3)^8 = 0.997;
-* a block of ``BLOCK`` words that begins where the text itself says so (at the least 5-word shingle of some ``BLOCK``
-  neighbouring ones).  Equal passages begin their blocks at the same words wherever they stand, so a passage pasted into
-  the middle of a line is found although its lines differ: every run of ``2 * BLOCK + 3`` equal words holds a whole block.
-  Blocks collide when all their words are equal, a band that takes the whole paragraph.
+* a line of at least ``least_words`` words (five: a line without a 5-word shingle has nothing to compare);
+* a stretch inside a text, so that a passage pasted into the middle of a line is found although its lines differ.  Stretches
+  begin where the text itself says so, at the least 5-word shingle of every ``WINDOW`` neighbouring ones, and reach to the
+  next such place, over ``STRETCH`` words at least.  Equal passages begin and end their stretches at the same words wherever
+  they stand: every run of 50 equal words holds a whole one.
 
-Equal lines are one line from here on.  Lines that collide in a band are compared pair by pair within the band (large
-bands are dealt into blocks of about 4 sqrt(size) lines, every pair of blocks a task of its own); a task emits a spanning
-forest of the links it has verified, not all pairs.  Components of links join lines to passages; of each passage that
-stands in two documents or more, the occurrence with the smallest id (then first place) stays.
+All paragraphs go the same way.  Their 5-word shingles give ``BANDS`` keys of ``ROWS`` MinHash values; two paragraphs at
+Jaccard 0.8 share a key with probability 1 - (1 - 0.8^2)^4 = 0.98.  Keys are shuffled once and sorted; paragraphs that meet
+under a key are compared by the exact Jaccard similarity of their shingle sets.  Large groups are dealt into blocks of about
+4 sqrt(size) paragraphs, every pair of blocks a task of its own, and a task hands on a spanning forest of its links, not all
+pairs.  Components of links are the passages; of each that stands in two documents or more, the occurrence with the smallest
+id (then first place) stays.
 
-Words are runs of non-space bytes, A-Z lower-cased.  Defined results: null, empty and short texts have no paragraphs;
-ids that are null are left out; occurrences within one document alone are no repetition; rows repeated with one id count
-as one document; an empty table gives an empty table; further columns are ignored.
+Hot keys.  Paragraphs that repeat inside a slice of a partition count once or twice there, so a line in a third of all
+documents is a few rows per slice.  A key that many *different* paragraphs of one slice share is hot for certain: those
+paragraphs travel salted, as members, and leave one of them under the plain key to meet those of other slices.
+
+Equality of paragraphs is equality of a 64-bit hash over their shingles' hashes, which is not checked against the bytes: among
+n different paragraphs n^2 / 2^65 pairs are expected to be taken for one (0.03 at a billion).
+
+Words are runs of non-space bytes, A-Z lower-cased.  Defined results: null, empty and short texts have no paragraphs; rows
+with a null id are left out; occurrences within one document alone are no repetition; rows that share an id count as one
+document, whatever their texts; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +44,12 @@ from factloom.llm.suffix_dedup import slide_min
 
 SHINGLE = 5
 SIMILAR = 0.8
-LINE_WORDS = 20
-BLOCK = 20
-BANDS = 8
-ROWS = 3
+WINDOW = 23
+STRETCH = 20
+BANDS = 4
+ROWS = 2
+#: Different paragraphs of one slice under one key that make the key a hot one, and the parts it is then dealt into.
+HOT, SALT = 64, 64
 #: bytes worked on at once
 AT_ONCE = 1_000_000
 SPACE = np.zeros(256, bool)
@@ -49,7 +59,7 @@ LETTER = _random.integers(0, 2**64, 256, np.uint64)
 PLACE = _random.integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 PERMUTE = _random.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 LOW = np.uint64((1 << 20) - 1)
-LINE, BLOCKED = 0, 1
+LINE, INNER = 0, 1
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -81,26 +91,73 @@ class Words:
             h = h * np.uint64(0xC2B2AE3D27D4EB4F) + self.hash[k : k + m]
         self.shingle = mix(h)
 
-    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+    def lines(self, least_words: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and number of words of each line that is long enough."""
         if not len(self.line):
             return self.line, self.line
         first = np.flatnonzero(np.concatenate([[True], self.line[1:] != self.line[:-1]]))
         n = np.diff(np.append(first, len(self.line)))
-        return first[n >= LINE_WORDS], n[n >= LINE_WORDS]
+        return first[n >= least_words], n[n >= least_words]
 
-    def blocks(self) -> np.ndarray:
-        """First word of each block."""
+    def stretches(self) -> tuple[np.ndarray, np.ndarray]:
+        """First word and number of words of each stretch; no window and no stretch crosses the end of a text."""
         m = len(self.shingle)
-        if m < BLOCK:
-            return np.zeros(0, np.int64)
+        if m < WINDOW:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         found = []
-        for lo in range(0, m - BLOCK + 1, 1 << 19):  # a place must fit the low bits of the sort key
-            v = self.shingle[lo : lo + (1 << 19) + BLOCK - 1]
-            found.append((slide_min((v & ~LOW) | np.arange(len(v), dtype=np.uint64), BLOCK) & LOW).astype(np.int64) + lo)
+        for lo in range(0, m - WINDOW + 1, 1 << 19):  # a place must fit the low bits of the sort key
+            v = self.shingle[lo : lo + (1 << 19) + WINDOW - 1]
+            at = (slide_min((v & ~LOW) | np.arange(len(v), dtype=np.uint64), WINDOW) & LOW).astype(np.int64) + lo
+            opens = np.arange(lo, lo + len(at))
+            found.append(np.unique(at[self.text[opens] == self.text[opens + WINDOW + SHINGLE - 2]]))
         at = np.unique(np.concatenate(found))
-        at = at[at + BLOCK <= len(self.text)]
-        return at[self.text[at] == self.text[at + BLOCK - 1]]
+        after = np.append(at[1:], np.iinfo(np.int64).max)
+        after[:-1][self.text[at[1:]] != self.text[at[:-1]]] = 0
+        after[-1:] = 0
+        stop = np.maximum(at + STRETCH, after)
+        fits = stop <= len(self.text)
+        at, stop = at[fits], stop[fits]
+        fits = self.text[at] == self.text[stop - 1]
+        return at[fits], stop[fits] - at[fits]
+
+
+class Paragraphs:
+    """Paragraphs of some texts: first word, number of words, kind, shingles (flat, with cuts) and content."""
+
+    def __init__(self, texts: list[bytes], least_words: int, inner: bool = True):
+        self.words = w = Words(texts)
+        (a, n), (b, m) = w.lines(least_words), w.stretches() if inner else (np.zeros(0, np.int64),) * 2
+        self.first, self.count = np.concatenate([a, b]), np.concatenate([n, m])
+        self.kind = np.repeat(np.array([LINE, INNER], np.uint64), [len(a), len(b)])
+        self.text = w.text[self.first] if len(self.first) else self.first
+        self.many = np.maximum(self.count - SHINGLE + 1, 1)  # a shorter one is one shingle of all its words
+        self.cut = np.cumsum(self.many) - self.many
+        short = np.flatnonzero(self.count < SHINGLE)
+        at = np.repeat(self.first - self.cut, self.many) + np.arange(self.many.sum())
+        self.shingle = w.shingle[np.minimum(at, len(w.shingle) - 1)] if len(w.shingle) else np.zeros(len(at), np.uint64)
+        h = self.count[short].astype(np.uint64)
+        for k in range(SHINGLE - 1):
+            on = self.count[short] > k
+            h[on] = mix(h[on] * np.uint64(0x100000001B3) + w.hash[self.first[short][on] + k])
+        self.shingle[self.cut[short]] = h
+        place = PLACE[(np.arange(len(at)) - np.repeat(self.cut, self.many)) & 255]
+        self.sums = np.add.reduceat(self.shingle * place, self.cut) if len(at) else np.zeros(0, np.uint64)
+        self.content = self.content_as(self.kind)
+
+    def content_as(self, kind: np.ndarray | np.uint64) -> np.ndarray:
+        """What stands for the paragraphs if they are of this kind."""
+        return mix(self.sums + self.count.astype(np.uint64) * np.uint64(2) + kind)
+
+    def bands(self) -> np.ndarray:
+        """The keys of each paragraph, ``BANDS`` to a row."""
+        least = [np.minimum.reduceat((self.shingle * p) >> np.uint64(32), self.cut) for p in PERMUTE]
+        out = np.empty((len(self.first), BANDS), np.uint64)
+        for b in range(BANDS):
+            key = self.kind * np.uint64(BANDS) + np.uint64(b)
+            for r in range(ROWS):
+                key = mix(key * np.uint64(0x100000001B3) + least[b * ROWS + r])
+            out[:, b] = key
+        return out
 
 
 def _together(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -114,103 +171,179 @@ def _together(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-PARAGRAPH = "id long, kind int, start int, stop int, content long, bands array<long>"
-
-
-def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[tuple[np.ndarray, Paragraphs]]:
+    """Ids and paragraphs of the rows that have an id, for slices of texts."""
     for batch in batches:
-        ids = np.array([-1 if i is None else i for i in batch.column(0).to_pylist()], np.int64)
-        valid = np.array(batch.column(0).is_valid())
+        batch = batch.filter(batch.column(0).is_valid())
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
         texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
         for lo, hi in _together(texts):
-            w = Words(texts[lo:hi])
-            first, n = w.lines()
-            out = []
-            if len(first):
-                count = n - SHINGLE + 1
-                at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                h, cut = w.shingle[at], np.cumsum(count) - count
-                place = PLACE[(np.arange(len(at)) - np.repeat(cut, count)) & 255]
-                content = mix(np.add.reduceat(h * place, cut) + n.astype(np.uint64))
-                least = [np.minimum.reduceat((h * p) >> np.uint64(32), cut) for p in PERMUTE]
-                bands = np.empty((len(first), BANDS), np.uint64)
-                for b in range(BANDS):
-                    key = np.full(len(first), b, np.uint64)
-                    for r in range(ROWS):
-                        key = mix(key * np.uint64(0x100000001B3) + least[b * ROWS + r])
-                    bands[:, b] = key
-                out.append((LINE, first, first + n - 1, content, bands))
-            at = w.blocks()
-            if len(at):
-                content = np.zeros(len(at), np.uint64)
-                for k in range(0, BLOCK, SHINGLE):
-                    content = content * np.uint64(0xC2B2AE3D27D4EB4F) + w.shingle[at + k]
-                out.append((BLOCKED, at, at + BLOCK - 1, mix(content), None))
-            for kind, a, z, content, bands in out:
-                text = w.text[a] + lo
-                keep = valid[text]
-                if bands is None:
-                    column = pa.nulls(int(keep.sum()), pa.list_(pa.int64()))
-                else:
-                    column = pa.ListArray.from_arrays(pa.array(np.arange(0, keep.sum() * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands[keep].view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[text][keep]), pa.array(np.full(keep.sum(), kind, np.int32)), pa.array(w.lo[a][keep].astype(np.int32)), pa.array(w.hi[z][keep].astype(np.int32)), pa.array(content[keep].view(np.int64)), column], ["id", "kind", "start", "stop", "content", "bands"])
+            p = Paragraphs(texts[lo:hi], least_words)
+            if len(p.first):
+                yield ids[lo:hi][p.text], p
+
+
+def _longs(*columns: np.ndarray) -> list[pa.Array]:
+    return [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns]
+
+
+def _keys(least_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (band, salt, content): every paragraph of a slice under its keys, under the first key twice if it repeats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, p in _slices(batches, least_words):
+            content, one, times = np.unique(p.content, return_index=True, return_counts=True)
+            bands = p.bands()[one]
+            for b in range(BANDS):
+                key = bands[:, b]
+                order = np.argsort(key, kind="stable")
+                turn = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+                size = np.diff(np.append(turn, len(order)))
+                group = np.repeat(np.arange(len(turn)), size)
+                hot = size[group] > HOT
+                hot[turn] = False  # one of them stays under the plain key, and travels salted as well
+                salt = np.where(hot, 1 + (content[order] % np.uint64(SALT)).astype(np.int64), 0)
+                more = [order, order[turn][size > HOT]]
+                salts = [salt, 1 + (content[more[1]] % np.uint64(SALT)).astype(np.int64)]
+                if b == 0:
+                    again = order[(times[order] > 1) & (salt == 0)]
+                    more.append(again)
+                    salts.append(np.zeros(len(again), np.int64))
+                rows = np.concatenate(more)
+                yield pa.RecordBatch.from_arrays(_longs(key[rows], np.concatenate(salts), content[rows]), ["band", "salt", "content"])
+
+    return run
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (band, salt, content): (band, content) where a key has several contents or is salted, and (null,
+    content) for contents that repeat.  A group may span batches; what is carried over is one row."""
+    carry: tuple[np.ndarray, np.ndarray, np.ndarray, bool] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        band, salt, content = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        told = False  # whether the first row has been handed on already
+        if carry is not None:
+            band, salt, content = (np.concatenate([x, y]) for x, y in zip(carry[:3], (band, salt, content), strict=True))
+            told = carry[3]
+        turn = np.concatenate([[True], (band[1:] != band[:-1]) | (salt[1:] != salt[:-1])])
+        new = turn.copy()
+        new[1:] |= content[1:] != content[:-1]
+        lead = np.flatnonzero(new)  # one row for each content of a group
+        several = np.zeros(len(lead), bool)
+        several[1:] = ~turn[lead[1:]]
+        several[:-1] |= several[1:]
+        # the first row may be the second or later content of a group that began in the batch before
+        several |= salt[lead] > 0
+        state = several.copy()
+        state[0] |= told
+        if told:
+            several[0] = False
+        out = lead[several]
+        again = np.unique(content[~new])
+        carry = (band[-1:], salt[-1:], content[-1:], bool(state[-1]))
+        bands = pa.concat_arrays([pa.array(band[out], pa.int64()), pa.nulls(len(again), pa.int64())])
+        yield pa.RecordBatch.from_arrays([bands, pa.array(np.concatenate([content[out], again]), pa.int64())], ["band", "content"])
+
+
+def _occurrences(least_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, p in _slices(batches, least_words):
+            places = [p.words.lo[p.first].astype(np.int32), p.words.hi[p.first + p.count - 1].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays(_longs(ids, *places, p.content), ["id", "start", "stop", "content"])
+
+    return run
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The set of shingles of lines given by text and places."""
+    """The sets of shingles of paragraphs given by text and places; places that hold something else are left out."""
     for batch in batches:
-        contents, sets = [], []
         for text, places in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for x in places:
-                contents.append(x["content"])
-                sets.append(np.unique(Words([text[x["start"] : x["stop"]]]).shingle).view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(contents, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["content", "shingles"])
-
-
-def line_links(docs: DataFrame, lines: DataFrame, scratch: Scratch, id_col: str, text_col: str, least: float) -> DataFrame:
-    """Verified links (a, b) between different lines ``lines(content, first: struct<id, start, stop>, bands)``."""
-    keys = lines.select("content", F.explode(F.array_distinct("bands")).alias("band"))
-    met = keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = scratch.keep(keys.join(met, "band").withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.sqrt("n") / 4)).cast("long")), "members")
-    wanted = lines.join(members.select("content").distinct(), "content", "left_semi").select("content", "first.*")
-    places = wanted.groupBy("id").agg(F.collect_list(F.struct("content", "start", "stop")).alias("places"))
-    # rows repeated with one id hold one document; any of them will do
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(places, "id").select("text", "places")
+            text = text or b""
+            # a paragraph reads as a line here, whose content differs from a stretch's by the kind alone
+            p = Paragraphs([text[x["start"] : x["stop"]].replace(b"\n", b" ") for x in places], 1, inner=False)
+            asked = np.array([x["content"] for x in places], np.int64).view(np.uint64)[p.text]
+            right = np.flatnonzero((p.content_as(np.uint64(LINE)) == asked) | (p.content_as(np.uint64(INNER)) == asked))
+            sets = [np.unique(p.shingle[p.cut[k] : p.cut[k] + p.many[k]]).view(np.int64) for k in right.tolist()]
+            columns = [pa.array(asked[right].view(np.int64)), pa.array(sets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["content", "shingles"])
+
+
+def paragraph_links(docs: DataFrame, met: DataFrame, places: DataFrame, scratch: Scratch, least: float) -> DataFrame:
+    """Verified links (a, b) between different paragraphs: ``docs(id, text)``, ``met(band, content)``, ``places(content, id,
+    start, stop)``."""
+    members = met.where("band is not null").distinct()
+    sizes = members.groupBy("band").agg(F.count("*").alias("n"))
+    members = members.join(sizes, "band").select("band", "content", F.greatest(F.lit(1), F.ceil(F.sqrt("n") / 4)).cast("long").alias("blocks"))
+    members = scratch.keep(members, "members")
+    first = places.groupBy("content").agg(F.min(F.struct("id", "start", "stop")).alias("first"))
+    wanted = first.join(members.select("content").distinct(), "content", "left_semi").select("content", "first.*")
+    asked = scratch.keep(wanted.groupBy("id").agg(F.collect_list(F.struct("content", "start", "stop")).alias("places")), "asked")
+    texts = docs.join(asked, "id").select("text", "places")
     sets = scratch.keep(texts.mapInArrow(trimmed(_shingles), "content long, shingles array<long>").dropDuplicates(["content"]), "shingles")
-    dealt = members.withColumn("block", F.pmod(F.xxhash64("content"), F.col("blocks"))).select("band", "content", "block", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
-    tasks = dealt.join(sets, "content").select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("part"), "content", "shingles")
-    return tasks.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(verify_sets(least), "a long, b long")
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("content"), F.col("blocks")))
+    dealt = dealt.select("band", "content", "block", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
+    pair = (F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    tasks = dealt.join(sets, "content").select("band", *pair, F.col("block").alias("part"), "content", "shingles")
+    return tasks.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(trimmed(verify_sets(least)), "a long, b long")
 
 
-def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """Occurrences of passages that stand in two documents or more: id, start, stop (bytes), passage, keep_id, removed."""
+def _found(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, similar: float, least_words: int) -> DataFrame:
+    """Occurrences of passages of two documents or more: id, start, stop, content, passage, keep_id, removed."""
     scratch = Scratch(spark, "passage_dedup")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = scratch.keep(rows.mapInArrow(trimmed(_paragraphs), PARAGRAPH), "paragraphs", "kind")
-    lines = scratch.keep(found.where(F.col("kind") == LINE).groupBy("content").agg(F.min(F.struct("id", "start", "stop")).alias("first"), F.first("bands").alias("bands")), "lines")
-    root = connected_components(spark, line_links(docs, lines, scratch, id_col, text_col, similar), scratch).withColumnRenamed("node", "content")
-    named = found.where(F.col("kind") == LINE).select("id", "start", "stop", "content").join(root, "content", "left").select("id", "start", "stop", F.coalesce("root", "content").alias("passage"))
-    blocks = found.where(F.col("kind") == BLOCKED).select("id", "start", "stop", F.col("content").alias("passage"))
-    out = None
-    for part in (named, blocks):
-        # the first occurrence of each passage, for passages of several documents
-        first = part.groupBy("passage").agg(F.min(F.struct("id", "start")).alias("first"), F.max("id").alias("last")).where("first.id < last").select("passage", "first")
-        # written, so that the join has a plain shuffle on either side and a passage that is everywhere can be split
-        first = scratch.keep(first, "first")
-        hit = part.join(first, "passage").select("id", "start", "stop", "passage", F.col("first.id").alias("keep_id"), (F.struct("id", "start") != F.col("first")).alias("removed"))
-        out = hit if out is None else out.unionByName(hit)
-    return out
-
-
-def drop_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and the text (binary) without the removed occurrences, for all documents.  Ids must be unique."""
-    gone = repeated_passages(spark, docs, id_col, text_col).where("removed").groupBy(F.col("id").alias("__id")).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__gone"))
-    data = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").cast("binary").alias("out"))
-
-    def step(acc, s):
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["out"], F.substring(data, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))).alias("out"))
-
-    spans = F.coalesce("__gone", F.array().cast("array<struct<start:int,stop:int>>"))
-    left = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(data, acc["at"] + 1, F.octet_length(data))))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left").select(F.col(id_col).cast("long").alias("id"), left.alias("kept"))
+    keys = rows.mapInArrow(trimmed(_keys(least_words)), "band long, salt long, content long").repartition("band", "salt")
+    met = scratch.keep(keys.sortWithinPartitions("band", "salt", "content").mapInArrow(_meet, "band long, content long"), "met")
+    places = rows.mapInArrow(trimmed(_occurrences(least_words)), "id long, start int, stop int, content long")
+    # only what has met something is kept; a paragraph that is everywhere is the streamed side, which a skewed join may split
+    places = scratch.keep(places.join(scratch.keep(met.select("content").distinct(), "contents"), "content"), "places")
+    root = connected_components(spark, paragraph_links(rows, met, places, scratch, similar), scratch).withColumnRenamed("node", "content")
+    named = places.join(root, "content", "left").select("id", "start", "stop", "content", F.coalesce("root", "content").alias("passage"))
+    named = scratch.keep(named, "named")
+    # written, so that the join has a plain shuffle on either side and a passage that is everywhere can be split
+    first = named.groupBy("passage").agg(F.min(F.struct("id", "start")).alias("first"), F.max("id").alias("last"))
+    first = scratch.keep(first.where("first.id < last").select("passage", "first"), "first")
+    removed = F.struct("id", "start") != F.col("first")
+    return named.join(first, "passage").select("id", "start", "stop", "content", "passage", F.col("first.id").alias("keep_id"), removed.alias("removed"))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, least_words: int = SHINGLE) -> DataFrame:
+    """Occurrences of passages that stand in two documents or more: id, start, stop (bytes), passage, keep_id, removed."""
+    return _found(spark, docs, id_col, text_col, similar, least_words).drop("content")
+
+
+def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """What is left of some bytes without spans, which may overlap."""
+    out, at = [], 0
+    for start, stop in sorted(spans):
+        if start > at:
+            out.append(data[at:start])
+        at = max(at, stop)
+    return b"".join([*out, data[at:]])
+
+
+def drop_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, least_words: int = SHINGLE) -> DataFrame:
+    """One row per input row: id and ``kept``, the text (binary) without the removed occurrences.
+
+    Of rows that share an id each loses what it holds itself at the places found; rows with a null id lose nothing.
+    """
+    gone = _found(spark, docs, id_col, text_col, similar, least_words).where("removed")
+    gone = gone.groupBy(F.col("id").alias("of")).agg(F.collect_set(F.struct("start", "stop", "content")).alias("places"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    both = rows.join(gone, rows["id"] == gone["of"], "left").select("id", "text", "places")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for text, places in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                text = text or b""
+                if places:
+                    p = Paragraphs([text], least_words)
+                    ends = p.words.hi[p.first + p.count - 1]
+                    held = zip(p.words.lo[p.first].tolist(), ends.tolist(), p.content.view(np.int64).tolist(), strict=True)
+                    text = without(text, [x[:2] for x in {(x["start"], x["stop"], x["content"]) for x in places}.intersection(held)])
+                kept.append(text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary())], ["id", "kept"])
+
+    return both.mapInArrow(trimmed(run), "id long, kept binary")
