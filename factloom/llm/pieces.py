@@ -6,9 +6,10 @@ independently.  Words not met before are encoded together as flat numpy arrays:
 numbers.  A round looks up the rank of every neighbouring pair, takes each word's minimum by a segmented reduction,
 merges the leftmost non-overlapping pairs of that rank at the same time, and compacts; words without a pair leave the
 arrays.  Merging several places of a word at once gives what one merge at a time gives unless a merge makes a pair that
-is at least as good as the rank in hand; such a round stops behind the first such merge of the word.  Words of more than
-``LONG`` symbols (runs without any space) go through the same rule one merge at a time with a heap, since rounds would
-cost the square of their length.
+is at least as good as the rank in hand; such a round stops behind the first such merge of the word.  A word falls apart
+further where two characters meet that stand side by side in no piece, for no merge can ever cross that place: so runs
+without any space, however long, mostly are many short parts, each with a minimum of its own, and the rounds of a part are
+no more than the ranks it goes through.
 
 Defined results: null and empty texts encode to the end id alone and decode to the empty string; texts are taken whole.
 """
@@ -19,7 +20,6 @@ import codecs
 import contextlib
 import gc
 import hashlib
-import heapq
 import re
 import struct
 from collections.abc import Iterator
@@ -33,9 +33,10 @@ from factloom.llm.batches import slices_of, trimmed
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-LONG = 512
 #: Words that a Python worker remembers before it starts over; bounds its memory.
 REMEMBERED = 300_000
+#: Characters whose merges run together, if no single word has more; bounds memory as well.
+CHARACTERS = 2_000_000
 NO_RANK = np.int32(2**31 - 1)
 SLOT_BITS = 18
 
@@ -126,6 +127,9 @@ class PieceModel:
         none = len(pairs)  # the entry that stands for no pair
         self.slots[self.slots < 0] = none
         self.pair_key = np.append(self.pair_key, -1)
+        beside = {(a, b) for p in self.index for a, b in zip(p, p[1:], strict=False)}
+        #: characters that stand side by side in some piece
+        self.beside = np.array(sorted(part[a] * self.width + part[b] for a, b in beside), np.int64)
         self.pair_rank = np.array([*(x[1] for x in pairs), NO_RANK], np.int32)
         self.pair_id = np.array([*(x[2] for x in pairs), -1], np.int32)
 
@@ -147,18 +151,27 @@ class PieceModel:
             todo = todo[(self.pair_key[f] != key[todo]) & (f != none)]
         return found
 
+    def _apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Where no piece holds the one character beside the other."""
+        key = np.where((left >= 0) & (right >= 0), left.astype(np.int64) * self.width + right, -1)
+        at = np.minimum(np.searchsorted(self.beside, key), len(self.beside) - 1)
+        return self.beside[at] != key
+
     def _rounds(self, words: list[str]) -> list[list[int]]:
         points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         size = np.array([len(w) for w in words], np.int64)
-        word = np.repeat(np.arange(len(words), dtype=np.int32), size)
+        word_of = np.repeat(np.arange(len(words), dtype=np.int32), size)  # of each character
         sym = self.char_id[points]
         point = np.arange(len(points), dtype=np.int32)  # the character that a symbol starts at
         none = len(self.pair_key) - 1
         pair = np.full(len(sym), none, np.int32)  # the pair that starts at a symbol
-        inside = np.flatnonzero(word[:-1] == word[1:])
+        cut = word_of[:-1] != word_of[1:]
+        cut |= self._apart(sym[:-1], sym[1:])
+        word = np.concatenate([[0], np.cumsum(cut, dtype=np.int32)])[: len(sym)]  # parts of words from here on
+        inside = np.flatnonzero(~cut)
         pair[inside] = self.pairs(sym[inside], sym[inside + 1])
         rank = self.pair_rank[pair]
-        done_sym, done_word, done_point = [], [], []
+        done_sym, done_point = [], []
         while len(sym):
             n = len(sym)
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
@@ -166,7 +179,6 @@ class PieceModel:
             live = least < NO_RANK
             if not live.all():
                 done_sym.append(sym[~live])
-                done_word.append(word[~live])
                 done_point.append(point[~live])
                 sym, word, point, pair, rank, least = (x[live] for x in (sym, word, point, pair, rank, least))
                 n = len(sym)
@@ -205,9 +217,10 @@ class PieceModel:
             rank[back] = self.pair_rank[left[has_left]]
             keep = ~gone
             sym, word, point, pair, rank = (x[keep] for x in (sym, word, point, pair, rank))
-        sym, word, point = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_sym, done_word, done_point))
-        order = np.lexsort((point, word))
-        sym, word, point = sym[order], word[order], point[order]
+        sym, point = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_sym, done_point))
+        order = np.argsort(point)
+        sym, point = sym[order], point[order]
+        word = word_of[point]
         ends = np.searchsorted(word, np.arange(len(words)), "right").tolist()
         # the same int objects everywhere, or remembered words would hold millions of their own
         flat, out, lo = list(map(self.ints.__getitem__, np.minimum(sym, self.width).tolist())), [], 0
@@ -225,49 +238,16 @@ class PieceModel:
     def _fallback(self, char: str) -> list[int]:
         return [self.byte_id[b] for b in char.encode()] if self.byte_fallback else [self.unk]
 
-    def _heap(self, word: str) -> list[int]:
-        """One merge at a time: best rank first, leftmost first among equals."""
-        sym = self.char_id[np.frombuffer(word.encode("utf-32-le"), np.uint32)].tolist()
-        n = len(sym)
-        nxt, prv, table = list(range(1, n + 1)), list(range(-1, n - 1)), self._pair_table()
-        queue: list[tuple[int, int, int, int, int]] = []
-
-        def offer(i: int, j: int) -> None:
-            if i >= 0 and j < n and (got := table.get((sym[i], sym[j]))):
-                heapq.heappush(queue, (got[0], i, sym[i], sym[j], got[1]))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
-        gone = [False] * n
-        while queue:
-            _, i, a, b, m = heapq.heappop(queue)
-            j = nxt[i] if not gone[i] else n
-            if j >= n or sym[i] != a or sym[j] != b:
-                continue
-            sym[i], gone[j], nxt[i] = m, True, nxt[j]
-            if nxt[i] < n:
-                prv[nxt[i]] = i
-            offer(prv[i], i)
-            offer(i, nxt[i])
-        return [s for i in range(n) if not gone[i] for s in ([sym[i]] if 0 <= sym[i] < len(self.pieces) else self._fallback(word[i]))]
-
-    def _pair_table(self) -> dict:
-        if not hasattr(self, "_table"):
-            self._table = {(int(k) // self.width, int(k) % self.width): (int(r), int(i)) for k, r, i in zip(self.pair_key[:-1], self.pair_rank[:-1], self.pair_id[:-1], strict=True)}
-        return self._table
-
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of words, each of which starts with its space marks."""
-        out: list[list[int]] = [[]] * len(words)
-        short = [i for i, w in enumerate(words) if len(w) <= LONG]
-        for lo in range(0, len(short), 50_000):
-            part = short[lo : lo + 50_000]
-            for i, ids in zip(part, self._rounds([words[i] for i in part]), strict=True):
-                out[i] = ids
+        out: list[list[int]] = []
+        lo = size = 0
         for i, w in enumerate(words):
-            if len(w) > LONG:
-                out[i] = self._heap(w)
-        return out
+            if i > lo and (i - lo >= 50_000 or size + len(w) > CHARACTERS):
+                out += self._rounds(words[lo:i])
+                lo, size = i, 0
+            size += len(w)
+        return out + self._rounds(words[lo:]) if words else out
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids; control ids give nothing, byte ids that are no UTF-8 one replacement character a byte."""
