@@ -6,22 +6,27 @@ start of a word, anchored by a space in front; the automaton finds all of them i
 lie inside an exception phrase do not count.  The weights of the matches are summed and set against the number of
 words; a logistic curve turns density and sum into a score between 0 and 1.
 
-The lexicon and the curve are fitted on labelled rows of the training part only, at most ``SAMPLE_ROWS`` of them taken in
-the order of a hash of their ids (a documented bound: a lexicon of ``LEXICON`` entries gains nothing from more).
-Scoring runs over every row and whole texts.
+The lexicon, the exception phrases and the curve are fitted on labelled rows of the training part only, at most
+``SAMPLE_ROWS`` of them taken in the order of a hash of their ids (a documented bound: a lexicon of ``LEXICON`` entries gains
+nothing from more).  An exception phrase is a pair of neighbouring words with a lexicon word in it that training texts use
+the other way round: in ``EXCEPT`` texts or more that are not toxic, and in no larger a share of the toxic ones.  Scoring runs
+over every row and whole texts.
 
 Defined results: null and empty texts have no match and get the curve's value at zero; without labelled toxic rows the
 lexicon is empty and every score is the smoothed share of toxic labels, 0 where there is no label at all; repeated label
-rows count once, toxic if any of them says so; label and document columns beyond those named are ignored.
+rows count once, toxic if any of them says so; of documents that repeat a labelled id, one text is learned from (the one with
+the largest hash); label and document columns beyond those named are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -35,8 +40,8 @@ from factloom.llm.store import Scratch
 SAMPLE_ROWS = 20_000
 LEXICON = 256
 PREFIXES = (4, 5, 6, 7)
-#: Matches inside these phrases are about something else.
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "bone idle", "scum line", "pond scum", "worthless cheque", "sore loser rule")
+#: Texts that are not toxic and use a pair of words, for the pair to be an exception.
+EXCEPT = 5
 #: Look-alikes of Latin letters: Cyrillic, Greek, then digits and signs used in place of letters.
 HOMOGLYPHS = dict(zip("асеорхуіјѕԁһԛԝкмтвнгΑΒΕΖΗΙΚΜΝΟΡΤΥΧαβεικνορτυχ", "aceopxyijsdhqwkmtbhrabezhikmnoptyxabeikvoptux", strict=True))
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
@@ -53,7 +58,7 @@ def fold(text: str | None) -> list[str]:
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
     curve: tuple[float, float, float] = (-30.0, 0.0, 0.0)
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
 
     def automaton(self) -> ahocorasick.Automaton | None:
         a = ahocorasick.Automaton()
@@ -77,8 +82,11 @@ def features(words: list[str], automaton: ahocorasick.Automaton | None) -> tuple
             spared.append((end - n + 1, end))
         else:
             hits.append((end - n + 1, end, w))
-    if spared:
-        hits = [h for h in hits if not any(lo <= h[0] and h[1] <= hi for lo, hi in spared)]
+    if spared and hits:
+        # of the exceptions that begin at or before a match, the one that reaches farthest tells whether it is inside
+        spared.sort()
+        opens, reach = [lo for lo, _ in spared], list(accumulate((hi for _, hi in spared), max))
+        hits = [h for h in hits if not (k := bisect_right(opens, h[0])) or reach[k - 1] < h[1]]
     total = sum(h[2] for h in hits)
     return math.log1p(100 * total / len(words)), math.log1p(total)
 
@@ -128,6 +136,36 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield part()
 
 
+def _pairs(weights: dict[str, float]):
+    """Documents of each class with a pair of neighbouring words that holds a lexicon word."""
+    lexicon = Model(weights).automaton()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs: tuple[Counter, Counter] = (Counter(), Counter())
+        known: dict[str, bool] = {}
+
+        def part() -> pa.RecordBatch:
+            keys = list(docs[0].keys() | docs[1].keys())
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[p] for p in keys], pa.int64()) for c in docs)], ["pair", "d0", "d1"])
+
+        for b in (x for batch in batches for x in slices_of(batch, 0)):
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = fold(text)
+                for w in set(words):
+                    if w not in known:
+                        known[w] = next(lexicon.iter(f" {w} "), None) is not None
+                docs[toxic].update({f"{x} {y}" for x, y in zip(words, words[1:], strict=False) if known[x] or known[y]})
+                if len(known) > COUNTED:
+                    known.clear()
+                if len(docs[0]) + len(docs[1]) > COUNTED:
+                    yield part()
+                    docs[0].clear()
+                    docs[1].clear()
+        yield part()
+
+    return run
+
+
 def _choose(rows: list, w0: int, w1: int) -> dict[str, float]:
     """Strongest patterns first, the longest among equals; none that extends or starts one already chosen."""
     chosen: dict[str, float] = {}
@@ -168,9 +206,12 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     key = F.col(id_col).cast("long")
     marked = labels.select(key.alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic is not null").where(~held_out(F.col("id")))
     sample = marked.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(rows)
-    texts = docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select("text", "toxic")
+    texts = docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")
+    texts = texts.groupBy("id").agg(F.max(F.struct(F.xxhash64("text"), "text")).alias("t"), F.max("toxic").alias("toxic")).select("t.text", "toxic")
+    scratch = Scratch(spark, "toxicity")
+    texts = scratch.keep(texts, "sample")
     counted = texts.mapInArrow(trimmed(_count), "pattern string, d0 long, d1 long, u0 long, u1 long").groupBy("pattern").agg(*(F.sum(c).alias(c) for c in ("d0", "d1", "u0", "u1")))
-    counted = Scratch(spark, "toxicity").keep(counted, "patterns")
+    counted = scratch.keep(counted, "patterns")
     total = counted.where("pattern = ''").first()  # the totals travel as the empty pattern
     if total is None or not total["d1"]:
         return Model(curve=(-30.0, 0.0, 0.0) if total is None else (math.log(0.5 / (total["d0"] + 1)), 0.0, 0.0))
@@ -182,6 +223,10 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     g = 2 * (part(d1, n1 * share) + part(d0, n0 * share) + part(n1 - d1, n1 * (1 - share)) + part(n0 - d0, n0 * (1 - share)))
     found = counted.where((F.col("pattern") != "") & (d1 >= 3) & (d1 * n0 > 3 * d0 * n1)).withColumn("g", g).where("g > 24").orderBy(F.desc("g"), "pattern").limit(20 * LEXICON).collect()
     model = Model(weights=_choose(found, total["u0"], total["u1"]))
+    if model.weights:
+        pairs = texts.mapInArrow(trimmed(_pairs(model.weights)), "pair string, d0 long, d1 long").groupBy("pair").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
+        pairs = pairs.where((F.col("d0") >= EXCEPT) & (F.col("d1") * total["d0"] <= F.col("d0") * total["d1"]))
+        model.exceptions = tuple(r["pair"] for r in pairs.orderBy(F.desc("d0"), "pair").limit(LEXICON).collect())
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = model.automaton()
