@@ -21,6 +21,14 @@ Texts are packed into compressed chunks of a few megabytes; what chunks send to
 first (one entry for each different run, with its smallest id), as arrays cut by identifier ranges.  A passage in a third
 of all documents is therefore one entry per chunk, not one per document, and the texts travel only in compressed form.
 
+A chunk cuts its entries into ``FAN`` ranges, however large the input.  Where a range is more than one task can sort, its
+arrays are put together from several chunks and cut into ``FAN`` narrower ones, and so on: a pass over the entries for
+every factor of ``FAN`` (two passes to 150 GB of text or so, three to 20 TB), and in every pass a number of arrays in
+proportion to the input.
+
+Strings are taken for equal when 128 bits of identifiers are; bytes are not compared.  Among n different strings
+n^2 / 2^129 pairs are expected to be mistaken (10^-11 at 10^14 strings).
+
 Defined results: a null text counts as empty; texts shorter than 50 bytes lose nothing; a null id sorts below all others;
 rows repeated with one id do not remove each other's bytes, copies under a larger id go as a whole; an empty table gives
 an empty table.
@@ -29,7 +37,7 @@ an empty table.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +57,10 @@ CHUNK_BYTES = 3_000_000
 SLICE = 100_000
 #: entries a bucket task gets on average
 TASK_ENTRIES = 600_000
+#: ranges that a sender cuts its entries into: a power of two
+FAN_BITS = 7
+#: entries of several chunks that are put together before they are cut again
+MERGED = 200_000
 NO_ID = -(2**63)
 C2, C3 = (np.uint64(c) for c in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _random = np.random.default_rng(20240229)
@@ -245,40 +257,111 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield packed()
 
 
-def _cut(key: np.ndarray, tasks: int) -> np.ndarray:
-    """Where in ascending keys the range of each task begins."""
-    return np.searchsorted(((key >> np.uint64(32)) * np.uint64(tasks)) >> np.uint64(32), np.arange(tasks + 1))
+def same(v: np.ndarray) -> bytes:
+    """Equal numbers as one, others as byte planes."""
+    return v[:1].astype(np.uint64).tobytes() if (v[1:] == v[:-1]).all() else pack(v)
+
+
+def unsame(b: bytes, n: int) -> np.ndarray:
+    return np.repeat(np.frombuffer(b, np.uint64), n) if len(b) == 8 else unpack(b)
+
+
+def counted(v: np.ndarray) -> bytes:
+    """Numbers one after the other as the first, others as byte planes."""
+    return v[:1].astype(np.uint64).tobytes() if (np.diff(v) == 1).all() else pack(v)
 
 
-def _entries(p: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray, tasks: int) -> Iterator[pa.RecordBatch]:
-    cut = _cut(a, tasks)
-    for r in range(tasks):
-        lo, hi = int(cut[r]), int(cut[r + 1])
+def uncounted(b: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(b, np.uint64) + np.arange(n, dtype=np.uint64) if len(b) == 8 else unpack(b)
+
+
+ENTRY = "r int, salt int, p binary, number binary, a binary, b binary, ids binary"
+
+
+def _entries(coarse: int, level: int, p: np.ndarray, number: np.ndarray, a: np.ndarray, b: np.ndarray, ids: np.ndarray, salts: int) -> Iterator[pa.RecordBatch]:
+    """Entries of one range of the level before, ascending by ``a``, cut into the ranges of this level."""
+    fan = 1 << FAN_BITS
+    cut = np.searchsorted((a >> np.uint64(64 - FAN_BITS * level)).astype(np.int64) - coarse * fan, np.arange(fan + 1))
+    for k in range(fan):
+        lo, hi = int(cut[k]), int(cut[k + 1])
         if lo < hi:
-            yield _table({"r": ([r], pa.int32()), "p": ([p], pa.int64()), "base": ([lo], pa.int64()), "a": ([pack(a[lo:hi], True)], pa.binary()), "b": ([pack(b[lo:hi])], pa.binary()), "ids": ([pack(ids[lo:hi].view(np.uint64))], pa.binary())})
+            salt = int(p[lo]) % salts
+            columns = [same(p[lo:hi]), counted(number[lo:hi]), pack(a[lo:hi], True), pack(b[lo:hi]), pack(ids[lo:hi].view(np.uint64))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([coarse * fan + k], pa.int32()), pa.array([salt], pa.int32()), *(pa.array([c], pa.binary()) for c in columns)],
+                ["r", "salt", "p", "number", "a", "b", "ids"],
+            )
+
 
+def _loaded(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """p, number, a, b and ids of the entries of some arrays, one after the other."""
+    got: list[list[np.ndarray]] = [[], [], [], [], []]
+    for p, number, a, b, ids in zip(*(t.column(c).to_pylist() for c in ("p", "number", "a", "b", "ids")), strict=True):
+        a = unpack(a, True)
+        for k, v in enumerate((unsame(p, len(a)), uncounted(number, len(a)), a, unpack(b), unpack(ids).view(np.int64))):
+            got[k].append(v)
+    return tuple(np.concatenate(x) for x in got)
 
-ENTRY = "r int, p long, base long, a binary, b binary, ids binary"
 
+def _narrow(level: int, salts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Arrays of several senders, put together and cut into the ranges of the next level."""
 
-def _send_runs(tasks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges: dict[int, list[pa.RecordBatch]] = {}
+        sizes: dict[int, int] = {}
+
+        def cut(r: int) -> Iterator[pa.RecordBatch]:
+            p, number, a, b, ids = _loaded(pa.Table.from_batches(ranges.pop(r)))
+            sizes.pop(r)
+            order = np.argsort(a, kind="stable")
+            yield from _entries(r, level, p[order], number[order], a[order], b[order], ids[order], salts)
+
+        for batch in batches:
+            for k, (r, a) in enumerate(zip(batch.column(0).to_pylist(), batch.column(4), strict=True)):
+                ranges.setdefault(r, []).append(batch.slice(k, 1))
+                sizes[r] = sizes.get(r, 0) + len(a.as_buffer()) // 8
+                if sizes[r] >= MERGED:
+                    yield from cut(r)
+        for r in list(ranges):
+            yield from cut(r)
+
+    return run
+
+
+def exchanged(entries: DataFrame, tasks: int) -> DataFrame:
+    """Entries of the first level brought to tasks that each hold whole ranges."""
+    depth = 1
+    while (1 << FAN_BITS * depth) < tasks:
+        # any task may put arrays of a range together, so that few ranges still make many tasks
+        salts = max(1, tasks >> FAN_BITS * (depth + 1))
+        entries = entries.repartition(tasks, "r", "salt").mapInArrow(trimmed(_narrow(depth + 1, salts)), ENTRY)
+        depth += 1
+    return entries.repartition(tasks, "r")
+
+
+def _numbered(p: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sender and number of each of its entries."""
+    return np.full(n, p, np.uint64), np.arange(n, dtype=np.uint64)
+
+
+def _send_runs(salts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p, ids, sizes, blob in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 c = Chunk(ids, sizes, blob).runs()
-                yield from _entries(p, c.bucket[c.lead], c.kind[c.lead], c.least, tasks)
+                yield from _entries(0, 1, *_numbered(p, len(c.lead)), c.bucket[c.lead], c.kind[c.lead], c.least, salts)
 
     return run
 
 
-def _send_strings(tasks: int):
+def _send_strings(salts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p, ids, sizes, blob, refine in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 c = Chunk(ids, sizes, blob).runs()
                 _, k1, k2, of = c.strings(numbers(refine))
                 _, lead, least = grouped(k1, k2, of)
-                yield from _entries(p, k1[lead], k2[lead], least, tasks)
+                yield from _entries(0, 1, *_numbered(p, len(lead)), k1[lead], k2[lead], least, salts)
 
     return run
 
@@ -287,7 +370,7 @@ def numbers(blobs: list[bytes] | None) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, np.uint32) for x in blobs]).astype(np.int64) if blobs else np.zeros(0, np.int64)
 
 
-def _settle(refining: bool):
+def _settle(refining: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """In a bucket task: which entries of which chunk go, and (refining) which need a look string by string.
 
     A partition holds the blobs of a few ranges; they are put together here, so that Spark only passes them through and
@@ -303,12 +386,7 @@ def _settle(refining: bool):
             yield from settle(pa.Table.from_batches(ranges.popitem()[1])).to_batches()
 
     def settle(t: pa.Table) -> pa.Table:
-        ps, bases = t.column("p").to_pylist(), t.column("base").to_pylist()
-        a = [unpack(x, True) for x in t.column("a").to_pylist()]
-        sizes = [len(x) for x in a]
-        a = np.concatenate(a)
-        b = np.concatenate([unpack(x) for x in t.column("b").to_pylist()])
-        ids = np.concatenate([unpack(x) for x in t.column("ids").to_pylist()]).view(np.int64)
+        p, number, a, b, ids = _loaded(t)
         order = ordered(a, b, ids)
         a = a[order]
         b = b[order]
@@ -327,76 +405,90 @@ def _settle(refining: bool):
             first = np.flatnonzero(new_a[lead])
             low, high = np.minimum.reduceat(ids[lead], first), np.maximum.reduceat(ids[lead], first)
             look = (low < high)[np.cumsum(new_a) - 1] & ~gone
-        source = np.repeat(np.arange(len(ps)), sizes)[order]
-        number = (np.concatenate([np.arange(s) for s in sizes]) + np.repeat(bases, sizes))[order]
         out: dict[str, list] = {"p": [], "gone": [], "look": []}
         hit = np.flatnonzero(gone | look)
-        hit = hit[np.argsort(source[hit], kind="stable")]
-        cut = np.searchsorted(source[hit], np.arange(len(ps) + 1))
-        for k, p in enumerate(ps):
-            h = hit[cut[k] : cut[k + 1]]
-            if len(h):
-                out["p"].append(p)
-                out["gone"].append(number[h[gone[h]]].astype(np.uint32).tobytes())
-                out["look"].append(number[h[look[h]]].astype(np.uint32).tobytes())
+        source, number = p[order[hit]], number[order[hit]].astype(np.uint32)
+        by = np.argsort(source, kind="stable")
+        hit, source, number = hit[by], source[by], number[by]
+        cut = np.flatnonzero(np.concatenate([[True], source[1:] != source[:-1], [True]])) if len(hit) else np.zeros(1, np.int64)
+        for lo, hi in zip(cut.tolist(), cut[1:].tolist(), strict=False):
+            h, n = hit[lo:hi], number[lo:hi]
+            out["p"].append(int(source[lo]))
+            out["gone"].append(n[gone[h]].tobytes())
+            out["look"].append(n[look[h]].tobytes())
         return pa.table({"p": pa.array(out["p"], pa.int64()), "gone": pa.array(out["gone"], pa.binary()), "look": pa.array(out["look"], pa.binary())})
 
     return run
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, ids, sizes, blob, gone, look, gone2 in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-            c = Chunk(ids, sizes, blob).runs()
-            drop = np.zeros(len(c.lead), bool)
-            drop[numbers(gone)] = True
-            runs = np.flatnonzero(drop[c.group] | (c.id > c.least[c.group]))
-            cover = np.zeros(len(c.data) + 1, np.int32)
-            np.add.at(cover, c.first[runs], 1)
-            np.add.at(cover, c.first[runs] + c.count[runs] + DEPTH - 1, -1)
-            start, k1, k2, of = c.strings(numbers(look))
-            group, _, least = grouped(k1, k2, of)
-            drop = np.zeros(len(least), bool)
-            drop[numbers(gone2)] = True
-            start = start[drop[group] | (of > least[group])]
-            np.add.at(cover, start, 1)
-            np.add.at(cover, start + DEPTH, -1)
-            removed = np.cumsum(cover[:-1]) > 0
-            n = len(c.sizes)
-            spans, digests = [], []
-            for lo, size in zip(c.starts.tolist(), c.sizes.tolist(), strict=True):
-                r = removed[lo : lo + size]
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], r.view(np.int8), [0]])))
-                spans.append([{"start": int(x), "stop": int(y)} for x, y in edge.reshape(-1, 2)])
-                digests.append(hashlib.sha256(c.data[lo : lo + size][~r].tobytes() if len(edge) else c.data[lo : lo + size]).hexdigest())
-            for lo in range(0, n, 5000):
-                yield _table({"id": ([None if i == NO_ID else i for i in c.ids[lo : lo + 5000].tolist()], pa.int64()), "n_bytes": (c.sizes[lo : lo + 5000].tolist(), pa.int64()), "spans": (spans[lo : lo + 5000], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), "kept_sha256": (digests[lo : lo + 5000], pa.string())})
+def _finish(whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per document: id, n_bytes, spans and kept_sha256; if ``whole``, id and what is kept."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, ids, sizes, blob, gone, look, gone2 in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                c = Chunk(ids, sizes, blob).runs()
+                drop = np.zeros(len(c.lead), bool)
+                drop[numbers(gone)] = True
+                runs = np.flatnonzero(drop[c.group] | (c.id > c.least[c.group]))
+                cover = np.zeros(len(c.data) + 1, np.int32)
+                np.add.at(cover, c.first[runs], 1)
+                np.add.at(cover, c.first[runs] + c.count[runs] + DEPTH - 1, -1)
+                start, k1, k2, of = c.strings(numbers(look))
+                group, _, least = grouped(k1, k2, of)
+                drop = np.zeros(len(least), bool)
+                drop[numbers(gone2)] = True
+                start = start[drop[group] | (of > least[group])]
+                np.add.at(cover, start, 1)
+                np.add.at(cover, start + DEPTH, -1)
+                removed = np.cumsum(cover[:-1]) > 0
+                out: list[tuple] = []
+                for i, lo, size in zip(c.ids.tolist(), c.starts.tolist(), c.sizes.tolist(), strict=True):
+                    r, data = removed[lo : lo + size], c.data[lo : lo + size]
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], r.view(np.int8), [0]])))
+                    kept = (data[~r] if len(edge) else data).tobytes()
+                    spans = [{"start": int(x), "stop": int(y)} for x, y in edge.reshape(-1, 2)]
+                    out.append((None if i == NO_ID else i, *((kept,) if whole else (size, spans, hashlib.sha256(kept).hexdigest()))))
+                    if len(out) == 5000:
+                        yield _rows(out, whole)
+                        out = []
+                if out:
+                    yield _rows(out, whole)
 
-def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_bytes, spans (array of start, stop: the maximal removed runs), kept_sha256."""
+    return run
+
+
+def _rows(out: list[tuple], whole: bool) -> pa.RecordBatch:
+    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    kinds = {"id": pa.int64(), "kept": pa.binary()} if whole else {"id": pa.int64(), "n_bytes": pa.int64(), "spans": span, "kept_sha256": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds.values(), strict=True)], list(kinds))
+
+
+def _spans(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame:
     scratch = Scratch(spark, "suffix_dedup")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     chunks = scratch.keep(rows.mapInArrow(trimmed(_chunks), "p long, ids binary, sizes binary, blob binary"), "chunks")
-    size = chunks.agg(F.sum(F.expr("octet_length(sizes) / 8")).alias("n"), F.count("*").alias("chunks")).first()
-    tasks = max(12, -(-(size["chunks"] or 0) * CHUNK_BYTES // 15 // TASK_ENTRIES))
+    tasks = max(12, -(-chunks.count() * CHUNK_BYTES // 15 // TASK_ENTRIES))
+    salts = max(1, tasks >> FAN_BITS)
     reply = "p long, gone binary, look binary"
     gather = lambda df, *cols: df.groupBy("p").agg(*(F.collect_list(c).alias(c) for c in cols))
-    first = scratch.keep(gather(chunks.mapInArrow(trimmed(_send_runs(tasks)), ENTRY).repartition(tasks, "r").mapInArrow(trimmed(_settle(True)), reply), "gone", "look"), "runs")
+    runs = exchanged(chunks.mapInArrow(trimmed(_send_runs(salts)), ENTRY), tasks).mapInArrow(trimmed(_settle(True)), reply)
+    first = scratch.keep(gather(runs, "gone", "look"), "runs")
     open_chunks = chunks.join(first.select("p", "look"), "p").select("p", "ids", "sizes", "blob", "look")
-    second = scratch.keep(gather(open_chunks.mapInArrow(trimmed(_send_strings(tasks)), ENTRY).repartition(tasks, "r").mapInArrow(trimmed(_settle(False)), reply).select("p", F.col("gone").alias("gone2")), "gone2"), "strings")
-    whole = chunks.join(first.join(second, "p", "left"), "p", "left").select("p", "ids", "sizes", "blob", "gone", "look", "gone2")
-    return whole.mapInArrow(trimmed(_finish), "id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept_sha256 string")
+    strings = exchanged(open_chunks.mapInArrow(trimmed(_send_strings(salts)), ENTRY), tasks).mapInArrow(trimmed(_settle(False)), reply)
+    second = scratch.keep(gather(strings.select("p", F.col("gone").alias("gone2")), "gone2"), "strings")
+    every = chunks.join(first.join(second, "p", "left"), "p", "left").select("p", "ids", "sizes", "blob", "gone", "look", "gone2")
+    return every.mapInArrow(trimmed(_finish(whole)), "id long, kept binary" if whole else "id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept_sha256 string")
 
 
-def drop_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and what is left of the text (binary, since cuts may fall inside a character).  Ids must be unique."""
-    spans = repeated_spans(spark, docs, id_col, text_col).select(F.col("id").alias("__id"), "spans")
-    data = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").cast("binary").alias("out"))
+def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, n_bytes, spans (array of start, stop: the maximal removed runs), kept_sha256."""
+    return _spans(spark, docs, id_col, text_col, False)
 
-    def step(acc, s):
-        return F.struct(s["stop"].alias("at"), F.concat(acc["out"], F.substring(data, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))).alias("out"))
 
-    left = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(data, (acc["at"] + 1).cast("int"), F.octet_length(data))))
-    return docs.join(spans, F.col(id_col).cast("long") == F.col("__id")).select(F.col("__id").alias("id"), left.alias("kept"))
+def drop_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id and kept, what is left of the text (binary, since cuts may fall inside a character).
+
+    Rows keep their own texts, whether or not they share an id.
+    """
+    return _spans(spark, docs, id_col, text_col, True)
