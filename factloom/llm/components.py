@@ -14,11 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.store import Scratch
+from factloom.llm.store import Scratch, freed_shuffles
+
+
+#: Nodes that a task keeps in mind; beyond that it hands its stars on and starts anew.
+NODES = 400_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contract the edges of one partition to stars around their smallest node."""
+    """Contract the edges of one partition to stars around their smallest node, in parts of ``NODES`` nodes or so."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -29,6 +33,12 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x], x = top, parent[x]
         return top
 
+    def stars() -> Iterator[pa.RecordBatch]:
+        pairs = [(x, r) for x in parent if (r := root(x)) != x]
+        for i in range(0, len(pairs), 50_000):
+            u, v = zip(*pairs[i : i + 50_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             parent.setdefault(a, a)
@@ -36,10 +46,10 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    pairs = [(x, r) for x in parent if (r := root(x)) != x]
-    for i in range(0, len(pairs), 50_000):
-        part = pairs[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64())], ["u", "v"])
+        if len(parent) > NODES:
+            yield from stars()
+            parent.clear()
+    yield from stars()
 
 
 def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
@@ -62,7 +72,8 @@ def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = scratch.keep(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        mark = after.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+        with freed_shuffles(spark):
+            mark = after.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         scratch.drop(e)
         e = after
         if (mark["n"], mark["x"]) == seen:

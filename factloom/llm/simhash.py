@@ -14,11 +14,13 @@ and task, never all pairs.  No candidate is capped.
 ``similar_groups`` is the same index at work for copies at a Jaccard similarity of 0.8 over distinct 5-word shingles, with a
 fingerprint for that measure: 30 segments of 30 one-bit min-hashes of the shingle set.  At 0.8 a bit differs with
 probability 0.1, however the differences are spread, and two texts have a segment with at most one differing bit with
-probability 0.997; strangers meet in one by chance once in a million pairs.  Bit counts only preselect; every
-link that counts is verified by exact Jaccard, inside the groups that the preselected links form.
+probability 0.997; strangers meet in one by chance once in a million pairs.  Bit counts only preselect, and lose nothing
+that can be seen (``MOST``); every link that counts is verified by exact Jaccard, inside the groups that the preselected
+links form.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; texts of fewer words than a shingle
-use the whole sequence; repeated rows share a fingerprint; an empty table gives an empty table.
+use the whole sequence; repeated rows share a fingerprint; a row without an id gets its fingerprint and the component of the
+documents that share it (null where there is none), and links nobody; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -42,6 +44,11 @@ SHINGLE = 3
 DISTANCE = 3
 SEGMENTS = 30
 WIDTH = 30
+#: Differing bits up to which a pair of the pipeline's 900-bit fingerprints is verified: at a similarity of 0.8 a bit differs
+#: with probability 0.1, so 90 bits do on average, and more than 200 do in one pair of 10^25.
+MOST = 200
+#: Segment values that a task looks through together; bounds its memory.
+MET = 200_000
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -184,12 +191,10 @@ def _meet(width: int):
     together, so all their variants are looked up here and never travel: two rows per value instead of one per bit.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
-        if not got:
-            return
-        side, half, seg = (np.concatenate(x) for x in zip(*got, strict=True))
-        for h, bits in ((0, range(width // 2)), (1, range(width // 2, width))):
+    low, mask = width // 2, (1 << 40) - 1
+
+    def meet(side: np.ndarray, half: np.ndarray, seg: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for h, bits in ((0, range(low)), (1, range(low, width))):
             mine = half == h
             values = np.unique(side[mine].astype(np.int64) << 40 | seg[mine])
             for bit in bits:
@@ -199,9 +204,24 @@ def _meet(width: int):
                 hit = values[at] == one if len(values) else np.zeros(0, bool)
                 u, v = zero[hit], one[hit]
                 if len(u):
-                    mask = (1 << 40) - 1
                     yield pa.RecordBatch.from_arrays([pa.array((u >> 40).astype(np.int32)), pa.array(u & mask), pa.array(v & mask)], ["side", "u", "v"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by side, half and the part they agree in; a group holds 2^(width / 2) values at most."""
+        rest: list[np.ndarray] | None = None
+        for batch in batches:
+            got = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            got = got if rest is None else [np.concatenate(x) for x in zip(rest, got, strict=True)]
+            side, half, _, part = got
+            new = np.flatnonzero((side[1:] != side[:-1]) | (half[1:] != half[:-1]) | (part[1:] != part[:-1])) + 1
+            cut = int(new[-1]) if len(new) else 0
+            if cut >= MET:
+                yield from meet(*(x[:cut] for x in got[:3]))
+                got = [x[cut:] for x in got]
+            rest = got
+        if rest is not None:
+            yield from meet(*rest[:3])
+
     return run
 
 
@@ -213,7 +233,8 @@ def near_links(prints: DataFrame, scratch: Scratch, most: int, width: int) -> Da
     low = width // 2
     part = F.when(F.col("half") == 0, F.shiftright("seg", low)).otherwise(F.col("seg").bitwiseAND(F.lit((1 << low) - 1)))
     open_halves = sizes.select("side", "seg", F.explode(F.array(F.lit(0), F.lit(1))).alias("half")).withColumn("rest", part)
-    met = open_halves.repartition("side", "half", "rest").select("side", "half", "seg").mapInArrow(trimmed(_meet(width)), "side int, u long, v long")
+    dealt = open_halves.repartition("side", "half", "rest").sortWithinPartitions("side", "half", "rest")
+    met = dealt.select("side", "half", "seg", "rest").mapInArrow(trimmed(_meet(width)), "side int, u long, v long")
     size_of = lambda name, n: sizes.select("side", F.col("seg").alias(name), F.col("n").alias(n))
     pairs = met.join(size_of("u", "nu"), ["side", "u"]).join(size_of("v", "nv"), ["side", "v"])
     # of two values that meet, the one with more fingerprints is the centre: its fingerprints stand in its bucket once,
@@ -284,7 +305,7 @@ def _best(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("root").agg(F.min(order).alias("best"), F.sum("n").alias("n")).where("n > 1").select("root", "best")
 
 
-def similar_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similar: float = 0.8, segments: int = SEGMENTS, width: int = WIDTH, most: int = 200) -> DataFrame:
+def similar_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similar: float = 0.8, segments: int = SEGMENTS, width: int = WIDTH, most: int = MOST) -> DataFrame:
     """Groups linked at a Jaccard similarity of ``similar``: id and component_id, for documents in groups of two or more.
 
     Documents with equal shingle sets stand for each other.  Texts of fewer words than a shingle use the whole sequence;
@@ -300,7 +321,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
 
     Rows are told apart by id and shingle set, so rows that share an id, or have none, stay or go by their own text.
     """
-    pairs = _similar_rows(spark, docs, id_col, text_col, shingle, similar, SEGMENTS, WIDTH, 200)
+    pairs = _similar_rows(spark, docs, id_col, text_col, shingle, similar, SEGMENTS, WIDTH, MOST)
     kept = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key"))
     found = pairs.join(_best(pairs), "root").select("id", F.col("key").alias("mark"), kept.alias("kept"), "n")
     marked = with_column(lambda texts: _keys([shingle_set(t, shingle) for t in texts]), docs, text_col, "__key", LongType())
