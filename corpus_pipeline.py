@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontaminate, exact_dedup, pieces, simhash, toxicity
+from factloom.llm import decontaminate, exact_dedup, pieces, simhash, store, toxicity
 from factloom.llm.queries import piece_model, table
 from factloom.llm.store import Scratch
 
@@ -51,7 +51,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        before = store.written(spark)
         kept = scratch.keep(stage(spark, docs, sf_dir), name)
+        # the stage's result is written, so its own tables have served
+        store.clear(spark, [root for root in store.written(spark) if root not in before])
         if hasattr(docs, "_factloom_path"):
             scratch.drop(docs)
         docs = kept
