@@ -40,7 +40,32 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard(spark, table(spark, sf_dir, "documents"), 24)
-    return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
+    return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+#: The checksum is a table of 256 remainders and a fold over the bytes, the jump a recursion per key.
+ORACLE_SQL["op4_sharding"] = """
+WITH RECURSIVE
+    bits(b, c, k) AS (
+        SELECT b, b, 0 FROM range(256) t(b)
+        UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+    crc AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+    d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+    y AS (SELECT doc_id, CAST(length(x) // 2 + 8 AS BIGINT) AS size,
+        list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))) AS bytes FROM d),
+    s AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda a, y: xor(a >> 8, t[(xor(a, y) & 255) + 1])), 4294967295) AS text_crc32 FROM y, crc),
+    n(shards) AS (VALUES (24), (25)),
+    m0 AS (SELECT DISTINCT doc_id, CAST((CAST(doc_id AS HUGEINT) + 18446744073709551616) % 18446744073709551616 AS UHUGEINT) AS h FROM documents),
+    m1 AS (SELECT doc_id, xor(h, h >> 30) * 13787848793156543929 % 18446744073709551616 AS h FROM m0),
+    m2 AS (SELECT doc_id, xor(h, h >> 27) * 10723151780598845931 % 18446744073709551616 AS h FROM m1),
+    jump(doc_id, shards, h, b, j) AS (
+        SELECT doc_id, shards, xor(h, h >> 31), CAST(-1 AS BIGINT), CAST(0 AS BIGINT) FROM m2, n
+        UNION ALL SELECT doc_id, shards, h, j, CAST(floor((j + 1) * (CAST(2147483648 AS DOUBLE) / (CAST(h >> 33 AS DOUBLE) + 1.0))) AS BIGINT)
+        FROM (SELECT doc_id, shards, j, (h * 2862933555777941757 + 1) % 18446744073709551616 AS h FROM jump WHERE j < shards)),
+    home AS (SELECT doc_id, max(b) FILTER (WHERE shards = 24) AS shard, max(b) FILTER (WHERE shards = 25) AS grown_shard FROM jump GROUP BY doc_id)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, grown_shard
+FROM s JOIN home USING (doc_id)
+"""
 
 
 @query
@@ -98,6 +123,21 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+#: Every string of 50 bytes of every text, as hexadecimal digits.
+ORACLE_SQL["op9_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+    b AS (SELECT doc_id, unnest(range(length(x) // 2)) AS p, x FROM d),
+    g AS (SELECT doc_id, p, substr(x, 2 * p + 1, 2) AS byte, CASE WHEN 2 * p + 100 <= length(x) THEN substr(x, 2 * p + 1, 100) END AS s FROM b),
+    f AS (SELECT doc_id, p, byte, s IS NOT NULL AND min(doc_id) OVER (PARTITION BY s) < doc_id AS hit FROM g),
+    c AS (SELECT doc_id, p, byte, coalesce(bool_or(hit) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone FROM f),
+    e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM c),
+    a AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
+        string_agg(byte, '' ORDER BY p) FILTER (WHERE NOT gone) AS kept FROM e GROUP BY doc_id)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)
+"""
+
+
 @query
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = passage_dedup.repeated_passages(spark, table(spark, sf_dir, "documents"))

@@ -1,12 +1,14 @@
 """The registered queries and the corpus pipeline."""
 
 import hashlib
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factloom.llm import decontaminate
+from factloom.llm import decontaminate, store, toxicity
 from factloom.llm.queries import ORACLE_SQL, QUERIES
 
 COLUMNS = {
@@ -58,3 +60,91 @@ def test_stages_do_what_they_say(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs.where("doc_id in (1, 3, 4, 6)"), "").collect()) == [1, 4, 6]
     bench = spark.createDataFrame([(0, " ".join(body(4).split()[10:40]))], "item_id long, text string")
     assert decontaminate.drop_contaminated(spark, docs.where(F.col("text") != ""), bench).count() == 3
+
+
+COLUMNS_OF_DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def folder(spark, path, rows, schema=COLUMNS_OF_DOCUMENTS, labels=(), items=()):
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def plain_run(rows, model, items):
+    """The stages by brute force: ids (with how often) of what is left."""
+    left = [r for r in rows if toxicity.sigmoid(sum(c * x for c, x in zip(model.curve, (1.0, *toxicity.features(toxicity.fold(r[1]), model.automaton())), strict=True))) < 0.5]
+    best = {}
+    for i, t in left:
+        key = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        if key not in best or (i is not None and (best[key][0] is None or i > best[key][0])):
+            best[key] = (i, t)
+    left = list(best.values())
+    words = [(t or "").lower().split() for _, t in left]
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for w in words]
+    group = list(range(len(left)))
+    for a in range(len(left)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                group = [group[a] if g == group[b] else g for g in group]
+    order = lambda k: (left[k][0] is None, left[k][0] or 0)
+    left = [left[min((k for k in range(len(left)) if group[k] == g), key=order)] for g in set(group)]
+    known = {}
+    ids = {k: decontaminate.word_ids(t, known) for k, t in items}
+
+    def leaks(t):
+        w = decontaminate.word_ids(t, known)
+        for item in ids.values():
+            for shift in range(1 - len(item), len(w)):
+                if decontaminate.stretch(w, item, shift, 0, len(w), decontaminate.MIN_WORDS):
+                    return True
+                if 0 <= shift <= len(w) - len(item) and 5 * (w[shift : shift + len(item)] == item).sum() >= 4 * len(item):
+                    return True
+        return False
+
+    return Counter(i for i, t in left if not leaks(t))
+
+
+def test_run_equals_brute_force(spark, tmp_path):
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(5))
+    text = lambda n: [word() for _ in range(n)]
+    items = [(k, " ".join(text(25))) for k in range(6)]
+    rows, labels = [], []
+    for i in range(240):
+        w = text(rng.randint(30, 90))
+        if i % 3 == 0:
+            w[3] = w[9] = rng.choice(["vile", "nasty"])
+        labels.append((i, 1, int(i % 3 == 0)))
+        rows.append((i, " ".join(w)))
+    for k in range(20):
+        base = text(100)
+        near = list(base)
+        near[50 + k] = "changed"
+        rows += [(1000 + 10 * k, " ".join(base)), (1001 + 10 * k, " ".join(base).upper()), (1002 + 10 * k, " ".join(near)), (1003 + 10 * k, " ".join(near[:60]))]
+    leak = items[2][1].split()
+    leak[8] = "other"
+    rows += [(2000, " ".join([*text(20), *leak, *text(20)])), (2001, " ".join([*text(20), *leak[:16], *text(20)])), (2002, " ".join([*text(20), *leak[:7], *text(20)]))]
+    rows += [(None, " ".join(text(40))), (None, " ".join(text(40))), (2003, None), (2004, ""), (2005, "x"), (2005, "y"), (2005, "y")]
+    path = folder(spark, tmp_path / "a", [(i, t, "en", "s", len(t or "")) for i, t in rows], labels=labels, items=items)
+    model = toxicity.fit(spark, spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet"))
+    assert model.weights
+    before = store.written(spark)
+    got = corpus_pipeline.run(spark, path)
+    # what the stages wrote for themselves is gone, only the last one's input is left
+    assert len([r for r in store.written(spark) if r not in before]) <= 2
+    assert Counter(r.doc_id for r in got.collect()) == plain_run(rows, model, items)
+
+
+def test_run_on_empty_and_odd_tables(spark, tmp_path):
+    wide = f"{COLUMNS_OF_DOCUMENTS}, row long, digest string, kept boolean, key long, id long"
+    assert corpus_pipeline.run(spark, folder(spark, tmp_path / "empty", [], wide)).count() == 0
+    rows = [(1, "one text of words here", "en", "s", 1), (1, "another text of words", None, None, None), (None, None, None, None, None), (None, "a third text stands here", "en", "s", 2), (2, "long " * 50_000, "en", "s", 3)]
+    path = folder(spark, tmp_path / "odd", [(*r, 7, "d", True, 8, 9) for r in rows], wide)
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, path)
+        assert kept.columns == docs.columns and kept.count() == len(rows), name
+    got = corpus_pipeline.run(spark, path).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens > 1) for r in got) == [(0, False), (0, True), (1, True), (1, True), (2, True)]
