@@ -317,20 +317,30 @@ def test_recall_of_the_bands(spark, frame):
     assert sum(i in whole and whole[i] == whole.get(i + 1) for i in pairs) >= 0.93 * len(pairs)
 
 
-def test_any_fifty_equal_words_hold_a_stretch():
+def test_runs_of_equal_words_hold_a_stretch():
     rng = random.Random(21)
     word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(4)).encode()
-    for _ in range(60):
-        run = b" ".join(word() for _ in range(50))
-        held = []
-        for _ in range(2):
-            text = b" ".join([*(word() for _ in range(rng.randint(0, 70))), run, *(word() for _ in range(rng.randint(0, 70)))])
-            p = passage_dedup.Paragraphs([b"x y", text, b"z"], 5)
-            inner = p.kind == passage_dedup.INNER
-            lo = text.index(run)
-            inside = inner & (p.words.lo[p.first] >= lo) & (p.words.hi[p.first + p.count - 1] <= lo + len(run)) & (p.text == 1)
-            held.append(set(p.content[inside].tolist()))
-        assert held[0] & held[1]
+    for n, least in ((51, 0.96), (60, 0.98), (100, 1.0)):
+        hits = 0
+        for _ in range(400):
+            run = b" ".join(word() for _ in range(n))
+            held = []
+            for _ in range(2):
+                text = b" ".join([*(word() for _ in range(rng.randint(0, 70))), run, *(word() for _ in range(rng.randint(0, 70)))])
+                p = passage_dedup.Paragraphs([b"x y", text, b"z"], 5)
+                lo = text.index(run)
+                inside = (p.kind == passage_dedup.INNER) & (p.words.lo[p.first] >= lo) & (p.words.hi[p.first + p.count - 1] <= lo + len(run)) & (p.text == 1)
+                held.append(set(p.content[inside].tolist()))
+            hits += bool(held[0] & held[1])
+        assert hits >= least * 400, n
+
+
+def test_stretches_of_one_text_share_no_shingle():
+    rng = random.Random(30)
+    words = [b"".join(rng.choice([b"a", b"b", b"c"]) for _ in range(4)) for _ in range(60)]
+    text = b" ".join(rng.choice(words) for _ in range(5000))
+    first, count = passage_dedup.Words([text]).stretches()
+    assert len(first) > 300 and (first[1:] >= first[:-1] + count[:-1] - 4).all() and count.min() >= 10
 
 
 def test_hot_keys_travel_salted_and_lose_nobody(monkeypatch):
