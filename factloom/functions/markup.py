@@ -6,11 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.functions.text import let, strip, text_of
+from factloom.functions.text import let, strip, text_of, truncate_at_word
 
 # Parameter names by meaning, empty values, patterns.
 RELATIONS = {
@@ -246,3 +246,59 @@ def canon_basis(title: Column, categories: Column, novel_titles: tuple[str, ...]
     b = said(F.filter(names, lambda c: ~novel(c) & c.rlike(SCREEN)))
     basis = F.when((F.size(a) > 0) & (F.size(b) > 0), "both").when(F.size(a) > 0, "novel").when(F.size(b) > 0, "screen").otherwise("unknown")
     return F.struct(basis.alias("basis"), F.concat(a, b).alias("evidence"))
+
+
+def relationships(params: Column) -> Column:
+    """(target, kind, field) of all relations' parameters in their order, the first of each target and kind."""
+    fields = F.array(*(F.lit(x) for x in RELATIONS))
+    told = F.filter(F.map_entries(params), lambda e: F.array_contains(fields, e["key"]) & ~is_no_value(value(e["value"])))
+    read = lambda e: F.transform(relations(e["key"], e["value"]), lambda r: F.struct(r["target"].alias("target"), r["kind"].alias("kind"), e["key"].alias("field")))
+    same = lambda r: F.concat_ws("\0", F.lower(r["target"]), F.lower(r["kind"]))
+
+    def first(rows: Column) -> Column:
+        return let(F.transform(rows, same), lambda keys: F.filter(rows, lambda r, i: F.array_position(keys, same(r)) == i + 1))
+
+    return let(F.flatten(F.transform(told, read)), first)
+
+
+def aliases(params: Column, lead: Column, name: Column, titles: tuple[str, ...] = ()) -> Column:
+    """Names in alias parameters and in bold in the lead, without the page's own name and those of works (``titles``)."""
+    fields = F.array(*(F.lit(x) for x in ALIAS_FIELDS))
+    listed = F.flatten(F.transform(F.filter(F.map_entries(params), lambda e: F.array_contains(fields, e["key"])), lambda e: field_aliases(e["value"])))
+    out = F.array(F.lower(strip(name)), *(F.lit(t.strip().lower()) for t in titles))
+    return F.filter(first_seen(F.concat(listed, lead_aliases(lead))), lambda a: ~F.array_contains(out, F.lower(a)))
+
+
+def is_entity_page(name: Column, has_profile: Column, found: Column, lead: Column) -> Column:
+    """Whether a page is about one thing: it has a profile, relations to others, or its own name in bold in the lead."""
+    own = F.exists(lead_aliases(lead), lambda a: F.lower(a) == F.lower(strip(name)))
+    return F.coalesce(has_profile, F.lit(False)) | (F.coalesce(F.size(found), F.lit(0)) > 0) | F.coalesce(own, F.lit(False))
+
+
+def entities_of(pages: DataFrame, titles: tuple[str, ...] = (), summary_chars: int = 600) -> DataFrame:
+    """Pages ``(title, markup, categories, kind, prominence, page_url)`` as sightings of entities, with the page's other columns.
+
+    Pages without text, and those that list things instead of being about one, are left out.  What a page is cut into is
+    bound once per page (the explodes of one).
+    """
+    keep = [c for c in pages.columns if c not in ("markup", "categories")]
+    p = pages.where(F.coalesce(F.length("markup"), F.lit(0)) > 0)
+    p = p.select(*keep, "categories", templates(preprocess(F.col("markup"))).alias("ts"), lead_markup(F.col("markup")).alias("lead"))
+    p = p.select(*keep, "categories", "lead", F.explode(F.array(profile(F.col("ts")))).alias("box"))
+    params = F.coalesce("box.params", F.create_map().cast("map<string,string>"))
+    p = p.select(*keep, "lead", F.col("box").isNotNull().alias("boxed"), params.alias("params"), canonical_name(F.col("title")).alias("canonical_name"), canon_basis(F.col("title"), F.coalesce("categories", F.array().cast("array<string>"))).alias("b"))
+    cut = F.struct(relationships(F.col("params")).alias("relationships"), attributes(F.col("params")).alias("attributes"))
+    p = p.select("*", F.explode(F.array(cut)).alias("x")).where(is_entity_page(F.col("canonical_name"), F.col("boxed"), F.col("x.relationships"), F.col("lead")))
+    basis, url = F.col("b.basis"), F.col("page_url")
+    with_basis = lambda r, *names: F.struct(*(r[n].alias(n) for n in names), basis.alias("canon_basis"), url.alias("source_url"))
+    return p.select(
+        *[c for c in keep if c not in ("title", "page_url")],
+        "canonical_name",
+        basis.alias("canon_basis"),
+        aliases(F.col("params"), F.col("lead"), F.col("canonical_name"), titles).alias("aliases"),
+        truncate_at_word(plain(F.col("lead")), summary_chars).alias("summary"),
+        life_status(F.col("params")).alias("life_status"),
+        F.transform("x.relationships", lambda r: with_basis(r, "target", "kind", "field")).alias("relationships"),
+        F.transform("x.attributes", lambda a: with_basis(a, "predicate", "value")).alias("attributes"),
+        F.array(F.struct(F.col("title").alias("page_title"), url.alias("page_url"), basis.alias("canon_basis"), F.col("b.evidence").alias("basis_evidence"))).alias("sources"),
+    )

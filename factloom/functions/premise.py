@@ -22,10 +22,20 @@ SURVIVAL = (
 SURVIVAL_TAG = r"^if([a-z]{3,20})(?:lived|survived|hadlived)$"
 WAKES = rf"\b{NAME}\s+(?:wakes|woke|awakens|awoke)\s+up\b"
 TIME_GAP = r"\b\d+\s+years\s+(?:after|later)\b|\b(?:decades|centuries|years)\s+later\b"
-NO_NAMES = "the this that these those he she it they we you i his her their there then when where while if but and so most some many read in on at a an one two everyone nobody someone what who now after before instead however perhaps maybe".split()
+NO_NAMES = (
+    "the", "this", "that", "these", "those", "he", "she", "it", "they", "we", "you", "i", "his", "her", "their",
+    "there", "then", "when", "where", "while", "if", "but", "and", "so", "most", "some", "many", "read", "in", "on",
+    "at", "a", "an", "one", "two", "everyone", "nobody", "someone", "what", "who", "now", "after", "before",
+    "instead", "however", "perhaps", "maybe",
+)
 CROSSOVER_TITLE = r"(?i)([A-Za-z][A-Za-z' ]{2,40})\s*/\s*([A-Za-z][A-Za-z' ]{2,40}?)\s*fan\W*fiction\b"
 CROSSOVER_WORD = r"(?i)\bcross-?over\b"
-READER = r"(?i)\bx\s*reader\b|\breader\s*x\b|\by\s*/\s*n\b|\breader\s*[-_]?insert\b"
+READER = (
+    r"(?i)\bx\s*reader\b",
+    r"(?i)\breader\s*x\b",
+    r"(?i)\by\s*/\s*n\b",
+    r"(?i)\breader\s*[-_]?insert\b",
+)
 READER_TARGET = r"(?i)([A-Za-z][A-Za-z' ]{2,30}?)\s*x\s*reader\b"
 PAIRING = r"\b([A-Z][a-z]{2,})\s*[x×]\s*([A-Z][a-z]{2,})\b"
 SIMPLE = {
@@ -176,7 +186,10 @@ def signature(title: Column, description: Column, tags: Column, own: str) -> Col
     text = F.concat(F.coalesce(title, F.lit("")), F.lit(". "), F.coalesce(description, F.lit("")))
     tags = F.coalesce(tags, F.array().cast("array<string>"))
     who = {"character_survives": survivors(text, tags), "crossover": crossing(title, F.lit(own)), "reader_insert": reader_targets(text, tags), "pairing": paired(title)}
-    is_reader = text.rlike(READER) | F.exists(_flat(tags), lambda t: F.endswith(t, F.lit("xreader")))
+    is_reader = F.lit(False)
+    for pattern in READER:
+        is_reader |= text.rlike(pattern)
+    is_reader |= F.exists(_flat(tags), lambda t: F.endswith(t, F.lit("xreader")))
     fired = {"character_survives": F.size(who["character_survives"]) > 0, "crossover": (F.size(who["crossover"]) > 0) | text.rlike(CROSSOVER_WORD), "reader_insert": is_reader, "pairing": F.size(who["pairing"]) > 0} | {t: text.rlike(p) for t, p in SIMPLE.items()}
     tropes = F.array_compact(F.array(*(F.when(F.coalesce(fired[t], F.lit(False)), F.lit(t)) for t in PRECEDENCE)))
     return F.struct(tropes.alias("tropes"), *(who[t].alias(t) for t in WITH_ENTITIES))

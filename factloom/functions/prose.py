@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import LINE_END, let, strip, text_of
@@ -12,9 +12,24 @@ NEUTRAL = 0.5
 WEIGHTS = {"sentence_rhythm": 0.20, "dialogue_craft": 0.18, "vocabulary": 0.18, "interiority": 0.16, "paragraphs": 0.14, "punctuation": 0.14}
 SENTENCE_END = r"(?<=[.!?…])[\"'”’)\]]*\s+"
 WORD = r"[A-Za-z][A-Za-z'’]*"
-TAG_VERBS = "said says say asked asks replied answered whispered muttered shouted yelled murmured growled snapped breathed sighed laughed added continued called cried hissed demanded offered admitted agreed insisted told explained mused grumbled screamed stammered repeated warned begged teased".split()
-INTERIOR = "thought thoughts thinking felt feel feeling wondered wonder realized realised remembered remember knew hoped wanted needed ashamed afraid guilt ignored imagined decided doubted regret ached dreaded understood suspected hated loved inside something dead".split()
-SENSORY = "cold warm heat air skin breath breathing smell smelled taste tasted light dark shadow sound silence blood hands arms throat chest goose bumps goosebumps damp sharp weight rain wind twitched trembled shivered flinched burned ached sweat metallic refrigerated".split()
+TAG_VERBS = (
+    "said", "says", "say", "asked", "asks", "replied", "answered", "whispered", "muttered", "shouted", "yelled",
+    "murmured", "growled", "snapped", "breathed", "sighed", "laughed", "added", "continued", "called", "cried",
+    "hissed", "demanded", "offered", "admitted", "agreed", "insisted", "told", "explained", "mused", "grumbled",
+    "screamed", "stammered", "repeated", "warned", "begged", "teased",
+)
+INTERIOR = (
+    "thought", "thoughts", "thinking", "felt", "feel", "feeling", "wondered", "wonder", "realized", "realised",
+    "remembered", "remember", "knew", "hoped", "wanted", "needed", "ashamed", "afraid", "guilt", "ignored",
+    "imagined", "decided", "doubted", "regret", "ached", "dreaded", "understood", "suspected", "hated", "loved",
+    "inside", "something", "dead",
+)
+SENSORY = (
+    "cold", "warm", "heat", "air", "skin", "breath", "breathing", "smell", "smelled", "taste", "tasted", "light",
+    "dark", "shadow", "sound", "silence", "blood", "hands", "arms", "throat", "chest", "goose", "bumps",
+    "goosebumps", "damp", "sharp", "weight", "rain", "wind", "twitched", "trembled", "shivered", "flinched",
+    "burned", "ached", "sweat", "metallic", "refrigerated",
+)
 TTR_WINDOW, TTR_LEAST = 400, 40
 
 
@@ -45,7 +60,7 @@ def _count(s: Column) -> Column:
     return F.regexp_count(s, F.lit(WORD))
 
 
-def sentence_rhythm(text: Column) -> Column:
+def sentence_rhythm(sentences: Column) -> Column:
     """Spread of sentence lengths."""
 
     def measure(n: Column) -> Column:
@@ -55,11 +70,11 @@ def sentence_rhythm(text: Column) -> Column:
         spread = F.sqrt(F.greatest(F.lit(0.0), squares / k - mean(n) * mean(n)))
         return F.when(F.size(n) < 4, NEUTRAL).otherwise(ramp(spread, 2.0, 9.0))
 
-    return let(F.filter(F.transform(sentences(text), _count), lambda k: k >= 2), measure)
+    return let(F.filter(F.transform(sentences, _count), lambda k: k >= 2), measure)
 
 
-def dialogue_craft(text: Column) -> Column:
-    """Variety of speech verbs, and speech that does not always open with them."""
+def dialogue_craft(spoken: Column) -> Column:
+    """Variety of speech verbs, and speech that does not always open with them, over the lines with quotation marks."""
     verbs = "|".join(sorted(TAG_VERBS))
 
     def measure(spoken: Column) -> Column:
@@ -74,10 +89,10 @@ def dialogue_craft(text: Column) -> Column:
 
         return let(tags, craft)
 
-    return let(F.filter(F.split(text, LINE_END, -1), lambda x: x.rlike('["“”«»]')), measure)
+    return let(spoken, measure)
 
 
-def vocabulary(text: Column) -> Column:
+def vocabulary(words: Column) -> Column:
     """Different words among all, on windows of fixed size so that length does not count against a text."""
 
     def measure(w: Column) -> Column:
@@ -85,19 +100,18 @@ def vocabulary(text: Column) -> Column:
         ratios = F.transform(F.filter(cuts, lambda c: F.size(c) >= TTR_LEAST), lambda c: F.size(F.array_distinct(c)) / F.size(c))
         return F.when(F.size(w) < TTR_LEAST, NEUTRAL).otherwise(let(ratios, lambda r: ramp(mean(r), 0.38, 0.62)))
 
-    return let(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), measure)
+    return let(words, measure)
 
 
-def interiority(text: Column) -> Column:
+def interiority(words: Column) -> Column:
     """Words of thought and sense."""
-    # counted in the text itself: a word of the list that no letter or apostrophe touches
-    known = "|".join(sorted({*INTERIOR, *SENSORY}))
-    hits = F.regexp_count(F.lower(text), F.lit(rf"(?<![a-z'’])(?:{known})(?![a-z'’])"))
-    n = _count(F.lower(text))
+    known = [*dict.fromkeys((*INTERIOR, *SENSORY))]
+    hits = F.size(F.filter(words, lambda w: w.isin(*known)))
+    n = F.size(words)
     return F.when(n == 0, 0.0).otherwise(ramp(1000.0 * hits / F.nullif(n, F.lit(0)), 3.0, 30.0))
 
 
-def paragraph_structure(text: Column) -> Column:
+def paragraph_structure(paragraphs: Column) -> Column:
     """Mean length within a band, fewer marks for many fragments."""
 
     def measure(n: Column) -> Column:
@@ -106,27 +120,51 @@ def paragraph_structure(text: Column) -> Column:
         short = F.size(F.filter(n, lambda k: k < 8)) / F.nullif(F.size(n), F.lit(0))
         return F.when(F.size(n) == 0, 0.0).otherwise(F.when(short > 0.6, base * 0.4).otherwise(base))
 
-    return let(F.transform(paragraphs(text), _count), measure)
+    return let(F.transform(paragraphs, _count), measure)
 
 
-def punctuation(text: Column) -> Column:
+def punctuation(text: Column, words: Column, sentences: Column) -> Column:
     """Marks off for shouting, runs of ! and ?, and many of them."""
-    n = _count(text)
-    long_words = F.size(F.filter(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.length(w) >= 3))
+    n = F.size(words)
+    long_words = F.size(F.filter(words, lambda w: F.length(w) >= 3))
     caps = F.coalesce(F.regexp_count(text, F.lit(r"(?U)\b[A-Z]{3,}\b")) * 1.0 / F.nullif(long_words, F.lit(0)), F.lit(0.0))
     run = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit("[!?]{2,}"), F.lit(0)), lambda s: F.length(s))), F.lit(0))
-    bangs = F.regexp_count(text, F.lit("!")) * 1.0 / F.greatest(F.size(sentences(text)), F.lit(1))
+    bangs = F.regexp_count(text, F.lit("!")) * 1.0 / F.greatest(F.size(sentences), F.lit(1))
     one = F.lit(1.0)
     off = 0.60 * F.least(one, caps / 0.06) + 0.25 * ramp(run.cast("double"), 1.0, 5.0) + 0.15 * F.least(one, bangs / 0.25)
     return F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1.0 - off))
 
 
-COMPONENTS = {"sentence_rhythm": sentence_rhythm, "dialogue_craft": dialogue_craft, "vocabulary": vocabulary, "interiority": interiority, "paragraphs": paragraph_structure, "punctuation": punctuation}
-
-
-def components(c: Column | str) -> list[Column]:
-    """The six components, each a column of its own name."""
-    return [f(text_of(c)).alias(n) for n, f in COMPONENTS.items()]
+COMPONENTS = ("sentence_rhythm", "dialogue_craft", "vocabulary", "interiority", "paragraphs", "punctuation")
+
+
+def with_components(df: DataFrame, c: Column | str) -> DataFrame:
+    """``df`` with the six components, each a column of its own name.
+
+    A text is cut into sentences, lines, paragraphs and words once; the explode of one keeps Spark from cutting it anew for
+    every component.
+    """
+    text = text_of(c)
+    words = lambda t: F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
+    spoken = F.filter(F.split(text, LINE_END, -1), lambda x: x.rlike('["“”«»]'))
+    cut = F.struct(
+        text.alias("text"),
+        sentences(text).alias("sentences"),
+        spoken.alias("spoken"),
+        paragraphs(text).alias("paragraphs"),
+        words(text).alias("words"),
+        words(F.lower(text)).alias("low"),
+    )
+    part = lambda n: F.col(f"__cut.{n}")
+    found = {
+        "sentence_rhythm": sentence_rhythm(part("sentences")),
+        "dialogue_craft": dialogue_craft(part("spoken")),
+        "vocabulary": vocabulary(part("low")),
+        "interiority": interiority(part("low")),
+        "paragraphs": paragraph_structure(part("paragraphs")),
+        "punctuation": punctuation(part("text"), part("words"), part("sentences")),
+    }
+    return df.select("*", F.explode(F.array(cut)).alias("__cut")).select(*df.columns, *(found[n].alias(n) for n in COMPONENTS))
 
 
 def quality() -> Column:

@@ -10,7 +10,7 @@ import html
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,11 +86,11 @@ _TOLD = r"(?iU)\bown\b|\brights?\s|\bbased\s|\bbelongs?\s"
 
 
 def strip_boilerplate(c: Column | str) -> Column:
-    """Without lines of author's notes and promotion and without disclaimer sentences; spaces inside lines collapsed."""
+    """Without lines of author's notes and promotion; disclaimer sentences become a space; spaces inside lines collapsed."""
     lines = F.split(text_of(c), LINE_END, -1)
     kept = F.filter(lines, lambda x: ~x.rlike(_HEADS) & ~(F.contains(F.lower(x), F.lit("read")) & x.rlike(_ANYWHERE)))
     # a disclaimer never crosses a line, so lines are searched on their own and only those that can hold one
-    told = F.transform(kept, lambda x: F.when(x.rlike(_TOLD), F.regexp_replace(x, f"(?iU){DISCLAIMER}", "")).otherwise(x))
+    told = F.transform(kept, lambda x: F.when(x.rlike(_TOLD), F.regexp_replace(x, f"(?iU){DISCLAIMER}", " ")).otherwise(x))
     return strip(F.array_join(F.transform(told, lambda x: strip(F.regexp_replace(x, r"[ \t]+", " "))), "\n"))
 
 
@@ -100,7 +100,7 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 
 def normalize(c: Column | str) -> Column:
-    """NFKC, lower case, white space collapsed and stripped.  Exact for any text; ASCII-only plans: ``normalize_ascii``."""
+    """NFKC, lower case, white space collapsed and stripped.  Exact for any text."""
     return strip(F.regexp_replace(F.lower(_nfkc(text_of(c))), r"(?U)\s+", " "))
 
 
@@ -143,32 +143,39 @@ def clip(c: Column, most: int = 120) -> Column:
 
 def alias_keys(term: str) -> list[str]:
     """Forms of a name as a tag would write it: letters and digits only, also without a leading article."""
-    parts = "".join(ch if ch.isascii() and ch.isalnum() else " " for ch in term.lower()).split()
+    parts = _name_words(term)
     keys = ["".join(parts)]
     if len(parts) > 1 and parts[0] in ("the", "a", "an"):
         keys.append("".join(parts[1:]))
     return [k for k in dict.fromkeys(keys) if k]
 
 
+def _name_words(term: str) -> list[str]:
+    return "".join(ch if ch.isascii() and ch.isalnum() else " " for ch in term.lower()).split()
+
+
 def phrase(term: str) -> str:
-    """Pattern of a name as whole words with anything between them."""
-    parts = "".join(ch if ch.isalnum() else " " for ch in term).split()
-    return r"(?iU)\b" + r"\W+".join(parts) + r"\b" if parts else r"(?!)"
+    """Pattern of a name in lower-cased text: its words (ASCII letters and digits) with anything or nothing between them,
+    but no word around them."""
+    parts = _name_words(term)
+    return r"(?U)\b" + r"\W*".join(parts) + r"\b" if parts else r"(?!)"
 
 
 def alias_hits(title: Column, description: Column, tags: Column, terms: list[str]) -> Column:
     """How many of the terms a work mentions, by tag or in words."""
     keys = F.transform(tags, lambda t: F.regexp_replace(F.lower(t), "[^a-z0-9]+", ""))
-    said = F.concat_ws("\n", title, description)
+    said = F.lower(F.concat_ws(" ", title, description))
     hit = lambda t: F.arrays_overlap(keys, F.array(*(F.lit(k) for k in alias_keys(t) or ["\0"]))) | said.rlike(phrase(t))
     return sum((F.coalesce(hit(t), F.lit(False)).cast("int") for t in terms), F.lit(0))
 
 
 def declares(name: str, title: Column, description: Column, tags: Column) -> Column:
     """Whether a work calls itself fiction about ``name``: the name beside the mark, in either order."""
-    parts = r"\W*".join("".join(ch if ch.isalnum() else " " for ch in name).split())
-    said = F.concat_ws("\n", title, description, F.array_join(tags, "\n"))
-    return said.rlike(rf"(?iU)\b{parts}\W*{FICTION_MARK}\b|\b{FICTION_MARK}\W*{parts}\b")
+    parts = r"\W*".join(_name_words(name))
+    if not parts:
+        return F.lit(False)
+    said = F.lower(F.concat_ws(" ", title, description, F.array_join(tags, " ")))
+    return said.rlike(rf"(?U)\b{parts}\W*{FICTION_MARK}\b|\b{FICTION_MARK}\W*{parts}\b")
 
 
 def is_relevant(name: str, terms: list[str], min_hits: int = 2, min_reads: int = 0, min_votes: int = 0, allow_mature: bool = False, languages: tuple[str, ...] = ("en",)) -> Column:
@@ -189,7 +196,7 @@ def label_matches(label: Column, terms: list[str]) -> Column:
     padded = F.concat(F.lit(" "), flat(label), F.lit(" "))
     ok = F.lit(False)
     for t in terms:
-        plain = " ".join("".join(ch if ch.isascii() and ch.isalnum() else " " for ch in t.lower()).split())
+        plain = " ".join(_name_words(t))
         if len(plain) >= 3:
             ok |= F.contains(padded, F.lit(f" {plain} "))
     return F.coalesce(ok, F.lit(False))
@@ -252,6 +259,15 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x.lower(), y.lower()).ratio() if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def rank_aliases(aliases: DataFrame, name: Column, alias_col: str = "alias", pos_col: str = "pos") -> DataFrame:
+    """Aliases with their ``rank``: those that name something else first, then mere respellings of the name, in either part
+    as they were found.  One entity's aliases are few; ``name`` may be a column, then give the columns that tell entities
+    apart in ``aliases`` under ``entity``."""
+    told = aliases.withColumn("is_variant", is_variant(F.col(alias_col), name))
+    by = [c for c in ("entity",) if c in aliases.columns]
+    return told.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("is_variant", pos_col)))
+
+
 def is_variant(alias: Column, name: Column, least: float = 0.8) -> Column:
     """Whether an alias merely respells the name."""
     a, n = F.lower(alias), F.lower(name)

@@ -1,47 +1,45 @@
-"""Hashing embedder and cosine similarity, as column expressions."""
+"""Hashing embedder and cosine similarity."""
 
-from __future__ import annotations
+import hashlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-from factloom.functions.text import let
+from pyspark.sql import types as T
 
 # Width and gram size of the embedder.
 WIDTH = 256
 GRAM = 3
 
 
-def grams(text: Column, n: int = GRAM) -> Column:
-    """Character n-grams of the lower-cased, stripped text; a short text is one gram, an empty one none."""
-    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)^\s+|\s+$", "")
-    many = F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n)))
-    return F.when(t == "", F.array().cast("array<string>")).when(F.length(t) <= n, F.array(t)).otherwise(many)
-
-
-def embed(text: Column, width: int = WIDTH) -> Column:
-    """Signed hashing of grams into ``width`` (256) buckets, of unit length; zeros for an empty text.
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def embed(s: pd.Series) -> pd.Series:
+    """Signed hashing of grams into ``WIDTH`` buckets, of unit length; zeros for an empty text.
 
     The bucket is the eighth byte of the gram's SHA-256 (the first eight bytes modulo 256), the sign the parity of the
-    ninth.  Meant for chunks, not for books: each bucket looks through all grams.
+    ninth.  Counting into an array that changes is beyond built-in functions short of a pass per bucket, so this runs on
+    Arrow batches, with the grams met before in mind.
     """
-    if width != 256:
-        raise ValueError("the bucket is one byte of the digest")
-    hashes = F.transform(grams(text), lambda g: F.sha2(g, 256))
-    return let(_signed(hashes), lambda s: _buckets(s, width))
-
-
-def _signed(hashes: Column) -> Column:
-    return F.transform(hashes, lambda h: F.struct(F.conv(F.substring(h, 15, 2), 16, 10).cast("int").alias("at"), (F.lit(1) - F.lit(2) * (F.conv(F.substring(h, 18, 1), 16, 10).cast("int") % 2)).alias("sign")))
-
-
-def _buckets(signed: Column, width: int) -> Column:
-    up = F.transform(F.filter(signed, lambda s: s["sign"] > 0), lambda s: s["at"])
-    down = F.transform(F.filter(signed, lambda s: s["sign"] < 0), lambda s: s["at"])
-    count = lambda xs, i: F.size(F.filter(xs, lambda x: x == i))
-    raw = let(F.struct(up.alias("up"), down.alias("down")), lambda d: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: (count(d["up"], i) - count(d["down"], i)).cast("double")))
-    unit = lambda v: let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), lambda norm: F.when(norm > 0, F.transform(v, lambda x: x / F.nullif(norm, F.lit(0.0)))).otherwise(v))
-    return let(raw, unit)
+    places: dict[str, tuple[int, int]] = {}
+
+    def vector(x: str | None) -> np.ndarray:
+        t = (x or "").strip().lower()
+        out = np.zeros(WIDTH)
+        if not t:
+            return out
+        got = []
+        for g in [t] if len(t) <= GRAM else map("".join, zip(*(t[k:] for k in range(GRAM)), strict=False)):
+            if (found := places.get(g)) is None:
+                digest = hashlib.sha256(g.encode()).digest()
+                found = places[g] = (digest[7], 1 - 2 * (digest[8] % 2))
+            got.append(found)
+        at, sign = np.array(got).T
+        np.add.at(out, at, sign)
+        norm = np.sqrt((out * out).sum())
+        return out / norm if norm else out
+
+    return s.map(vector)
 
 
 def dot(a: Column, b: Column) -> Column:

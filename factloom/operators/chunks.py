@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,7 +11,6 @@ from pyspark.sql.functions import udtf
 
 # Sizes, and where a chunk may end early.
 SIZE, OVERLAP = 1000, 200
-ENDS = re.compile(r"[.\n]")
 HALF = 0.5
 SPAN = "array<struct<char_start:int,char_end:int,quote:string>>"
 

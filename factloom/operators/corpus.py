@@ -2,27 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.premise import UNCLASSIFIED
 from factloom.functions.text import fingerprint, is_prose, strip_boilerplate, words
+from factloom.sources.retry import HostError
+from factloom.sources.shared import written
 
 MOST_OPTIONS = 4
 
 
-def clean_chapters(chapters: DataFrame, min_words: int, min_quotes: float, plain: bool = False) -> DataFrame:
-    """Chapters ``(work, pos, text)`` with cleaned text, fingerprint and fate: kept, prose (not prose) or duplicate.
+def fates(chapters: DataFrame, min_words: int, min_quotes: float, plain: bool = False) -> DataFrame:
+    """What becomes of chapters ``(work, pos, text)``: work, pos, print, words and fate (kept, prose or duplicate).
 
-    The first of equal texts in order of ``pos`` stays, whatever its work; chapters that are no prose never shadow others.
-    The order decides by a minimum per fingerprint, map-side combined, not by sorting all chapters.
+    The first of equal cleaned texts in order of ``pos`` stays, whatever its work; chapters that are no prose never shadow
+    others.  Texts are cleaned and measured once, the few columns that come of it are written to the shared folder, and the
+    order decides by a minimum per fingerprint that is combined map-side and joined back.
     """
     # the explode of one keeps the cleaned text from being made anew for each of its uses
     c = chapters.select("work", "pos", F.explode(F.array(strip_boilerplate("text"))).alias("clean"))
-    c = c.withColumn("prose", is_prose("clean", min_words, min_quotes)).withColumn("print", fingerprint("clean", plain)).withColumn("words", words("clean"))
+    c = c.select("work", "pos", is_prose("clean", min_words, min_quotes).alias("prose"), fingerprint("clean", plain).alias("print"), words("clean").alias("words"))
+    c = written(c, "fates")
     first = c.where("prose").groupBy("print").agg(F.min("pos").alias("first"))
     fate = F.when(~F.col("prose"), "prose").when(F.col("pos") == F.col("first"), "kept").otherwise("duplicate")
-    return c.join(first, "print", "left").select("work", "pos", "clean", "print", fate.alias("fate"), "words")
+    return c.join(first, "print", "left").select("work", "pos", "print", fate.alias("fate"), "words")
+
+
+def clean_chapters(chapters: DataFrame, min_words: int, min_quotes: float, plain: bool = False) -> DataFrame:
+    """``fates`` beside the cleaned texts; places are unique."""
+    told = fates(chapters, min_words, min_quotes, plain)
+    return chapters.select("work", "pos", strip_boilerplate("text").alias("clean")).join(told, ["work", "pos"])
 
 
 def report(cleaned: DataFrame) -> DataFrame:
@@ -42,12 +54,21 @@ def admit(works: DataFrame, most: int, factor: int = 4) -> DataFrame:
     return head.withColumn("before", F.coalesce(F.sum(F.col("admitted").cast("int")).over(before), F.lit(0))).where(F.col("before") < most)
 
 
-def union_sources(sources: list[DataFrame]) -> DataFrame:
-    """Works of several sources in order of the sources; the first sighting of (source, source_id) wins."""
+def union_sources(sources: list[DataFrame | Callable[[], DataFrame]]) -> DataFrame:
+    """Works of several sources in order of the sources; the first sighting of (source, source_id) wins.
+
+    A source may be a function that opens it; one that is not available (``HostError``) is left out.
+    """
     out = None
     for n, s in enumerate(sources):
+        try:
+            s = s() if callable(s) else s
+        except HostError:
+            continue
         s = s.withColumn("source_rank", F.lit(n))
         out = s if out is None else out.unionByName(s, allowMissingColumns=True)
+    if out is None:
+        raise HostError(503)
     first = out.groupBy("source", "source_id").agg(F.min_by(F.struct(*out.columns), F.struct("source_rank", "pos")).alias("r"))
     return first.select("r.*")
 
@@ -67,7 +88,7 @@ def protected_top(rows: DataFrame, kind: str, prominence: str, protected: str, m
 
 
 def merge_pages(parts: DataFrame) -> DataFrame:
-    """Page parts ``(title, round, categories, revision)`` of several continuations in one row per title."""
+    """Page parts ``(title, round, categories, revision)`` of a few continuations (a dozen at most) in one row per title."""
     cats = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("round", "categories"))), lambda x: x["categories"]))
     return parts.groupBy("title").agg(cats.alias("categories"), F.max_by("revision", F.when(F.col("revision").isNotNull(), F.col("round"))).alias("revision"))
 
@@ -79,6 +100,7 @@ def rank_works(works: DataFrame, least: float | None = None) -> DataFrame:
 
 
 def quality_summary(works: DataFrame) -> DataFrame:
+    """Least, middle and best score.  Scores have two places, so the exact median counts ten thousand values at most."""
     return works.where("score is not null").agg(F.count("*").alias("n"), F.min("score").alias("min"), F.bround(F.median("score"), 2).alias("median"), F.max("score").alias("max"))
 
 
@@ -97,10 +119,19 @@ def is_ranked(works: DataFrame, block: int = 100_000) -> DataFrame:
 
 
 def premise_groups(works: DataFrame) -> DataFrame:
-    """Works ``(pos, handle, premise: struct)`` by premise key: size, label of the first, members in order."""
-    w = works.where("premise is not null").select("pos", "handle", "premise.key", "premise.label", "premise.tropes")
-    members = F.transform(F.array_sort(F.collect_list(F.struct("pos", "handle"))), lambda x: x["handle"])
-    return w.groupBy("key").agg(F.count("*").alias("size"), F.min_by("label", "pos").alias("label"), members.alias("members"))
+    """Works ``(pos, handle, premise: struct)`` by premise key: size, label of the first, first and last member."""
+    w = works.where("premise is not null").select("pos", "handle", "premise.key", "premise.label")
+    return w.groupBy("key").agg(
+        F.count("*").alias("size"),
+        F.min_by("label", "pos").alias("label"),
+        F.min_by("handle", "pos").alias("first"),
+        F.max_by("handle", "pos").alias("last"),
+    )
+
+
+def premise_members(works: DataFrame) -> DataFrame:
+    """The members of premise groups, a row each (key, pos, handle); sorted by ``pos`` they stand as harvested."""
+    return works.where("premise is not null").select("premise.key", "pos", "handle")
 
 
 def branch_points(works: DataFrame, most: int = MOST_OPTIONS) -> DataFrame:
@@ -136,3 +167,15 @@ def chapters_of(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     found = cut.groupBy("id", "chapter").agg(F.max(F.when(F.col("opens"), F.col("title"))).alias("title"), body.alias("text"))
     found = found.withColumn("text", F.regexp_replace("text", r"(?U)^\s+|\s+$", "")).where("text <> ''")
     return found.select("id", F.row_number().over(Window.partitionBy("id").orderBy("chapter")).alias("index"), F.nullif("title", F.lit("")).alias("title"), "text")
+
+
+def read_chapters(docs: DataFrame, id_col: str, text: Column, allow_single: bool = False) -> DataFrame:
+    """``chapters_of``, where a document without a chapter is an error: all of it would be known from the first chapter on.
+
+    ``allow_single`` takes such a document as one chapter without a title.
+    """
+    found = chapters_of(docs, id_col, text)
+    bare = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(found.select("id").distinct(), "id", "left_anti")
+    said = F.raise_error(F.concat(F.lit("no chapter headings in document "), F.col("id").cast("string"))).cast("string")
+    whole = bare.select("id", F.lit(1).alias("index"), F.lit(None).cast("string").alias("title"), (F.col("text") if allow_single else said).alias("text"))
+    return found.unionByName(whole)

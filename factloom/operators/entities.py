@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.text import strip
+
 BASIS = {"unknown": 0, "novel": 1, "screen": 2, "both": 3}
 MIN_NAME = 4
 
@@ -18,20 +24,25 @@ def basis_name(bits: Column) -> Column:
 
 
 def norm(c: Column) -> Column:
-    return F.lower(F.trim(c))
+    return F.lower(strip(c))
+
+
+def with_name(entities: DataFrame) -> DataFrame:
+    """With the ``name`` that sightings share and ``sightings``, how many there are."""
+    named = entities.withColumn("name", norm(F.col("canonical_name")))
+    return named.join(named.groupBy("name").agg(F.count("*").alias("sightings")), "name")
 
 
 def merge(entities: DataFrame) -> DataFrame:
-    """One row per name: basis joined (unknown below novel and screen, both above), first kind that is not other, first
-    life status that is known, summary of the richest, most prominence, aliases without regard to case.
+    """One row per name, most prominent first in ``rank`` order: the spelling and summary of the richest sighting (longest
+    summary, then most prominence, then first), basis joined (unknown below novel and screen, both above), first kind that is
+    not other, first life status that is known, most prominence, aliases without regard to case and white space and without
+    the name itself.  A name seen once keeps its row as it is.
 
     One pass of map-side combined aggregates; no group is sorted or gathered except its short list of aliases.
     """
     e = entities.withColumn("name", norm(F.col("canonical_name"))).withColumn("bits", basis_bits(F.col("canon_basis")))
-    rich = F.struct(F.greatest(F.length("summary"), F.col("prominence")), -F.col("pos"))
-    alias = entities.select(norm(F.col("canonical_name")).alias("name"), "pos", F.posexplode("aliases").alias("at", "alias"))
-    low = alias.groupBy("name", F.lower("alias").alias("k")).agg(F.min_by("alias", F.struct("pos", "at")).alias("alias"), F.min(F.struct("pos", "at")).alias("o"))
-    names = low.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "alias"))), lambda x: x["alias"]).alias("aliases"))
+    rich = F.struct(F.length("summary"), "prominence", -F.col("pos"))
     out = e.groupBy("name").agg(
         F.max_by("canonical_name", rich).alias("canonical_name"),
         basis_name(F.bit_or("bits")).alias("canon_basis"),
@@ -41,20 +52,45 @@ def merge(entities: DataFrame) -> DataFrame:
         F.max("prominence").alias("prominence"),
         F.min("pos").alias("pos"),
         F.count("*").alias("sightings"),
+        F.max_by("aliases", rich).alias("own"),
     )
-    return out.join(names, "name", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+    alias = e.select("name", "pos", F.posexplode("aliases").alias("at", "alias")).withColumn("k", norm(F.col("alias"))).where("k <> '' and k <> name")
+    low = alias.groupBy("name", "k").agg(F.min_by("alias", F.struct("pos", "at")).alias("alias"), F.min(F.struct("pos", "at")).alias("o"))
+    names = low.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "alias"))), lambda x: x["alias"]).alias("aliases"))
+    none = F.array().cast("array<string>")
+    every = F.when(F.col("sightings") == 1, F.coalesce("own", none)).otherwise(F.coalesce("aliases", none))
+    return out.join(names, "name", "left").withColumn("aliases", every).drop("own")
+
+
+def in_order(merged: DataFrame) -> DataFrame:
+    """Most prominent first, then by name: whoever cuts the list keeps the leads."""
+    return merged.orderBy(F.desc("prominence"), "canonical_name")
+
+
+def _items(entities: DataFrame, field: str) -> DataFrame:
+    """Items of a nested field with their name and place; ``solo`` tells items apart where a name was seen but once."""
+    rows = with_name(entities).select("name", "pos", "sightings", F.posexplode(field).alias("at", "x"))
+    return rows.withColumn("solo", F.when(F.col("sightings") == 1, F.col("at"))).withColumn("o", F.struct("pos", "at"))
 
 
 def merge_relationships(entities: DataFrame) -> DataFrame:
-    """Relationships per name, told apart by target and kind, with the first spelling and the joined basis."""
-    r = entities.select(norm(F.col("canonical_name")).alias("name"), "pos", basis_bits(F.col("canon_basis")).alias("bits"), F.posexplode("relationships").alias("at", "r"))
-    return r.groupBy("name", F.lower("r.target").alias("target_key"), F.lower("r.kind").alias("kind_key")).agg(F.min_by("r", F.struct("pos", "at")).alias("r"), basis_name(F.bit_or("bits")).alias("canon_basis")).select("name", "r.target", "r.kind", "canon_basis")
+    """Relationships per name, told apart by target and kind, with the first spelling and their own bases joined."""
+    r = _items(entities, "relationships").groupBy("name", norm(F.col("x.target")).alias("t"), F.lower("x.kind").alias("k"), "solo")
+    r = r.agg(F.min_by("x", "o").alias("x"), basis_name(F.bit_or(basis_bits(F.col("x.canon_basis")))).alias("canon_basis"))
+    return r.select("name", "x.target", "x.kind", "canon_basis")
 
 
 def merge_attributes(entities: DataFrame) -> DataFrame:
-    """Attributes per name, told apart by predicate and value without regard to case."""
-    a = entities.select(norm(F.col("canonical_name")).alias("name"), "pos", basis_bits(F.col("canon_basis")).alias("bits"), F.posexplode("attributes").alias("at", "a"))
-    return a.groupBy("name", F.col("a.predicate").alias("predicate"), F.lower("a.value").alias("value_key")).agg(F.min_by("a.value", F.struct("pos", "at")).alias("value"), basis_name(F.bit_or("bits")).alias("canon_basis")).select("name", "predicate", "value", "canon_basis")
+    """Attributes per name, told apart by predicate and value: values that differ between canons stand side by side."""
+    a = _items(entities, "attributes").groupBy("name", F.col("x.predicate").alias("p"), F.lower("x.value").alias("v"), "solo")
+    a = a.agg(F.min_by("x", "o").alias("x"), basis_name(F.bit_or(basis_bits(F.col("x.canon_basis")))).alias("canon_basis"))
+    return a.select("name", "x.predicate", "x.value", "canon_basis")
+
+
+def merge_sources(entities: DataFrame) -> DataFrame:
+    """Source pages per name, the first of each page title; none is ever dropped."""
+    s = _items(entities, "sources").groupBy("name", F.lower("x.page_title").alias("t"), "solo").agg(F.min_by("x", "o").alias("x"))
+    return s.select("name", "x.*")
 
 
 def tallies(entities: DataFrame) -> DataFrame:
@@ -93,21 +129,59 @@ def thick(entities: DataFrame, least_words: int) -> DataFrame:
     return entities.where(F.regexp_count(F.coalesce("summary", F.lit("")), F.lit(r"(?U)\S+")) >= least_words)
 
 
-def classify(texts: DataFrame, entities: DataFrame, id_col: str, text_col: str) -> DataFrame:
+#: Names and their letters up to which an automaton is broadcast.
+MOST_NAMES, MOST_LETTERS = 100_000, 4_000_000
+
+
+def names_in(texts: DataFrame, names: DataFrame, most_names: int = MOST_NAMES) -> DataFrame:
+    """(key, name, basis, rank) of the ``names(match, name, basis, rank)`` that ``texts(key, text)`` contain.
+
+    Up to ``most_names`` names, counted first, an automaton over all of them goes to the executors and each text is walked
+    once, whatever their number.  Beyond that names and texts are joined on four letters (names have that many at least)
+    and what meets is verified.
+    """
+    size = names.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("match")), F.lit(0)).alias("letters")).first()
+    schema = "key string, name string, basis string, rank long"
+    if size["n"] > most_names or size["letters"] > MOST_LETTERS:
+        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 3, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(4))))
+        near = texts.select("key", F.explode(grams).alias("gram")).join(names.withColumn("gram", F.left("match", F.lit(4))), "gram")
+        return near.join(texts, "key").where(F.contains("text", F.col("match"))).select("key", "name", "basis", "rank").distinct()
+    by: dict[str, list[tuple]] = {}
+    for r in names.collect():
+        by.setdefault(r["match"], []).append((r["name"], r["basis"], r["rank"]))
+    shared = texts.sparkSession.sparkContext.broadcast(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = ahocorasick.Automaton()
+        for match, of in shared.value.items():
+            a.add_word(match, of)
+        if len(a):
+            a.make_automaton()
+        for batch in batches:
+            rows = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows += [(key, *x) for x in {x for _, of in a.iter(text or "") for x in of}] if len(a) else []
+            columns = zip(*rows, strict=True) if rows else [()] * 4
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "name", "basis", "rank"])
+
+    return texts.select("key", "text").mapInArrow(run, schema)
+
+
+def classify(texts: DataFrame, entities: DataFrame, id_col: str, text_col: str, most_names: int = MOST_NAMES) -> DataFrame:
     """Basis of each text by the entities whose names (four letters or more) it contains as substrings, and those
     entities, most prominent first.
 
-    Screen wins over all, then all unknown, then novel, else both; a text that names nobody is unknown.  The index is the
-    stated query set: its names go to the executors as literals, a thousand to an expression, so texts are never shuffled.
+    Screen wins over all, then all unknown, then novel, else both; a text that names nobody is unknown.  Equal texts are
+    looked through once.
     """
-    names = match_names(entities).where(F.length("match") >= MIN_NAME).select("match", "name", "canon_basis", "prominence").collect()
-    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    found = F.array().cast("array<struct<rank:bigint,name:string,basis:string>>")
-    for i in range(0, len(names), 1000):
-        part = F.array(*(F.struct(F.lit(r["match"]).alias("m"), F.lit(-r["prominence"]).cast("long").alias("rank"), F.lit(r["name"]).alias("name"), F.lit(r["canon_basis"]).alias("basis")) for r in names[i : i + 1000]))
-        hit = F.filter(part, lambda n: F.contains(low, n["m"]))
-        found = F.concat(found, F.transform(hit, lambda n: F.struct(n["rank"].alias("rank"), n["name"].alias("name"), n["basis"].alias("basis"))))
-    seen = texts.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(found)).alias("found"))
+    names = match_names(entities).where(F.length("match") >= MIN_NAME)
+    names = names.select("match", "name", F.col("canon_basis").alias("basis"), F.col("prominence").cast("long").alias("rank")).distinct()
+    keyed = texts.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text")).withColumn("key", F.sha2("text", 256))
+    hits = names_in(keyed.dropDuplicates(["key"]).select("key", "text"), names, most_names)
+    found = F.array_sort(F.collect_set(F.struct((-F.col("rank")).alias("rank"), "name", "basis")))
+    seen = keyed.select("id", "key").join(hits.groupBy("key").agg(found.alias("found")), "key", "left")
+    seen = seen.withColumn("found", F.coalesce("found", F.array().cast("array<struct<rank:bigint,name:string,basis:string>>")))
     some = lambda b: F.exists("found", lambda x: x["basis"] == b)
     basis = F.when(some("screen"), "screen").when(F.forall("found", lambda x: x["basis"] == "unknown"), "unknown").when(some("novel"), "novel").otherwise("both")
     return seen.select("id", F.transform("found", lambda x: x["name"]).alias("names"), basis.alias("basis"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,14 +28,17 @@ def resolved(facts: DataFrame, lines: DataFrame) -> DataFrame:
 
     A key (subject, predicate) belongs to the nearest fork that stores any row for it, also a row that its own cap or its
     status takes out; caps are inclusive and applied after that.  The lineage is one row per fork and ancestor and joins
-    on the fork, the nearest depth is a window over the key.
+    on the fork; the nearest depth of a key is a map-side combined minimum that is joined back, so no key is sorted in one
+    task and a hot one may be split.
     """
     joined = facts.join(lines, facts["fork_id"] == lines["ancestor"])
-    nearest = F.min("depth").over(Window.partitionBy("root", "subject_id", "predicate"))
-    kept = joined.withColumn("__nearest", nearest).where("depth = __nearest and (cap is null or valid_from <= cap)")
-    return kept.select("root", "depth", *(facts[c] for c in facts.columns))
+    key = ["root", "subject_id", "predicate"]
+    nearest = joined.groupBy(*key).agg(F.min("depth").alias("__nearest"))
+    same = [F.col(f"__of.{c}").eqNullSafe(F.col(f"__near.{c}")) for c in key]
+    kept = joined.alias("__of").join(nearest.alias("__near"), [*same, F.col("__of.depth") == F.col("__near.__nearest")], "left_semi")
+    return kept.where("cap is null or valid_from <= cap").select("root", "depth", *facts.columns)
 
 
-def canonical_order() -> list:
-    """Nearest fork first, then as recorded."""
-    return [F.col("depth"), F.col("recorded_at"), F.col("id")]
+def in_order(resolved: DataFrame) -> DataFrame:
+    """Facts as a reader gets them: nearest fork first, then as recorded."""
+    return resolved.orderBy("depth", "recorded_at", "id")

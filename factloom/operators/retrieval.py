@@ -23,12 +23,26 @@ def search(vectors: DataFrame, fork: str, query: Column, knower: str, chapter: i
     return seen.select("fact_id", cosine(F.col("vector"), query).alias("score")).orderBy(F.desc("score"), "fact_id").limit(k)
 
 
-def search_many(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+#: Stated queries up to which they are broadcast, and the parts a fork's vectors are dealt into beyond that.
+MOST_QUERIES, PARTS = 10_000, 64
+
+
+def search_many(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int = MOST_QUERIES) -> DataFrame:
     """The same for a stated set of ``queries(query_id, fork_id, knower, chapter, query)``: a rank per query, pruned before
-    the shuffle."""
+    the shuffle.
+
+    Queries are counted: a few go to all vectors, which stay where they are; more are repeated per part of a fork, so that a
+    fork with most of the vectors is many tasks.
+    """
     if k < 1:
         raise ValueError("k must be positive")
-    hit = vectors.join(queries, "fork_id").where(is_visible(F.col("knower"), F.col("chapter")))
+    if queries.count() <= most_queries:
+        hit = vectors.join(F.broadcast(queries), "fork_id")
+    else:
+        part = F.pmod(F.xxhash64("fact_id"), F.lit(PARTS))
+        every = queries.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+        hit = vectors.withColumn("part", part).join(every, ["fork_id", "part"]).drop("part")
+    hit = hit.where(is_visible(F.col("knower"), F.col("chapter")))
     scored = hit.select("query_id", "fact_id", cosine(F.col("vector"), F.col("query")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "fact_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -43,5 +57,8 @@ def upsert(vectors: DataFrame, added: DataFrame, removed: DataFrame) -> DataFram
 def retrieve(docs: DataFrame, id_col: str, text_col: str, question: str, k: int, size: int = 1000, overlap: int = 200, embedder: Callable[[Column], Column] = embed) -> DataFrame:
     """Chunks of documents most similar to a question, with their offsets; any embedder of a column will do."""
     index = chunks(docs, id_col, text_col, size, overlap)
-    scored = index.select("id", "chunk", "char_start", "char_end", cosine(embedder(F.col("quote")), embedder(F.lit(question))).alias("score"))
+    asked = index.sparkSession.range(1).select(embedder(F.lit(question)).alias("q")).first()["q"]
+    near = cosine(embedder(F.col("quote")), F.array(*(F.lit(x) for x in asked)))
+    # sums in another order differ in the last places: chunks that only they tell apart stand in order
+    scored = index.select("id", "chunk", "char_start", "char_end", F.round(near, 12).alias("score"))
     return scored.orderBy(F.desc("score"), "id", "chunk").limit(k)

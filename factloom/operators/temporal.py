@@ -35,10 +35,15 @@ def as_of_probe(resolved: DataFrame, probes: DataFrame) -> DataFrame:
 def conflicts(facts: DataFrame, chapter: int) -> DataFrame:
     """Pairs of live facts about one key that say different things: first, second (in order of id).
 
-    Facts are grouped by what they say first, so a pair costs a row only if it is a conflict.
+    Keys about which only one thing is said go before facts are paired (a map-side combined minimum and maximum of what is
+    said), so what meets is a conflict but for facts that agree with each other beside one that does not.
     """
-    live = facts.where((F.col("status") == "active") & is_valid_at(chapter)).select("fork_id", "subject_id", "predicate", "object_id", "object_literal", "id")
+    live = facts.where((F.col("status") == "active") & is_valid_at(chapter))
+    live = live.select("fork_id", "subject_id", "predicate", "object_id", "object_literal", "id")
     key = ["fork_id", "subject_id", "predicate"]
+    says = F.struct("object_id", "object_literal")
+    torn = live.groupBy(*key).agg(F.min(says).alias("lo"), F.max(says).alias("hi")).where(~F.col("lo").eqNullSafe(F.col("hi"))).select(*key)
+    live = live.join(torn, key, "left_semi")
     other = live.select(*key, F.col("object_id").alias("o2"), F.col("object_literal").alias("l2"), F.col("id").alias("second"))
     same = F.col("object_id").eqNullSafe(F.col("o2")) & F.col("object_literal").eqNullSafe(F.col("l2"))
     return live.join(other, key).where((F.col("id") < F.col("second")) & ~same).select(*key, F.col("id").alias("first"), "second")

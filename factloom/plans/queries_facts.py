@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import guard
@@ -10,6 +12,7 @@ from factloom.operators import graph, knowledge, lineage, temporal
 from factloom.plans import views
 from factloom.plans.registry import query
 from factloom.plans.views import FACT_SQL, FORK_SQL, LINEAGE_SQL, RESOLVED_SQL, seen_sql, valid_sql
+from factloom.sources import shared, tables
 
 SEEN = seen_sql("'k1'", "12")
 ALL = f"WITH {FACT_SQL}, {LINEAGE_SQL}, {RESOLVED_SQL}"
@@ -59,6 +62,24 @@ def resolved_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved(spark, sf_dir).select("root", "id", "depth")
 
 
+@query(f"{ALL} SELECT id, row_number() OVER (ORDER BY depth, recorded_at, id) AS place FROM resolved WHERE root = 'grand' ORDER BY place LIMIT 100")
+def canon_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred facts of a fork as a reader gets them."""
+    head = lineage.in_order(resolved(spark, sf_dir).where("root = 'grand'")).limit(100)
+    place = F.row_number().over(Window.orderBy("depth", "recorded_at", "id"))
+    return head.select("id", place.cast("long").alias("place"))
+
+
+@query(f"WITH {FACT_SQL} SELECT fork_id, count(*) AS n, max(id) AS last FROM fact GROUP BY fork_id UNION ALL SELECT 'by key', count(*), max(id) FROM fact WHERE subject_id = 7")
+def snapshot_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts written as a snapshot, read back per fork and by key."""
+    path = f"{shared.shared_dir(spark)}/factloom/snapshot-{uuid.uuid4().hex}"
+    tables.write_facts(views.facts(spark, sf_dir), path)
+    by = lambda df, name: df.groupBy(name.alias("fork_id")).agg(F.count("*").alias("n"), F.max("id").alias("last"))
+    keyed = tables.get(tables.read_facts(spark, path), "subject_id", 7)
+    return by(tables.read_facts(spark, path), F.col("fork_id")).unionByName(by(keyed, F.lit("by key")))
+
+
 AS_OF_ORDER = "ORDER BY (status <> 'invalidated') DESC, valid_from DESC, recorded_at DESC, id DESC"
 
 
@@ -97,13 +118,29 @@ def fact_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.audit(views.facts(spark, sf_dir))
 
 
-@query("""SELECT conv_id, turn, 'roster unique' AS rule FROM conversations WHERE false
-UNION ALL SELECT conv_id, -1 AS turn, 'episodes contiguous' AS rule FROM conversations GROUP BY conv_id HAVING min(turn) <> 0 OR max(turn) + 1 <> count(*) OR count(DISTINCT turn) <> count(*)""")
+@query("""SELECT conv_id AS a, turn AS b, 'roster unique' AS rule FROM conversations WHERE conv_id % 5 = 0
+UNION ALL SELECT conv_id, NULL, 'episodes contiguous' FROM conversations WHERE turn <> 2 GROUP BY conv_id HAVING min(turn) <> 0 OR max(turn) + 1 <> count(*) OR count(DISTINCT turn) <> count(*)
+UNION ALL SELECT conv_id, turn, 'playable choices' FROM conversations WHERE (conv_id + turn) % 6 IN (0, 1, 5)
+UNION ALL SELECT event_id, NULL, 'hard flag cites' FROM events WHERE event_type = 'error' AND event_id % 3 < 2
+UNION ALL SELECT n_nationkey, NULL, 'divergence matches parent' FROM nation WHERE (n_nationkey % 2 = 0) <> (n_nationkey % 3 = 0)""")
 def model_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rosters = temporal.audit_rosters(views.scenes(spark, sf_dir), ["conv_id", "turn"])
-    series = views.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("series_id"), (F.col("turn") + 1).alias("number"))
-    gaps = temporal.audit_episodes(series).select(F.col("series_id").alias("conv_id"), F.lit(-1).cast("long").alias("turn"), "rule")
-    return rosters.unionByName(gaps)
+    """Rules about rosters, series, choices, flags and forks, each broken by a known part of the rows."""
+    c = views.table(spark, sf_dir, "conversations")
+    out = lambda df, a, b=None: df.select(F.col(a).cast("long").alias("a"), (F.col(b) if b else F.lit(None)).cast("long").alias("b"), "rule")
+    again = F.when(F.col("conv_id") % 5 == 0, F.slice("roster", 1, 1)).otherwise(F.slice("roster", 1, 0))
+    rosters = temporal.audit_rosters(views.scenes(spark, sf_dir).withColumn("roster", F.concat("roster", again)), ["conv_id", "turn"])
+    series = temporal.audit_episodes(c.where("turn <> 2").select(F.col("conv_id").alias("series_id"), (F.col("turn") + 1).alias("number")))
+    k = (F.col("conv_id") + F.col("turn")) % 6
+    # none, one, two, three, four different choices, or the same one twice
+    offer = F.when(k == 5, F.array(F.lit("a"), F.lit("a"))).otherwise(F.slice(F.array(*(F.lit(x) for x in "abcd")), F.lit(1), k.cast("int")))
+    turns = temporal.audit_turns(c.select(F.struct("conv_id", "turn").alias("id"), offer.alias("choices"))).select("id.conv_id", "id.turn", "rule")
+    e = views.table(spark, sf_dir, "events")
+    n = F.col("event_id") % 3
+    cited = F.when(n == 0, F.array().cast("array<long>")).when(n == 2, F.array("event_id"))
+    flags = temporal.audit_flags(e.select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "error", "hard").otherwise("soft").alias("severity"), cited.alias("fact_ids")))
+    nation = views.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
+    forks = temporal.audit_forks(nation.select(F.col("k").alias("id"), F.when(F.col("k") % 2 == 0, "p").alias("parent_fork_id"), F.when(F.col("k") % 3 == 0, 1).alias("divergence_at")))
+    return out(rosters, "conv_id", "turn").unionByName(out(series, "series_id")).unionByName(out(turns, "conv_id", "turn")).unionByName(out(flags, "id")).unionByName(out(forks, "id"))
 
 
 @query(f"""WITH {FACT_SQL} SELECT id, CASE WHEN id % 7 = 0 AND status = 'active' THEN 'invalidated' ELSE status END AS status, valid_from,
@@ -118,10 +155,21 @@ def supersede_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.select("id", "status", "valid_from", "valid_to")
 
 
-@query(f"WITH {FACT_SQL} SELECT id AS old_id, 'not active' AS reason FROM fact WHERE id % 7 = 0 AND status <> 'active'")
+@query(f"""WITH {FACT_SQL}, c AS (SELECT *, id % 7 AS kind FROM fact WHERE id % 7 < 6)
+SELECT CASE WHEN kind = 0 THEN id + 500000000 ELSE id END AS old_id, CASE kind WHEN 0 THEN 'missing' WHEN 1 THEN 'named twice' ELSE CASE WHEN status <> 'active' THEN 'not active'
+    WHEN kind = 2 THEN 'other fork' WHEN kind = 3 THEN 'itself' WHEN kind = 4 THEN 'closes before it starts' END END AS reason
+FROM c, range(CASE WHEN kind = 1 THEN 2 ELSE 1 END) t(x) WHERE kind < 5 OR status <> 'active'""")
 def supersede_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands of six kinds: a missing target, one named twice, another fork, the target itself, a close before the start,
+    and sound ones, which fail where the target is not active."""
     f = views.facts(spark, sf_dir)
-    commands = f.where("id % 7 = 0").select(F.col("id").alias("old_id"), F.struct(*((F.col(c) + 100000000 if c == "id" else F.col(c)).alias(c) for c in f.columns)).alias("replacement"), (F.col("valid_from") + 1).alias("closes_at"), F.col("recorded_at").alias("at"))
+    kind = F.col("id") % 7
+    new = {"id": F.when(kind == 3, F.col("id")).otherwise(F.col("id") + 100000000), "fork_id": F.when(kind == 2, "elsewhere").otherwise(F.col("fork_id"))}
+    replacement = F.struct(*(new.get(c, F.col(c)).alias(c) for c in f.columns)).alias("replacement")
+    old = F.when(kind == 0, F.col("id") + 500000000).otherwise(F.col("id")).alias("old_id")
+    close = (F.col("valid_from") + F.when(kind == 4, -1).otherwise(1)).alias("closes_at")
+    commands = f.where(kind < 6).select(kind.alias("kind"), old, replacement, close, F.col("recorded_at").alias("at"))
+    commands = commands.unionByName(commands.where("kind = 1")).drop("kind")
     return temporal.supersede(f, commands)[1]
 
 
@@ -175,15 +223,15 @@ def record_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.record_learning(f, f.select(F.col("id").alias("fact_id"), F.when(F.col("id") % 2 == 0, more).otherwise(later).alias("scope")))
 
 
-PROBES = [(r, k, 10, 7) for r in ("canon", "child", "grand", "side") for k in ("audience", "k1", "k4")]
+PROBES = [(r, k, 10, [7, 11]) for r in ("canon", "child", "grand", "side") for k in ("audience", "k1", "k4")]
 PACKET_SQL = f"""{ALL}, probe(root, knower, chapter, focus) AS (VALUES {", ".join(str(p) for p in PROBES)}),
     hit AS (SELECT p.knower, p.chapter, p.focus, r.*, {seen_sql("p.knower", "p.chapter")} AS seen FROM probe p JOIN resolved r USING (root)),
-    packet AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY root, knower, chapter ORDER BY (subject_id <> focus), depth, recorded_at, id) AS rank FROM hit WHERE seen AND {valid_sql("chapter")}) WHERE rank <= 40),
+    packet AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY root, knower, chapter ORDER BY NOT (list_contains(focus, subject_id) OR coalesce(list_contains(focus, object_id), false)), depth, recorded_at, id) AS rank FROM hit WHERE seen AND {valid_sql("chapter")}) WHERE rank <= 40),
     hidden AS (SELECT root, knower, chapter, count(*) FILTER (WHERE NOT seen) AS withheld FROM hit GROUP BY ALL)"""
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return knowledge.packets(resolved(spark, sf_dir), spark.createDataFrame(PROBES, "root string, knower string, chapter int, focus long"))
+    return knowledge.packets(resolved(spark, sf_dir), spark.createDataFrame(PROBES, "root string, knower string, chapter int, focus array<long>"))
 
 
 @query(f"{PACKET_SQL} SELECT root, knower, chapter, CAST(rank AS INT) AS rank, id, withheld FROM packet JOIN hidden USING (root, knower, chapter)")
@@ -205,12 +253,15 @@ SELECT who AS character, count(pos) AS missing, (SELECT count(*) FROM actor) AS
 FROM people LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY who ORDER BY pos) AS rn FROM lack) USING (who) GROUP BY who""")
 def directives(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = resolved(spark, sf_dir).where("root = 'canon'")
-    probe = spark.createDataFrame([("canon", "k1", 10, 7)], "root string, knower string, chapter int, focus long")
+    probe = spark.createDataFrame([("canon", "k1", 10, [7, 11])], "root string, knower string, chapter int, focus array<long>")
     text = knowledge.describe(F.col("subject_id"), F.col("predicate"), F.col("object_literal"), F.col("object_id"))
-    actor = knowledge.packets(r, probe).select(F.col("rank").alias("pos"), "id").join(r.select("id", text.alias("text")), "id")
-    cast = spark.createDataFrame([("k0",), ("k2",), ("k3",)], "character string")
-    seen = r.select("id", F.explode(F.array(*(F.when(guard.is_visible(k, 10), k) for k in ("k0", "k2", "k3")))).alias("character")).where("character is not null")
-    out = knowledge.directives(actor, cast, seen)
+    people = ("k0", "k2", "k3")
+    # the packet is forty rows; what they say and who sees them comes from one join with the facts
+    packet = knowledge.packets(r, probe).select(F.col("rank").alias("pos"), "id")
+    told = r.select("id", text.alias("text"), F.array(*(F.when(guard.is_visible(k, 10), k) for k in people)).alias("seen")).join(F.broadcast(packet), "id")
+    cast = spark.createDataFrame([(k,) for k in people], "character string")
+    seen = told.select("id", F.explode("seen").alias("character")).where("character is not null")
+    out = knowledge.directives(told.select("pos", "id", "text"), cast, seen)
     return out.withColumn("blind_spots", F.array_join("blind_spots", " | "))
 
 
@@ -308,44 +359,104 @@ def playthrough_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{ALL}, probe AS (SELECT DISTINCT CAST(turn + 1 AS INT) AS chapter, knower FROM conversations, (VALUES ('k0'), ('k3'), ('audience')) t(knower))
 SELECT p.chapter, p.knower, count(*) FILTER (WHERE {seen_sql("p.knower", "p.chapter")} AND {valid_sql("p.chapter")}) AS visible FROM probe p, resolved WHERE root = 'canon' GROUP BY ALL""")
 def replay_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same chapters replayed by several characters in one job: probes are the distinct chapters times the cast."""
-    turns = views.scenes(spark, sf_dir).select("chapter").distinct()
-    probes = turns.select("chapter", F.explode(F.array(F.lit("k0"), F.lit("k3"), F.lit("audience"))).alias("knower")).withColumn("root", F.lit("canon"))
-    hit = resolved(spark, sf_dir).where("root = 'canon'").join(probes, "root")
-    return hit.groupBy("chapter", "knower").agg(F.count_if(guard.is_visible(F.col("knower"), F.col("chapter")) & guard.is_valid_at(F.col("chapter"))).alias("visible"))
+    """The same chapters replayed by several characters: each fact is looked at once, whatever the number of chapters."""
+    facts = resolved(spark, sf_dir).where("root = 'canon'")
+    return knowledge.replay(facts, ["k0", "k3", "audience"], views.scenes(spark, sf_dir).select("chapter"))
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS series_id, turn AS seq FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 3")
 def episode_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last three of each series."""
-    e = views.episodes(spark, sf_dir).groupBy("series_id").agg(F.slice(F.array_sort(F.collect_list("seq"), lambda a, b: (b - a).cast("int")), 1, 3).alias("s"))
-    return e.select("series_id", F.explode("s").alias("seq"))
+    """The last three of each series: ranks are cut per partition before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("seq")))
+    return views.episodes(spark, sf_dir).select("series_id", "seq").withColumn("rank", rank).where("rank <= 3").select("series_id", "seq")
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS series_id, CAST(turn % 4 AS INT) AS episode_number, min(turn) AS seq, arg_min(left(text, 40), turn) AS synopsis FROM conversations GROUP BY 1, 2")
+@query("SELECT CAST(conv_id AS VARCHAR) AS series_id, CAST(turn % 4 AS INT) AS episode_number, min(turn) AS seq, sha256(arg_min(text, turn)) AS synopsis FROM conversations GROUP BY 1, 2")
 def episode_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.episodes(spark, sf_dir).groupBy("series_id", "episode_number").agg(F.min("seq").alias("seq"), F.min_by("synopsis", "seq").alias("synopsis"))
+    return views.episodes(spark, sf_dir).groupBy("series_id", "episode_number").agg(F.min("seq").alias("seq"), F.sha2(F.min_by("synopsis", "seq"), 256).alias("synopsis"))
 
 
-@query("SELECT conv_id AS id, arg_max(role, turn) AS role, max(turn) AS turn FROM conversations GROUP BY conv_id")
+@query("""WITH old AS (SELECT conv_id % 10 AS series_id, conv_id AS character_id, conv_id AS pos, 'first' AS state FROM conversations WHERE turn = 0 AND conv_id % 3 <> 0),
+new AS (SELECT conv_id % 10 AS series_id, conv_id AS character_id, arg_max(role, turn) AS state, max(conv_id * 100 + turn) AS pos FROM conversations WHERE conv_id % 2 = 0 GROUP BY conv_id),
+ends AS (SELECT series_id, max(pos) AS e FROM old GROUP BY series_id)
+SELECT series_id, character_id, pos, state FROM old WHERE character_id NOT IN (SELECT character_id FROM new)
+UNION ALL SELECT new.series_id, character_id, pos + coalesce(e + 1, 0), state FROM new LEFT JOIN ends USING (series_id)""")
 def bible_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last state written for each character."""
-    return views.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.max_by("role", "turn").alias("role"), F.max("turn").alias("turn"))
+    """Characters of a few series, some replaced by what the turns of their conversations say last, some new."""
+    c = views.table(spark, sf_dir, "conversations").select((F.col("conv_id") % 10).alias("series_id"), F.col("conv_id").alias("character_id"), "turn", "role")
+    old = c.where("turn = 0 and character_id % 3 <> 0").select("series_id", "character_id", F.col("character_id").alias("pos"), F.lit("first").alias("state"))
+    new = c.where("character_id % 2 = 0").select("series_id", "character_id", (F.col("character_id") * 100 + F.col("turn")).alias("pos"), F.col("role").alias("state"))
+    return knowledge.upsert_characters(old, new)
 
 
-@query("""SELECT l_partkey AS subject_id, l_returnflag AS predicate, max(l_orderkey * 10 + l_linenumber) AS id FROM (SELECT *, max(l_shipdate) OVER (PARTITION BY l_partkey, l_returnflag) AS last FROM lineitem) WHERE l_shipdate = last GROUP BY ALL""")
+@query("""SELECT user_id AS series_id, event_id AS thread_id, CASE WHEN event_id % 7 = 0 OR event_type <> 'view' THEN 'resolved' ELSE 'open' END AS status,
+CASE WHEN event_id % 7 = 0 THEN event_id % 9 END AS resolved_episode FROM events""")
+def resolved_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as threads of a user, views being open; every seventh is resolved in some episode."""
+    e = views.table(spark, sf_dir, "events")
+    threads = e.select(F.col("user_id").alias("series_id"), F.col("event_id").alias("thread_id"), F.when(F.col("event_type") == "view", "open").otherwise("resolved").alias("status"), F.lit(None).cast("long").alias("resolved_episode"))
+    done = threads.where("thread_id % 7 = 0").select("series_id", "thread_id", (F.col("thread_id") % 9).alias("episode"))
+    return knowledge.resolve_threads(threads, done)
+
+
+LINE_SQL = """line AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS subject_id, l_returnflag AS predicate, CAST(l_quantity AS INT) AS valid_from,
+    CASE WHEN l_linenumber % 3 = 0 THEN CAST(l_quantity AS INT) + l_linenumber END AS valid_to, CASE l_linestatus WHEN 'O' THEN 'active' ELSE 'invalidated' END AS status, l_shipdate AS recorded_at FROM lineitem)"""
+
+
+@query(f"""WITH {LINE_SQL} SELECT subject_id, predicate, id, status FROM (SELECT *, row_number() OVER (PARTITION BY subject_id, predicate {AS_OF_ORDER}) AS rn
+    FROM line WHERE {valid_sql("20")}) WHERE rn = 1""")
 def as_of_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest line per part and flag: the as-of aggregate over the largest table."""
-    li = views.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("subject_id"), F.col("l_returnflag").alias("predicate"), F.struct("l_shipdate", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).alias("k"))
-    return li.groupBy("subject_id", "predicate").agg(F.max("k").alias("k")).select("subject_id", "predicate", "k.id")
+    """Lines as facts about parts, each true for a stretch of quantities: the as-of aggregate over the largest table."""
+    li = views.table(spark, sf_dir, "lineitem")
+    q, n = F.col("l_quantity").cast("int"), F.col("l_linenumber")
+    facts = li.select(F.lit("canon").alias("root"), F.col("l_partkey").alias("subject_id"), F.col("l_returnflag").alias("predicate"), (F.col("l_orderkey") * 10 + n).alias("id"), q.alias("valid_from"), F.when(n % 3 == 0, q + n).alias("valid_to"), F.when(F.col("l_linestatus") == "O", "active").otherwise("invalidated").alias("status"), F.col("l_shipdate").alias("recorded_at"))
+    return temporal.as_of(facts, 20).select("subject_id", "predicate", "id", "status")
 
 
-@query("SELECT CAST(turn + 1 AS INT) AS chapter, string_agg(conv_id || ':' || role, ',' ORDER BY conv_id) AS options FROM conversations GROUP BY turn")
+@query("SELECT conv_id * 100 + turn AS chapter, conv_id || ':b,' || conv_id || ':' || role AS options FROM conversations")
 def options_per_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.table(spark, sf_dir, "conversations").select((F.col("turn") + 1).cast("int").alias("chapter"), F.col("conv_id").alias("pos"), F.concat_ws(":", F.col("conv_id").cast("string"), "role").alias("option_id"), F.col("role").alias("label"), F.lit(False).alias("secret"))
+    """Every turn as a chapter with two authored options, nested in their order."""
+    c = views.table(spark, sf_dir, "conversations")
+    told = lambda pos, what: F.struct(F.lit(pos).alias("pos"), F.concat_ws(":", F.col("conv_id").cast("string"), what).alias("option_id"), what.alias("label"), F.lit(False).alias("secret"))
+    rows = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("chapter"), F.explode(F.array(told(2, F.col("role")), told(1, F.lit("b")))).alias("o")).select("chapter", "o.*")
     return knowledge.options_per_chapter(rows).select("chapter", F.array_join(F.transform("options", lambda o: o["option_id"]), ",").alias("options"))
 
 
+RUNS = """run AS (SELECT conv_id AS play_id, max(turn) AS last, count(*) AS depth FROM conversations GROUP BY conv_id), pick AS (SELECT play_id, CASE play_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'z' END AS option_id FROM run)"""
+
+
+def runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Conversations as runs of several turns, two options offered on each, and one choice for every run."""
+    c = views.table(spark, sf_dir, "conversations")
+    turns = c.select(F.col("conv_id").alias("play_id"), F.lit("canon").alias("fork_id"), F.lit("k1").alias("protagonist"), (F.col("turn") + 1).cast("int").alias("chapter"), F.col("turn").cast("int").alias("turn"))
+    offered = turns.select("play_id", "turn", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("option_id"))
+    n = F.col("play_id") % 3
+    return turns, turns.select("play_id").distinct().select("play_id", F.when(n == 0, "a").when(n == 1, "b").otherwise("z").alias("option_id")), offered
+
+
+@query(f"WITH {RUNS} SELECT play_id, 'canon' AS fork_id, 'k1' AS protagonist, CAST(last + 2 AS INT) AS chapter, CAST(last + 1 AS INT) AS turn FROM run JOIN pick USING (play_id) WHERE depth < 10 AND option_id <> 'z'")
+def playthrough_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.advance(*runs(spark, sf_dir))[0]
+
+
+@query(f"WITH {RUNS} SELECT play_id, option_id, CASE WHEN depth >= 10 THEN 'complete' ELSE 'not offered' END AS reason FROM run JOIN pick USING (play_id) WHERE depth >= 10 OR option_id = 'z'")
+def playthrough_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.advance(*runs(spark, sf_dir))[1]
+
+
+@query("""WITH b AS (SELECT conv_id AS play_id, CAST(turn AS INT) AS turn, 'k' || conv_id % 3 || ':' || turn + 1 || ':' || len(string_split(text, ' ')) AS key, string_split(text, ' ') AS known FROM conversations)
+SELECT play_id, turn, key, CASE WHEN play_id % 4 = 0 THEN 'as written: ' || key ELSE array_to_string(known[1:4], '. ') || '.' END AS scene FROM b""")
+def scripted_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns whose words are the known facts; every fourth run has a script for its beats, which no other run may share."""
+    c = views.table(spark, sf_dir, "conversations")
+    who = F.concat(F.lit("k"), (F.col("conv_id") % 3).cast("string"))
+    beats = c.select(F.col("conv_id").alias("play_id"), F.col("turn").cast("int").alias("turn"), who.alias("protagonist"), (F.col("turn") + 1).cast("int").alias("chapter"), F.split("text", " ", -1).alias("known"))
+    key = F.concat_ws(":", "protagonist", F.col("chapter").cast("string"), F.size("known").cast("string"))
+    script = beats.where("play_id % 4 = 0").select(key.alias("key")).distinct().select("key", F.concat(F.lit("as written: "), "key").alias("text"))
+    of = lambda scripted: knowledge.scripted(beats.where(F.col("play_id") % 4 == 0) if scripted else beats.where(F.col("play_id") % 4 != 0), script if scripted else script.limit(0))
+    return of(True).unionByName(of(False))
+
+
 @query("SELECT doc_id AS fact_id, doc_id AS chapter, substr(text, 2, 5) AS quote FROM documents WHERE length(text) >= 6")
 def anchor_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One anchor per document, its sentinel being what stands there."""
@@ -354,11 +465,12 @@ def anchor_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.seed_from_anchors(anchors, d.select(F.col("doc_id").alias("chapter"), "text")).select("fact_id", "chapter", "quote")
 
 
-@query("SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS open FROM events GROUP BY user_id")
+@query("SELECT user_id, count(*) AS open FROM events WHERE event_type = 'view' GROUP BY user_id")
 def open_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as threads of a user, views being open: filtered inside the nested list."""
-    t = views.table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.struct("event_id", F.when(F.col("event_type") == "view", "open").otherwise("closed").alias("status"))).alias("threads"))
-    return t.select("user_id", F.size(knowledge.open_threads(F.col("threads"))).cast("long").alias("open"))
+    """Events as threads of a user, views being open."""
+    status = F.when(F.col("event_type") == "view", "open").otherwise("closed")
+    threads = views.table(spark, sf_dir, "events").select("user_id", "event_id", status.alias("status"))
+    return knowledge.open_threads(threads).groupBy("user_id").agg(F.count("*").alias("open"))
 
 
 @query("SELECT event_id AS id, 'payoff consistent' AS rule FROM events WHERE (event_id % 4 = 2) <> (event_id % 3 = 0)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from factloom.functions import markup, premise, prose, text, vectors
 from factloom.operators import chunks, corpus, entities, retrieval
 from factloom.plans import views
 from factloom.plans.registry import query
-from factloom.sources import hosts, tables
+from factloom.sources import aliases, hosts, shared, tables
 
 N_WORDS = r"len(regexp_extract_all({}, '\S+'))"
 
@@ -38,7 +40,7 @@ def _sql(pattern: str) -> str:
 
 _NOISE = _sql("(?i)" + "|".join(f"(?:{p})" for p in text.BOILERPLATE))
 CLEAN = rf"""regexp_replace(array_to_string(list_transform(string_split(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '{_NOISE}')), chr(10)),
-    '(?i){_sql(text.DISCLAIMER)}', '', 'g'), chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')), chr(10)), '^\s+|\s+$', '', 'g')"""
+    '(?i){_sql(text.DISCLAIMER)}', ' ', 'g'), chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')), chr(10)), '^\s+|\s+$', '', 'g')"""
 
 
 @query(f"SELECT doc_id, length({CLEAN}) AS n, sha256({CLEAN}) AS digest FROM documents")
@@ -54,13 +56,20 @@ CHAPTERS = rf"""c AS (SELECT source AS work, doc_id AS pos, {CLEAN} AS clean FRO
 
 @query(f"WITH {CHAPTERS} SELECT * FROM fate")
 def dedup_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.clean_chapters(views.chapters(spark, sf_dir), 20, 0.0, plain=True).select("work", "pos", "words", "fate")
+    return corpus.fates(views.chapters(spark, sf_dir), 20, 0.0, plain=True).select("work", "pos", "words", "fate")
+
+
+@query(f"WITH {CHAPTERS} SELECT work, pos, sha256(clean) AS digest FROM c JOIN fate USING (work, pos) WHERE fate = 'kept'")
+def kept_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned texts that stay, with the full normalisation (NFKC): these texts are in that form already."""
+    kept = corpus.clean_chapters(views.chapters(spark, sf_dir), 20, 0.0).where("fate = 'kept'")
+    return kept.select("work", "pos", F.sha2("clean", 256).alias("digest"))
 
 
 @query(f"""WITH {CHAPTERS} SELECT work, count(*) AS chapters, count(*) FILTER (WHERE fate = 'kept') AS kept, count(*) FILTER (WHERE fate = 'prose') AS not_prose,
     count(*) FILTER (WHERE fate = 'duplicate') AS duplicates, coalesce(sum(words) FILTER (WHERE fate = 'kept'), 0) AS words, count(*) FILTER (WHERE fate = 'kept') < count(*) AS is_partial FROM fate GROUP BY work""")
 def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.report(corpus.clean_chapters(views.chapters(spark, sf_dir), 20, 0.0, plain=True))
+    return corpus.report(corpus.fates(views.chapters(spark, sf_dir), 20, 0.0, plain=True))
 
 
 @query(f"""WITH h AS (SELECT doc_id AS pos, {N_WORDS.format("text")} >= 300 AS admitted FROM documents ORDER BY doc_id LIMIT 200)
@@ -128,7 +137,8 @@ PROSE = rf"""t AS (SELECT doc_id, text, list_filter(list_transform(string_split(
 
 @query(f"WITH {PROSE} SELECT doc_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in prose.COMPONENTS) + " FROM p")
 def prose_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", *prose.components("text")).select("doc_id", *(F.round(c, 6).alias(c) for c in prose.COMPONENTS))
+    scored = prose.with_components(docs(spark, sf_dir).select("doc_id", "text"), "text")
+    return scored.select("doc_id", *(F.round(c, 6).alias(c) for c in prose.COMPONENTS))
 
 
 TOTAL = "100 * (" + " + ".join(f"{w} * {c}" for c, w in prose.WEIGHTS.items()) + ")"
@@ -136,15 +146,16 @@ TOTAL = "100 * (" + " + ".join(f"{w} * {c}" for c, w in prose.WEIGHTS.items()) +
 
 @query(f"WITH {PROSE} SELECT count(*) AS n, round(min({TOTAL}), 1) AS min, round(median({TOTAL}), 1) AS median, round(max({TOTAL}), 1) AS max FROM p")
 def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = docs(spark, sf_dir).select("doc_id", *prose.components("text")).select(F.col("doc_id").alias("pos"), prose.quality().alias("score"))
+    scored = prose.with_components(docs(spark, sf_dir).select("doc_id", "text"), "text").select(F.col("doc_id").alias("pos"), prose.quality().alias("score"))
     return corpus.quality_summary(scored).select("n", *(F.round(c, 1).alias(c) for c in ("min", "median", "max")))
 
 
-@query("SELECT source AS work, doc_id AS pos, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM documents) WHERE rn <= 10 AND n_chars >= 100")
+@query("SELECT doc_id AS pos, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents WHERE n_chars >= 1000 ORDER BY rank LIMIT 200")
 def ranked_works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten longest chapters of each work, in order."""
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
-    return docs(spark, sf_dir).withColumn("rank", rank).where("rank <= 10 and n_chars >= 100").select(F.col("source").alias("work"), F.col("doc_id").alias("pos"), F.col("rank").cast("long").alias("rank"))
+    """The two hundred best works from a score on, their lengths being the scores."""
+    works = docs(spark, sf_dir).select(F.col("doc_id").alias("pos"), F.col("n_chars").cast("double").alias("score"))
+    best = corpus.rank_works(works, 1000.0).limit(200)
+    return best.select("pos", F.row_number().over(Window.orderBy(F.desc("score"), "pos")).cast("long").alias("rank"))
 
 
 @query("SELECT coalesce(bool_and(ok), true) AS ranked FROM (SELECT n_chars <= coalesce(lag(n_chars) OVER (ORDER BY doc_id), n_chars) AS ok FROM documents)")
@@ -152,11 +163,17 @@ def ranking_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.is_ranked(docs(spark, sf_dir).select(F.col("n_chars").alias("score"), F.col("doc_id").alias("pos")))
 
 
-@query(r"""WITH d AS (SELECT doc_id, lang, source, left(text, 300) AS head, n_chars AS reads FROM documents)
-SELECT doc_id FROM d WHERE reads >= 200 AND lang = 'en' AND (source = 'src1')::INT + regexp_matches(head, '(?i)\bof\W+the\b')::INT + regexp_matches(head, '(?i)\btrash\b')::INT >= 1""")
+@query(r"""WITH d AS (SELECT doc_id, lang, source, ' ' || lower(text) AS said, n_chars AS reads, doc_id % 7 AS votes, doc_id % 11 = 0 AS mature FROM documents)
+SELECT doc_id, regexp_matches(said, '\bof\W*the\b') AS hit FROM d WHERE NOT mature AND reads >= 200 AND votes >= 1 AND lang = 'en'
+AND (regexp_matches(said || ' ' || source, '\btrash\W*(?:fan\W*fictions?|fan\W*fics?|fics?)\b|\b(?:fan\W*fictions?|fan\W*fics?|fics?)\W*trash\b')
+    OR (source = 'src1' OR regexp_matches(said, '\bsrc\W*1\b'))::INT + regexp_matches(said, '\bof\W*the\b')::INT + regexp_matches(said, '\btrash\b')::INT >= 2)""")
 def relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).select("doc_id", F.lit("").alias("title"), F.left("text", F.lit(300)).alias("description"), F.array("source").alias("tags"), F.col("lang").alias("language"), F.col("n_chars").alias("reads"), F.lit(1).alias("votes"), F.lit(False).alias("mature"))
-    return d.where(text.is_relevant("no such name", ["src 1", "of the", "trash"], min_hits=1, min_reads=200)).select("doc_id")
+    """Works whose description is the whole text: two of three names, by tag or in words, or a declaration."""
+    d = docs(spark, sf_dir)
+    d = d.select("doc_id", F.lit("").alias("title"), F.col("text").alias("description"), F.array("source").alias("tags"), F.col("lang").alias("language"), F.col("n_chars").alias("reads"), (F.col("doc_id") % 7).alias("votes"), (F.col("doc_id") % 11 == 0).alias("mature"))
+    terms = ["src 1", "of the", "trash"]
+    hit = text.alias_hits(F.lit(""), F.col("description"), F.array().cast("array<string>"), ["Of The"]) > 0
+    return d.where(text.is_relevant("trash", terms, min_hits=2, min_reads=200, min_votes=1)).select("doc_id", hit.alias("hit"))
 
 
 @query("SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' / ' || p_type || '!'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, CASE WHEN length(p_name) <= 9 THEN p_name ELSE left(p_name, 6) || '...' END AS short, CASE WHEN ' ' || p_name || ' ' LIKE '% ring %' OR ' ' || p_name || ' ' LIKE '% red %' THEN true ELSE false END AS matches FROM part")
@@ -167,53 +184,170 @@ def labels_and_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- premises ----------------------------------------------------------------------------------------------------------
 
+#: What the works are about: titles, blurbs and tags that go through every pattern, with names that are read off the texts
+#: themselves (see ``premised``), so that nothing here says what comes out.
 BLURBS = (
-    # title, description, key, label, alternate
-    ("The Long Night", "Anna doesn't kill Peter and everything turns.", "character_survives:peter", "Peter survives the canon death", "Spare Peter — Peter lives"),
-    ("If he stayed", "What would change if Peter lived and they grow old together?", "character_survives:peter", "Peter survives the canon death", "Spare Peter — Peter lives, carrying on past the canon ending"),
-    ("Anna x Peter", "A story.", "pairing:anna+peter", "Ship: Anna & Peter", "Let Anna & Peter become involved"),
-    ("Alone", "A baby is found at the door.", "found_family", "Found family / children after canon", "Have the characters take on a family"),
-    ("Two worlds", "A crossover of sorts.", "crossover", "Crossover", "Pull in and cross the two worlds"),
-    ("Frozen in time", "They wake in a modern AU.", "time_displacement", "Time displacement / years after canon", "Displace the story out of its canon timeframe, in a reworked setting"),
-    ("Nothing", "Nothing at all happens here.", "unclassified", None, None),
+    ("The Long Night", "@ doesn't kill # and everything turns.", ""),
+    ("If he stayed", "What would change if @ lived and they grow old together?", ""),
+    ("Mercy", "She lets @ go at last. # never lied.", ""),
+    ("Quarter", "He spared @ twice over.", "Drama"),
+    ("Alive", "@ survives, but # wakes up alone.", ""),
+    ("After the wreck", "@ and Paul, two of the few survivors of the wreck, meet again.", ""),
+    ("Years", "It is 20 years later and # wakes up. The end.", ""),
+    ("Tagged", "Nothing is said here.", "ifjacklived"),
+    ("@ x #", "A story.", ""),
+    ("Alone", "A baby is found at the door.", ""),
+    ("Harry Potter / Star Wars fanfiction", "A tale.", ""),
+    ("Two worlds", "A crossover of sorts.", ""),
+    ("You", "@ x reader in a modern AU.", ""),
+    ("Insert", "Some reader-insert or y/n story.", "peterxreader"),
+    ("Frozen in time", "They wake in a modern AU.", ""),
+    ("Isekai", "She is transported to a realm; what if?", ""),
+    ("Beyond", "Life after the war, and a love triangle.", ""),
+    ("Guests", "An original character dies: character death.", ""),
+    ("The x That", "The doesn't kill This.", ""),
+    ("Nothing", "Nothing at all happens here.", ""),
 )
-BLURB_SQL = "b(k, key, label, alternate) AS (VALUES " + ", ".join(f"({n}, '{_sql(b[2])}', {'NULL' if b[3] is None else repr(b[3])}, {'NULL' if b[4] is None else repr(b[4])})" for n, b in enumerate(BLURBS)) + ")"
+#: A capitalised word of ASCII letters with no letter beside it.
+WHO = r"[^\p{L}]([A-Z][a-z]{2,})[^\p{L}]"
+_SLUG = "array_to_string(regexp_extract_all(lower({}), '[a-z0-9]+'), '-')"
+_IS_NAME = f"(len(regexp_extract_all(lower({{0}}), '[a-z0-9]+')) > 0 AND NOT list_has_any(regexp_extract_all(lower({{0}}), '[a-z0-9]+'), [{', '.join(repr(x) for x in premise.NO_NAMES)}]))"
+_FLAT = "list_transform(tags, lambda t: regexp_replace(lower(t), '[^a-z0-9]+', '', 'g'))"
+_NONE = "CAST([] AS VARCHAR[])"
+
+
+def _names(found: str) -> str:
+    return f"list_transform(list_filter({found}, lambda x: {_IS_NAME.format('x')}), lambda x: {_SLUG.format('x')})"
+
+
+def _first_seen(xs: str) -> str:
+    return f"list_filter(list_transform(range(1, len({xs}) + 1), lambda i: CASE WHEN list_position({xs}, {xs}[i]) = i THEN {xs}[i] END), lambda x: x IS NOT NULL AND x <> '')"
+
+
+def _case(column: str, of: dict[str, str]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{_sql(v)}'" for k, v in of.items()) + " END"
+
+
+_BLURB_ROWS = ", ".join(f"({n}, '{_sql(a)}', '{_sql(b)}', '{_sql(c)}')" for n, (a, b, c) in enumerate(BLURBS))
+_FIRED = {t: f"regexp_matches(said, '{_sql(p)}')" for t, p in premise.SIMPLE.items()} | {
+    "character_survives": "len(survivors) > 0",
+    "crossover": f"len(worlds) > 0 OR regexp_matches(said, '{_sql(premise.CROSSOVER_WORD)}')",
+    "reader_insert": "reader",
+    "pairing": "len(pair) > 0",
+}
+_LONE = [t for t in premise.PRECEDENCE if t not in premise.WITH_ENTITIES]
+
+
+def _told(of: dict[str, str], short: dict[str, str]) -> str:
+    """A template by trope in SQL: with names, or as ``short`` has it without."""
+    return f"CASE WHEN len(entities) = 0 THEN {_case('tropes[1]', of | short)} ELSE replace({_case('tropes[1]', of)}, '{{entities}}', names) END"
+
+
+PREMISE_SQL = rf"""b(k, title, blurb, tag) AS (VALUES {_BLURB_ROWS}),
+    n AS (SELECT doc_id, source, regexp_extract_all(text, '{WHO}', 1) AS names FROM documents),
+    w0 AS (SELECT doc_id AS pos, source || '/' || doc_id AS handle, title, blurb, tag, coalesce(names[1], 'Anna') AS a, coalesce(names[2], 'Peter') AS z FROM n JOIN b ON k = doc_id % {len(BLURBS)}),
+    w1 AS (SELECT pos, handle, replace(replace(title, '@', a), '#', z) AS title, replace(replace(blurb, '@', a), '#', z) AS blurb, CASE WHEN tag = '' THEN {_NONE} ELSE [tag] END AS tags FROM w0),
+    w2 AS (SELECT *, title || '. ' || blurb AS said FROM w1),
+    w3 AS (SELECT *, string_split(regexp_replace(regexp_replace(said, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)) AS sentences,
+        {" || ".join(_names(f"regexp_extract_all(said, '{_sql(p)}', {g})") for p, g in premise.SURVIVAL)} AS saved,
+        regexp_extract_all(title, '{_sql(premise.CROSSOVER_TITLE)}', 1) AS w_a, regexp_extract_all(title, '{_sql(premise.CROSSOVER_TITLE)}', 2) AS w_b,
+        regexp_extract(title, '{premise.PAIRING}', 1) AS p_a, regexp_extract(title, '{premise.PAIRING}', 2) AS p_b, regexp_extract(said, '{_sql(premise.READER_TARGET)}', 1) AS target FROM w2),
+    w4 AS (SELECT *, saved || {_names(f"list_filter(list_transform(list_filter(sentences, lambda s: regexp_matches(s, '{premise.TIME_GAP}')), lambda s: regexp_extract(s, '{premise.WAKES}', 1)), lambda x: x <> '')")}
+            || list_transform({_FLAT}, lambda t: regexp_extract(t, '{premise.SURVIVAL_TAG}', 1)) AS raw_survivors,
+        flatten(list_transform(list_zip(w_a, w_b), lambda p: [{_SLUG.format('p[1]')}, {_SLUG.format('p[2]')}])) AS raw_worlds,
+        (CASE WHEN target <> '' AND {_IS_NAME.format('target')} THEN [{_SLUG.format('target')}] ELSE {_NONE} END)
+            || list_filter(list_transform(list_filter({_FLAT}, lambda t: t LIKE '%xreader'), lambda t: regexp_replace(t, 'xreader$', '')), lambda t: t NOT IN ('charecter', 'character')) AS raw_readers,
+        {" OR ".join(f"regexp_matches(said, '{p}')" for p in premise.READER)} OR len(list_filter({_FLAT}, lambda t: t LIKE '%xreader')) > 0 AS reader,
+        CASE WHEN p_a <> '' AND lower(p_a) <> 'reader' AND lower(p_b) <> 'reader' AND {_IS_NAME.format('p_a')} AND {_IS_NAME.format('p_b')} THEN list_sort([{_SLUG.format('p_a')}, {_SLUG.format('p_b')}]) ELSE {_NONE} END AS pair FROM w3),
+    w5 AS (SELECT *, {_first_seen("raw_survivors")} AS survivors, list_filter({_first_seen("raw_worlds")}, lambda x: x <> 'the-main-line') AS worlds, {_first_seen("raw_readers")} AS readers FROM w4),
+    w6 AS (SELECT *, list_filter([{", ".join(f"CASE WHEN {_FIRED[t]} THEN '{t}' END" for t in premise.PRECEDENCE)}], lambda x: x IS NOT NULL) AS tropes FROM w5),
+    w7 AS (SELECT *, CASE tropes[1] WHEN 'character_survives' THEN survivors[1:1] WHEN 'crossover' THEN worlds WHEN 'reader_insert' THEN readers WHEN 'pairing' THEN pair ELSE {_NONE} END AS entities FROM w6),
+    w8 AS (SELECT *, array_to_string(list_transform(entities, lambda e: array_to_string(list_transform(string_split(e, '-'), lambda x: upper(x[1]) || x[2:]), ' ')), ' & ') AS names,
+        CASE WHEN len(tropes) = 0 THEN 'unclassified' WHEN len(entities) = 0 THEN tropes[1] ELSE tropes[1] || ':' || array_to_string(list_sort(entities), '+') END AS key FROM w7),
+    work AS (SELECT pos, handle, key, tropes, {_told(premise.LABELS, {"crossover": "Crossover", "reader_insert": "Reader-insert romance"})} AS label,
+        {_told(premise.CANON, {})} AS canon_option,
+        {_told(premise.ALTERNATES, {"crossover": "Pull in and cross the two worlds", "reader_insert": "A newcomer becomes close to"})}
+            || array_to_string(list_transform(tropes[2:3], lambda t: ', ' || {_case("t", premise.CLAUSES)}), '') AS alternate FROM w8)"""
 
 
 def premised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as works, each with one of a few blurbs."""
+    """Documents as works, each with one of a few blurbs about the first two capitalised words of its text."""
     n = (F.col("doc_id") % len(BLURBS)).cast("int")
     pick = lambda k: F.element_at(F.array(*(F.lit(b[k]) for b in BLURBS)), n + 1)
-    w = docs(spark, sf_dir).select(F.col("doc_id").alias("pos"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("handle"), pick(0).alias("title"), pick(1).alias("description"))
+    names = F.regexp_extract_all("text", F.lit(WHO), F.lit(1))
+    d = docs(spark, sf_dir).select("doc_id", "source", F.slice(names, 1, 2).alias("who"))
+    a, z = F.coalesce(F.get("who", F.lit(0)), F.lit("Anna")), F.coalesce(F.get("who", F.lit(1)), F.lit("Peter"))
+    about = lambda k: F.replace(F.replace(pick(k), F.lit("@"), a), F.lit("#"), z)
+    tags = F.when(pick(2) == "", F.array().cast("array<string>")).otherwise(F.array(pick(2)))
+    w = d.select(F.col("doc_id").alias("pos"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("handle"), about(0).alias("title"), about(1).alias("description"), tags.alias("tags"))
     # explodes of one: each step is worked out once per work, not once per use
-    w = w.select("pos", "handle", F.explode(F.array(premise.signature(F.col("title"), F.col("description"), F.array().cast("array<string>"), "the main line"))).alias("s"))
+    w = w.select("pos", "handle", F.explode(F.array(premise.signature(F.col("title"), F.col("description"), F.col("tags"), "the main line"))).alias("s"))
     return w.select("pos", "handle", F.explode(F.array(premise.read_signature(F.col("s")))).alias("premise"))
 
 
-@query(f"WITH {BLURB_SQL} SELECT b.key, count(*) AS size, arg_min(b.label, doc_id) AS label, sha256(string_agg(source || '/' || doc_id, ',' ORDER BY doc_id)) AS members FROM documents JOIN b ON k = doc_id % {len(BLURBS)} GROUP BY b.key")
+@query(f"WITH {PREMISE_SQL} SELECT pos, key, array_to_string(tropes, ',') AS tropes, label, alternate FROM work")
+def premises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = premised(spark, sf_dir).select("pos", "premise.*")
+    return w.select("pos", "key", F.array_join("tropes", ",").alias("tropes"), "label", "alternate")
+
+
+@query(f"WITH {PREMISE_SQL} SELECT key, count(*) AS size, arg_min(label, pos) FILTER (WHERE label IS NOT NULL) AS label, arg_min(handle, pos) AS first, arg_max(handle, pos) AS last FROM work GROUP BY key")
 def premise_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.premise_groups(premised(spark, sf_dir)).select("key", "size", "label", F.sha2(F.array_join("members", ","), 256).alias("members"))
+    return corpus.premise_groups(premised(spark, sf_dir))
 
 
-@query(f"""WITH {BLURB_SQL}, w AS (SELECT b.* FROM documents JOIN b ON k = doc_id % {len(BLURBS)} WHERE b.key <> 'unclassified'),
-s AS (SELECT key, alternate AS label, count(*) AS support FROM w GROUP BY key, alternate),
-o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY support DESC, label) AS option FROM s)
-SELECT key, option, label, support, sum(support) OVER (PARTITION BY key) AS point_support FROM o WHERE option < 4""")
+@query(f"""WITH {PREMISE_SQL}, s AS (SELECT key, alternate AS label, count(*) AS support FROM work WHERE len(tropes) > 0 GROUP BY key, alternate),
+o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY support DESC, label) AS option FROM s),
+kept AS (SELECT key, option, label, support, sum(support) OVER (PARTITION BY key) AS point_support FROM o WHERE option < 4)
+SELECT * FROM kept UNION ALL SELECT key, 0, arg_min(canon_option, pos), 0, any_value(point_support) FROM work JOIN (SELECT DISTINCT key, point_support FROM kept) USING (key) GROUP BY key""")
 def branch_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.branch_points(premised(spark, sf_dir)).where("option > 0").select("key", F.col("option").cast("long").alias("option"), "label", "support", "point_support")
+    return corpus.branch_points(premised(spark, sf_dir)).select("key", F.col("option").cast("long").alias("option"), "label", "support", "point_support")
 
 
 # --- hosts -------------------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title, 'someone' AS author, CASE p_size % 2 WHEN 0 THEN 'en' ELSE 'fr' END AS language, p_size % 3 = 0 AS mature, p_size % 4 = 0 AS completed, p_partkey * 1000 + 7 AS words,
-    p_brand || ',' || p_type AS tags, p_brand || ' — ' || p_type AS description FROM part""")
+ARCHIVE_SQL = """r AS (SELECT *, CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_brand || ', Other' END AS fandom, p_type || ', ' || p_name AS people,
+        CASE WHEN p_size % 5 = 0 THEN [] ELSE ['Angst'] END || CASE WHEN p_size % 3 = 0 THEN ['A/B'] ELSE [] END || ['F/M'] AS free, CASE WHEN p_size % 4 = 0 THEN '3/3' WHEN p_size % 4 = 1 THEN '3/?' ELSE '' END AS done FROM part)
+    SELECT 'ao3' AS source, id, p_name AS title, CASE WHEN p_size % 2 = 0 THEN 'someone' ELSE 'Byron' END AS author, 'https://archiveofourown.org/works/' || id AS url,
+        'Fandom: ' || fandom || '. Characters: ' || people || '. Tags: ' || array_to_string(free, ', ') || '.' AS description,
+        array_to_string(string_split(fandom, ', ') || string_split(people, ', ') || free || ['ao3_fandom:' || fandom, 'ao3_characters:' || people] || CASE WHEN done = '' THEN [] ELSE ['ao3_chapters:' || done] END, '|') AS tags,
+        CASE WHEN p_size % 3 = 0 THEN p_partkey * 1000 + 7 ELSE 0 END AS reads, CASE WHEN p_size % 3 = 0 THEN p_size ELSE 0 END AS votes, p_size % 4 = 0 OR p_size % 7 = 0 AS completed,
+        p_size % 3 = 0 OR p_size % 10 = 1 AS mature, CASE WHEN p_size % 2 = 0 THEN 'en' WHEN p_size % 3 = 0 THEN 'fr' ELSE 'kl' END AS language, p_partkey * 1000 + 7 AS words, 'a:1:' || p_name AS chapter
+    FROM r WHERE p_size % 6 <> 5"""
+
+
+@query(f"WITH {ARCHIVE_SQL.replace("'a:1:' || p_name", "id || ':1:' || p_name")}")
 def archive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as rows of the archive's mirror: labels under either spelling, missing fields, and every sixth without text."""
     p = views.table(spark, sf_dir, "part")
-    words = F.concat(F.col("p_partkey").cast("string"), F.lit(",007"))
-    meta = F.create_map(F.lit("author"), F.lit("by someone "), F.lit("Language"), F.when(F.col("p_size") % 2 == 0, "English").otherwise("Français"), F.lit("Rating"), F.when(F.col("p_size") % 3 == 0, "Explicit").otherwise("General"), F.lit("chapters"), F.when(F.col("p_size") % 4 == 0, "3/3").otherwise("3/?"), F.lit("words"), words, F.lit("Fandom"), F.col("p_brand"), F.lit("Fandoms"), F.col("p_brand"), F.lit("Characters"), F.col("p_type"))
-    raw = p.select(F.to_json(F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), meta.alias("metadata"))).alias("raw"))
-    return hosts.archive_rows(raw, "raw").select("id", "title", "author", "language", "mature", "completed", "words", F.array_join("tags", ",").alias("tags"), "description")
+    k, n = F.col("p_size"), F.col("p_partkey").cast("string")
+    even = k % 2 == 0
+    meta = {
+        "author": F.when(even, "by someone ").otherwise("Byron"),
+        "Language": F.when(even, "English").when(k % 3 == 0, "Français").otherwise("Klingon"),
+        "Rating": F.when(k % 3 == 0, "Explicit").otherwise("General"),
+        "Archive Warning": F.when(k % 10 == 1, "Underage Sex").otherwise("None"),
+        "chapters": F.when(k % 4 == 0, "3/3"),
+        "Chapters": F.when(k % 4 == 1, "3/?"),
+        "completed": F.when(k % 7 == 0, "2010-04-27").otherwise(""),
+        "words": F.concat(n, F.lit(",007")),
+        "Hits": F.when(k % 3 == 0, F.concat(n, F.lit(",007"))),
+        "Kudos": F.when(k % 3 == 0, k.cast("string")),
+        "Fandom": F.when(even, F.col("p_brand")),
+        "Fandoms": F.when(even, F.col("p_brand")).otherwise(F.concat("p_brand", F.lit(" , Other,"))),
+        "Characters": F.concat_ws(", ", "p_type", "p_name"),
+        "Character": F.col("p_type"),
+        "Additional Tags": F.when(k % 5 != 0, "Angst"),
+        "Relationship": F.when(k % 3 == 0, "A/B"),
+        "Category": F.lit("F/M"),
+    }
+    fields = F.create_map(*(x for name, v in meta.items() for x in (F.lit(name), v.cast("string"))))
+    raw = p.select(F.to_json(F.struct(n.alias("id"), F.concat(F.lit(" "), "p_name").alias("title"), fields.alias("metadata"), F.when(k % 6 != 5, "some text").otherwise(" ").alias("text"))).alias("raw"))
+    ref = F.get("chapter_refs", F.lit(0))
+    found = hosts.archive_rows(raw, "raw").withColumn("tags", F.array_join("tags", "|"))
+    found = found.withColumn("chapter", F.concat_ws(":", ref["source_id"], ref["index"].cast("string"), ref["title"]))
+    return found.select("source", "id", "title", "author", "url", "description", "tags", "reads", "votes", "completed", "mature", "language", "words", "chapter")
 
 
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS id, 'en' AS language, CAST(p_retailprice AS BIGINT) AS reads, 0 AS votes, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 2 END AS chapters, 1 AS first_index FROM (SELECT * REPLACE (floor(p_retailprice) AS p_retailprice) FROM part) WHERE p_size % 5 <> 0""")
@@ -261,96 +395,162 @@ def canon_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", markup.canonical_name(F.col("title")).alias("canonical"), b["basis"].alias("basis"), F.array_join(b["evidence"], "|").alias("evidence"))
 
 
-@query("""SELECT p_partkey, 'Box' AS template, 'deceased' AS life, p_type || ':brother,Ann Lee:spouse' AS relations, 'Old ' || p_brand || ',Big Ben' AS aliases, 'home=' || p_type AS attributes,
-    p_name || ' is a ' || p_type || ' thing.' AS lead FROM part""")
-def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small page per part, read back: profile, relations, aliases, attributes, lead."""
-    n, t, b = F.col("p_name"), F.col("p_type"), F.col("p_brand")
-    page = F.concat(F.lit("<!-- x -->{{Quote|hm}}{{Box\n|status = '''Deceased'''\n|image = a.png\n|relatives = [["), t, F.lit("]] <small>(brother)</small>\n|spouse = Ann Lee\n|age = unknown\n|aliases = Old "), b, F.lit("<br/>Captain\n|home = [[X|"), t, F.lit("]]{{note|a=b}}\n}}\n'''"), n, F.lit("''' is a '''''"), t, F.lit("''''' thing.<ref>r</ref> '''Big Ben'''.\n== More ==\nrest"))
-    page = F.replace(page, F.lit(" '''Big Ben'''."), F.lit("<nowiki/>'''Big Ben'''"))
-    p = views.table(spark, sf_dir, "part").select("p_partkey", page.alias("page"))
-    p = p.select("p_partkey", "page", markup.templates(markup.preprocess(F.col("page"))).alias("ts"), markup.lead_markup(F.col("page")).alias("lead"))
-    p = p.withColumn("box", markup.profile(F.col("ts"))).withColumn("params", F.col("box.params"))
-    rel = F.flatten(F.transform(F.array(F.lit("relatives"), F.lit("spouse")), lambda f: markup.relations(f, F.element_at("params", f))))
-    names = F.concat(markup.field_aliases(F.element_at("params", "aliases")), F.filter(markup.lead_aliases(F.col("lead")), lambda a: a == "Big Ben"))
-    told = F.filter(markup.attributes(F.col("params")), lambda a: a["predicate"] == "home")
-    return p.select("p_partkey", "box.name", markup.life_status(F.col("params")).alias("life"), F.array_join(F.transform(rel, lambda r: F.concat_ws(":", r["target"], r["kind"])), ",").alias("relations"), F.array_join(names, ",").alias("aliases"), F.array_join(F.transform(told, lambda a: F.concat(a["predicate"], F.lit("="), F.regexp_replace(a["value"], r"\{\{.*\}\}", ""))), ",").alias("attributes"), F.regexp_replace(markup.plain(F.col("lead")), r"\s*Big Ben$", "").alias("lead")).withColumnRenamed("name", "template")
-
-
-ENTITY_SQL = """e AS (SELECT p_partkey AS pos, CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE ' ' || p_brand END AS canonical_name, lower(trim(p_brand)) AS name, CASE WHEN p_size % 3 = 0 THEN 'other' ELSE lower(p_type) END AS kind, p_size % 4 AS bits,
-        CASE WHEN p_size % 5 = 0 THEN 'alive' ELSE 'unknown' END AS life_status, p_name AS summary, string_split(p_name, ' ')[1] AS alias, string_split(p_name, ' ')[-1] AS target, lower(p_type) AS rel, CAST(p_size AS VARCHAR) AS size, p_partkey % 97 AS prominence FROM part),
+@query("""WITH p AS (SELECT *, p_size % 3 = 0 AS boxed, p_size % 4 = 0 AS bold FROM part WHERE p_size % 3 = 0 OR p_size % 4 = 0)
+SELECT p_partkey, 'Q ' || p_name || ' ' || p_partkey AS canonical_name, CASE WHEN p_size % 2 = 0 THEN CASE WHEN boxed THEN 'both' ELSE 'novel' END WHEN boxed THEN 'screen' ELSE 'unknown' END AS canon_basis,
+    CASE WHEN boxed THEN 'deceased' ELSE 'unknown' END AS life, array_to_string(CASE WHEN boxed THEN ['Old ' || p_brand, 'Captain Ahab'] ELSE [] END || ['Big Ben'], '|') AS aliases,
+    CASE WHEN boxed THEN p_type || ':brother:relatives|Ann Lee:spouse:spouse' ELSE '' END AS relations, CASE WHEN boxed THEN 'status=Deceased|home=' || p_type ELSE '' END AS attributes,
+    'Q ' || p_name || ' ' || p_partkey || ' is a ' || p_type || ' thing. Big Ben.' AS summary, 'Q ' || p_name || ' ' || p_partkey || CASE WHEN p_size % 2 = 0 THEN ' (novel)' ELSE '' END AS page FROM p""")
+def wiki_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page per part, read as an entity: some with a profile, some with their name in bold, others only lists, which go."""
+    n, t, b, k = F.concat_ws(" ", F.lit("Q"), "p_name", F.col("p_partkey").cast("string")), F.col("p_type"), F.col("p_brand"), F.col("p_size")
+    box = F.concat(F.lit("{{Box\n|status = '\''Deceased'\''\n|image = a.png\n|relatives = [["), t, F.lit("]] <small>(brother)</small>, of old\n|spouse = Ann Lee<br/>[[ann lee|her]]\n|age = unknown\n|aliases = Old "), b, F.lit("<br/>Captain Ahab (once)\n|home = [[X|"), t, F.lit("]]\n}}\n"))
+    own = F.when(k % 4 == 0, F.concat(F.lit("\'\'\'"), n, F.lit("\'\'\'"))).otherwise(n)
+    page = F.concat(F.lit("<!-- x -->{{Quote|hm}}"), F.when(k % 3 == 0, box).otherwise(""), own, F.lit(" is a \'\'"), t, F.lit("\'\' thing.<ref>r</ref> \'\'\'Big Ben\'\'\'.\n== More ==\nrest"))
+    title = F.concat(n, F.when(k % 2 == 0, " (novel)").otherwise(""))
+    cats = F.when(k % 3 == 0, F.array(F.lit("Category:Season 3 people"))).otherwise(F.array(F.lit("Tall")))
+    pages = views.table(spark, sf_dir, "part").select("p_partkey", title.alias("title"), page.alias("markup"), cats.alias("categories"), F.lit("u").alias("page_url"))
+    e = markup.entities_of(pages)
+    told = lambda xs, *names: F.array_join(F.transform(xs, lambda x: F.concat_ws("=" if "value" in names else ":", *(x[m] for m in names))), "|")
+    return e.select("p_partkey", "canonical_name", "canon_basis", F.col("life_status").alias("life"), F.array_join("aliases", "|").alias("aliases"), told(F.col("relationships"), "target", "kind", "field").alias("relations"), told(F.col("attributes"), "predicate", "value").alias("attributes"), "summary", F.get("sources", F.lit(0))["page_title"].alias("page"))
+
+
+ENTITY_SQL = """e0 AS (SELECT p_partkey AS pos, CASE WHEN p_partkey % 50 = 0 THEN p_name || ' ' || p_partkey WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE ' ' || p_brand END AS canonical_name,
+        CASE WHEN p_size % 3 = 0 THEN 'other' ELSE lower(p_type) END AS kind, p_size % 4 AS bits, CASE WHEN p_size % 5 = 0 THEN 'alive' ELSE 'unknown' END AS life_status, p_name AS summary,
+        [string_split(p_name, ' ')[1], ' ' || lower(p_brand)] AS aliases, string_split(p_name, ' ')[-1] AS target, lower(p_type) AS rel, CAST(p_size AS VARCHAR) AS size, p_partkey % 97 AS prominence FROM part),
+    e AS (SELECT *, lower(trim(canonical_name)) AS name, count(*) OVER (PARTITION BY lower(trim(canonical_name))) AS sightings, (length(summary) * 1000 + prominence) * 1000000000 - pos AS rich FROM e0),
     b(bits, basis) AS (VALUES (0, 'unknown'), (1, 'novel'), (2, 'screen'), (3, 'both')),
-    m AS (SELECT name, arg_max(canonical_name, greatest(length(summary), prominence) * 1000000000 - pos) AS canonical_name, bit_or(bits) AS bits, coalesce(arg_min(kind, pos) FILTER (WHERE kind <> 'other'), 'other') AS kind,
-        coalesce(arg_min(life_status, pos) FILTER (WHERE life_status <> 'unknown'), 'unknown') AS life_status, arg_max(summary, greatest(length(summary), prominence) * 1000000000 - pos) AS summary, max(prominence) AS prominence, count(*) AS sightings, min(pos) AS pos FROM e GROUP BY name),
-    a AS (SELECT name, string_agg(alias, ',' ORDER BY o) AS aliases FROM (SELECT name, arg_min(alias, pos) AS alias, min(pos) AS o FROM e GROUP BY name, lower(alias)) GROUP BY name)"""
-
-
-@query(f"WITH {ENTITY_SQL} SELECT name, canonical_name, basis AS canon_basis, kind, life_status, summary, prominence, sightings, aliases FROM m JOIN b USING (bits) JOIN a USING (name)")
+    al AS (SELECT name, pos, sightings, 0 AS nth, aliases[1] AS alias FROM e UNION ALL SELECT name, pos, sightings, 1, aliases[2] FROM e),
+    low AS (SELECT name, lower(trim(alias)) AS k, arg_min(alias, pos * 2 + nth) AS alias, min(pos * 2 + nth) AS o FROM al WHERE sightings > 1 AND lower(trim(alias)) <> name GROUP BY 1, 2
+        UNION ALL SELECT name, NULL, alias, pos * 2 + nth FROM al WHERE sightings = 1),
+    a AS (SELECT name, list(alias ORDER BY o) AS aliases FROM low GROUP BY name),
+    m AS (SELECT name, arg_max(canonical_name, rich) AS canonical_name, bit_or(bits) AS bits, coalesce(arg_min(kind, pos) FILTER (WHERE kind <> 'other'), 'other') AS kind,
+        coalesce(arg_min(life_status, pos) FILTER (WHERE life_status <> 'unknown'), 'unknown') AS life_status, arg_max(summary, rich) AS summary, max(prominence) AS prominence, count(*) AS sightings, min(pos) AS pos,
+        coalesce(any_value(a.aliases), []) AS aliases FROM e LEFT JOIN a USING (name) GROUP BY name),
+    r AS (SELECT name, pos, sightings, 0 AS nth, target, rel, pos % 4 AS bits FROM e UNION ALL SELECT name, pos, sightings, 1, ' ' || upper(target), rel, (pos + 1) % 4 FROM e),
+    mr AS (SELECT name, arg_min(target, pos * 2 + nth) AS target, arg_min(rel, pos * 2 + nth) AS kind, bit_or(bits) AS bits FROM r GROUP BY name, lower(trim(target)), lower(rel), CASE WHEN sightings = 1 THEN nth END)"""
+
+
+@query(f"WITH {ENTITY_SQL} SELECT name, canonical_name, basis AS canon_basis, kind, life_status, summary, prominence, sightings, array_to_string(aliases, ',') AS aliases FROM m JOIN b USING (bits)")
 def entity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = entities.merge(views.entities(spark, sf_dir))
     return m.select("name", "canonical_name", "canon_basis", "kind", "life_status", "summary", "prominence", "sightings", F.array_join("aliases", ",").alias("aliases"))
 
 
-@query(f"WITH {ENTITY_SQL} SELECT name, target, rel AS kind, basis AS canon_basis FROM (SELECT name, target, rel, bit_or(bits) AS bits FROM e GROUP BY ALL) JOIN b USING (bits)")
+@query(f"WITH {ENTITY_SQL} SELECT canonical_name, row_number() OVER (ORDER BY prominence DESC, canonical_name) AS place FROM m ORDER BY place LIMIT 20")
+def entity_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty most prominent names."""
+    lead = entities.in_order(entities.merge(views.entities(spark, sf_dir))).limit(20)
+    return lead.select("canonical_name", F.row_number().over(Window.orderBy(F.desc("prominence"), "canonical_name")).cast("long").alias("place"))
+
+
+@query(f"WITH {ENTITY_SQL} SELECT name, target, kind, basis AS canon_basis FROM mr JOIN b USING (bits)")
 def entity_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.merge_relationships(views.entities(spark, sf_dir))
 
 
-@query(f"WITH {ENTITY_SQL} SELECT name, 'size' AS predicate, size AS value, basis AS canon_basis FROM (SELECT name, size, bit_or(bits) AS bits FROM e GROUP BY ALL) JOIN b USING (bits)")
+@query(f"WITH {ENTITY_SQL} SELECT name, 'size' AS predicate, size AS value, basis AS canon_basis FROM (SELECT name, size, bit_or(pos % 4) AS bits FROM e GROUP BY ALL) JOIN b USING (bits)")
 def entity_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.merge_attributes(views.entities(spark, sf_dir))
 
 
+@query(f"WITH {ENTITY_SQL} SELECT name, arg_min('Page ' || target, pos) AS page_title, arg_min('u/' || pos, pos) AS page_url, arg_min(target, pos) AS evidence FROM e GROUP BY name, lower(target)")
+def entity_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = entities.merge_sources(views.entities(spark, sf_dir))
+    return s.select("name", "page_title", "page_url", F.array_join("basis_evidence", ",").alias("evidence"))
+
+
+@query(f"""WITH {ENTITY_SQL} SELECT kind || ':' || regexp_replace(lower(canonical_name), '[^a-z0-9]+', '-', 'g') AS natural_key, array_to_string(list_sort(list_distinct([target])), ',') AS evidence, '1.0' AS version FROM e""")
+def index_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity index as written to JSON and read again, with the version of its manifest."""
+    path = f"{shared.shared_dir(spark)}/factloom/index-{uuid.uuid4().hex}"
+    tables.write_index(views.entities(spark, sf_dir), path)
+    version = spark.read.schema("schema_version string, entities long").json(f"{path}/manifest")
+    rows = spark.read.schema("natural_key string, basis_evidence array<string>").json(f"{path}/entities")
+    return rows.select("natural_key", F.array_join("basis_evidence", ",").alias("evidence")).join(F.broadcast(version.select(F.col("schema_version").alias("version"))))
+
+
 @query(f"WITH {ENTITY_SQL} SELECT kind AS value, count(*) AS n, 'kind' AS by FROM e GROUP BY kind UNION ALL SELECT basis, count(*), 'basis' FROM e JOIN b USING (bits) GROUP BY basis")
 def entity_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.tallies(views.entities(spark, sf_dir))
 
 
-@query(f"WITH {ENTITY_SQL}, n AS (SELECT name AS match, name, pos, 0 AS o FROM m UNION ALL SELECT lower(alias), name, m.pos, 1 FROM (SELECT DISTINCT name, alias FROM e) JOIN m USING (name)) SELECT match, arg_min(name, pos * 10 + o) AS name FROM n GROUP BY match")
+NAME_SQL = "n AS (SELECT name AS match, name, pos, 0 AS o, bits FROM m UNION ALL SELECT lower(trim(aliases[i])), name, pos, i, bits FROM m, range(1, 100) t(i) WHERE i <= len(aliases))"
+
+
+@query(f"WITH {ENTITY_SQL}, {NAME_SQL} SELECT match, arg_min(name, pos * 1000 + o) AS name FROM n GROUP BY match")
 def name_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.name_index(entities.merge(views.entities(spark, sf_dir)))
 
 
-@query(f"WITH {ENTITY_SQL} SELECT DISTINCT target FROM e WHERE lower(target) NOT IN (SELECT lower(alias) FROM e UNION SELECT name FROM e)")
+@query(f"WITH {ENTITY_SQL}, {NAME_SQL} SELECT DISTINCT target FROM mr WHERE lower(target) NOT IN (SELECT match FROM n)")
 def unresolved_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = views.entities(spark, sf_dir)
     return entities.unresolved_targets(entities.merge(seen), entities.merge_relationships(seen))
 
 
-@query(f"WITH {ENTITY_SQL}, o AS (SELECT name FROM m WHERE bits = 3) SELECT name AS match FROM o UNION SELECT lower(alias) FROM e JOIN o USING (name)")
+@query(f"WITH {ENTITY_SQL}, {NAME_SQL} SELECT DISTINCT match FROM n WHERE bits = 3")
 def basis_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.vocabulary(entities.merge(views.entities(spark, sf_dir)), "both")
 
 
-NAMES = ("thou", "eren", "chen", "ción", "ement")
-
-
-@query("""WITH n(match, name, basis, rank) AS (VALUES ('thou', 'a', 'novel', 3), ('eren', 'b', 'both', 5), ('chen', 'c', 'unknown', 1), ('ción', 'd', 'screen', 2), ('ement', 'e', 'both', 4)),
-h AS (SELECT doc_id AS id, name, basis, rank FROM documents, n WHERE contains(lower(text), match))
+@query("""WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]{4,}')[1:3] AS w FROM benchmark),
+n AS (SELECT DISTINCT 'e' || item_id AS name, unnest(w) AS match, ['unknown', 'novel', 'screen', 'both'][item_id % 4 + 1] AS basis, item_id % 97 AS rank FROM w),
+h AS (SELECT DISTINCT doc_id AS id, name, basis, rank FROM documents, n WHERE contains(lower(text), match))
 SELECT d.doc_id AS id, coalesce(string_agg(name, ',' ORDER BY rank DESC, name), '') AS names, CASE WHEN bool_or(basis = 'screen') THEN 'screen' WHEN bool_and(basis = 'unknown') IS NOT false THEN 'unknown' WHEN bool_or(basis = 'novel') THEN 'novel' ELSE 'both' END AS basis
 FROM documents d LEFT JOIN h ON h.id = d.doc_id GROUP BY d.doc_id""")
 def classify_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a", "thou", "novel", 3), ("b", "eren", "both", 5), ("c", "chen", "unknown", 1), ("d", "ción", "screen", 2), ("e", "ement", "both", 4)]
-    e = spark.createDataFrame([(n, m, ["xyz"], b, p, p) for n, m, b, p in rows], "name string, canonical_name string, aliases array<string>, canon_basis string, prominence long, pos long")
-    return entities.classify(docs(spark, sf_dir), e, "doc_id", "text").select("id", F.array_join("names", ",").alias("names"), "basis")
+    """Documents by the entities they name, the entity table being the benchmark's items."""
+    return entities.classify(docs(spark, sf_dir), views.named(spark, sf_dir), "doc_id", "text").select("id", F.array_join("names", ",").alias("names"), "basis")
 
 
 # --- chunks and vectors ------------------------------------------------------------------------------------------------
 
 
-@query()
+def chunk_sql(size: int, overlap: int) -> str:
+    """Chunks of documents by recursion: where the next begins depends on where this one ends."""
+
+    def end(lo: str) -> str:
+        head = f"substr(t, {lo} + 1, {size})"
+        last = f"length(regexp_extract({head}, '(?s)^(.*)[.\n]', 1))"
+        return f"CASE WHEN {lo} + {size} < n AND regexp_matches({head}, '[.\n]') AND {last} > {size} * 0.5 THEN {lo} + {last} + 1 ELSE least({lo} + {size}, n) END"
+
+    return rf"""d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+    walk(doc_id, t, n, lo, hi) AS (
+        SELECT doc_id, t, n, CAST(0 AS BIGINT), {end("0")} FROM d WHERE n > 0
+        UNION ALL SELECT doc_id, t, n, nlo, {end("nlo")} FROM (SELECT doc_id, t, n, greatest(hi - {overlap}, lo + 1) AS nlo FROM walk WHERE hi < n)),
+    body AS (SELECT doc_id, lo, substr(t, lo + 1, hi - lo) AS q FROM walk),
+    chunk AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY lo) - 1 AS chunk, lo + length(q) - length(regexp_replace(q, '^\s+', '')) AS char_start, regexp_replace(q, '^\s+|\s+$', '', 'g') AS quote FROM body WHERE regexp_matches(q, '\S'))"""
+
+
+@query(f"WITH RECURSIVE {chunk_sql(1000, 200)} SELECT doc_id, CAST(chunk AS INT) AS chunk, CAST(char_start AS INT) AS char_start, CAST(char_start + length(quote) AS INT) AS char_end, sha256(quote) AS digest FROM chunk")
 def chunk_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks.chunks(docs(spark, sf_dir), "doc_id", "text")
     return c.select(F.col("id").alias("doc_id"), "chunk", "char_start", "char_end", F.sha2("quote", 256).alias("digest"))
 
 
-@query("""WITH t AS (SELECT item_id, regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g') AS t FROM benchmark), g AS (SELECT item_id, unnest(range(1, CAST(greatest(length(t) - 2, 1) AS BIGINT) + 1)) AS i, t FROM t WHERE t <> ''),
-h AS (SELECT item_id, sha256(substr(t, i, 3)) AS h FROM g), s AS (SELECT item_id, CAST('0x' || substr(h, 15, 2) AS INT) AS bucket, 1 - 2 * (CAST('0x' || substr(h, 18, 1) AS INT) % 2) AS sign FROM h),
-v AS (SELECT item_id, bucket, sum(sign) AS v FROM s GROUP BY ALL)
-SELECT item_id, bucket, round(v / sqrt(sum(v * v) OVER (PARTITION BY item_id)), 6) AS value FROM v WHERE v <> 0""")
+def embed_sql(rows: str, key: str, text_col: str) -> str:
+    """Signed bucket counts v(key, bucket, v) of the grams of a table's texts."""
+    return rf"""t AS (SELECT {key} AS key, lower(regexp_replace({text_col}, '^\s+|\s+$', '', 'g')) AS t FROM {rows}), g AS (SELECT key, unnest(range(1, CAST(greatest(length(t) - 2, 1) AS BIGINT) + 1)) AS i, t FROM t WHERE t <> ''),
+    grams AS (SELECT key, substr(t, i, 3) AS g, count(*) AS n FROM g GROUP BY ALL), h AS (SELECT key, n, sha256(g) AS h FROM grams),
+    v AS (SELECT key, CAST('0x' || substr(h, 15, 2) AS INT) AS bucket, sum(n * (1 - 2 * (CAST('0x' || substr(h, 18, 1) AS INT) % 2))) AS v FROM h GROUP BY ALL)"""
+
+
+@query(f"WITH {embed_sql('documents', 'doc_id', 'text')} SELECT key AS doc_id, bucket, round(v / sqrt(sum(v * v) OVER (PARTITION BY key)), 6) AS value FROM v WHERE v <> 0")
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = views.table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(vectors.embed(F.col("text"))).alias("bucket", "value"))
-    return b.where("value <> 0").select("item_id", "bucket", F.round("value", 6).alias("value"))
+    b = docs(spark, sf_dir).select("doc_id", F.posexplode(vectors.embed(F.col("text"))).alias("bucket", "value"))
+    return b.where("value <> 0").select("doc_id", "bucket", F.round("value", 6).alias("value"))
+
+
+QUESTION = "thion of the reat"
+
+
+@query(f"""WITH RECURSIVE {chunk_sql(400, 80)}, every AS (SELECT doc_id || ':' || chunk AS key, quote FROM chunk UNION ALL SELECT 'q', '{QUESTION}'), {embed_sql("every", "key", "quote")},
+norm AS (SELECT key, sqrt(sum(v * v)) AS n FROM v GROUP BY key), s AS (SELECT v.key, sum(v.v * q.v) / any_value(n.n) / any_value(m.n) AS score FROM v JOIN norm n USING (key), (SELECT * FROM v WHERE key = 'q') q, (SELECT n FROM norm WHERE key = 'q') m WHERE v.bucket = q.bucket AND v.key <> 'q' GROUP BY v.key)
+SELECT doc_id AS id, CAST(chunk AS INT) AS chunk, CAST(char_start AS INT) AS char_start, CAST(char_start + length(quote) AS INT) AS char_end, round(score, 6) AS score FROM s JOIN chunk ON doc_id || ':' || chunk = key ORDER BY round(s.score, 12) DESC, doc_id, chunk LIMIT 10""")
+def retrieve_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of all documents nearest to a question."""
+    found = retrieval.retrieve(docs(spark, sf_dir), "doc_id", "text", QUESTION, 10, 400, 80)
+    return found.select("id", "chunk", "char_start", "char_end", F.round("score", 6).alias("score"))
 
 
 @query("""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), q AS (SELECT e FROM v WHERE vec_id = 0)
@@ -378,33 +578,102 @@ def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.upsert(v, added, v.where("fact_id % 5 = 0")).select("fact_id", "fork_id")
 
 
-@query()
-def retrieve_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of the benchmark's texts nearest to a question."""
-    found = retrieval.retrieve(views.table(spark, sf_dir, "benchmark"), "item_id", "text", "thion of the reat", 10, 100, 20)
-    return found.select("id", "chunk", "char_start", "char_end", F.round("score", 6).alias("score"))
-
-
 @query("SELECT '1.2' AS schema_version, count(DISTINCT source) AS works, count(*) AS chapters, sum(n_chars) AS words, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM documents")
 def corpus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = docs(spark, sf_dir).groupBy("source").agg(F.count("*").alias("chapters"), F.sum("n_chars").alias("words"), F.max("n_chars").alias("score"))
     return tables.corpus_manifest(w).select("schema_version", "works", "chapters", "words", F.array_join("sources", ",").alias("sources"))
 
 
-@query("SELECT doc_id AS id, count(*) AS chapters FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE regexp_matches(l, '^[ \\t]*(?:[0-9]{1,3}|[IVXLCDM]{1,7})[ \\t]*$') GROUP BY doc_id")
+NUMBERS = "one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty"
+#: Lines put into the documents: headings of all kinds, a line of contents, a heading with nothing behind it.
+HEADS = ("Chapter 1: Dawn", "PART two - ", "  Book iv.  The sea", "XIV", "7", "Chapter 1 thru Chapter 9", "chapter nine", "Chapters are long")
+_HEAD = rf"^[ \t]*(?:chapter|part|book)[ \t]+(?:\d{{1,3}}|[ivxlcdm]{{1,7}}|{NUMBERS})[ \t]*[.:—-]?[ \t]*(.*)$"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT doc_id, flatten(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN i % 3 = 0 THEN [[{", ".join(f"'{h}'" for h in HEADS)}][(doc_id + i) % {len(HEADS)} + 1], l[i]] ELSE [l[i]] END)) AS l FROM l),
+y AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS nth, unnest(l) AS words FROM x),
+z AS (SELECT *, regexp_matches(words, '(?i){_HEAD}') AND NOT regexp_matches(regexp_extract(words, '(?i){_HEAD}', 1), '(?i)(?:chapter|part|book)[ 	]+(?:\d|[ivxlcdm])') AS told, regexp_matches(words, '^[ 	]*(?:\d{{1,3}}|[IVXLCDM]{{1,7}})[ 	]*$') AS bare FROM y),
+c AS (SELECT *, sum(CAST(told OR bare AS INT)) OVER (PARTITION BY doc_id ORDER BY nth) AS chapter FROM z),
+f AS (SELECT doc_id, chapter, max(trim(regexp_extract(words, '(?i){_HEAD}', 1), chr(32) || chr(9))) FILTER (WHERE told) AS title, regexp_replace(string_agg(words, chr(10) ORDER BY nth) FILTER (WHERE NOT (told OR bare)), '^\s+|\s+$', '', 'g') AS body FROM c WHERE chapter > 0 GROUP BY ALL)
+SELECT doc_id AS id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY chapter) AS INT) AS "index", nullif(title, '') AS title, sha256(body) AS digest FROM f WHERE body <> ''""")
 def numbered_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that have heading lines, with the chapters cut at them."""
-    return corpus.chapters_of(docs(spark, sf_dir), "doc_id", F.col("text")).groupBy("id").agg(F.count("*").alias("chapters"))
+    """Documents with headings put between their lines, cut into chapters: place, title and text."""
+    lines = F.split("text", "\n", -1)
+    heads = F.array(*(F.lit(h) for h in HEADS))
+    with_heads = F.flatten(F.transform(lines, lambda x, i: F.when((i + 1) % 3 == 0, F.array(F.get(heads, ((F.col("doc_id") + i + 1) % len(HEADS)).cast("int")), x)).otherwise(F.array(x))))
+    d = docs(spark, sf_dir).select("doc_id", F.array_join(with_heads, "\n").alias("text"))
+    return corpus.chapters_of(d, "doc_id", F.col("text")).select("id", "index", "title", F.sha2("text", 256).alias("digest"))
 
 
-@query("""WITH k AS (SELECT lower(trim(p_brand)) AS name FROM part WHERE len(string_split(p_name, ' ')) >= 2)
-SELECT (SELECT count(*) FROM part) AS seen, (SELECT count(*) FROM part) - count(*) AS thin, count(*) AS kept, count(*) - count(DISTINCT name) AS duplicates_merged, count(*) AS relationships, count(*) AS attributes FROM k""")
+@query("""WITH k AS (SELECT CASE WHEN p_partkey % 50 = 0 THEN lower(p_name || ' ' || p_partkey) ELSE lower(trim(p_brand)) END AS name FROM part WHERE len(string_split(p_name, ' ')) >= 2)
+SELECT (SELECT count(*) FROM part) AS seen, (SELECT count(*) FROM part) - count(*) AS thin, count(*) AS kept, count(*) - count(DISTINCT name) AS duplicates_merged, 2 * count(*) AS relationships, count(*) AS attributes FROM k""")
 def entity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.harvest_report(views.entities(spark, sf_dir), 2)
 
 
 @query()
 def alias_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of parts against one name: respellings rank last (the ratio of matching blocks is beyond SQL)."""
-    p = views.table(spark, sf_dir, "part").select("p_name").distinct()
-    return p.select("p_name", text.is_variant(F.col("p_name"), F.lit("small ring")).alias("is_variant"))
+    """Names of parts of a brand as aliases of the brand's first: respellings rank last (the ratio of matching blocks is
+    beyond SQL)."""
+    p = views.table(spark, sf_dir, "part").select(F.col("p_brand").alias("entity"), F.col("p_name").alias("alias"), F.col("p_partkey").alias("pos"))
+    p = p.groupBy("entity", "alias").agg(F.min("pos").alias("pos"))
+    first = p.groupBy("entity").agg(F.min_by("alias", "pos").alias("name"))
+    return text.rank_aliases(p.join(first, "entity"), F.col("name")).select("entity", "alias", "rank")
+
+
+@query("""WITH w AS (SELECT DISTINCT p_brand AS entity FROM part), r AS (SELECT p_brand || CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN ' (film)' ELSE ' (novel)' END AS title, p_partkey AS pos, 'Wq ' || p_partkey || CASE WHEN p_size % 5 = 0 THEN ' soundtrack' ELSE '' END AS redirect FROM part),
+s AS (SELECT entity, title, nth FROM w, (VALUES (0, ''), (2, ' (film)'), (3, ' (novel)')) t(nth, tail) JOIN (SELECT DISTINCT title FROM r) x ON x.title = entity || tail),
+g AS (SELECT entity, nth, s.title, count(*) FILTER (WHERE redirect NOT LIKE '%soundtrack') AS n FROM s JOIN r USING (title) GROUP BY ALL),
+b AS (SELECT entity, coalesce(arg_min(title, nth) FILTER (WHERE n >= 4), arg_max(title, n * 100 - nth)) AS title FROM g GROUP BY entity)
+SELECT entity, redirect AS alias, CAST(row_number() OVER (PARTITION BY entity ORDER BY pos) AS INT) AS rank FROM b JOIN r USING (title) WHERE redirect NOT LIKE '%soundtrack' QUALIFY rank <= 60""")
+def alias_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as works whose articles' redirects are parts: the first article with enough usable ones counts."""
+    p = views.table(spark, sf_dir, "part")
+    tail = F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, " (film)").otherwise(" (novel)")
+    noise = F.when(F.col("p_size") % 5 == 0, " soundtrack").otherwise("")
+    redirects = p.select(F.concat("p_brand", tail).alias("title"), F.col("p_partkey").alias("pos"), F.concat(F.lit("Wq "), F.col("p_partkey").cast("string"), noise).alias("redirect"))
+    return aliases.expand(redirects, p.select(F.col("p_brand").alias("entity"), F.col("p_brand").alias("name")).distinct())
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS series_id, turn, row_number() OVER (ORDER BY turn >= 3, conv_id * 100 + turn) - 1 AS seq FROM conversations""")
+def episode_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns appended to an episode log in two batches, numbered on from one to the other."""
+    path = f"{shared.shared_dir(spark)}/factloom/log-{uuid.uuid4().hex}"
+    c = views.table(spark, sf_dir, "conversations")
+    rows = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("pos"), F.col("conv_id").cast("string").alias("series_id"), "turn")
+    tables.append_episode(spark, rows.where("turn < 3"), path)
+    tables.append_episode(spark, rows.where("turn >= 3"), path)
+    return spark.read.parquet(path).select("series_id", "turn", "seq")
+
+
+@query(r"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'cached' WHEN doc_id % 3 = 1 THEN sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) END AS text FROM documents WHERE coalesce(doc_id % 3 <> 1 OR text IS NOT NULL, true)""")
+def text_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works with cached texts, works whose text is fetched again by offset, and works whose row is another's by now."""
+    d = views.table(spark, sf_dir, "documents")
+    works = d.select("doc_id", F.col("doc_id").alias("row_index")).where("doc_id % 3 <> 1").unionByName(d.where("doc_id % 3 = 1 and text is not null").select("doc_id", F.col("doc_id").alias("row_index")))
+    cache = d.where("doc_id % 3 = 0").select("doc_id", F.lit("cached").alias("text"))
+    rows = d.select(F.col("doc_id").alias("row_index"), (F.col("doc_id") + F.when(F.col("doc_id") % 3 == 2, 1).otherwise(0)).alias("id"), "text")
+    got = tables.with_texts(works, cache, "doc_id", rows)
+    return got.select("doc_id", F.when(F.col("text") == "cached", F.col("text")).otherwise(F.sha2("text", 256)).alias("text"))
+
+
+@query("""WITH w AS (SELECT source AS work, CAST(sum(n_chars) AS BIGINT) AS score FROM documents GROUP BY source) SELECT work, row_number() OVER (ORDER BY score DESC, work) AS rank, (SELECT count(*) FROM w) AS works FROM w""")
+def corpus_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works written as JSON in rank order with their manifest, and read again."""
+    path = f"{shared.shared_dir(spark)}/factloom/corpus-{uuid.uuid4().hex}"
+    w = docs(spark, sf_dir).groupBy(F.col("source").alias("work")).agg(F.count("*").alias("chapters"), F.sum("n_chars").alias("words"))
+    w = w.withColumn("source", F.lit("s")).withColumn("score", F.col("words")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "work")))
+    tables.write_corpus(w, path)
+    works = spark.read.schema("schema_version string, works long").json(f"{path}/manifest").select("works")
+    rows = spark.read.schema("work string, rank long").json(f"{path}/works")
+    return rows.join(F.broadcast(works))
+
+
+@query("SELECT conv_id AS work_id, list(text ORDER BY turn)[1] IS NOT NULL AS first, count(*) FILTER (WHERE turn < 3 AND turn % 2 = 0) AS fetched FROM conversations GROUP BY conv_id HAVING fetched > 0")
+def fetched_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as works of turns, of which the first three are wanted and the even ones have a text."""
+    c = views.table(spark, sf_dir, "conversations")
+    works = c.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("t")).select(F.col("conv_id").alias("work_id"), F.transform("t", lambda t: F.col("conv_id") * 100 + t).alias("chapter_refs"))
+    texts = c.where("turn % 2 = 0").select((F.col("conv_id") * 100 + F.col("turn")).alias("chapter_id"), "text")
+    return tables.fetched_chapters(works, texts, 3).groupBy("work_id").agg(F.bool_or(F.col("text").isNotNull()).alias("first"), F.count("*").alias("fetched"))

@@ -98,7 +98,7 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations read as an append-only episode log."""
     c = table(spark, sf_dir, "conversations")
-    return c.select(F.col("conv_id").cast("string").alias("series_id"), F.col("turn").alias("seq"), (F.col("turn") % 4).cast("int").alias("episode_number"), F.substring("text", 1, 40).alias("synopsis"))
+    return c.select(F.col("conv_id").cast("string").alias("series_id"), F.col("turn").alias("seq"), (F.col("turn") % 4).cast("int").alias("episode_number"), F.col("text").alias("synopsis"))
 
 
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,17 +114,34 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts read as sightings of entities (brands) under several canons."""
+    """Parts read as sightings of entities under several canons: brands, seen many times, and every fiftieth part by itself."""
     p = table(spark, sf_dir, "part")
+    n = F.col("p_partkey")
+    basis = lambda k: F.element_at(F.array(F.lit("unknown"), F.lit("novel"), F.lit("screen"), F.lit("both")), (k % 4 + 1).cast("int"))
+    url = F.concat(F.lit("u/"), n.cast("string"))
+    own = F.when(n % 2 == 0, F.upper("p_brand")).otherwise(F.concat(F.lit(" "), "p_brand"))
+    target, size = F.substring_index("p_name", " ", -1), F.col("p_size").cast("string")
+    relation = lambda t, k: F.struct(t.alias("target"), F.lower("p_type").alias("kind"), F.lit("family").alias("field"), basis(k).alias("canon_basis"), url.alias("source_url"))
+    attribute = lambda v: F.struct(F.lit("size").alias("predicate"), v.alias("value"), basis(n).alias("canon_basis"), url.alias("source_url"))
     return p.select(
-        F.col("p_partkey").alias("pos"),
-        F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.concat(F.lit(" "), "p_brand")).alias("canonical_name"),
+        n.alias("pos"),
+        F.when(n % 50 == 0, F.concat_ws(" ", "p_name", n.cast("string"))).otherwise(own).alias("canonical_name"),
         F.when(F.col("p_size") % 3 == 0, "other").otherwise(F.lower("p_type")).alias("kind"),
-        F.element_at(F.array(F.lit("unknown"), F.lit("novel"), F.lit("screen"), F.lit("both")), (F.col("p_size") % 4 + 1).cast("int")).alias("canon_basis"),
+        basis(F.col("p_size")).alias("canon_basis"),
         F.when(F.col("p_size") % 5 == 0, "alive").otherwise("unknown").alias("life_status"),
         F.col("p_name").alias("summary"),
-        F.array(F.substring_index("p_name", " ", 1)).alias("aliases"),
-        F.array(F.struct(F.substring_index("p_name", " ", -1).alias("target"), F.lower("p_type").alias("kind"))).alias("relationships"),
-        F.array(F.struct(F.lit("size").alias("predicate"), F.col("p_size").cast("string").alias("value"))).alias("attributes"),
-        (F.col("p_partkey") % 97).alias("prominence"),
+        F.array(F.substring_index("p_name", " ", 1), F.concat(F.lit(" "), F.lower("p_brand"))).alias("aliases"),
+        F.array(relation(target, n), relation(F.concat(F.lit(" "), F.upper(target)), n + 1)).alias("relationships"),
+        F.array(attribute(size)).alias("attributes"),
+        F.array(F.struct(F.concat(F.lit("Page "), target).alias("page_title"), url.alias("page_url"), F.array(target).alias("basis_evidence"))).alias("sources"),
+        (n % 97).alias("prominence"),
     )
+
+
+def named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items read as entities, named by their first three words of four letters or more (those that have one)."""
+    b = table(spark, sf_dir, "benchmark")
+    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)), 1, 3)
+    basis = F.element_at(F.array(F.lit("unknown"), F.lit("novel"), F.lit("screen"), F.lit("both")), (F.col("item_id") % 4 + 1).cast("int"))
+    e = b.select(F.concat(F.lit("e"), F.col("item_id").cast("string")).alias("name"), words.alias("w"), basis.alias("canon_basis"), (F.col("item_id") % 97).alias("prominence"), F.col("item_id").alias("pos"))
+    return e.where(F.size("w") > 0).select("name", F.element_at("w", 1).alias("canonical_name"), F.col("w").alias("aliases"), "canon_basis", "prominence", "pos")

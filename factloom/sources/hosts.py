@@ -12,19 +12,51 @@ from pyspark.sql import functions as F
 from factloom.functions.text import strip
 
 # Language names, ratings, the archive's fields.
-LANGUAGES = {"english": "en", "français": "fr", "deutsch": "de", "español": "es", "italiano": "it", "русский": "ru", "中文-普通话 國語": "zh", "português brasileiro": "pt"}
+LANGUAGES = {
+    "english": "en",
+    "spanish": "es",
+    "español": "es",
+    "french": "fr",
+    "français": "fr",
+    "german": "de",
+    "deutsch": "de",
+    "portuguese": "pt",
+    "italian": "it",
+    "russian": "ru",
+    "chinese": "zh",
+    "中文": "zh",
+    "japanese": "ja",
+    "日本語": "ja",
+    "korean": "ko",
+}
 MATURE = ("mature", "explicit")
+ORIGIN, WORK_URL = "ao3", "https://archiveofourown.org/works/"
 ARCHIVE = "struct<id:string,title:string,metadata:map<string,string>,text:string>"
 HOST = "struct<id:string,title:string,deleted:boolean,description:string,mature:boolean,completed:boolean,language:string,readCount:string,voteCount:string,tags:array<string>,parts:array<struct<id:string,title:string,draft:boolean>>>"
 
 
+def said(meta: Column, name: str) -> Column:
+    """A field as a trimmed string, empty where it is missing."""
+    return F.coalesce(strip(F.try_element_at(meta, F.lit(name))), F.lit(""))
+
+
+def either(meta: Column, first: str, second: str) -> Column:
+    """The first of two spellings that has a value."""
+    return F.when(F.coalesce(F.try_element_at(meta, F.lit(first)), F.lit("")) != "", said(meta, first)).otherwise(said(meta, second))
+
+
 def field(meta: Column, *names: str) -> Column:
-    """The first of several spellings that has a value, both forms of a label joined without repeats."""
-    parts = F.array_compact(F.array(*(F.nullif(strip(F.try_element_at(meta, F.lit(n))), F.lit("")) for n in names)))
-    return F.array_join(F.array_distinct(F.flatten(F.transform(parts, lambda p: F.transform(F.split(p, ",", -1), strip)))), ", ")
+    """Several spellings of a label: their comma-separated values joined without repeats."""
+    pieces = F.flatten(F.transform(F.array(*(said(meta, n) for n in names)), lambda p: F.transform(F.split(p, ",", -1), strip)))
+    return F.array_join(F.array_distinct(F.filter(pieces, lambda x: x != "")), ", ")
+
+
+def pieces_of(label: Column) -> Column:
+    return F.filter(F.transform(F.split(label, ",", -1), strip), lambda t: t != "")
 
 
 def digits(c: Column) -> Column:
+    """All digits of a field as one number, 0 where there is none."""
     return F.coalesce(F.try_to_number(F.nullif(F.regexp_replace(c, "[^0-9]", ""), F.lit("")), F.lit("999999999999")).cast("long"), F.lit(0))
 
 
@@ -34,24 +66,65 @@ def whole(c: Column) -> Column:
 
 
 def archive_rows(raw: DataFrame, json: str) -> DataFrame:
-    """Rows of the archive's mirror as works of one chapter; rows without id or title are dropped."""
-    r = raw.select(F.from_json(F.col(json), ARCHIVE).alias("r")).select("r.*").where("id <> '' and title <> ''")
-    m = F.col("metadata")
-    fandoms, people, free = field(m, "Fandom", "Fandoms"), field(m, "Character", "Characters"), field(m, "Additional Tags", "Tags")
-    done = F.split(F.coalesce(F.try_element_at(m, F.lit("chapters")), F.lit("")), "/", -1)
-    tags = F.array_distinct(F.filter(F.flatten(F.array(*(F.split(x, ", ", -1) for x in (fandoms, people, free)))), lambda t: t != ""))
+    """Rows of the archive's mirror as works of one chapter; rows without id, title or text are dropped.
+
+    The mirror has no blurbs: fandom, characters and tags make the description, and each label is a tag of its own, followed
+    by where it came from.
+    """
+    r = raw.select(F.from_json(F.col(json), ARCHIVE).alias("r")).select("r.*")
+    r = r.select(strip("id").alias("id"), strip("title").alias("title"), strip("text").alias("text"), F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("m"))
+    r = r.where("id <> '' and title <> '' and text <> ''")
+    m = F.col("m")
+    by = said(m, "author")
+    name = F.lower(said(m, "Language"))
+    codes = F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv))
+    done = either(m, "chapters", "Chapters")
+    r = r.select(
+        "id",
+        F.left("title", F.lit(500)).alias("title"),
+        F.when(F.startswith(F.lower(by), F.lit("by ")), strip(F.substring(by, 4, 1_000_000))).otherwise(by).alias("author"),
+        F.when(name == "", "en").otherwise(F.coalesce(F.try_element_at(codes, name), F.left(name, F.lit(2)))).alias("language"),
+        F.lower(said(m, "Rating")).alias("rating"),
+        F.lower(field(m, "Archive Warning", "Archive Warnings")).alias("warning"),
+        field(m, "Fandom", "Fandoms").alias("fandom"),
+        field(m, "Characters", "Character").alias("characters"),
+        pieces_of(field(m, "Additional Tags", "Relationship", "Relationships", "Categories", "Category")).alias("free"),
+        done.alias("done"),
+        ((either(m, "completed", "Completed") != "") | finished(done)).alias("completed"),
+        digits(either(m, "words", "Words")).alias("words"),
+        digits(said(m, "Hits")).alias("reads"),
+        digits(said(m, "Kudos")).alias("votes"),
+        F.length("text").alias("text_chars"),
+    )
+    told = lambda label, c: F.when(F.col(c) != "", F.array(F.concat(F.lit(f"{ORIGIN}_{label}:"), c))).otherwise(F.array().cast("array<string>"))
+    line = lambda label, c: F.when(c != "", F.concat(F.lit(f"{label}: "), c, F.lit(".")))
+    tags = F.concat(pieces_of(F.col("fandom")), pieces_of(F.col("characters")), "free", told("fandom", "fandom"), told("characters", "characters"), told("chapters", "done"))
+    blurb = F.concat_ws(" ", line("Fandom", F.col("fandom")), line("Characters", F.col("characters")), line("Tags", F.array_join("free", ", ")))
     return r.select(
+        F.lit(ORIGIN).alias("source"),
         "id",
         "title",
-        strip(F.regexp_replace(F.coalesce(F.try_element_at(m, F.lit("author")), F.lit("")), r"(?i)^by\s+", "")).alias("author"),
-        F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv)), F.lower(strip(F.try_element_at(m, F.lit("Language"))))), F.lower(F.left(F.try_element_at(m, F.lit("Language")), F.lit(2)))).alias("language"),
-        F.lower(F.coalesce(F.try_element_at(m, F.lit("Rating")), F.lit(""))).isin(*MATURE).alias("mature"),
-        (F.size(done) == 2) & (F.get(done, F.lit(0)) == F.get(done, F.lit(1))).alias("completed"),
-        digits(F.try_element_at(m, F.lit("words"))).alias("words"),
+        "author",
+        F.concat(F.lit(WORK_URL), "id").alias("url"),
+        blurb.alias("description"),
         tags.alias("tags"),
-        F.concat_ws(" — ", F.nullif(fandoms, F.lit("")), F.nullif(people, F.lit(""))).alias("description"),
         F.array(F.struct(F.col("id").alias("source_id"), F.lit(1).alias("index"), F.col("title").alias("title"))).alias("chapter_refs"),
-    ).toDF("id", "title", "author", "language", "mature", "completed", "words", "tags", "description", "chapter_refs")
+        F.lit(1).alias("num_chapters"),
+        "reads",
+        "votes",
+        "completed",
+        (F.col("rating").isin(*MATURE) | F.contains("warning", F.lit("rape")) | F.contains("warning", F.lit("underage"))).alias("mature"),
+        "language",
+        "words",
+        "text_chars",
+        "fandom",
+    )
+
+
+def finished(done: Column) -> Column:
+    """Whether a count of chapters like 3/3 says that nothing is missing."""
+    written, planned = strip(F.substring_index(done, "/", 1)), F.when(F.contains(done, F.lit("/")), strip(F.substring(done, F.instr(done, "/") + 1, 1_000))).otherwise("")
+    return (written != "") & (written == planned)
 
 
 def host_rows(raw: DataFrame, json: str) -> DataFrame:

@@ -1,18 +1,22 @@
 """A paged row service as a data source: one partition per page in batch, a resumable offset in a stream.
 
 Pages are JSON-lines files ``page-<n>.jsonl`` below a folder (the service itself is not reachable from here); the reader
-of a live host only differs in how a page is fetched, so ``fetch`` is the one method to override.
+of a live host only differs in how a page is fetched, so ``lines`` is the one method to override.  ``scan`` is the same in
+steps: it stops at enough matches, remembers where it was, and makes do with what it has if the host gives up.
 """
 
 from __future__ import annotations
 
 import json
-import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from factloom.sources.retry import HostError, with_retry
+
 SCHEMA = "row_index long, id string, title string, label string, text string"
 
 
@@ -23,30 +27,74 @@ class Page(InputPartition):
 
 
 class Pages:
-    """What batch and stream readers share."""
+    """What batch and stream readers share.  The folder may be in any store that Arrow's file systems reach."""
 
     def __init__(self, options: dict):
-        self.folder = options["path"]
+        where = options["path"]
+        self.fs, self.folder = fs.FileSystem.from_uri(where) if "://" in where else (fs.LocalFileSystem(), where)
         self.size = int(options.get("pageSize", "100"))
-        self.most = int(options.get("maxPages", "1000000"))
 
     def count(self) -> int:
-        have = [int(f[5:-6]) for f in os.listdir(self.folder) if f.startswith("page-") and f.endswith(".jsonl")]
-        return min(self.most, max(have, default=-1) + 1)
+        names = (f.base_name for f in self.fs.get_file_info(fs.FileSelector(self.folder)) if f.is_file)
+        return max((int(n[5:-6]) for n in names if n.startswith("page-") and n.endswith(".jsonl")), default=-1) + 1
 
-    def fetch(self, number: int) -> Iterator[tuple]:
-        """Rows of a page; lines that are no objects, or have no id, are skipped, a missing page is empty."""
+    def lines(self, number: int) -> list[str]:
+        """Lines of a page as they come; a missing page is empty.  The one thing a live host does otherwise."""
         path = f"{self.folder}/page-{number}.jsonl"
-        if not os.path.exists(path):
-            return
-        with open(path, encoding="utf-8") as f:
-            for k, line in enumerate(f):
-                try:
-                    row = json.loads(line)
-                except ValueError:
-                    continue
-                if isinstance(row, dict) and row.get("id"):
-                    yield (number * self.size + k, str(row["id"]), row.get("title"), row.get("label"), row.get("text"))
+        if self.fs.get_file_info(path).type == fs.FileType.NotFound:
+            return []
+        with self.fs.open_input_stream(path) as f:
+            return f.read().decode("utf-8").splitlines()
+
+    def fetch(self, number: int) -> Iterator[tuple]:
+        """Rows of a page, tried again if the host fails for a moment; lines that are no objects, or have no id, are skipped."""
+        for k, line in enumerate(with_retry(lambda: self.lines(number))):
+            try:
+                row = json.loads(line)
+            except ValueError:
+                continue
+            if isinstance(row, dict) and row.get("id"):
+                yield (number * self.size + k, str(row["id"]), row.get("title"), row.get("label"), row.get("text"))
+
+
+@dataclass
+class Scan:
+    """What one call of ``scan`` came back with."""
+
+    matches: list[tuple]
+    rows: int
+    page: int
+    cut_short: bool
+
+
+def scan(pages: Pages, matches: Callable[[tuple], bool], state: str, limit: int, max_rows: int) -> Scan:
+    """Read on from the page that the file ``state`` names until ``limit`` rows match, ``max_rows`` rows are read or the pages
+    end.
+
+    The next page is noted whatever happens, so the next call reads no page again.  A host that fails for good ends the scan
+    with what was found before; where nothing was, the failure is raised.
+    """
+    where, path = fs.FileSystem.from_uri(state) if "://" in state else (fs.LocalFileSystem(), state)
+    at = 0
+    if where.get_file_info(path).type == fs.FileType.File:
+        with where.open_input_stream(path) as f:
+            at = int(json.loads(f.read())["page"])
+    found: list[tuple] = []
+    rows, last, cut = 0, pages.count(), False
+    try:
+        while at < last and len(found) < limit and rows < max_rows:
+            page = list(pages.fetch(at))
+            found += [r for r in page if matches(r)][: limit - len(found)]
+            rows += len(page)
+            at += 1
+    except HostError:
+        if not found:
+            raise
+        cut = True
+    finally:
+        with where.open_output_stream(path) as f:
+            f.write(json.dumps({"page": at}).encode())
+    return Scan(found, rows, at, cut)
 
 
 class PagedReader(DataSourceReader):

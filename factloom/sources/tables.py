@@ -6,19 +6,22 @@ duplicate keys first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from factloom.functions.text import strip
 from factloom.schema import FACT
+from factloom.sources.shared import written
 
 CORPUS_VERSION, INDEX_VERSION = "1.2", "1.0"
 
 
-def read_facts(spark: SparkSession, path: str, fork: str | None = None) -> DataFrame:
-    """Facts of a snapshot partitioned by fork; naming a fork prunes to its folder."""
+def read_facts(spark: SparkSession, path: str, fork: str | None = None, ordered: bool = False) -> DataFrame:
+    """Facts of a snapshot partitioned by fork; naming a fork prunes to its folder.  ``ordered`` as recorded, then by id."""
     df = spark.read.schema(FACT).parquet(path)
-    return df if fork is None else df.where(F.col("fork_id") == fork)
+    df = df if fork is None else df.where(F.col("fork_id") == fork)
+    return df.orderBy("recorded_at", "id") if ordered else df
 
 
 def write_facts(facts: DataFrame, path: str) -> None:
@@ -61,9 +64,18 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def with_texts(works: DataFrame, texts: DataFrame, key: str) -> DataFrame:
-    """Works beside their cached texts; a missing text is null, to be fetched."""
-    return works.join(texts.select(key, "text"), key, "left")
+def with_texts(works: DataFrame, texts: DataFrame, key: str, rows: DataFrame | None = None, offset: str = "row_index") -> DataFrame:
+    """Works beside their cached texts.
+
+    Where a text is missing and ``rows(row_index, id, text)`` of the host are given, it is taken from the row at the work's
+    stored offset, provided that this row still is the work's own; else it is null.
+    """
+    both = works.join(texts.select(key, "text"), key, "left")
+    if rows is None:
+        return both
+    again = rows.select(F.col("row_index").alias("__row"), F.col("id").cast("string").alias("__id"), strip(F.col("text")).alias("__text"))
+    lost = both["text"].isNull() & (both[offset] == F.col("__row")) & (both[key].cast("string") == F.col("__id"))
+    return both.join(again, lost, "left").select(*works.columns, F.coalesce("text", F.nullif("__text", F.lit(""))).alias("text"))
 
 
 def fetched_chapters(works: DataFrame, texts: DataFrame, most: int) -> DataFrame:
@@ -107,6 +119,20 @@ def write_index(entities: DataFrame, path: str) -> None:
     entities.agg(F.lit(INDEX_VERSION).alias("schema_version"), F.count("*").alias("entities")).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
-def append_episode(spark: SparkSession, summaries: DataFrame, path: str) -> None:
-    """Append to the log; ``seq`` is the order and comes with the rows."""
-    summaries.write.mode("append").parquet(path)
+def append_episode(spark: SparkSession, summaries: DataFrame, path: str) -> int:
+    """Append rows without ``seq`` to the log, numbered on from its last one in order of ``pos``; how many came in.
+
+    Numbers are counted per range of the new rows, so that no task sorts all of them.
+    """
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs)
+    last = spark.read.parquet(path).agg(F.max("seq")).first()[0] if there else None
+    rows = written(summaries.repartitionByRange("pos").sortWithinPartitions("pos").withColumn("__at", F.monotonically_increasing_id()), "episodes")
+    rows = rows.withColumn("__range", F.shiftright("__at", 33))
+    sums = rows.groupBy("__range").agg(F.count("*").alias("n"), F.min("__at").alias("__first"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("__range", "__first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    seq = F.lit((last if last is not None else -1) + 1) + F.col("__before") + F.col("__at") - F.col("__first")
+    numbered = rows.join(sums, "__range").select(seq.cast("long").alias("seq"), *(c for c in summaries.columns if c != "pos"))
+    numbered.write.mode("append").parquet(path)
+    return rows.count()

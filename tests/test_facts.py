@@ -135,3 +135,85 @@ def test_choices_secret_and_public(spark):
     assert got["x"][0] is None and [tuple(s) for s in got["x"][1]] == [("a", 4)] and got["y"] == (4, None)
     assert [tuple(r) for r in aware.collect()] == [(5, "a", 4)]
     assert [r.option_id for r in bad.collect()] == ["q"]
+
+
+def test_focus_is_a_set_and_either_end_counts(spark):
+    rows = [fact(i, subject=100 + i, obj=None, literal="x") for i in range(20)] + [fact(50, subject=7), fact(51, subject=200, obj=9), fact(52, subject=8, obj=None, literal="y")]
+    root = facts(spark, *rows).withColumn("root", F.lit("canon")).withColumn("depth", F.lit(0))
+    probe = spark.createDataFrame([("canon", "audience", 5, [7, 9])], "root string, knower string, chapter int, focus array<long>")
+    assert [r.id for r in knowledge.packets(root, probe, budget=3).orderBy("rank").collect()] == [50, 51, 0]
+    none = spark.createDataFrame([("canon", "audience", 5, None)], "root string, knower string, chapter int, focus array<long>")
+    assert [r.id for r in knowledge.packets(root, none, budget=2).orderBy("rank").collect()] == [0, 1]
+
+
+def test_plans_of_the_core_sort_no_key_and_cross_nothing(spark):
+    lines = lineage.lineage(spark, spark.createDataFrame([("canon", None, None, None, None)], FORK))
+    df = lineage.resolved(facts(spark, fact(1), fact(2)), lines)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Cartesian" not in plan
+    cast = spark.createDataFrame([("a",), ("b",)], "character string")
+    packet = spark.createDataFrame([(1, 10, "x"), (2, 11, "y")], "pos int, id long, text string")
+    seen = spark.createDataFrame([("a", 10)], "character string, id long")
+    out = knowledge.directives(packet, cast, seen)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # the packet is one row, whatever the cast: nothing is multiplied
+    assert "Cartesian" not in plan and plan.count("NestedLoop") <= 1 and "collect_list(struct(pos" in plan
+    got = {r.character: (r.missing, r.total, r.tension, r.blind_spots) for r in out.collect()}
+    assert got == {"a": (1, 2, 2, ["y"]), "b": (2, 2, 5, ["x", "y"])}
+
+
+def test_replay_counts_what_the_guard_lets_through(spark):
+    def row(i):
+        scope = [("k", i % 6)] if i % 2 else None
+        return fact(i, start=i % 5, end=None if i % 3 else i % 5 + 2, revealed=i % 7 if i % 4 else None, scope=scope, status=("active", "invalidated", "quarantined")[i % 3])
+
+    df = facts(spark, *(row(i) for i in range(60)))
+    chapters = spark.createDataFrame([(c,) for c in range(10)], "chapter int")
+    got = {(r.chapter, r.knower): r.visible for r in knowledge.replay(df, ["k", "audience"], chapters).collect()}
+    for c in range(10):
+        for k in ("k", "audience"):
+            assert got[c, k] == df.where(guard.is_visible(k, c) & guard.is_valid_at(c)).count()
+
+
+def test_runs_begin_advance_and_are_seen_by_others(spark):
+    starts = spark.createDataFrame([("p", "canon", "ann", 3), ("q", "canon", "ann", 3)], "play_id string, fork_id string, protagonist string, chapter int")
+    turns = knowledge.begin(starts)
+    offered = spark.createDataFrame([("p", 0, "a"), ("p", 1, "b")], "play_id string, turn int, option_id string")
+    choose = lambda *rows: spark.createDataFrame(list(rows), "play_id string, option_id string")
+    new, bad = knowledge.advance(turns, choose(("p", "a"), ("q", "a"), ("r", "a")), offered)
+    assert [tuple(r) for r in new.collect()] == [("p", "canon", "ann", 4, 1)]
+    assert sorted((r.play_id, r.reason) for r in bad.collect()) == [("q", "not offered"), ("r", "unknown run")]
+    both = turns.unionByName(new)
+    assert [r.reason for r in knowledge.advance(both, choose(("p", "a")), offered)[1].collect()] == ["not offered"]
+    assert [r.reason for r in knowledge.advance(both, choose(("p", "b")), offered, most=2)[1].collect()] == ["complete"]
+    assert {r.protagonist for r in knowledge.replay_as(both, "bob").collect()} == {"bob"}
+
+
+def test_snapshots_are_read_as_recorded(spark, tmp_path):
+    from factloom.sources import tables
+
+    later = T0 + dt.timedelta(days=1)
+    tables.write_facts(facts(spark, fact(3), fact(1, at=later), fact(2)), str(tmp_path / "f"))
+    assert [r.id for r in tables.read_facts(spark, str(tmp_path / "f"), "canon", ordered=True).collect()] == [2, 3, 1]
+    old = spark.createDataFrame([("a", 1), ("b", 1)], "id string, v int")
+    new = spark.createDataFrame([("b", 2), ("c", 3)], "id string, v int")
+    assert sorted(tuple(r) for r in tables.upsert(old, new, "id").collect()) == [("a", 1), ("b", 2), ("c", 3)]
+    path = str(tmp_path / "j")
+    tables.append_jsonl(old.coalesce(1), path)
+    assert spark.read.json(path).count() == 2
+
+
+def test_entry_lives_without_the_training_data_part(monkeypatch):
+    import __spark_entry__ as entry
+
+    real = entry.importlib.import_module
+
+    def lacking(name, *args):
+        if name in ("factloom.llm.queries", "corpus_pipeline"):
+            raise ModuleNotFoundError(name)
+        return real(name, *args)
+
+    monkeypatch.setattr(entry.importlib, "import_module", lacking)
+    found = entry.queries()
+    assert "visible_facts" in found and "pipeline" not in found and not any(n.startswith("op") and n[2].isdigit() for n in found)
+    assert set(entry.oracle_sql()) <= set(found)

@@ -1,8 +1,8 @@
 """Text, prose, premises, markup, chunks, sources and streams."""
 
+import hashlib
 import json
 import math
-import hashlib
 
 import pytest
 from hypothesis import given, settings
@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from factloom.functions import markup, premise, prose, text, vectors
-from factloom.operators import chunks, corpus, entities, retrieval
+from factloom.operators import chunks, corpus, retrieval
 from factloom.sources import paged, tables
 from factloom.streaming import awareness
 
@@ -41,7 +41,8 @@ def test_html(spark):
 
 def test_prose_anchors(spark):
     dull = '"Hi," I said, "hello there now."\nI said, "Okay then fine."\nHe said, "Okay then sure."\nShe said, "Okay then yes."'
-    rows = spark.createDataFrame([("dull", dull), ("empty", ""), ("loud", "FOR THE LOVE OF ONIONS. PICK SOMETHING!!!!!!!!!!!!")], "k string, t string").select("k", *prose.components("t")).withColumn("q", prose.quality())
+    rows = spark.createDataFrame([("dull", dull), ("empty", ""), ("loud", "FOR THE LOVE OF ONIONS. PICK SOMETHING!!!!!!!!!!!!")], "k string, t string")
+    rows = prose.with_components(rows, "t").withColumn("q", prose.quality())
     got = {r.k: r for r in rows.collect()}
     assert got["empty"].interiority == 0 and got["empty"].sentence_rhythm == 0.5
     assert got["loud"].punctuation == 0
@@ -122,13 +123,6 @@ def test_chapters_from_text(spark):
     assert [(r["index"], r.title, r.text) for r in got] == [(1, "Dawn", "One."), (2, None, "Two.")]
 
 
-def test_entity_merge_lattice(spark):
-    row = lambda p, n, basis, kind, al: (p, n, kind, basis, "unknown", "s" * p, al, [], [], p)
-    df = spark.createDataFrame([row(1, "Ann ", "novel", "other", ["A"]), row(2, "ann", "screen", "person", ["a", "B"]), row(3, "Bob", "unknown", "other", [])], "pos long, canonical_name string, kind string, canon_basis string, life_status string, summary string, aliases array<string>, relationships array<struct<target:string,kind:string>>, attributes array<struct<predicate:string,value:string>>, prominence long")
-    got = {r.name: r for r in entities.merge(df).collect()}
-    assert got["ann"].canon_basis == "both" and got["ann"].kind == "person" and got["ann"].aliases == ["A", "B"] and got["bob"].kind == "other"
-
-
 def test_jsonl_and_paged_source(spark, tmp_path):
     (tmp_path / "rows.jsonl").write_text('{"id": "1", "v": 1}\nnot json\n[1]\n{"id": "1", "v": 2}\n{"id": "2", "v": 3}\n')
     from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -188,7 +182,7 @@ def test_retry_waits_and_gives_up():
 def test_host_rows_and_wiki_names(spark):
     from factloom.sources import hosts
 
-    raw = spark.createDataFrame([('{"id": "a", "title": "T", "metadata": {"words": "1.5", "chapters": "2/?", "Language": "Deutsch"}}',), ('{"id": "", "title": "x"}',), ("broken",)], "raw string")
+    raw = spark.createDataFrame([('{"id": "a", "title": "T", "text": "t", "metadata": {"words": "1.5", "chapters": "2/?", "Language": "Deutsch"}}',), ('{"id": "", "title": "x"}',), ("broken",)], "raw string")
     got = hosts.archive_rows(raw, "raw").collect()
     assert [(r.id, r.words, r.completed, r.language) for r in got] == [("a", 15, False, "de")]
     raw = spark.createDataFrame([('{"id": "a", "title": "T", "readCount": "1.5", "parts": [{"id": "p", "title": "x", "draft": true}, {"id": "q", "title": "y"}]}',), ('{"id": "b", "title": "T", "deleted": true}',)], "raw string")
