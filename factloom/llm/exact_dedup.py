@@ -89,16 +89,19 @@ def with_column(run_of: Callable[[list[bytes | None]], pa.Array], docs: DataFram
     return docs.mapInArrow(trimmed(run), StructType([*docs.schema.fields, StructField(name, kind)]))
 
 
-def keep_rows(docs: DataFrame, found: DataFrame, id_col: str, mark: str) -> DataFrame:
+def keep_rows(docs: DataFrame, found: DataFrame, id_col: str, mark: str, scratch: Scratch) -> DataFrame:
     """Rows of ``docs`` without the (id, mark) that ``found(id, mark, kept, n)`` drops, one row for each (id, mark).
 
     The mark stands for the text, so rows are told apart that share an id (or have none) and differ in their texts.
-    ``found`` has at most one row for each (id, mark); rows without one stay.
+    ``found`` has at most one row for each (id, mark); rows without one stay.  Texts go through one join; only where some row
+    repeats both id and mark they go through a second, which leaves one of each.
     """
+    decided = scratch.keep(found.where("not kept or n > 1").select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "kept"), "decided")
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col(mark) == F.col("__mark"))
-    gone = found.where("not kept").select(F.col("id").alias("__id"), F.col("mark").alias("__mark"))
-    thin = found.where("kept and n > 1").select(F.col("id").alias("__id"), F.col("mark").alias("__mark"))
-    left = docs.join(gone, same, "left_anti")
+    left = docs.join(decided.where("not kept"), same, "left_anti")
+    thin = decided.where("kept")
+    if thin.isEmpty():
+        return left.drop(mark)
     repeated = left.join(thin, same, "left_semi").dropDuplicates([id_col, mark])
     return left.join(thin, same, "left_anti").unionByName(repeated).drop(mark)
 
@@ -112,4 +115,4 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     found = exact_dedup(spark, docs, id_col, text_col)
     found = found.groupBy("id", F.col("digest").alias("mark")).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     marked = with_column(lambda texts: pa.array(_digests(texts), pa.binary()), docs, text_col, "__digest", BinaryType())
-    return keep_rows(marked, found, id_col, "__digest").select(*docs.columns)
+    return keep_rows(marked, found, id_col, "__digest", Scratch(spark, "exact_dedup")).select(*docs.columns)

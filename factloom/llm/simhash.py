@@ -325,4 +325,4 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
     kept = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key"))
     found = pairs.join(_best(pairs), "root").select("id", F.col("key").alias("mark"), kept.alias("kept"), "n")
     marked = with_column(lambda texts: _keys([shingle_set(t, shingle) for t in texts]), docs, text_col, "__key", LongType())
-    return keep_rows(marked, found, id_col, "__key").select(*docs.columns)
+    return keep_rows(marked, found, id_col, "__key", Scratch(spark, "similar")).select(*docs.columns)
