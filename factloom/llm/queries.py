@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, exact_dedup, passage_dedup, pieces, pii, sharding, simhash, suffix_dedup, toxicity, url_filter
+from factloom.llm import decontaminate, exact_dedup, passage_dedup, pieces, pii, quality, sharding, simhash, suffix_dedup, toxicity, url_filter
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -142,3 +142,9 @@ SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, c
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = passage_dedup.repeated_passages(spark, table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.col("start").alias("start_byte"), F.col("stop").alias("stop_byte"), F.col("passage").alias("component_id"), F.col("keep_id").alias("keep_doc_id"), "removed")
+
+
+@query
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumnRenamed("id", "doc_id")
