@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, exact_dedup, passage_dedup, pieces, pii, quality, sharding, simhash, suffix_dedup, toxicity, url_filter
+from factloom.llm import decontaminate, exact_dedup, lexical, passage_dedup, pieces, pii, quality, sharding, simhash, suffix_dedup, toxicity, url_filter
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -148,3 +148,30 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+ORACLE_SQL["op12_lexical"] = r"""
+WITH t AS (
+        SELECT doc_id, row_number() OVER () AS row, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+    d AS (SELECT row, doc_id, count(*) AS n FROM t GROUP BY ALL),
+    c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+    p AS (SELECT row, term, count(*) AS tf FROM t GROUP BY ALL),
+    w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY term, docs),
+    q AS (
+        SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    f AS (SELECT item_id, term, count(*) AS f FROM q GROUP BY ALL),
+    s AS (
+        SELECT item_id, row, doc_id, CAST(sum(f * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+        FROM f JOIN w USING (term) JOIN p USING (term) JOIN d USING (row), c GROUP BY ALL),
+    r AS (
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score
+        FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10
+"""
