@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, exact_dedup, lexical, passage_dedup, pieces, pii, quality, sharding, simhash, suffix_dedup, toxicity, url_filter
+from factloom.llm import decontaminate, exact_dedup, lexical, passage_dedup, pieces, pii, quality, sharding, simhash, suffix_dedup, toxicity, trie, url_filter
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -175,3 +175,36 @@ WITH t AS (
         FROM s WHERE score > 0)
 SELECT * FROM r WHERE rank <= 10
 """
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = trie.rebuild(trie.sequences(table(spark, sf_dir, "conversations")))
+    return trie.trie(spark, convs).drop("key", "turn")
+
+
+ORACLE_SQL["op13_prefix_trie"] = r"""
+WITH RECURSIVE
+    bits(b, c, k) AS (
+        SELECT b, b, 0 FROM range(256) t(b)
+        UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+    crc AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+    o AS (SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (SELECT c, list({'r': r, 't': t} ORDER BY turn NULLS FIRST, r, sha256(length(r) || ':' || r || t)) AS l FROM o GROUP BY c),
+    h AS (
+        SELECT c, l, c - c % 20 AS donor, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+            lambda a, y: xor(a >> 8, crc.t[(xor(a, y) & 255) + 1])), 4294967295) % 4 AS h FROM own, crc),
+    e AS (SELECT h.c, list_concat(coalesce(d.l[1:h.h], []), h.l[h.h + 1:]) AS l FROM h LEFT JOIN own d ON d.c = h.donor),
+    p AS (SELECT c, len(l) AS size, unnest(range(len(l) + 1)) AS depth, l FROM e),
+    n AS (
+        SELECT depth, l[1:depth] AS p, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE size = depth), '') AS ends
+        FROM p GROUP BY ALL),
+    k AS (SELECT p[1:depth - 1] AS p, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+    s AS (
+        SELECT n.depth, n.p, n.conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, sha256(ends) AS ends_sha256,
+            CASE WHEN n.depth > 0 THEN (n.n_convs - 1) * len(regexp_extract_all(n.p[n.depth].t, '[^\x20\x09-\x0D]+')) ELSE 0 END AS saved FROM n LEFT JOIN k USING (p)),
+    a AS (SELECT unnest(range(depth + 1)) AS up, p, n_children, saved FROM s),
+    u AS (SELECT p[1:up] AS p, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM a GROUP BY ALL)
+SELECT s.conv_id, s.depth, b.conv_id AS parent_conv_id, s.n_convs, s.n_children, n_leaves, saved_tokens, s.ends_sha256
+FROM s JOIN u USING (p) LEFT JOIN n b ON s.depth > 0 AND b.p = s.p[1:s.depth - 1]
+"""
