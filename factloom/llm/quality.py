@@ -31,6 +31,8 @@ REPEATED = 50
 BUCKETS = 1 << 16
 #: Mean weight (nats) from which a text passes.
 THRESHOLD = -0.25
+#: Trusted ids, 8 bytes each, that are broadcast; more of them meet the texts in a shuffle.
+BROADCAST = 1_000_000
 #: Weights are whole numbers of this part.
 UNIT = 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -96,11 +98,16 @@ def weights(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     trusted = labels.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(F.coalesce(quality_col, F.lit(0))).alias("q")).where("q = 1").select("id")
 
+    scratch = Scratch(spark, "quality")
+    trusted = scratch.keep(trusted, "trusted")
+    if trusted.count() <= BROADCAST:
+        trusted = F.broadcast(trusted)
+
     def counted(of: DataFrame, name: str) -> DataFrame:
         return of.select(F.explode(grams(F.col("text"), buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias(name))
 
     both = counted(texts, "all").join(counted(texts.join(trusted, "id", "left_semi"), "good"), "bucket", "left")
-    both = Scratch(spark, "quality").keep(both.select("bucket", "all", F.coalesce("good", F.lit(0)).alias("good")), "counts")
+    both = scratch.keep(both.select("bucket", "all", F.coalesce("good", F.lit(0)).alias("good")), "counts")
     sums = both.agg(F.sum("all").alias("all"), F.sum("good").alias("good")).first()
     if not sums["good"]:
         return both.select("bucket", F.lit(0).cast("long").alias("weight"))
