@@ -127,33 +127,36 @@ def _lists(of: np.ndarray, *values: np.ndarray) -> list[pa.ListArray]:
     return [pa.ListArray.from_arrays(at, pa.array(v)) for v in values]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(shard_bits: int, most: int):
     """Documents, in order of rows, to blocks of postings: one per term and shard of the documents at hand."""
-    held: list[tuple[np.ndarray, ...]] = []
-    size = 0
 
-    def cut() -> Iterator[pa.RecordBatch]:
+    def cut(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         row, term, tf, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        shard = row >> SHARD
+        shard = row >> shard_bits
         order = np.lexsort((row, shard, term))
         row, term, tf, n, shard = row[order], term[order], tf[order], n[order], shard[order]
         first = np.flatnonzero(np.concatenate([[True], (np.diff(term) != 0) | (np.diff(shard) != 0)]))
         of = np.diff(np.append(first, len(row)))
-        base = shard[first] << SHARD
+        base = shard[first] << shard_bits
         lists = _lists(of, (row - np.repeat(base, of)).astype(np.int32), tf, n)
-        yield pa.RecordBatch.from_arrays([pa.array(term[first]), pa.array(base), *lists], ["term", "base", "offs", "tfs", "ns"])
+        return pa.RecordBatch.from_arrays([pa.array(term[first]), pa.array(base), *lists], ["term", "base", "offs", "tfs", "ns"])
 
-    for b in batches:
-        of = _sizes(b, "terms")
-        term, tf = _flat(b, "terms", "tfs")
-        row, n = b.column("row").to_numpy(zero_copy_only=False), b.column("n").to_numpy(zero_copy_only=False)
-        held.append((np.repeat(row, of), term, tf, np.repeat(n, of)))
-        size += len(term)
-        if size >= POSTINGS:
-            yield from cut()
-            held, size = [], 0
-    if size:
-        yield from cut()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for b in batches:
+            of = _sizes(b, "terms")
+            term, tf = _flat(b, "terms", "tfs")
+            row, n = b.column("row").to_numpy(zero_copy_only=False), b.column("n").to_numpy(zero_copy_only=False)
+            held.append((np.repeat(row, of), term, tf, np.repeat(n, of)))
+            size += len(term)
+            if size >= most:
+                yield cut(held)
+                held, size = [], 0
+        if size:
+            yield cut(held)
+
+    return run
 
 
 def _heads(weights: Weights, k: int):
@@ -175,7 +178,7 @@ def _heads(weights: Weights, k: int):
     return run
 
 
-def _above(weights: Weights, least: np.ndarray):
+def _above(weights: Weights, least: np.ndarray, shard_bits: int):
     """Of each block the entries that reach the least threshold that any query sets its list, keyed by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,14 +191,14 @@ def _above(weights: Weights, least: np.ndarray):
             good = impact >= least[each]
             left = np.add.reduceat(good, np.cumsum(of) - of, dtype=np.int64) if len(of) else of
             some = left > 0
-            shard = b.column("base").to_numpy(zero_copy_only=False)[some] >> SHARD
+            shard = b.column("base").to_numpy(zero_copy_only=False)[some] >> shard_bits
             lists = _lists(left[some], offs[good], impact[good])
             yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(term[some]), *lists], ["shard", "term", "offs", "impacts"])
 
     return run
 
 
-def _candidates(queries: Queries, taus: np.ndarray, thresholds: np.ndarray, most: np.ndarray, k: int):
+def _candidates(queries: Queries, taus: np.ndarray, thresholds: np.ndarray, most: np.ndarray, k: int, shard_bits: int):
     """Streams the entries of whole shards, in order; gives (q, row, seen) of every document that may be among the best."""
     users: dict[int, list[tuple[int, int]]] = {}
     for q, of in enumerate(queries.lists):
@@ -205,7 +208,7 @@ def _candidates(queries: Queries, taus: np.ndarray, thresholds: np.ndarray, most
     whole = np.array([sum(bound(q, t, f) for t, f in of) for q, of in enumerate(queries.lists)], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = 1 << SHARD
+        size = 1 << shard_bits
         seen, more = np.zeros((len(queries.ids), size), np.int64), np.zeros((len(queries.ids), size), np.int64)
         now = None
 
@@ -213,7 +216,7 @@ def _candidates(queries: Queries, taus: np.ndarray, thresholds: np.ndarray, most
             for q in np.flatnonzero(seen.any(axis=1)):
                 kth = np.partition(seen[q], size - k)[size - k] if k <= size else 0
                 rows = np.flatnonzero((seen[q] > 0) & (more[q] + whole[q] >= max(taus[q], kth)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), q, np.int32)), pa.array(rows + (now << SHARD)), pa.array(seen[q][rows]), pa.array(more[q][rows] + whole[q])], ["q", "row", "seen", "most"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), q, np.int32)), pa.array(rows + (now << shard_bits)), pa.array(seen[q][rows]), pa.array(more[q][rows] + whole[q])], ["q", "row", "seen", "most"])
             seen[:], more[:] = 0, 0
 
         for b in batches:
@@ -263,7 +266,7 @@ def _search_block(spark: SparkSession, rows: DataFrame, queries: Queries, k: int
     stats = forward.agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_terms")).first()
     if not stats["n_docs"] or not queries.vocabulary:
         return None
-    blocks = forward.mapInArrow(trimmed(_blocks), BLOCKS).repartitionByRange("term", "base").sortWithinPartitions("term", "base")
+    blocks = forward.mapInArrow(trimmed(_blocks(SHARD, POSTINGS)), BLOCKS).repartitionByRange("term", "base").sortWithinPartitions("term", "base")
     lists = scratch.keep(blocks, "lists")
     df = np.zeros(len(queries.vocabulary), np.int64)
     for r in lists.groupBy("term").agg(F.sum(F.size("offs")).alias("df")).collect():  # one row for each term of the queries
@@ -291,9 +294,9 @@ def _search_block(spark: SparkSession, rows: DataFrame, queries: Queries, k: int
     for q, of in enumerate(queries.lists):
         for t, f in of:
             least[t] = min(least[t], -(-thresholds[q] // f))
-    entries = lists.mapInArrow(trimmed(_above(weights, least)), "shard long, term int, offs array<int>, impacts array<long>")
+    entries = lists.mapInArrow(trimmed(_above(weights, least, SHARD)), "shard long, term int, offs array<int>, impacts array<long>")
     entries = entries.repartition("shard").sortWithinPartitions("shard", "term")
-    found = entries.mapInArrow(trimmed(_candidates(queries, taus, thresholds, most, k)), "q int, row long, seen long, most long")
+    found = entries.mapInArrow(trimmed(_candidates(queries, taus, thresholds, most, k, SHARD)), "q int, row long, seen long, most long")
     found = scratch.keep(found, "bounds")
     seen = Window.partitionBy("q").orderBy(F.desc("seen"), "row")
     floor = found.withColumn("r", F.row_number().over(seen)).where(F.col("r") == k).select("q", F.col("seen").alias("floor"))

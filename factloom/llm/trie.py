@@ -78,43 +78,47 @@ def rebuild(own: DataFrame) -> DataFrame:
     return both.select("conv", F.concat(head, tail).alias("turns"))
 
 
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _partial(most: int, stretch_size: int):
     """Partial tries of a partition's conversations.  Rows without a stretch are nodes, the others lists of ends."""
-    kinds = {"binary": pa.binary(), "long": pa.int64(), "array<binary>": pa.list_(pa.binary()), "array<long>": pa.list_(pa.int64())}
-    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split(" ") for c in PARTIAL.split(", "))])
-    nodes: dict[bytes, list] = {}
-    ends: dict[tuple[bytes, int], list[int]] = {}
-
-    def give() -> Iterator[pa.RecordBatch]:
-        rows = [(key, None, *n, []) for key, n in nodes.items()]
-        rows += [(key, stretch, 0, [], b"", 0, ids[0], 0, ids) for (key, stretch), ids in ends.items()]
-        for i in range(0, len(rows), 20_000):
-            columns = zip(*rows[i : i + 20_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-        nodes.clear()
-        ends.clear()
-
-    def visit(path: list[bytes], conv: int, turn: bytes, words: int) -> None:
-        n = nodes.get(path[-1])
-        if n is None:
-            depth = len(path) - 1
-            up = [path[depth - (1 << k)] for k in range(depth.bit_length())]
-            nodes[path[-1]] = [depth, up, turn, words, conv, 1]
-        else:
-            n[4] = min(n[4], conv)
-            n[5] += 1
 
-    for b in batches:
-        for conv, turns in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            path = [ROOT]
-            visit(path, conv, b"", 0)
-            for t in turns.as_py():
-                path.append(hashlib.blake2b(path[-1] + t["turn"], digest_size=16).digest())
-                visit(path, conv, t["turn"], t["words"])
-            ends.setdefault((path[-1], conv // STRETCH), []).append(conv)
-            if len(nodes) > NODES:
-                yield from give()
-    yield from give()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"binary": pa.binary(), "long": pa.int64(), "array<binary>": pa.list_(pa.binary()), "array<long>": pa.list_(pa.int64())}
+        schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split(" ") for c in PARTIAL.split(", "))])
+        nodes: dict[bytes, list] = {}
+        ends: dict[tuple[bytes, int], list[int]] = {}
+
+        def give() -> Iterator[pa.RecordBatch]:
+            rows = [(key, None, *n, []) for key, n in nodes.items()]
+            rows += [(key, stretch, 0, [], b"", 0, ids[0], 0, ids) for (key, stretch), ids in ends.items()]
+            for i in range(0, len(rows), 20_000):
+                columns = zip(*rows[i : i + 20_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            nodes.clear()
+            ends.clear()
+
+        def visit(path: list[bytes], conv: int, turn: bytes, words: int) -> None:
+            n = nodes.get(path[-1])
+            if n is None:
+                depth = len(path) - 1
+                up = [path[depth - (1 << k)] for k in range(depth.bit_length())]
+                nodes[path[-1]] = [depth, up, turn, words, conv, 1]
+            else:
+                n[4] = min(n[4], conv)
+                n[5] += 1
+
+        for b in batches:
+            for conv, turns in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                path = [ROOT]
+                visit(path, conv, b"", 0)
+                for t in turns.as_py():
+                    path.append(hashlib.blake2b(path[-1] + t["turn"], digest_size=16).digest())
+                    visit(path, conv, t["turn"], t["words"])
+                ends.setdefault((path[-1], conv // stretch_size), []).append(conv)
+                if len(nodes) > most:
+                    yield from give()
+        yield from give()
+
+    return run
 
 
 def _merged(partial: DataFrame, *keys: str) -> DataFrame:
@@ -159,7 +163,7 @@ def trie(spark: SparkSession, convs: DataFrame) -> DataFrame:
     parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
     scratch = Scratch(spark, "trie")
     part = F.spark_partition_id().cast("long")
-    merged = scratch.keep(convs.select("conv", "turns").mapInArrow(trimmed(_partial), PARTIAL).withColumn("sender", part), "partial")
+    merged = scratch.keep(convs.select("conv", "turns").mapInArrow(trimmed(_partial(NODES, STRETCH)), PARTIAL).withColumn("sender", part), "partial")
     senders = (merged.agg(F.max("sender")).first()[0] or 0) + 1
     while senders > 1:
         senders = -(-senders // FAN)
