@@ -8,8 +8,8 @@ postings is simply several ranges.  An entry's impact is the share of a score th
    at least a lower bound of its score; the k-th best sum of a query is ``tau``.
 2. Uniform threshold: every list hands on the entries with an impact of at least tau / (lists of the query).  A document
    without any such entry stays below tau.  Entries meet per shard of documents; what is missing there is at most the
-   threshold and at most the head of its list, which bounds every score from above.  Documents whose bound reaches the k-th
-   best sum, in the shard and then over all shards, are candidates.
+   threshold and at most the head of its list, which bounds every score from above.  The k-th best sum over all shards is
+   the floor; documents whose bound reaches it are candidates.
 3. Look-up: the exact scores of the candidates, from ``forward``.
 
 No list, document or score is ever gathered on the driver: it holds the queries of a block (at most ``BLOCK_ITEMS`` of them,
@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.batches import slices_of, trimmed
-from factloom.llm.store import Scratch
+from factloom.llm.store import Scratch, freed_shuffles
 
 BLOCK_ITEMS = 512
 BLOCK_BYTES = 8_000_000
@@ -198,8 +198,28 @@ def _above(weights: Weights, least: np.ndarray, shard_bits: int):
     return run
 
 
-def _candidates(queries: Queries, taus: np.ndarray, thresholds: np.ndarray, most: np.ndarray, k: int, shard_bits: int):
-    """Streams the entries of whole shards, in order; gives (q, row, seen) of every document that may be among the best."""
+def _best(k: int):
+    """Of a query's documents in a shard the ``k`` with the largest sums."""
+
+    def pick(q: int, seen: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        rows = np.flatnonzero(seen)
+        return rows[np.lexsort((rows, -seen[rows]))[:k]]
+
+    return pick
+
+
+def _reaching(floors: np.ndarray):
+    """Of a query's documents in a shard those with a bound that reaches the query's floor."""
+
+    def pick(q: int, seen: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        return np.flatnonzero((seen > 0) & (bound >= floors[q]))
+
+    return pick
+
+
+def _picked(queries: Queries, thresholds: np.ndarray, most: np.ndarray, shard_bits: int, pick: Callable[[int, np.ndarray, np.ndarray], np.ndarray]):
+    """Streams the entries of whole shards, in order; gives (q, row, seen) of the documents that ``pick`` takes by what is
+    seen of their scores and by the bound from above."""
     users: dict[int, list[tuple[int, int]]] = {}
     for q, of in enumerate(queries.lists):
         for t, f in of:
@@ -208,15 +228,14 @@ def _candidates(queries: Queries, taus: np.ndarray, thresholds: np.ndarray, most
     whole = np.array([sum(bound(q, t, f) for t, f in of) for q, of in enumerate(queries.lists)], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = 1 << shard_bits
-        seen, more = np.zeros((len(queries.ids), size), np.int64), np.zeros((len(queries.ids), size), np.int64)
+        shape = (len(queries.ids), 1 << shard_bits)
+        seen, more = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
         now = None
 
         def close() -> Iterator[pa.RecordBatch]:
             for q in np.flatnonzero(seen.any(axis=1)):
-                kth = np.partition(seen[q], size - k)[size - k] if k <= size else 0
-                rows = np.flatnonzero((seen[q] > 0) & (more[q] + whole[q] >= max(taus[q], kth)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), q, np.int32)), pa.array(rows + (now << shard_bits)), pa.array(seen[q][rows]), pa.array(more[q][rows] + whole[q])], ["q", "row", "seen", "most"])
+                rows = pick(q, seen[q], more[q] + whole[q])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), q, np.int32)), pa.array(rows + (now << shard_bits)), pa.array(seen[q][rows])], ["q", "row", "seen"])
             seen[:], more[:] = 0, 0
 
         for b in batches:
@@ -296,18 +315,20 @@ def _search_block(spark: SparkSession, rows: DataFrame, queries: Queries, k: int
             least[t] = min(least[t], -(-thresholds[q] // f))
     entries = lists.mapInArrow(trimmed(_above(weights, least, SHARD)), "shard long, term int, offs array<int>, impacts array<long>")
     entries = entries.repartition("shard").sortWithinPartitions("shard", "term")
-    found = entries.mapInArrow(trimmed(_candidates(queries, taus, thresholds, most, k, SHARD)), "q int, row long, seen long, most long")
-    found = scratch.keep(found, "bounds")
+    picked = lambda pick: entries.mapInArrow(trimmed(_picked(queries, thresholds, most, SHARD, pick)), "q int, row long, seen long")
     seen = Window.partitionBy("q").orderBy(F.desc("seen"), "row")
-    floor = found.withColumn("r", F.row_number().over(seen)).where(F.col("r") == k).select("q", F.col("seen").alias("floor"))
-    candidates = found.join(F.broadcast(floor), "q", "left").where(F.col("most") >= F.coalesce("floor", F.lit(0)))
+    floors = taus.copy()
+    with freed_shuffles(spark):
+        for r in picked(_best(k)).withColumn("r", F.row_number().over(seen)).where(F.col("r") == k).select("q", "seen").collect():  # one row a query
+            floors[r["q"]] = max(floors[r["q"]], r["seen"])
+    candidates = scratch.keep(picked(_reaching(floors)).select("q", "row"), "candidates")
 
     # 3. look-up; a document has at most one entry for each query of the block
     wanted = candidates.groupBy("row").agg(F.collect_set("q").alias("qs"))
     scored = forward.join(wanted, "row").mapInArrow(trimmed(_exact(queries, weights)), "q int, row long, id long, score long").where("score > 0")
     rank = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_first("id"), "row")
     out = scratch.keep(scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k), "best")
-    scratch.drop(forward, lists, heads, found)
+    scratch.drop(forward, lists, heads, candidates)
     return out
 
 
