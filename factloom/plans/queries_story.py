@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import lineage, verify
+from factloom.operators.harvest import Harvest, Policy, candidates, harvest
 from factloom.plans import views
+from factloom.plans.queries_text import CLEAN, PROSE, TOTAL
 from factloom.plans.registry import query
 from factloom.plans.views import FACT_SQL, LINEAGE_SQL, RESOLVED_SQL, seen_sql, valid_sql
 from factloom.sources.shared import written
@@ -114,3 +116,67 @@ def overlapping_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     says = F.coalesce(F.col("object_id").cast("string"), F.col("object_literal"))
     key = F.concat_ws("/", "fork_id", F.col("subject_id").cast("string"), "predicate")
     return verify.overlapping(f.select("id", key.alias("key"), says.alias("says"), F.col("valid_from").alias("start"), F.col("valid_to").alias("stop")), 7)
+
+
+# --- harvests ----------------------------------------------------------------------------------------------------------
+
+#: Works are documents of two sources, chapters their lines; two of four names have to be mentioned.
+POLICY = Policy("trash", ("that", "of the", "src 1"), most=60, most_chapters=20, min_words=12, min_quotes=0.0, min_reads=200, min_votes=1, least_score=20.0, plain=True)
+
+
+def harvested(spark: SparkSession, sf_dir: str) -> Harvest:
+    d = views.table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    works = d.select(
+        "source",
+        (F.col("doc_id") % 300).alias("source_id"),
+        F.col("doc_id").alias("pos"),
+        F.lit("").alias("title"),
+        F.col("text").alias("description"),
+        F.array("source").alias("tags"),
+        F.col("lang").alias("language"),
+        F.col("n_chars").alias("reads"),
+        (F.col("doc_id") % 7).alias("votes"),
+        (F.col("doc_id") % 11 == 0).alias("mature"),
+    )
+    found = candidates([works.where("pos % 2 = 1"), works.where("pos % 2 = 0")], POLICY.most)
+    lines = d.select(F.col("doc_id").alias("pos"), F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    chapters = lines.join(found.select("pos", "place"), "pos").select("place", (F.col("line") + 1).alias("index"), "text")
+    return harvest(found, chapters, POLICY)
+
+
+HARVEST_SQL = rf"""doc AS (SELECT *, row_number() OVER (PARTITION BY doc_id % 2 ORDER BY doc_id) AS nth FROM documents),
+    cand AS (SELECT * FROM (SELECT *, (1 - doc_id % 2) * 281474976710656 + doc_id AS place, row_number() OVER (PARTITION BY source, doc_id % 300 ORDER BY 1 - doc_id % 2, doc_id) AS sighting
+        FROM doc WHERE nth <= {POLICY.most * 4}) WHERE sighting = 1),
+    said AS (SELECT place, coalesce(text, '') AS text, ' ' || lower(coalesce(text, '')) AS said, source, doc_id % 11 <> 0 AND n_chars >= 200 AND doc_id % 7 >= 1 AND lang = 'en' AS fits FROM cand),
+    asked AS (SELECT *, fits AND (regexp_matches(said || ' ' || source, '\btrash\W*(?:fan\W*fictions?|fan\W*fics?|fics?)\b|\b(?:fan\W*fictions?|fan\W*fics?|fics?)\W*trash\b') OR hits >= 2) AS relevant
+        FROM (SELECT *, (source = 'src1' OR regexp_matches(said, '\bsrc\W*1\b'))::INT + regexp_matches(said, '\bof\W*the\b')::INT + regexp_matches(said, '\btrash\b')::INT + regexp_matches(said, '\bthat\b')::INT AS hits FROM said)),
+    line AS (SELECT place, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS idx FROM asked WHERE relevant),
+    chap AS (SELECT place, idx, {CLEAN} AS clean FROM line WHERE idx <= {POLICY.most_chapters}),
+    gauged AS (SELECT *, len(regexp_extract_all(clean, '\S+')) AS words, regexp_replace(regexp_replace(lower(clean), '\s+', ' ', 'g'), '^ | $', '', 'g') AS norm FROM chap),
+    ranked AS (SELECT *, words >= {POLICY.min_words} AS prose, row_number() OVER (PARTITION BY norm, words >= {POLICY.min_words} ORDER BY place, idx) AS again FROM gauged),
+    tally AS (SELECT place, count(*) FILTER (WHERE prose AND again = 1) AS chapters, count(*) FILTER (WHERE NOT prose) AS dropped_non_prose, count(*) FILTER (WHERE prose AND again > 1) AS dropped_duplicate,
+        coalesce(sum(words) FILTER (WHERE prose AND again = 1), 0) AS total_words FROM ranked GROUP BY place),
+    cut AS (SELECT coalesce(max(place) FILTER (WHERE nth = {POLICY.most}), 9223372036854775807) AS last FROM (SELECT place, row_number() OVER (ORDER BY place) AS nth FROM tally WHERE chapters > 0)),
+    prosed AS (SELECT place AS doc_id, string_agg(clean, chr(10) || chr(10) ORDER BY idx) AS text FROM ranked, cut WHERE prose AND again = 1 AND place <= last GROUP BY place),
+    {PROSE.replace("FROM documents", "FROM prosed")},
+    scored AS (SELECT doc_id AS place, round_even({TOTAL}, 2) AS score FROM p),
+    story AS (SELECT tally.*, score FROM tally JOIN scored USING (place)),
+    good AS (SELECT * FROM story WHERE score >= {POLICY.least_score})"""
+
+
+@query(f"""WITH {HARVEST_SQL}
+SELECT 'trash' AS name, 3 AS aliases_used, (SELECT count(*) FROM cand) AS candidates_seen, (SELECT count(*) FROM asked, cut WHERE place <= last AND NOT relevant) AS relevance_rejected,
+    (SELECT sum(dropped_non_prose) FROM tally, cut WHERE place <= last) AS prose_rejected, (SELECT sum(dropped_duplicate) FROM tally, cut WHERE place <= last) AS duplicates_dropped,
+    (SELECT count(*) FROM story) - count(*) AS quality_rejected, count(*) AS stories_kept, sum(chapters) AS chapters_kept, sum(total_words) AS total_words,
+    round(min(score), 1) AS least_score, round(round_even(median(score), 2), 1) AS median_score, round(max(score), 1) AS best_score FROM good""")
+def harvest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All counts of one harvest."""
+    report = harvested(spark, sf_dir).report.drop("premises_detected", "branch_points")
+    return report.select(*(F.round(c, 1).alias(c) if c.endswith("_score") else F.col(c) for c in report.columns))
+
+
+@query(f"WITH {HARVEST_SQL} SELECT place, hits AS relevance_score, chapters, dropped_non_prose, dropped_duplicate, total_words, round(score, 1) AS score FROM good JOIN asked USING (place)")
+def harvested_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The works of the same harvest."""
+    of = harvested(spark, sf_dir).works
+    return of.select("place", "relevance_score", "chapters", "dropped_non_prose", "dropped_duplicate", "total_words", F.round("score", 1).alias("score"))
