@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import lineage, verify
+from factloom.operators import history, lineage, verify
 from factloom.operators.harvest import Harvest, Policy, candidates, harvest
 from factloom.plans import views
 from factloom.plans.queries_text import CLEAN, PROSE, TOTAL
@@ -180,3 +180,96 @@ def harvested_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The works of the same harvest."""
     of = harvested(spark, sf_dir).works
     return of.select("place", "relevance_score", "chapters", "dropped_non_prose", "dropped_duplicate", "total_words", F.round("score", 1).alias("score"))
+
+
+# --- histories ---------------------------------------------------------------------------------------------------------
+
+REPLAYS = (500, 5000, 2**62)
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events read as operations on a few hundred facts, many of them out of place."""
+    e = views.table(spark, sf_dir, "events")
+    n, day = F.col("event_id"), F.dayofmonth("ts")
+    op = F.when(F.col("event_type").isin("view", "signup"), "ASSERT").when(F.col("event_type") == "click", "UPDATE").when(F.col("event_type") == "purchase", "INVALIDATE").when(n % 3 == 0, "RETCON").when(n % 3 == 1, "UPDATE").otherwise("FORGET")
+    return e.select(
+        n.alias("seq"),
+        op.alias("op"),
+        (F.col("user_id") * 4 + n % 4).alias("fact_id"),
+        F.when(n % 5 != 0, F.regexp_extract("props", "([0-9]+)", 1)).alias("object_literal"),
+        F.when(n % 7 != 0, day).alias("valid_from"),
+        F.when(n % 2 == 0, day + (n % 6).cast("int")).alias("valid_to"),
+        F.when(n % 4 != 0, F.col("value")).alias("confidence"),
+    )
+
+
+#: One operation of a fact after the other.
+LOG_SQL = """log AS (
+        SELECT event_id AS seq, CASE WHEN event_type IN ('view', 'signup') THEN 'ASSERT' WHEN event_type = 'click' THEN 'UPDATE' WHEN event_type = 'purchase' THEN 'INVALIDATE'
+                WHEN event_id % 3 = 0 THEN 'RETCON' WHEN event_id % 3 = 1 THEN 'UPDATE' ELSE 'FORGET' END AS op, user_id * 4 + event_id % 4 AS fact_id,
+            CASE WHEN event_id % 5 <> 0 THEN regexp_extract(props, '([0-9]+)', 1) END AS object_literal, CASE WHEN event_id % 7 <> 0 THEN day(ts) END AS valid_from,
+            CASE WHEN event_id % 2 = 0 THEN day(ts) + event_id % 6 END AS valid_to, CASE WHEN event_id % 4 <> 0 THEN value END AS confidence FROM events),
+    nth AS (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY seq) AS k FROM log),
+    run(fact_id, k, seq, status, object_literal, valid_from, valid_to, confidence, superseded_seq, rejected) AS (
+        SELECT DISTINCT fact_id, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), 'absent', CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT), CAST(0 AS BIGINT) FROM log
+        UNION ALL SELECT r.fact_id, n.k, n.seq, CASE WHEN whole OR part THEN 'active' WHEN closes THEN 'invalidated' ELSE r.status END,
+            CASE WHEN whole THEN n.object_literal WHEN part THEN coalesce(n.object_literal, r.object_literal) ELSE r.object_literal END,
+            CASE WHEN whole THEN n.valid_from WHEN part THEN coalesce(n.valid_from, r.valid_from) ELSE r.valid_from END,
+            CASE WHEN whole OR closes THEN n.valid_to WHEN part THEN coalesce(n.valid_to, r.valid_to) ELSE r.valid_to END,
+            CASE WHEN whole THEN n.confidence WHEN part THEN coalesce(n.confidence, r.confidence) ELSE r.confidence END,
+            CASE WHEN whole THEN NULL WHEN closes THEN n.seq ELSE r.superseded_seq END, r.rejected + CASE WHEN whole OR part OR closes THEN 0 ELSE 1 END
+        FROM run r JOIN nth n ON n.fact_id = r.fact_id AND n.k = r.k + 1,
+            LATERAL (SELECT (n.op = 'ASSERT' AND r.status = 'absent') OR (n.op = 'RETCON' AND r.status <> 'absent') AS whole, n.op = 'UPDATE' AND r.status = 'active' AS part,
+                n.op = 'INVALIDATE' AND r.status = 'active' AS closes))"""
+
+
+@query(f"""WITH RECURSIVE {LOG_SQL}
+SELECT until, fact_id, status, object_literal, valid_from, valid_to, confidence, superseded_seq, rejected FROM (
+    SELECT *, row_number() OVER (PARTITION BY until, fact_id ORDER BY k DESC) AS rn FROM run, (VALUES {", ".join(f"({n})" for n in REPLAYS)}) t(until) WHERE seq <= until AND k > 0) WHERE rn = 1""")
+def event_log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts as the log leaves them after 500 operations, 5000, and all."""
+    log = event_log(spark, sf_dir)
+    at = [history.replay(log, n, 64).withColumn("until", F.lit(n).cast("long")) for n in REPLAYS]
+    return at[0].unionByName(at[1]).unionByName(at[2])
+
+
+@query("""WITH RECURSIVE planted AS (SELECT o_orderkey AS id, day(o_orderdate) AS planted_at FROM orders WHERE day(o_orderdate) <= 20),
+    m AS (SELECT l_orderkey AS id, l_partkey * 10 + l_linenumber AS seq, day(l_shipdate) AS chapter, ['planted', 'triggered', 'paid_off', 'broken', 'sold'][l_suppkey % 5 + 1] AS "to", l_linenumber FROM lineitem),
+    one AS (SELECT id, min(chapter) AS chapter, seq, any_value("to" ORDER BY "to") AS "to" FROM m GROUP BY id, seq),
+    due AS (SELECT one.*, planted_at, row_number() OVER (PARTITION BY id ORDER BY seq) AS k FROM one JOIN planted USING (id) WHERE chapter <= 20),
+    run(id, k, state, n_illegal, first_illegal) AS (
+        SELECT id, CAST(0 AS BIGINT), 'planted', CAST(0 AS BIGINT), CAST(NULL AS BIGINT) FROM planted
+        UNION ALL SELECT r.id, d.k, CASE WHEN ok THEN d."to" ELSE r.state END, r.n_illegal + CASE WHEN ok THEN 0 ELSE 1 END, coalesce(r.first_illegal, CASE WHEN NOT ok THEN d.seq END)
+        FROM run r JOIN due d ON d.id = r.id AND d.k = r.k + 1,
+            LATERAL (SELECT d.chapter >= d.planted_at AND (r.state, d."to") IN (('planted', 'triggered'), ('planted', 'broken'), ('triggered', 'paid_off'), ('triggered', 'broken')) AS ok))
+SELECT id, state, state IN ('planted', 'triggered') AS open, CASE WHEN state IN ('planted', 'triggered') THEN 20 - planted_at END AS waits, k AS n_moves, n_illegal, first_illegal
+FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k DESC) AS rn FROM run) JOIN planted USING (id) WHERE rn = 1""")
+def commitment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders read as commitments, their lines as moves in order of parts, as they stand at the twentieth chapter."""
+    planted = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.dayofmonth("o_orderdate").alias("planted_at"))
+    names = F.array(*(F.lit(s) for s in (*history.STATES, "sold")))
+    line = views.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("id"),
+        (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("seq"),
+        F.dayofmonth("l_shipdate").alias("chapter"),
+        F.element_at(names, (F.col("l_suppkey") % 5 + 1).cast("int")).alias("to"),
+    )
+    moves = line.groupBy("id", "seq").agg(F.min("chapter").alias("chapter"), F.min("to").alias("to"))
+    return history.boundary_report(planted, moves, 20)
+
+
+@query(f"""WITH {FACT_SQL}, f AS (SELECT id, fork_id, subject_id, predicate, coalesce(CAST(object_id AS VARCHAR), object_literal) AS says, id % 3 AS tier, (id * 7 % 10) / 10.0 AS confidence FROM fact),
+    c AS (SELECT *, CASE WHEN confidence >= 0.2 THEN 'active' ELSE 'quarantined' END AS status FROM f),
+    a AS (SELECT *, rank() OVER (PARTITION BY fork_id, subject_id, predicate ORDER BY tier, confidence DESC) AS r FROM c WHERE status = 'active'),
+    t AS (SELECT fork_id, subject_id, predicate, min(says) AS lo, max(says) AS hi FROM a WHERE r = 1 GROUP BY ALL)
+SELECT id, status, CASE WHEN lo <> hi AND r = 1 THEN 'quarantined' WHEN lo <> hi THEN 'outranked' WHEN says = lo THEN 'kept' ELSE 'outranked' END AS verdict FROM a JOIN t USING (fork_id, subject_id, predicate)
+UNION ALL SELECT id, status, NULL FROM c WHERE status = 'quarantined'""")
+def adjudicated_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates through the gate of confidence, and what passes it by tier and confidence."""
+    f = views.facts(spark, sf_dir)
+    says = F.coalesce(F.col("object_id").cast("string"), F.col("object_literal"))
+    rated = f.select("id", "fork_id", "subject_id", "predicate", says.alias("says"), (F.col("id") % 3).cast("int").alias("tier"), (F.col("id") * 7 % 10 / 10).alias("confidence"))
+    gated = history.curate(rated, 0.2)
+    judged = history.adjudicate(gated.where("status = 'active'"), ["fork_id", "subject_id", "predicate"])
+    out = gated.where("status = 'quarantined'").withColumn("verdict", F.lit(None).cast("string"))
+    return judged.select("id", "status", "verdict").unionByName(out.select("id", "status", "verdict"))
