@@ -3,8 +3,9 @@
 Texts become lower-cased words.  A seed is a fixed mask of 1s and 0s; the hash of a place combines the words under the 1s
 and ignores those under the 0s, so a substituted word leaves the hash of some mask intact.  The masks' hashes of the
 benchmark are joined with those of every document; each hit fixes a diagonal (document place minus item place), along
-which item and document are compared word by word: +1 for an equal word, -4 for another, and the best-scoring stretch
-is the overlap.  A stretch counts when it has at least ``MIN_WORDS`` words (or the whole item, if that is shorter).
+which item and document are compared word by word.  The overlap is the stretch with the most equal words that begins and
+ends with one and in which four of five words are (``WHOLE``).  It counts when it has at least ``MIN_WORDS`` words (or as
+many as the whole item, if that is shorter): substituted words inside it cost nothing of its length.
 
 Whole copies of items are sought besides with a milder measure: an item that lies in a document along a diagonal with at
 least ``WHOLE`` of its words equal is an overlap, wherever the other words are.  With so few others some run of words is
@@ -35,12 +36,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.batches import slices_of, trimmed
-from factloom.llm.store import Scratch
+from factloom.llm.store import Scratch, unused
 
 MASKS = ("1101100111", "1110110101", "1011011011", "1111001101")
 MIN_WORDS = 13
-WRONG = -4
-#: Share of equal words in a whole copy of an item, as a fraction.
+#: Share of equal words in an overlap, as a fraction.
 WHOLE = (4, 5)
 LONGEST_RUN = 4
 #: Words of an item that is sought inside other texts.
@@ -66,17 +66,28 @@ def intact_run(n: int) -> int:
 
 
 def stretch(ids: np.ndarray, item: np.ndarray, shift: int, start: int, stop: int, min_words: int) -> tuple[int, int, int, int] | None:
-    """The best-scoring overlap along a diagonal inside ``start`` to ``stop``: place, place in the item, words, equal words."""
+    """The overlap with the most equal words along a diagonal inside ``start`` to ``stop``: place, place in the item, words,
+    equal words.  It begins and ends with an equal word and has a share of ``WHOLE`` of them at least."""
     lo, hi = max(shift, start), min(shift + len(item), stop)
     least = min(min_words, len(item))
     if hi - lo < least:
         return None
     equal = ids[lo:hi] == item[lo - shift : hi - shift]
-    sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, WRONG))])
-    low = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - low))
-    first = int(np.argmax(sums[: end + 1] == low[end]))
-    return (lo + first, lo + first - shift, end - first, int(equal[first:end].sum())) if end - first >= least else None
+    at = np.flatnonzero(equal)
+    if len(at) * WHOLE[1] < least * WHOLE[0]:
+        return None
+    # an equal word earns what keeps the share in balance with what another costs: a stretch holds if it sums up to 0 or more
+    sums = np.concatenate([[0], np.cumsum(np.where(equal, WHOLE[1] - WHOLE[0], -WHOLE[0]))])
+    lowest = np.minimum.accumulate(sums[at])
+    # for each end the first start with no larger sum before it, which makes the longest stretch
+    first = at[np.minimum(np.searchsorted(-lowest, -sums[at + 1], "left"), len(at) - 1)]
+    words = at + 1 - first
+    same = np.arange(1, len(at) + 1) - np.searchsorted(at, first, "left")
+    good = (words >= least) & (same * WHOLE[1] >= words * WHOLE[0])
+    if not good.any():
+        return None
+    end = int(np.argmax(np.where(good, same, -1)))
+    return (lo + int(first[end]), lo + int(first[end]) - shift, int(words[end]), int(same[end]))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -363,10 +374,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame
     items = items_of(benchmark, item_col, item_text_col)
     small = small_index(items, block_words)
     if small is None:
-        marked = _marked(docs, text_col, "__m1", "__m2")
-        texts = marked.select(F.col("__m1").alias("m1"), F.col("__m2").alias("m2"), F.col(text_col).cast("string").alias("text"))
-        found = joined_overlaps(spark, texts, items).select(F.col("m1").alias("__m1"), F.col("m2").alias("__m2")).distinct()
-        return marked.join(found, ["__m1", "__m2"], "left_anti").select(*docs.columns)
+        m1, m2 = unused(docs, "m1", "m2")
+        marked = _marked(docs, text_col, m1, m2)
+        texts = marked.select(F.col(m1).alias("m1"), F.col(m2).alias("m2"), F.col(text_col).cast("string").alias("text"))
+        found = joined_overlaps(spark, texts, items).select(F.col("m1").alias(m1), F.col("m2").alias(m2)).distinct()
+        return marked.join(found, [m1, m2], "left_anti").select(*docs.columns)
     shared = spark.sparkContext.broadcast(small)
     at = docs.columns.index(text_col)
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DataType, StructField, StructType
 
 from factloom.llm.batches import slices_of, trimmed
-from factloom.llm.store import Scratch
+from factloom.llm.store import Scratch, unused
 
 COUNTERS = 1024
 
@@ -96,10 +96,11 @@ def keep_rows(docs: DataFrame, found: DataFrame, id_col: str, mark: str, scratch
     ``found`` has at most one row for each (id, mark); rows without one stay.  Texts go through one join; only where some row
     repeats both id and mark they go through a second, which leaves one of each.
     """
-    decided = scratch.keep(found.where("not kept or n > 1").select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "kept"), "decided")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col(mark) == F.col("__mark"))
-    left = docs.join(decided.where("not kept"), same, "left_anti")
-    thin = decided.where("kept")
+    its_id, its_mark, kept = unused(docs, "id", "mark", "kept")
+    decided = scratch.keep(found.where("not kept or n > 1").select(F.col("id").alias(its_id), F.col("mark").alias(its_mark), F.col("kept").alias(kept)), "decided")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(its_id)) & (F.col(mark) == F.col(its_mark))
+    left = docs.join(decided.where(~F.col(kept)), same, "left_anti")
+    thin = decided.where(kept)
     if thin.isEmpty():
         return left.drop(mark)
     repeated = left.join(thin, same, "left_semi").dropDuplicates([id_col, mark])
@@ -114,5 +115,6 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     """
     found = exact_dedup(spark, docs, id_col, text_col)
     found = found.groupBy("id", F.col("digest").alias("mark")).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    marked = with_column(lambda texts: pa.array(_digests(texts), pa.binary()), docs, text_col, "__digest", BinaryType())
-    return keep_rows(marked, found, id_col, "__digest", Scratch(spark, "exact_dedup")).select(*docs.columns)
+    (digest,) = unused(docs, "digest")
+    marked = with_column(lambda texts: pa.array(_digests(texts), pa.binary()), docs, text_col, digest, BinaryType())
+    return keep_rows(marked, found, id_col, digest, Scratch(spark, "exact_dedup")).select(*docs.columns)

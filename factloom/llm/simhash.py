@@ -38,7 +38,7 @@ from factloom.llm.batches import slices_of, trimmed
 from factloom.llm.components import connected_components
 from factloom.llm.exact_dedup import keep_rows, with_column
 from factloom.llm.jaccard import verify_sets
-from factloom.llm.store import Scratch
+from factloom.llm.store import Scratch, unused
 
 SHINGLE = 3
 DISTANCE = 3
@@ -287,8 +287,8 @@ def _similar_rows(spark: SparkSession, docs: DataFrame, id_col: str, text_col: s
     # inside a loose group every pair of blocks is compared by exact Jaccard
     sizes = loose.groupBy("root").agg(F.count("*").alias("n")).select("root", F.ceil(F.sqrt("n") / 4).cast("long").alias("blocks"))
     keys = loose.select(F.col("node").alias("key"))
-    ids = prints.join(keys, "key", "left_semi").select(F.col("id").alias("__id")).distinct()
-    texts = rows.join(ids, F.col("id").eqNullSafe(F.col("__id")), "left_semi")
+    ids = prints.join(keys, "key", "left_semi").select(F.col("id").alias("its")).distinct()
+    texts = rows.join(ids, F.col("id").eqNullSafe(F.col("its")), "left_semi")
     sets = texts.mapInArrow(trimmed(_shingle_sets(shingle)), "key long, shingles array<long>").join(keys, "key", "left_semi")
     sets = scratch.keep(sets.dropDuplicates(["key"]), "shingles")
     dealt = loose.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).select(F.col("root").alias("band"), F.col("node").alias("key"), "block", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
@@ -324,5 +324,6 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
     pairs = _similar_rows(spark, docs, id_col, text_col, shingle, similar, SEGMENTS, WIDTH, MOST)
     kept = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key"))
     found = pairs.join(_best(pairs), "root").select("id", F.col("key").alias("mark"), kept.alias("kept"), "n")
-    marked = with_column(lambda texts: _keys([shingle_set(t, shingle) for t in texts]), docs, text_col, "__key", LongType())
-    return keep_rows(marked, found, id_col, "__key", Scratch(spark, "similar")).select(*docs.columns)
+    (key,) = unused(docs, "key")
+    marked = with_column(lambda texts: _keys([shingle_set(t, shingle) for t in texts]), docs, text_col, key, LongType())
+    return keep_rows(marked, found, id_col, key, Scratch(spark, "similar")).select(*docs.columns)

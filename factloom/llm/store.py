@@ -43,6 +43,18 @@ def _at(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 @contextlib.contextmanager
 def freed_shuffles(spark: SparkSession) -> Iterator[None]:
     """Statements run inside give the disk of their shuffles back when they end."""

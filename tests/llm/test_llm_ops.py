@@ -54,6 +54,26 @@ def texts(docs):
     return {r.doc_id: r.text or "" for r in docs.collect()}
 
 
+@pytest.mark.parametrize("names", [("__id", "__mark", "__key", "__digest", "__m1"), ("_id", "id", "mark", "Kept", "_kept"), ("digest", "key", "m1", "_m1", "m2"), ("row", "root", "best", "score", "predicted")])
+def test_stages_with_columns_named_like_their_own(spark, frame, names):
+    rows = [(1, "a b c d e f g"), (2, "A b c d e f g"), (3, "one two three four five six"), (None, "x y z"), (4, " ".join(f"w{i}" for i in range(30)))]
+    docs = frame([(*r, *"pqrst") for r in rows], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    stages = [
+        (lambda d: exact_dedup.drop_exact_copies(spark, d), {2, 3, 4, None}),
+        (lambda d: simhash.drop_near_copies(spark, d), {1, 3, 4, None}),
+        (lambda d: decontaminate.drop_contaminated(spark, d, bench), {1, 2, 4, None}),
+        (lambda d: decontaminate.drop_contaminated(spark, d, bench, block_words=0), {1, 2, 4, None}),
+        (lambda d: toxicity.drop_toxic(spark, d, toxicity.Model()), {1, 2, 3, 4, None}),
+    ]
+    for stage, want in stages:
+        left = stage(docs)
+        got = left.collect()
+        assert left.columns == docs.columns and {r.doc_id for r in got} == want
+        assert all(tuple(r)[2:] == tuple("pqrst") for r in got)
+    assert pieces.round_trip(spark, docs, piece_model()).count() == 5
+
+
 # --- components --------------------------------------------------------------------------------------------------------
 
 
@@ -783,26 +803,36 @@ def test_decontamination_tolerates_substitutions(spark, frame):
         assert decontaminate.overlaps(spark, frame(rows).limit(0), bench, block_words=size).count() == 0
 
 
+def plain_overlap(words, item, shift):
+    """Most equal words of all stretches along a diagonal that begin and end with an equal word, have 13 words (or as many as
+    the item) and four of five of them equal; or of the whole item."""
+    equal = [0 <= shift + k < len(words) and words[shift + k] == w for k, w in enumerate(item)]
+    best = 0
+    for i in range(len(item)):
+        for j in range(i + min(13, len(item)), len(item) + 1):
+            n = sum(equal[i:j])
+            if equal[i] and equal[j - 1] and 5 * n >= 4 * (j - i) and shift + i >= 0 and shift + j <= len(words):
+                best = max(best, n)
+    if 0 <= shift <= len(words) - len(item) and 5 * sum(equal) >= 4 * len(item):
+        best = max(best, sum(equal))
+    return best
+
+
 def test_overlaps_against_every_diagonal(spark, sf):
     """All diagonals of all documents and items, without any seed: nothing found is wrong, nine of ten are found."""
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    known = {}
-    item_ids = [(k, decontaminate.word_ids(t, known)) for k, t in items]
+    split = lambda t: re.findall(r"\w+", (t or "").lower())
     want = {}
-    for d, t in docs:
-        ids = decontaminate.word_ids(t, known)
-        vocabulary = set(ids.tolist())
-        for k, item in item_ids:
-            if sum(int(x) in vocabulary for x in item) < min(13, len(item) * 0.8):
-                continue
-            best = 0
-            for shift in range(1 - len(item), len(ids)):
-                found = decontaminate.stretch(ids, item, shift, 0, len(ids), decontaminate.MIN_WORDS)
-                best = max(best, found[3] if found else 0)
-                if 0 <= shift <= len(ids) - len(item):
-                    same = int((ids[shift : shift + len(item)] == item).sum())
-                    best = max(best, same if same * 5 >= len(item) * 4 else 0)
+    for d, text in docs:
+        words = split(text)
+        places = {}
+        for at, w in enumerate(words):
+            places.setdefault(w, []).append(at)
+        for k, t in items:
+            item = split(t)
+            met = Counter(at - i for i, w in enumerate(item) for at in places.get(w, ()))
+            best = max((plain_overlap(words, item, shift) for shift, n in met.items() if 5 * n >= 4 * min(13, len(item))), default=0)
             if best:
                 want[d, k] = best
     for words in (400_000, 0):
@@ -811,6 +841,47 @@ def test_overlaps_against_every_diagonal(spark, sf):
         assert sum(got[p] == want[p] for p in got) >= 0.9 * len(got)
 
 
+def test_stretches_equal_all_windows():
+    rng = random.Random(33)
+    for _ in range(400):
+        item = [rng.randrange(1, 5) for _ in range(rng.randrange(1, 45))]
+        words = [x if rng.random() < 0.85 else 9 for x in item]
+        words = [9] * rng.randrange(3) + words[rng.randrange(3) :] + [1, 2]
+        for shift in (-1, 0, 1, 2):
+            got = decontaminate.stretch(np.array(words), np.array(item), shift, 0, len(words), 13)
+            want = plain_overlap(words, item, shift)
+            if got:
+                place, first, n, same = got
+                assert n >= min(13, len(item)) and 5 * same >= 4 * n and place - first == shift
+                assert words[place] == item[first] and same == sum(a == b for a, b in zip(words[place : place + n], item[first : first + n], strict=True)) == want
+            else:
+                whole = 0 <= shift <= len(words) - len(item) and 5 * sum(a == b for a, b in zip(words[shift:], item, strict=False)) >= 4 * len(item)
+                assert whole or not want
+
+
+def test_recall_on_partial_copies(spark, frame):
+    """Parts of items, with substituted words anywhere, inside 200 other words."""
+    rng = random.Random(44)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    items, rows, cases = [], [], {}
+    for size, copied, wrong in ((40, 20, 1), (40, 20, 2), (40, 20, 3), (40, 15, 1), (40, 16, 2), (60, 30, 3), (60, 30, 4), (60, 30, 6), (40, 40, 8)):
+        for _ in range(100):
+            k, item = len(items), words(size)
+            items.append((k, " ".join(item)))
+            at = rng.randrange(size - copied + 1)
+            part = item[at : at + copied]
+            for x in rng.sample(range(copied), wrong):
+                part[x] = "other"
+            rows.append((k, " ".join([*words(100), *part, *words(100)])))
+            cases.setdefault((size, copied, wrong), []).append(k)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block_words in (400_000, 0):
+        got = {(r.id, r["item"]) for r in decontaminate.overlaps(spark, frame(rows), bench, block_words=block_words).collect()}
+        for case, ks in cases.items():
+            assert sum((k, k) in got for k in ks) >= 0.9 * len(ks), (case, sum((k, k) in got for k in ks))
+        assert {a for a, b in got if a != b} == set()
+
+
 def test_recall_on_substituted_words(spark, frame):
     """Items of 13 to 30 words with one to three words replaced anywhere, inside other words."""
     rng = random.Random(27)
