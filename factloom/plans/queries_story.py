@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from factloom.plans import views
 from factloom.plans.queries_text import CLEAN, PROSE, TOTAL
 from factloom.plans.registry import query
 from factloom.plans.views import FACT_SQL, LINEAGE_SQL, RESOLVED_SQL, seen_sql, valid_sql
-from factloom.sources.shared import written
+from factloom.sources import paged
+from factloom.sources.shared import shared_dir, written
 
 # --- drafts against canon ----------------------------------------------------------------------------------------------
 
@@ -273,3 +276,29 @@ def adjudicated_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = history.adjudicate(gated.where("status = 'active'"), ["fork_id", "subject_id", "predicate"])
     out = gated.where("status = 'quarantined'").withColumn("verdict", F.lit(None).cast("string"))
     return judged.select("id", "status", "verdict").unionByName(out.select("id", "status", "verdict"))
+
+
+# --- a paged service ---------------------------------------------------------------------------------------------------
+
+PAGE, REFUSED_PAGE = 20, 7
+
+
+@query(f"""WITH m AS (SELECT doc_id, doc_id // {PAGE} AS page FROM documents WHERE lang = 'en' AND length(text) >= 1000),
+one AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS k FROM m), first AS (SELECT * FROM one WHERE k <= 5), p1 AS (SELECT max(page) + 1 AS p FROM first),
+second AS (SELECT m.* FROM m, p1 WHERE page >= p AND page < p + 3), third AS (SELECT m.* FROM m, p1 WHERE page >= p + 3 AND page < {REFUSED_PAGE})
+SELECT 1 AS call, doc_id, p AS next_page, false AS cut_short FROM first, p1 UNION ALL SELECT 2, doc_id, p + 3, false FROM second, p1 UNION ALL SELECT 3, doc_id, {REFUSED_PAGE}, true FROM third""")
+def paged_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents behind a service with pages: a scan that stops at five matches, one that goes on to a ceiling of rows, and one
+    that a refused page ends."""
+    root = f"{shared_dir(spark)}/factloom/pages-{uuid.uuid4().hex}"
+    d = views.table(spark, sf_dir, "documents")
+    rows = d.select(F.col("doc_id").alias("row_index"), F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"), F.col("lang").alias("label"), "text")
+    paged.write_pages(rows, f"{root}/pages", PAGE)
+    paged.refuse(f"{root}/pages", REFUSED_PAGE)
+    paged.register(spark)
+    out = None
+    for call, (limit, most) in enumerate([(5, 2**40), (2**30, 3 * PAGE), (2**30, 2**40)], 1):
+        found = paged.scan(spark, f"{root}/pages", f"{root}/state", F.length("text") >= 1000, limit, most, PAGE, label="en")
+        told = found.matches.select(F.lit(call).alias("call"), F.col("id").cast("long").alias("doc_id"), F.lit(found.page).alias("next_page"), F.lit(found.cut_short).alias("cut_short"))
+        out = told if out is None else out.unionByName(told)
+    return out

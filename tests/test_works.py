@@ -4,6 +4,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, IsNotNull
 
 from factloom.functions import markup, text
 from factloom.operators import corpus, entities
@@ -154,31 +155,35 @@ def test_archive_rows_by_field(spark):
     assert floor(0) == 1 and floor(1) == 0
 
 
-def test_a_scan_stops_goes_on_and_makes_do(tmp_path):
-    pages = tmp_path / "pages"
-    pages.mkdir()
-    for n in range(6):
-        (pages / f"page-{n}.jsonl").write_text("".join(json.dumps({"id": f"{n}-{k}", "label": "yes" if k == 1 else "no"}) + "\n" for k in range(3)))
-    state = str(tmp_path / "state.json")
-    source = paged.Pages({"path": str(pages), "pageSize": "3"})
-    hit = lambda r: r[3] == "yes"
-    one = paged.scan(source, hit, state, limit=2, max_rows=100)
-    assert ([r[1] for r in one.matches], one.rows, one.page, one.cut_short) == (["0-1", "1-1"], 6, 2, False)
-    two = paged.scan(source, hit, state, limit=99, max_rows=5)  # a ceiling of rows ends it behind the page that reaches it
-    assert ([r[1] for r in two.matches], two.page) == (["2-1", "3-1"], 4)
-
-    class Failing(paged.Pages):
-        def lines(self, number):
-            if number == 5:
-                raise HostError(404)
-            return super().lines(number)
-
-    bad = Failing({"path": str(pages)})
-    three = paged.scan(bad, hit, state, limit=99, max_rows=100)
-    assert ([r[1] for r in three.matches], three.page, three.cut_short) == (["4-1"], 5, True)
+def test_a_scan_stops_goes_on_and_makes_do(spark, tmp_path):
+    pages, state = str(tmp_path / "pages"), str(tmp_path / "state")
+    rows = [(n * 3 + k, f"{n}-{k}", None, "yes" if k == 1 else "no", f"t{n}") for n in range(8) for k in range(3)]
+    assert paged.write_pages(spark.createDataFrame(rows, "row_index long, id string, title string, label string, text string"), pages, 3) == 24
+    paged.register(spark)
+    go = lambda limit, most=100, also=True: paged.scan(spark, pages, state, F.lit(also) & (F.col("text") != "t6"), limit, most, 3, 2, label="yes")
+    ids = lambda found: [r.id for r in found.matches.collect()]
+    one = go(2)
+    assert (ids(one), one.page, one.cut_short) == (["0-1", "1-1"], 2, False)
+    two = go(99, 5)  # a ceiling of rows ends it behind the page that reaches it
+    assert (ids(two), two.page) == (["2-1", "3-1"], 4)
+    (tmp_path / "pages" / "page-5.jsonl").write_text('{"status": 404}\n')
+    three = go(99)
+    assert (ids(three), three.page, three.cut_short) == (["4-1"], 5, True)
     with pytest.raises(HostError):
-        paged.scan(bad, hit, state, limit=99, max_rows=100)
-    assert [r[1] for r in paged.scan(source, hit, state, limit=99, max_rows=100).matches] == ["5-1"]
+        go(99)
+    (tmp_path / "pages" / "page-5.jsonl").write_text('{"id": "5-1", "label": "yes"}\n{"id": ""}\nno json\n')
+    four = go(99)
+    assert (ids(four), four.page, four.cut_short) == (["7-1"], 8, False)  # a null text is no match
+    assert (ids(go(99)), paged.state_of(spark, state)) == ([], 8)
+
+
+def test_equality_is_decided_in_the_source(spark, tmp_path):
+    rows = [(k, str(k), None, "yes" if k % 2 else "no", "t") for k in range(20)]
+    paged.write_pages(spark.createDataFrame(rows, "row_index long, id string, title string, label string, text string"), str(tmp_path / "p"), 4)
+    reader = paged.PagedReader({"path": str(tmp_path / "p"), "pageSize": "4", "limit": "3", "pagesPerRange": "5"})
+    assert list(reader.pushFilters([EqualTo(("label",), "yes"), IsNotNull(("label",)), IsNotNull(("text",))])) == [IsNotNull(("text",))]
+    (part,) = reader.partitions()
+    assert [r[1] for r in reader.read(part)] == ["1", "3", "5", "7"]  # the page that fills the limit is read to its end
 
 
 def test_sources_that_fail_are_left_out(spark):
