@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import history, lineage, verify
+from factloom.functions import template
+from factloom.functions.guard import is_visible
+from factloom.operators import history, lanes, lineage, verify
 from factloom.operators.harvest import Harvest, Policy, candidates, harvest
-from factloom.plans import views
+from factloom.plans import surface, views
 from factloom.plans.queries_text import CLEAN, PROSE, TOTAL
 from factloom.plans.registry import query
 from factloom.plans.views import FACT_SQL, LINEAGE_SQL, RESOLVED_SQL, seen_sql, valid_sql
@@ -302,3 +304,70 @@ def paged_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         told = found.matches.select(F.lit(call).alias("call"), F.col("id").cast("long").alias("doc_id"), F.lit(found.page).alias("next_page"), F.lit(found.cut_short).alias("cut_short"))
         out = told if out is None else out.unionByName(told)
     return out
+
+
+# --- lanes, templates, SQL ---------------------------------------------------------------------------------------------
+
+LANES = ("factual", "persona", "worldview")
+
+
+@query("""WITH v AS (SELECT vec_id, ['factual', 'persona', 'worldview'][label % 3 + 1] AS lane, label + 1 <= 7 AND vec_id % 13 <> 0 AS seen, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
+SELECT query_id, ref_id, CAST(rank AS INT) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS ref_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(v.e, q.e) DESC, v.vec_id) AS rank
+    FROM v JOIN v q ON q.lane = v.lane WHERE q.vec_id % 50 = 0 AND v.seen) WHERE rank <= 5""")
+def lane_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the vectors whose id is divisible by 50, each in its lane, through the cells that it has to look into."""
+    v = views.vectors(spark, sf_dir).join(views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("fact_id"), "label"), "fact_id")
+    lane = F.element_at(F.array(*(F.lit(x) for x in LANES)), (F.col("label") % 3 + 1).cast("int"))
+    v = v.select(F.col("fact_id").alias("ref_id"), lane.alias("lane"), "vector", "status", "revealed_at", "knower_scope")
+    asked = v.where("ref_id % 50 = 0").select(F.col("ref_id").alias("query_id"), "lane", F.col("vector").alias("query"))
+    return lanes.search(lanes.index(v), asked, 5, is_visible("audience", 7)).select("query_id", "ref_id", "rank")
+
+
+SCENE = """{# one turn, told to whoever speaks #}
+{{ who | upper }} in chapter {{ chapter }}:
+{% for fact in facts %}
+- {{ fact.said }} ({{ fact.quote | trim | truncate(40) }})
+{% else %}
+(nothing yet)
+{% endfor %}{% if options %}Next: {{ options | join("; ") }}.{% endif %}
+"""
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, list_distinct(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]+')) AS names FROM conversations),
+    f AS (SELECT *, trim(text, chr(32) || chr(10)) AS quote FROM c),
+    g AS (SELECT *, CASE WHEN length(quote) <= 45 THEN quote ELSE CASE WHEN contains(left(quote, 37), ' ') THEN regexp_replace(left(quote, 37), ' [^ ]*$', '', 's') ELSE left(quote, 37) END || '...' END AS short FROM f)
+SELECT conv_id, turn, sha256(chr(10) || upper(role) || ' in chapter ' || (turn + 1) || ':' || chr(10) ||
+    CASE WHEN text = '' THEN chr(10) || '(nothing yet)' || chr(10) ELSE chr(10) || '- turn ' || turn || ' (' || short || ')' || chr(10) END ||
+    CASE WHEN len(names[1:3]) > 0 THEN 'Next: ' || array_to_string(list_sort(names)[1:3], '; ') || '.' ELSE '' END || chr(10)) AS digest FROM g""")
+def rendered_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scene for every turn of the conversations."""
+    c = views.table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    fact = F.struct(F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("said"), F.col("text").alias("quote"))
+    names = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0)))
+    given = {
+        "who": F.col("role"),
+        "chapter": F.col("turn") + 1,
+        "facts": F.when(F.col("text") != "", F.array(fact)).otherwise(F.array().cast("array<struct<said:string,quote:string>>")),
+        "options": F.slice(F.sort_array(names), 1, 3),
+    }
+    return c.select("conv_id", "turn", F.sha2(template.render(SCENE, given), 256).alias("digest"))
+
+
+@query(f"""WITH {FACT_SQL}, {LINEAGE_SQL}, {RESOLVED_SQL}, grand AS (SELECT * FROM resolved WHERE root = 'grand'),
+e AS (SELECT DISTINCT subject_id AS src, object_id AS dst FROM grand WHERE object_id IS NOT NULL AND {seen_sql("'k1'", "12")} AND {valid_sql("12")}),
+live AS (SELECT *, row_number() OVER (PARTITION BY subject_id, predicate ORDER BY (status <> 'invalidated') DESC, valid_from DESC, recorded_at DESC, id DESC) AS rn FROM grand WHERE status <> 'quarantined' AND {valid_sql("15")})
+SELECT 'as_of' AS kind, count(*) AS n, sum(id) AS ids FROM live WHERE rn = 1
+UNION ALL SELECT 'epistemic', count(*), sum(id) FROM grand WHERE {seen_sql("'k1'", "12")} UNION ALL SELECT 'spoilers', count(*), sum(id) FROM grand WHERE NOT {seen_sql("'k1'", "12")}
+UNION ALL SELECT 'attribute', count(*), sum(id) FROM live WHERE rn = 1 AND subject_id = 7 AND predicate = 'view'
+UNION ALL SELECT 'reach', count(*), sum(dst) FROM (SELECT dst FROM e WHERE src = 7 UNION SELECT b.dst FROM e a JOIN e b ON a.dst = b.src WHERE a.src = 7)
+UNION ALL SELECT 'commitments', count(*), sum(o_orderkey) FROM orders WHERE day(o_orderdate) <= 12 AND o_orderstatus <> 'F'""")
+def routed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each kind of question through the SQL functions of a session."""
+    state = F.when(F.col("o_orderstatus") == "O", "planted").when(F.col("o_orderstatus") == "F", "paid_off").otherwise("triggered")
+    due = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), state.alias("state"), F.dayofmonth("o_orderdate").alias("planted_at"))
+    surface.register(spark, views.facts(spark, sf_dir), views.forks(spark), due)
+    ask = lambda kind, of="id", **p: surface.route(spark, kind, **p).agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.sum(of).alias("ids"))
+    guard = {"fork": "grand", "knower": "k1", "chapter": 12}
+    out = ask("as_of", fork="grand", chapter=15).unionByName(ask("epistemic", **guard)).unionByName(ask("spoilers", **guard))
+    out = out.unionByName(ask("attribute", fork="grand", chapter=15, subject=7, predicate="view")).unionByName(ask("reach", "node", **guard, start=7, hops=2))
+    return out.unionByName(ask("commitments", chapter=12))
