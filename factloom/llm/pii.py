@@ -8,13 +8,16 @@ backtracks, which keeps runs of any length linear; each is equivalent to its pla
 * email: a match can only begin where a run of local-part characters begins, or where the previous match ended;
 * card: only whole runs of digits with single separators count, and only those with 14 to 19 digits can pass.
 
-Terms.  Every protected value (an address or number) is an entity.  The event is a document drawn from the corpus: P(e) is
-the share of documents that hold the entity, P(t) of those that hold the term, P(t | e) of those with the term among those
-with the entity.  PMI(t; e) = log2(P(t | e) / P(t)) against the information content IC(e) = -log2 P(e) is how much of the
-entity the term gives away.  Terms with a share PMI / IC of at least ``SHARE`` that stand in at least ``SUPPORT`` different
-contexts of the entity exceed the disclosure threshold (a context is the set of words of a document, so copies of one
-document prove nothing): wherever they stand in the documents of that entity they become spans of kind ``term``, to be
-generalised or removed with the base spans.  Words inside addresses are no terms; the other patterns hold no letters.
+Terms.  Every protected value (an address or number) is an entity, and so is what it belongs to: the local part and the domain
+of an address and the first digits of a phone number, which give values that stand once the support of their kin.  The event is a document drawn
+from the corpus: P(e) is the share of documents that hold the entity, P(t) of those that hold the term, P(t | e) of the
+entity's contexts that hold the term (a context is the set of words of a document, so copies of one document prove nothing).
+PMI(t; e) = log2(P(t | e) / P(t)) against the information content IC(e) = -log2 P(e) is how much of the entity the term gives
+away.  A few contexts prove little, so P(t | e) is taken at the lower end of its confidence interval (Wilson's, at ``Z``
+deviations): words that meet an entity twice by chance stay below.  Terms with a share PMI / IC of at least ``SHARE`` that
+stand in at least ``SUPPORT`` contexts of the entity exceed the disclosure threshold: wherever they stand in the documents of
+that entity they become spans of kind ``term``, to be generalised or removed with the base spans.  Words inside addresses
+are no terms; the other patterns hold no letters.
 
 Positions are sums over arrays.  A fold that appends to an array copies it at every step, so long arrays are summed up in
 parts of ``PART`` elements (``running``); texts with hundreds of thousands of matches stay a matter of seconds.
@@ -35,6 +38,9 @@ from factloom.llm.store import Scratch
 KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT = 2
 SHARE = 0.6
+Z = 1.96
+#: Digits of a phone number that many numbers have in common.
+PREFIX = 6
 LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
     "email": rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -150,20 +156,36 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.withColumn("base", F.array_sort(F.concat(*(spans_of(F.col("text"), k) for k in KINDS[:4]))))
 
 
+def entities_of(spans: Column) -> Column:
+    """Values of base spans and what they belong to, each once."""
+
+    def more(v: Column) -> Column:
+        mail = F.array(v, F.concat(F.lit("local:"), F.substring_index(F.substring(v, 7, 2**31 - 1), "@", 1)), F.concat(F.lit("domain:"), F.substring_index(v, "@", -1)))
+        phone = F.array(v, F.concat(F.lit("prefix:"), F.substring(v, 7, PREFIX)))
+        return F.when(F.startswith(v, F.lit("email:")), mail).when(F.startswith(v, F.lit("phone:")), phone).otherwise(F.array(v))
+
+    return F.array_distinct(F.flatten(F.transform(spans, lambda s: more(s["value"]))))
+
+
+def least_share(k: Column, n: Column, z: float = Z) -> Column:
+    """Lower end of Wilson's interval for a share of ``k`` in ``n``."""
+    p = k / n
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def disclosing_terms(docs: DataFrame, entity: DataFrame, words: DataFrame, text_col: str = "text", support: int = SUPPORT, share: float = SHARE) -> DataFrame:
     """Pairs (value, term) above the threshold, from documents that hold entities, ``entity(row, value, context)`` and
     ``words(row, words)``, and from all documents."""
     n = F.lit(docs.count()).cast("double")
-    # an entity with fewer than ``support`` different contexts has no term; each document counts, each context is told apart
-    of_value = entity.groupBy("value").agg(F.count("*").alias("holders"), F.min("context").alias("one"), F.max("context").alias("other"))
-    of_value = of_value.where((F.lit(support) < 2) | (F.col("one") != F.col("other"))).select("value", "holders")
     once = entity.groupBy("value", "context").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
-    near = once.join(of_value.select("value"), "value").join(words, "row").select("value", "copies", F.explode("words").alias("term"))
-    of_term = near.groupBy("value", "term").agg(F.sum("copies").alias("together"), F.count("*").alias("contexts")).where(F.col("contexts") >= support)
+    # an entity with fewer than ``support`` different contexts has no term; each document counts, each context is told apart
+    of_value = once.groupBy("value").agg(F.sum("copies").alias("holders"), F.count("*").alias("of")).where(F.col("of") >= support)
+    near = once.join(of_value.select("value"), "value").join(words, "row").select("value", F.explode("words").alias("term"))
+    of_term = near.groupBy("value", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support)
     all_words = context_words(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     spread = docs.select(F.explode(all_words).alias("term")).groupBy("term").agg(F.count("*").alias("documents"))
     pairs = of_term.join(of_value, "value").join(spread, "term")
-    pmi = F.log2(F.col("together") / F.col("holders") * n / F.col("documents"))
+    pmi = F.log2(least_share(F.col("contexts"), F.col("of")) * n / F.col("documents"))
     # an entity in more than half of all documents counts as in half of them, or nothing would be left to give away
     ic = F.log2(F.greatest(n, F.lit(2.0)) / F.least(F.col("holders"), F.greatest(n, F.lit(2.0)) / 2))
     return pairs.where(pmi >= share * ic).select("value", "term")
@@ -198,7 +220,7 @@ def _find(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, whol
     found = base_spans(docs, id_col, text_col).select("row", "id", "base", text.alias("text"), F.when(has, context_words(F.col("text"))).alias("words"))
     found = scratch.keep(found, "base")
     held = found.where("words is not null")
-    values = F.array_distinct(F.transform("base", lambda s: s["value"]))
+    values = entities_of(F.col("base"))
     entity = held.select("row", F.xxhash64(F.array_join(F.array_sort("words"), " ")).alias("context"), F.explode(values).alias("value"))
     terms = disclosing_terms(docs, entity, held.select("row", "words"), text_col)
     told = scratch.keep(entity.select("row", "value").join(terms, "value").select("row", "term").distinct(), "told")
