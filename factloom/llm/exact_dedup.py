@@ -29,6 +29,8 @@ from factloom.llm.batches import slices_of, trimmed
 from factloom.llm.store import Scratch, unused
 
 COUNTERS = 1024
+#: Decisions, some 50 bytes each, that are broadcast to the texts; with more of them both are shuffled.
+BROADCAST = 500_000
 
 
 def _digests(texts: list[bytes | None]) -> list[bytes]:
@@ -93,11 +95,14 @@ def keep_rows(docs: DataFrame, found: DataFrame, id_col: str, mark: str, scratch
     """Rows of ``docs`` without the (id, mark) that ``found(id, mark, kept, n)`` drops, one row for each (id, mark).
 
     The mark stands for the text, so rows are told apart that share an id (or have none) and differ in their texts.
-    ``found`` has at most one row for each (id, mark); rows without one stay.  Texts go through one join; only where some row
-    repeats both id and mark they go through a second, which leaves one of each.
+    ``found`` has at most one row for each (id, mark); rows without one stay.  Texts go through one join, in which they stay
+    where they are if there is little to decide (``BROADCAST`` rows, counted); only where some row repeats both id and mark
+    they go through a second, which leaves one of each.
     """
     its_id, its_mark, kept = unused(docs, "id", "mark", "kept")
     decided = scratch.keep(found.where("not kept or n > 1").select(F.col("id").alias(its_id), F.col("mark").alias(its_mark), F.col("kept").alias(kept)), "decided")
+    if decided.count() <= BROADCAST:
+        decided = F.broadcast(decided)
     same = F.col(id_col).cast("long").eqNullSafe(F.col(its_id)) & (F.col(mark) == F.col(its_mark))
     left = docs.join(decided.where(~F.col(kept)), same, "left_anti")
     thin = decided.where(kept)
