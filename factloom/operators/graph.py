@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.guard import is_valid_at, is_visible
+from factloom.sources.shared import written
 
 
 def edges(facts: DataFrame, knower: str, chapter: int) -> DataFrame:
@@ -21,15 +22,17 @@ def neighbours(graph: DataFrame, node: int) -> DataFrame:
 def reach(graph: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     """(start, node) for nodes within ``hops`` directed steps of ``starts(start)``; a start that a cycle returns to is in it.
 
-    One join per hop on distinct pairs; only pairs that are new go on.
+    One join per hop on distinct pairs; only pairs that are new go on.  Steps and each hop's pairs are written, so a hop reads
+    what the one before found and never works it out again.
     """
-    steps = graph.select(F.col("src").alias("node"), "dst").distinct()
+    steps = written(graph.select(F.col("src").alias("node"), "dst").distinct(), "steps")
     found = None
     front = starts.select("start", F.col("start").alias("node")).distinct()
     for _ in range(hops):
         front = front.join(steps, "node").select("start", F.col("dst").alias("node")).distinct()
         if found is not None:
             front = front.join(found, ["start", "node"], "left_anti")
+        front = written(front, "front")
         found = front if found is None else found.unionByName(front)
     return found if found is not None else front.limit(0)
 

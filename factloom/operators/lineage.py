@@ -11,16 +11,18 @@ def lineage(spark: SparkSession, forks: DataFrame) -> DataFrame:
 
     A fork that is its own ancestor makes the query fail: the path travels with the recursion and a repeat raises.
     """
-    forks.createOrReplaceTempView("factloom_forks")
-    return spark.sql("""
+    return spark.sql(
+        """
         WITH RECURSIVE walk(root, ancestor, parent, cap, next_cap, depth, path) AS (
-            SELECT id, id, parent_fork_id, CAST(NULL AS INT), divergence_at, 0, array(id) FROM factloom_forks
+            SELECT id, id, parent_fork_id, CAST(NULL AS INT), divergence_at, 0, array(id) FROM {forks}
             UNION ALL
             SELECT w.root, w.parent, f.parent_fork_id, w.next_cap, least(w.next_cap, f.divergence_at), w.depth + 1,
                 IF(array_contains(w.path, w.parent), raise_error(concat('fork cycle at ', w.parent)), array_append(w.path, w.parent))
-            FROM walk w LEFT JOIN factloom_forks f ON f.id = w.parent
+            FROM walk w LEFT JOIN {forks} f ON f.id = w.parent
             WHERE w.parent IS NOT NULL)
-        SELECT root, ancestor, cap, depth FROM walk""")
+        SELECT root, ancestor, cap, depth FROM walk""",
+        forks=forks,
+    )
 
 
 def resolved(facts: DataFrame, lines: DataFrame) -> DataFrame:

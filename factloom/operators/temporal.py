@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.guard import is_valid_at, is_visible
@@ -32,6 +32,39 @@ def as_of_probe(resolved: DataFrame, probes: DataFrame) -> DataFrame:
     return hit.groupBy(*KEY, "chapter").agg(F.max_by("id", order).alias("id"))
 
 
+def as_of_ranges(resolved: DataFrame, probes: DataFrame) -> DataFrame:
+    """``as_of_probe`` for keys with many versions and many probes, where pairs of both would be too many.
+
+    Story time is cut in halves, their halves and so on.  A version stands in the few pieces that make up its interval, a
+    piece keeps the best of its versions (combined map-side), and a probe asks the pieces around its chapter, one of each
+    size: rows grow with the logarithm of the last chapter asked, never with versions times probes, and a hot key is as many
+    groups as it has pieces.  Probes are distinct, at chapters from 0 on; those without a fact are left out.
+    """
+    order = F.struct(F.col("status") != "invalidated", "valid_from", "recorded_at", "id")
+    last = probes.agg(F.max("chapter")).first()[0]
+    if last is None:
+        return probes.select(*KEY, "chapter").withColumn("id", F.lit(None).cast("long")).limit(0)
+    levels = F.sequence(F.lit(0), F.lit(max(int(last), 1).bit_length()))
+    lo = F.greatest(F.col("valid_from"), F.lit(0))
+    hi = F.least(F.coalesce("valid_to", F.lit(int(last))), F.lit(int(last))) + 1
+    live = resolved.where((F.col("status") != "quarantined") & (lo < hi))
+
+    def pieces(level: Column) -> Column:
+        """The one or two pieces of a size at the rims of what larger ones leave of an interval."""
+        size = F.pow(F.lit(2), level)
+        first, stop = F.ceil(lo / size), F.floor(hi / size)
+        left = F.when((first % 2 == 1) & (first < stop), first)
+        right = F.when((stop % 2 == 1) & (first < stop), stop - 1)
+        return F.transform(F.array_distinct(F.array_compact(F.array(left, right))), lambda n: F.struct(level.alias("level"), n.alias("piece")))
+
+    spread = live.select(*KEY, order.alias("order"), F.explode(F.flatten(F.transform(levels, pieces))).alias("p"))
+    best = spread.groupBy(*KEY, "p.level", "p.piece").agg(F.max("order").alias("order"))
+    around = F.transform(levels, lambda level: F.struct(level.alias("level"), F.floor(F.col("chapter") / F.pow(F.lit(2), level)).alias("piece")))
+    asks = probes.where("chapter >= 0").select(*KEY, "chapter", F.explode(around).alias("p")).select(*KEY, "chapter", "p.level", "p.piece")
+    found = asks.join(best, [*KEY, "level", "piece"]).groupBy(*KEY, "chapter").agg(F.max("order").alias("order"))
+    return found.select(*KEY, "chapter", F.col("order.id").alias("id"))
+
+
 def conflicts(facts: DataFrame, chapter: int) -> DataFrame:
     """Pairs of live facts about one key that say different things: first, second (in order of id).
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.guard import is_visible
-from factloom.operators.temporal import as_of_probe
+from factloom.operators.temporal import as_of_ranges
 from factloom.schema import INCAPACITATED
 
 #: The end of what never ends.
@@ -148,7 +148,7 @@ def hard_lane(resolved: DataFrame, claims: DataFrame, *, single: list[str], plac
     # how one is, as of each moment at which one acts
     acts = claims.where("subject_id is not null and start is not null").where(F.col("predicate") != status)
     moments = acts.select("root", "subject_id", F.lit(status).alias("predicate"), F.col("start").alias("chapter")).distinct()
-    held = as_of_probe(live.where(F.col("predicate") == status), moments).withColumnRenamed("id", "fact_id")
+    held = as_of_ranges(live.where(F.col("predicate") == status), moments).withColumnRenamed("id", "fact_id")
     out = facts.where(F.col("says").isin(*INCAPACITATED)).select("root", F.col("id").alias("fact_id"))
     gone = held.join(out, ["root", "fact_id"]).select("root", "subject_id", F.col("chapter").alias("start"), "fact_id")
     acting = acts.join(gone, ["root", "subject_id", "start"]).select("claim_id", "fact_id", F.lit("mortality").alias("invariant"))

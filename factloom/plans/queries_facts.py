@@ -98,6 +98,16 @@ def as_of_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.as_of_probe(r, probes)
 
 
+@query(f"""{ALL}, probe AS (SELECT DISTINCT root, subject_id, predicate, chapter FROM resolved, range(32) t(chapter))
+SELECT root, subject_id, predicate, chapter, id FROM (SELECT p.*, r.id, row_number() OVER (PARTITION BY p.root, p.subject_id, p.predicate, chapter {AS_OF_ORDER}) AS rn
+    FROM probe p JOIN resolved r USING (root, subject_id, predicate) WHERE status <> 'quarantined' AND {valid_sql("chapter")}) WHERE rn = 1""")
+def as_of_every_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key at every chapter of a month, by pieces of story time."""
+    r = resolved(spark, sf_dir)
+    probes = r.select("root", "subject_id", "predicate").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("chapter"))
+    return temporal.as_of_ranges(r, probes).select("root", "subject_id", "predicate", F.col("chapter").cast("long").alias("chapter"), "id")
+
+
 @query(f"""WITH {FACT_SQL}, live AS (SELECT * FROM fact WHERE status = 'active' AND {valid_sql("10")})
 SELECT fork_id, subject_id, predicate, a.id AS first, b.id AS second FROM live a JOIN live b USING (fork_id, subject_id, predicate)
 WHERE a.id < b.id AND NOT (a.object_id IS NOT DISTINCT FROM b.object_id AND a.object_literal IS NOT DISTINCT FROM b.object_literal)""")

@@ -4,11 +4,14 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.functions import template
 from factloom.operators import harvest as H
-from factloom.operators import history, verify
+from factloom.operators import history, lanes, temporal, verify
+from factloom.plans import surface
 from factloom.schema import FACT
 from factloom.streaming import settling
 
@@ -257,3 +260,60 @@ def test_adjudication_quarantines_ties(spark):
     got = {r.id: r.verdict for r in history.adjudicate(df, ["key"]).collect()}
     assert got == {1: "kept", 2: "outranked", 3: "kept", 4: "quarantined", 5: "quarantined", 6: "outranked", 7: "kept", 8: "kept", 9: "kept"}
     assert [r.status for r in history.curate(df, 0.5).orderBy("id").collect()] == ["active", "active", "quarantined", "active", "active", "active", "quarantined", "active", "active"]
+
+
+def test_as_of_by_pieces_equals_the_join(spark):
+    rng = random.Random(12)
+    rows = [{"id": i, "subject_id": rng.choice([1, 1, 1, 2, 3]), "predicate": "p", "object_literal": "x", "valid_from": (a := rng.randrange(-3, 70)), "valid_to": rng.choice([None, a, a + rng.randrange(40)]), "status": rng.choice(["active", "active", "invalidated", "quarantined"])} for i in range(200)]
+    facts = canon(spark, rows).repartition(4)
+    probes = spark.createDataFrame([("canon", s, "p", c) for s in (1, 2, 3, 9) for c in (0, 1, 5, 31, 32, 33, 63, 64, 69)], "root string, subject_id long, predicate string, chapter int")
+    want = {tuple(r) for r in temporal.as_of_probe(facts, probes).collect()}
+    got = temporal.as_of_ranges(facts, probes)
+    assert {tuple(r) for r in got.collect()} == want and want
+    assert temporal.as_of_ranges(facts, probes.limit(0)).count() == 0 and temporal.as_of_ranges(facts.limit(0), probes).count() == 0
+
+
+# --- SQL, templates, lanes ---------------------------------------------------------------------------------------------
+
+
+def test_questions_without_a_route_fail(spark):
+    facts = canon(spark, [{"id": 1, "subject_id": 1, "predicate": "at", "object_id": 2, "valid_from": 1}, {"id": 2, "subject_id": 2, "predicate": "at", "object_id": 1, "valid_from": 1}, {"id": 3, "subject_id": 2, "predicate": "at", "object_id": 5, "valid_from": 1, "revealed_at": 9}])
+    forks = spark.createDataFrame([("canon", None, None)], "id string, parent_fork_id string, divergence_at int")
+    surface.register(spark, facts.drop("root", "depth"), forks)
+    assert sorted(r.node for r in surface.route(spark, "reach", fork="canon", chapter=3, start=1, hops=9).collect()) == [1, 2]
+    assert [r.id for r in surface.route(spark, "spoilers", fork="canon", chapter=3).collect()] == [3]
+    assert spark.sql("SELECT count(*) AS n FROM fl_canon c JOIN fl_visible('canon', 'audience', 9) v ON c.id = v.id").first().n == 3
+    for kind, given in (("similar", {}), ("as_of", {"fork": "canon"}), ("as_of", {"fork": "canon", "chapter": 1, "k": 2})):
+        with pytest.raises(surface.Unroutable):
+            surface.route(spark, kind, **given)
+
+
+def test_templates(spark):
+    df = spark.createDataFrame([("ann", [("a", "x" * 9), ("b", " y ")], ["p", "q"]), ("bob", [], []), (None, [], ["r"])], "who string, facts array<struct<s:string,q:string>>, xs array<string>")
+    given = {n: F.col(n) for n in df.columns}
+    say = '{# no #}{{ who|upper }}:{% for f in facts %}[{{ f.s }}={{ f.q | trim }}]{% else %}none{% endfor %}{% if xs %} {{ xs | join("+") }}{% else %}.{% endif %}\n'
+    got = df.select(template.render(say, given, strict=False).alias("t"), template.missing(given).alias("m")).collect()
+    assert [r.t for r in got] == ["ANN:[a=xxxxxxxxx][b=y] p+q\n", "BOB:none.\n", None] and [r.m for r in got] == [[], [], ["who"]]
+    with pytest.raises(Exception, match="not given: who"):
+        df.select(template.render(say, given)).collect()
+    for bad in ("{{ nobody }}", "{% for x in facts %}", "{{ who | shout }}", "{% while x %}"):
+        with pytest.raises(template.TemplateError):
+            template.render(bad, given)
+    cut = lambda s: spark.range(1).select(template.render("{{ s | truncate(20) }}", {"s": F.lit(s)}).alias("t")).first().t
+    assert cut("x" * 25) == "x" * 25 and cut("x" * 26) == "x" * 17 + "..." and cut("one two three four five six") == "one two three..."
+
+
+def test_lanes_skip_cells_and_lose_nothing(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16)) * 6
+    rows = [(i, "ab"[i % 2], (centres[i % 12] + rng.normal(size=16) * 0.3).tolist()) for i in range(1200)] + [(5000, "a", [0.0] * 16), (5001, "a", None)]
+    v = spark.createDataFrame(rows, "ref_id long, lane string, vector array<double>").repartition(5)
+    asked = spark.createDataFrame([(i, lane, rows[i][2]) for i in range(0, 60) for lane in "ab"] + [(900, "c", rows[0][2])], "q long, lane string, query array<double>").selectExpr("q * 2 + int(lane = 'b') AS query_id", "lane", "query")
+    got = lanes.search(lanes.index(v, cells=12), asked, 5).collect()
+    unit = {i: np.array(x) / np.linalg.norm(x) for i, _, x in rows if x and any(x)}
+    for r in asked.collect():
+        q = np.array(r.query) / np.linalg.norm(r.query)
+        best = sorted(((-float(unit[i] @ q), i) for i, lane, _ in rows if lane == r.lane and i in unit))[:5]
+        assert sorted((x["rank"], x.ref_id) for x in got if x.query_id == r.query_id) == [(n, i) for n, (_, i) in enumerate(best, 1)]
+    assert np.mean([r.cells for r in got]) < 6
+    assert lanes.search(lanes.index(v.limit(0)), asked, 5).count() == 0
