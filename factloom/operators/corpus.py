@@ -130,8 +130,19 @@ def premise_groups(works: DataFrame) -> DataFrame:
 
 
 def premise_members(works: DataFrame) -> DataFrame:
-    """The members of premise groups, a row each (key, pos, handle); sorted by ``pos`` they stand as harvested."""
-    return works.where("premise is not null").select("premise.key", "pos", "handle")
+    """The members of premise groups in order, a row each: key, place (from 1), pos, handle.
+
+    A group may be most of all works, so it is numbered in ranges: rows are sorted by group and position over all tasks, each
+    range counts its rows of a group, and what stands before a range is added.
+    """
+    m = works.where("premise is not null").select("premise.key", "pos", "handle")
+    m = m.repartitionByRange("key", "pos").sortWithinPartitions("key", "pos").withColumn("at", F.monotonically_increasing_id())
+    m = written(m, "members").withColumn("range", F.shiftright("at", 33))
+    # a row for each range of a group: groups and ranges together, not their product, as both are sorted
+    parts = m.groupBy("key", "range").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("key", "range", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return m.join(parts, ["key", "range"]).select("key", (F.col("before") + F.col("at") - F.col("first") + 1).alias("place"), "pos", "handle")
 
 
 def branch_points(works: DataFrame, most: int = MOST_OPTIONS) -> DataFrame:

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import premise, prose, text
-from factloom.operators.corpus import branch_points, fates, union_sources
+from factloom.operators.corpus import branch_points, fates, is_ranked, premise_groups, premise_members, union_sources
 from factloom.sources.shared import written
+from factloom.sources.tables import CORPUS_VERSION
 
 FACTOR = 4
 #: Works that one window numbers at a time.
@@ -144,3 +145,42 @@ def harvest(works: DataFrame, chapters: DataFrame, policy: Policy) -> Harvest:
     lost = analysed.agg(F.count("*").alias("all"))
     report = report.join(one(lost), "one").withColumn("quality_rejected", F.col("all") - F.col("stories_kept")).drop("one", "all")
     return Harvest(good.orderBy(F.desc("score"), "place"), cleaned.join(good.select("place"), "place", "left_semi"), report)
+
+
+def write(found: Harvest, path: str, most_options: int = 4) -> None:
+    """A harvest as JSON lines below a folder, each table overwritten: ``works`` with their chapters, best first; ``manifest``,
+    one row; ``premise_groups`` and their ``premise_members`` in order; ``branch_points``.
+
+    Works are in ranges of their rank, so no task writes them all; groups are tables of their own, since one may hold most of
+    all works.  What the manifest says of the order is read off the works as they stand in the files.
+    """
+    chapters = found.chapters.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("index", "text"))).alias("texts"))
+    told = found.works.join(chapters, "place").withColumn("is_partial", F.col("dropped_non_prose") + F.col("dropped_duplicate") > 0)
+    told = told.withColumn("schema_version", F.lit(CORPUS_VERSION))
+    told.repartitionByRange(F.desc("score"), "place").sortWithinPartitions(F.desc("score"), "place").write.mode("overwrite").json(f"{path}/works")
+    members = found.works.select(F.col("place").alias("pos"), "handle", "premise")
+    premise_groups(members).orderBy(F.desc("size"), "key").write.mode("overwrite").json(f"{path}/premise_groups")
+    premise_members(members).repartitionByRange("key", "place").sortWithinPartitions("key", "place").write.mode("overwrite").json(f"{path}/premise_members")
+    branch_points(members, most_options).repartitionByRange("key", "option").sortWithinPartitions("key", "option").write.mode("overwrite").json(f"{path}/branch_points")
+    manifest(found, path).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def manifest(found: Harvest, path: str) -> DataFrame:
+    """One row about the works written below a folder: version, counts, sources, order, quality."""
+    spark = found.works.sparkSession
+    works = spark.read.schema("source string, score double, chapters long, total_words long").json(f"{path}/works")
+    in_files = works.select("score", F.monotonically_increasing_id().alias("pos"))
+    ordering = F.when(F.col("ranked"), "prose_quality_score_desc").otherwise("harvest_order").alias("ordering")
+    counts = works.agg(
+        F.lit(CORPUS_VERSION).alias("schema_version"),
+        F.count("*").alias("story_count"),
+        F.coalesce(F.sum("chapters"), F.lit(0)).alias("chapter_count"),
+        F.coalesce(F.sum("total_words"), F.lit(0)).alias("total_words"),
+        F.sort_array(F.collect_set("source")).alias("sources"),
+        F.count("score").alias("scored_works"),
+        F.min("score").alias("least"),
+        F.bround(F.median("score"), 2).alias("median"),
+        F.max("score").alias("best"),
+    )
+    one = lambda df: df.withColumn("one", F.lit(1))
+    return one(found.report.select("name")).join(one(counts), "one").join(one(is_ranked(in_files).select(ordering)), "one").drop("one")

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from factloom.functions import template
 from factloom.functions.guard import is_visible
-from factloom.operators import history, lanes, lineage, verify
+from factloom.operators import corpus, history, lanes, lineage, verify
 from factloom.operators.harvest import Harvest, Policy, candidates, harvest
+from factloom.operators.harvest import write as write_harvest
 from factloom.plans import surface, views
-from factloom.plans.queries_text import CLEAN, PROSE, TOTAL
+from factloom.plans.queries_text import CLEAN, PREMISE_SQL, PROSE, TOTAL, premised
 from factloom.plans.registry import query
 from factloom.plans.views import FACT_SQL, LINEAGE_SQL, RESOLVED_SQL, seen_sql, valid_sql
 from factloom.sources import paged
@@ -187,6 +188,23 @@ def harvested_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of.select("place", "relevance_score", "chapters", "dropped_non_prose", "dropped_duplicate", "total_words", F.round("score", 1).alias("score"))
 
 
+@query(f"""WITH {HARVEST_SQL}, whole AS (SELECT good.*, source FROM good JOIN cand USING (place))
+SELECT '1.2' AS schema_version, 'trash' AS name, count(*) AS story_count, sum(chapters) AS chapter_count, sum(total_words) AS total_words, string_agg(DISTINCT source, ',' ORDER BY source) AS sources,
+    count(*) AS scored_works, round(min(score), 1) AS least, round(round_even(median(score), 2), 1) AS median, round(max(score), 1) AS best, 'prose_quality_score_desc' AS ordering FROM whole""")
+def harvest_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same harvest written, and what its manifest says."""
+    path = f"{shared_dir(spark)}/factloom/harvest-{uuid.uuid4().hex}"
+    write_harvest(harvested(spark, sf_dir), path)
+    shape = "schema_version string, name string, story_count long, chapter_count long, total_words long, sources array<string>, scored_works long, least double, median double, best double, ordering string"
+    read = spark.read.schema(shape).json(f"{path}/manifest").withColumn("sources", F.array_join("sources", ","))
+    return read.select(*(F.round(c, 1).alias(c) if c in ("least", "median", "best") else F.col(c) for c in read.columns))
+
+
+@query(f"WITH {PREMISE_SQL} SELECT key, row_number() OVER (PARTITION BY key ORDER BY pos) AS place, pos, handle FROM work")
+def premise_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.premise_members(premised(spark, sf_dir))
+
+
 # --- histories ---------------------------------------------------------------------------------------------------------
 
 REPLAYS = (500, 5000, 2**62)
