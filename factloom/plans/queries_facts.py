@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,7 +71,7 @@ def canon_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {FACT_SQL} SELECT fork_id, count(*) AS n, max(id) AS last FROM fact GROUP BY fork_id UNION ALL SELECT 'by key', count(*), max(id) FROM fact WHERE subject_id = 7")
 def snapshot_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts written as a snapshot, read back per fork and by key."""
-    path = f"{shared.shared_dir(spark)}/factloom/snapshot-{uuid.uuid4().hex}"
+    path = shared.folder(spark, "snapshot")
     tables.write_facts(views.facts(spark, sf_dir), path)
     by = lambda df, name: df.groupBy(name.alias("fork_id")).agg(F.count("*").alias("n"), F.max("id").alias("last"))
     keyed = tables.get(tables.read_facts(spark, path), "subject_id", 7)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ from factloom.plans.queries_text import CLEAN, PREMISE_SQL, PROSE, TOTAL, premis
 from factloom.plans.registry import query
 from factloom.plans.views import FACT_SQL, LINEAGE_SQL, RESOLVED_SQL, seen_sql, valid_sql
 from factloom.sources import paged
-from factloom.sources.shared import shared_dir, written
+from factloom.sources.shared import folder, written
 
 # --- drafts against canon ----------------------------------------------------------------------------------------------
 
@@ -193,7 +191,7 @@ SELECT '1.2' AS schema_version, 'trash' AS name, count(*) AS story_count, sum(ch
     count(*) AS scored_works, round(min(score), 1) AS least, round(round_even(median(score), 2), 1) AS median, round(max(score), 1) AS best, 'prose_quality_score_desc' AS ordering FROM whole""")
 def harvest_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same harvest written, and what its manifest says."""
-    path = f"{shared_dir(spark)}/factloom/harvest-{uuid.uuid4().hex}"
+    path = folder(spark, "harvest")
     write_harvest(harvested(spark, sf_dir), path)
     shape = "schema_version string, name string, story_count long, chapter_count long, total_words long, sources array<string>, scored_works long, least double, median double, best double, ordering string"
     read = spark.read.schema(shape).json(f"{path}/manifest").withColumn("sources", F.array_join("sources", ","))
@@ -310,7 +308,7 @@ SELECT 1 AS call, doc_id, p AS next_page, false AS cut_short FROM first, p1 UNIO
 def paged_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents behind a service with pages: a scan that stops at five matches, one that goes on to a ceiling of rows, and one
     that a refused page ends."""
-    root = f"{shared_dir(spark)}/factloom/pages-{uuid.uuid4().hex}"
+    root = folder(spark, "pages")
     d = views.table(spark, sf_dir, "documents")
     rows = d.select(F.col("doc_id").alias("row_index"), F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"), F.col("lang").alias("label"), "text")
     paged.write_pages(rows, f"{root}/pages", PAGE)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -462,7 +460,7 @@ def entity_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ENTITY_SQL} SELECT kind || ':' || regexp_replace(lower(canonical_name), '[^a-z0-9]+', '-', 'g') AS natural_key, array_to_string(list_sort(list_distinct([target])), ',') AS evidence, '1.0' AS version FROM e""")
 def index_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entity index as written to JSON and read again, with the version of its manifest."""
-    path = f"{shared.shared_dir(spark)}/factloom/index-{uuid.uuid4().hex}"
+    path = shared.folder(spark, "index")
     tables.write_index(views.entities(spark, sf_dir), path)
     version = spark.read.schema("schema_version string, entities long").json(f"{path}/manifest")
     rows = spark.read.schema("natural_key string, basis_evidence array<string>").json(f"{path}/entities")
@@ -639,7 +637,7 @@ def alias_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT CAST(conv_id AS VARCHAR) AS series_id, turn, row_number() OVER (ORDER BY turn >= 3, conv_id * 100 + turn) - 1 AS seq FROM conversations""")
 def episode_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns appended to an episode log in two batches, numbered on from one to the other."""
-    path = f"{shared.shared_dir(spark)}/factloom/log-{uuid.uuid4().hex}"
+    path = f"{shared.folder(spark, 'log')}/log"
     c = views.table(spark, sf_dir, "conversations")
     rows = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("pos"), F.col("conv_id").cast("string").alias("series_id"), "turn")
     tables.append_episode(spark, rows.where("turn < 3"), path)
@@ -661,7 +659,7 @@ def text_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH w AS (SELECT source AS work, CAST(sum(n_chars) AS BIGINT) AS score FROM documents GROUP BY source) SELECT work, row_number() OVER (ORDER BY score DESC, work) AS rank, (SELECT count(*) FROM w) AS works FROM w""")
 def corpus_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Works written as JSON in rank order with their manifest, and read again."""
-    path = f"{shared.shared_dir(spark)}/factloom/corpus-{uuid.uuid4().hex}"
+    path = shared.folder(spark, "corpus")
     w = docs(spark, sf_dir).groupBy(F.col("source").alias("work")).agg(F.count("*").alias("chapters"), F.sum("n_chars").alias("words"))
     w = w.withColumn("source", F.lit("s")).withColumn("score", F.col("words")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "work")))
     tables.write_corpus(w, path)

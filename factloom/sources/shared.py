@@ -23,13 +23,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read back."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder of its own, deleted when the JVM ends."""
     path = f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(where)
     fs.deleteOnExit(where)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet and read back."""
+    spark = df.sparkSession
+    path = folder(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
