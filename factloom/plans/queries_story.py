@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions import template
+from factloom.functions import template, text
 from factloom.functions.guard import is_visible
-from factloom.operators import corpus, history, lanes, lineage, verify
+from factloom.operators import corpus, history, knowledge, lanes, lineage, verify
 from factloom.operators.harvest import Harvest, Policy, candidates, harvest
 from factloom.operators.harvest import write as write_harvest
 from factloom.plans import surface, views
 from factloom.plans.queries_text import CLEAN, PREMISE_SQL, PROSE, TOTAL, premised
 from factloom.plans.registry import query
 from factloom.plans.views import FACT_SQL, LINEAGE_SQL, RESOLVED_SQL, seen_sql, valid_sql
-from factloom.sources import paged
+from factloom.sources import paged, tables
 from factloom.sources.shared import folder, written
 
 # --- drafts against canon ----------------------------------------------------------------------------------------------
@@ -387,3 +387,60 @@ def routed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ask("as_of", fork="grand", chapter=15).unionByName(ask("epistemic", **guard)).unionByName(ask("spoilers", **guard))
     out = out.unionByName(ask("attribute", fork="grand", chapter=15, subject=7, predicate="view")).unionByName(ask("reach", "node", **guard, start=7, hops=2))
     return out.unionByName(ask("commitments", chapter=12))
+
+
+# --- stores, options, cuts ---------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {FACT_SQL} SELECT 'stored' AS kind, count(*) AS n, sum(id) AS ids FROM fact WHERE id % 5 < 4 OR id % 3 = 0
+UNION ALL SELECT 'refused', count(*), sum(id) FROM fact WHERE id % 5 < 4 AND id % 3 = 0""")
+def facts_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts appended to a snapshot that has some of them: what is stored then, and what came back."""
+    path = folder(spark, "appended")
+    f = views.facts(spark, sf_dir)
+    tables.write_facts(f.where("id % 5 < 4"), path)
+    refused = written(tables.append_facts(f.where("id % 3 = 0"), path), "refused")
+    count = lambda df, kind: df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.sum("id").alias("ids"))
+    return count(tables.read_facts(spark, path), "stored").unionByName(count(refused, "refused"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'moved' ELSE c_mktsegment END AS c_mktsegment FROM customer UNION ALL SELECT c_custkey + 1000000000, 'moved' FROM customer WHERE c_custkey % 4 = 0")
+def snapshot_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that replace others by key, and rows with a key of their own."""
+    c = views.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    new = c.where("c_custkey % 4 = 0").select("c_custkey", F.lit("moved").alias("c_mktsegment"))
+    return tables.upsert(c, new.unionByName(new.withColumn("c_custkey", F.col("c_custkey") + 1000000000)), "c_custkey")
+
+
+@query("SELECT user_id, max(event_id) AS seq, arg_max(event_type, event_id) AS event_type FROM events WHERE event_id % 7 <> 0 GROUP BY user_id")
+def jsonl_last_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON lines in two appended batches with broken lines among them; of each user the last good line."""
+    path = folder(spark, "lines")
+    e = views.table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), "event_type")
+    line = F.when(F.col("seq") % 7 == 0, F.concat(F.lit('{"user_id": '), F.col("user_id").cast("string"))).otherwise(F.to_json(F.struct("user_id", "seq", "event_type")))
+    for odd in (0, 1):
+        e.where(F.col("seq") % 2 == odd).select(line.alias("value")).write.mode("append").text(path)
+    return tables.read_jsonl(spark, path, e.schema, "user_id", "seq")
+
+
+@query("""SELECT p_type || ':' || CASE WHEN p_partkey % 3 = 0 THEN 'canon' ELSE 'alt' || p_partkey END AS option_id, p_name AS label, p_partkey % 3 = 0 AND p_partkey % 2 = 0 AS baseline FROM part WHERE p_size = 7""")
+def chapter_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts read as authored options of chapters: those of the seventh, and which of them is the story as it was told."""
+    p = views.table(spark, sf_dir, "part")
+    n = F.col("p_partkey")
+    name = F.concat(F.col("p_type"), F.lit(":"), F.when(n % 3 == 0, "canon").otherwise(F.concat(F.lit("alt"), n.cast("string"))))
+    # the secret holds the work that an option comes from, where it comes from one
+    rows = p.select(F.col("p_size").alias("chapter"), n.alias("pos"), name.alias("option_id"), F.col("p_name").alias("label"), F.when(n % 2 == 1, n.cast("string")).alias("secret"))
+    found = knowledge.options_at(knowledge.options_per_chapter(rows), 7)
+    return found.select("option_id", "label", knowledge.is_canon_baseline(F.col("option_id"), F.col("secret")).alias("baseline"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g') AS flat, left(text, 60) AS head FROM documents WHERE text IS NOT NULL),
+c AS (SELECT *, length(head) - strpos(reverse(head), ' ') AS stop FROM d)
+SELECT doc_id, sha256(CASE WHEN length(text) <= 40 THEN text ELSE left(text, 37) || '...' END) AS cut, sha256(CASE WHEN length(flat) <= 50 THEN flat ELSE left(flat, 49) || '…' END) AS clipped,
+    sha256(CASE WHEN length(text) <= 60 THEN text ELSE rtrim(CASE WHEN contains(head, ' ') AND stop > 30 THEN left(head, stop) ELSE head END) || '…' END) AS at_word FROM c""")
+def text_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts cut in three ways."""
+    d = views.table(spark, sf_dir, "documents").where("text is not null")
+    t = F.col("text")
+    return d.select("doc_id", F.sha2(text.truncate(t, 40), 256).alias("cut"), F.sha2(text.clip(t, 50), 256).alias("clipped"), F.sha2(text.truncate_at_word(t, 60), 256).alias("at_word"))

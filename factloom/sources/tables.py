@@ -49,13 +49,16 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: StructType, key: str) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: StructType, key: str, seq: str | None = None) -> DataFrame:
     """JSON lines with the last good line per key; lines that are no objects are skipped.
 
-    Order is the place in the file: file name and offset of the read, so "last" holds across appended files.
+    Order is the column ``seq`` where the lines have one; else the place in the file (time and name of the file, then the
+    offset of the read), which leaves lines of files written in one moment in an order of their names.
     """
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where(F.col(key).isNotNull())
     at = F.struct(F.col("_metadata.file_modification_time"), F.col("_metadata.file_name"), F.monotonically_increasing_id())
+    if seq is not None:
+        at = F.struct(F.col(seq))
     cols = [f.name for f in schema.fields]
     return rows.select(*cols, at.alias("__at")).groupBy(key).agg(F.max_by(F.struct(*cols), "__at").alias("r")).select("r.*")
 
