@@ -129,6 +129,18 @@ def premise_groups(works: DataFrame) -> DataFrame:
     )
 
 
+def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """``rows`` with their place (from 1) in an order, counted per range of it, so that no task sorts all of them."""
+    at = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    at = written(at, "numbered").withColumn("__range", F.shiftright("__at", 33))
+    # one row for each range
+    parts = at.groupBy("__range").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("__range", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    place = F.col("__before") + F.col("__at") - F.col("__first") + 1
+    return at.join(F.broadcast(parts), "__range").select(*rows.columns, place.alias(name))
+
+
 def premise_members(works: DataFrame) -> DataFrame:
     """The members of premise groups in order, a row each: key, place (from 1), pos, handle.
 

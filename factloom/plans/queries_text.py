@@ -661,7 +661,7 @@ def corpus_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Works written as JSON in rank order with their manifest, and read again."""
     path = shared.folder(spark, "corpus")
     w = docs(spark, sf_dir).groupBy(F.col("source").alias("work")).agg(F.count("*").alias("chapters"), F.sum("n_chars").alias("words"))
-    w = w.withColumn("source", F.lit("s")).withColumn("score", F.col("words")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "work")))
+    w = corpus.numbered(w.withColumn("source", F.lit("s")).withColumn("score", F.col("words")), "rank", F.desc("score"), "work")
     tables.write_corpus(w, path)
     works = spark.read.schema("schema_version string, works long").json(f"{path}/manifest").select("works")
     rows = spark.read.schema("work string, rank long").json(f"{path}/works")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import template
 from factloom.operators import harvest as H
-from factloom.operators import history, lanes, temporal, verify
+from factloom.operators import corpus, history, lanes, temporal, verify
 from factloom.plans import surface
 from factloom.schema import FACT
 from factloom.streaming import settling
@@ -317,3 +317,15 @@ def test_lanes_skip_cells_and_lose_nothing(spark):
         assert sorted((x["rank"], x.ref_id) for x in got if x.query_id == r.query_id) == [(n, i) for n, (_, i) in enumerate(best, 1)]
     assert np.mean([r.cells for r in got]) < 6
     assert lanes.search(lanes.index(v.limit(0)), asked, 5).count() == 0
+
+
+def test_places_in_an_order_are_counted_by_ranges(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(40)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, score int").repartition(7)
+    got = {r.id: r.place for r in corpus.numbered(df, "place", F.desc("score"), "id").collect()}
+    assert got == {i: n for n, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
+    assert corpus.numbered(df.limit(0), "place", "id").count() == 0
+    works = spark.createDataFrame([(i, f"h{i}", (f"k{i % 3}",)) for i in range(90)] + [(99, "none", None)], "pos long, handle string, premise struct<key:string>").repartition(5)
+    members = corpus.premise_members(works).collect()
+    assert sorted((r.key, r.place, r.pos, r.handle) for r in members) == [(f"k{k}", n + 1, 3 * n + k, f"h{3 * n + k}") for k in range(3) for n in range(30)]
