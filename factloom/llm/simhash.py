@@ -36,7 +36,7 @@ from pyspark.sql.types import LongType
 
 from factloom.llm.batches import slices_of, trimmed
 from factloom.llm.components import connected_components
-from factloom.llm.exact_dedup import keep_rows, with_column
+from factloom.llm.exact_dedup import BROADCAST, keep_rows, with_column
 from factloom.llm.jaccard import verify_sets
 from factloom.llm.store import Scratch, unused
 
@@ -288,6 +288,9 @@ def _similar_rows(spark: SparkSession, docs: DataFrame, id_col: str, text_col: s
     sizes = loose.groupBy("root").agg(F.count("*").alias("n")).select("root", F.ceil(F.sqrt("n") / 4).cast("long").alias("blocks"))
     keys = loose.select(F.col("node").alias("key"))
     ids = prints.join(keys, "key", "left_semi").select(F.col("id").alias("its")).distinct()
+    if loose.count() <= BROADCAST:
+        # a few keys and ids go to the texts, which stay where they are; with more of them both are shuffled
+        keys, ids = F.broadcast(keys), F.broadcast(ids)
     texts = rows.join(ids, F.col("id").eqNullSafe(F.col("its")), "left_semi")
     sets = texts.mapInArrow(trimmed(_shingle_sets(shingle)), "key long, shingles array<long>").join(keys, "key", "left_semi")
     sets = scratch.keep(sets.dropDuplicates(["key"]), "shingles")
