@@ -566,17 +566,6 @@ def test_exact_drop_goes_by_the_text_of_a_row(spark, frame):
     assert left == Counter([*[(None, f"clean {k}") for k in range(5)], (7, "one"), (7, "two"), (8, "copy"), (9, "z"), (None, "")])
 
 
-def test_many_decisions_meet_the_texts_in_a_shuffle(spark, frame, monkeypatch):
-    rng = random.Random(3)
-    rows = [(rng.choice([None, *range(30)]), rng.choice(["a b c d e f", "A b c d e f", "x", "", None, "one two three four five six seven"])) for _ in range(200)]
-    drops = (exact_dedup.drop_exact_copies, simhash.drop_near_copies)
-    order = lambda df: sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in df.collect())
-    few = [order(drop(spark, frame(rows))) for drop in drops]
-    for module in (exact_dedup, simhash):
-        monkeypatch.setattr(module, "BROADCAST", 0)
-    assert [order(drop(spark, frame(rows))) for drop in drops] == few
-
-
 def test_misra_gries_keeps_what_is_frequent():
     rng = random.Random(1)
     counts = Counter()
