@@ -97,6 +97,16 @@ class Scratch:
         kept._factloom_path = path  # type: ignore[attr-defined]
         return kept
 
+    def part(self, table: DataFrame, column: str, value: int) -> DataFrame:
+        """The rows of one part of a kept table that was written by ``column``, without it."""
+        rest = table.drop(column)
+        path, fs = _at(self.spark, f"{table._factloom_path}/{column}={value}")
+        return self.spark.read.schema(rest.schema).parquet(path.toString()) if fs.exists(path) else rest.limit(0)
+
+    def drop_part(self, table: DataFrame, column: str, value: int) -> None:
+        path, fs = _at(self.spark, f"{table._factloom_path}/{column}={value}")
+        fs.delete(path, True)
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             path, fs = _at(self.spark, t._factloom_path)

@@ -24,7 +24,8 @@ of all documents is therefore one entry per chunk, not one per document, and the
 A chunk cuts its entries into ``FAN`` ranges, however large the input.  Where a range is more than one task can sort, its
 arrays are put together from several chunks and cut into ``FAN`` narrower ones, and so on: a pass over the entries for
 every factor of ``FAN`` (two passes to 150 GB of text or so, three to 20 TB), and in every pass a number of arrays in
-proportion to the input.
+proportion to the input.  With more than one pass the entries are written once, in ``SHARES`` parts by range, and the parts
+go through the passes one after the other, so that the disk holds the shuffles of one part at a time.
 
 Strings are taken for equal when 128 bits of identifiers are; bytes are not compared.  Among n different strings
 n^2 / 2^129 pairs are expected to be mistaken (10^-11 at 10^14 strings).
@@ -38,6 +39,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +61,8 @@ SLICE = 100_000
 TASK_ENTRIES = 600_000
 #: ranges that a sender cuts its entries into: a power of two
 FAN_BITS = 7
+#: parts of the ranges that are settled one after the other where one pass is not enough: a power of two
+SHARES = 8
 #: entries of several chunks that are put together before they are cut again
 MERGED = 200_000
 NO_ID = -(2**63)
@@ -328,15 +332,15 @@ def _narrow(level: int, salts: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return run
 
 
-def exchanged(entries: DataFrame, tasks: int) -> DataFrame:
-    """Entries of the first level brought to tasks that each hold whole ranges."""
-    depth = 1
+def exchanged(entries: DataFrame, tasks: int, shares: int = 1) -> DataFrame:
+    """Entries of the first level (those of one of ``shares`` parts) brought to tasks that each hold whole ranges."""
+    depth, at_once = 1, -(-tasks // shares)
     while (1 << FAN_BITS * depth) < tasks:
         # any task may put arrays of a range together, so that few ranges still make many tasks
         salts = max(1, tasks >> FAN_BITS * (depth + 1))
-        entries = entries.repartition(tasks, "r", "salt").mapInArrow(trimmed(_narrow(depth + 1, salts)), ENTRY)
+        entries = entries.repartition(at_once, "r", "salt").mapInArrow(trimmed(_narrow(depth + 1, salts)), ENTRY)
         depth += 1
-    return entries.repartition(tasks, "r")
+    return entries.repartition(at_once, "r")
 
 
 def _numbered(p: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -464,19 +468,36 @@ def _rows(out: list[tuple], whole: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds.values(), strict=True)], list(kinds))
 
 
+def _settled(scratch: Scratch, entries: DataFrame, tasks: int, refining: bool) -> DataFrame:
+    """What the bucket tasks reply to the senders of entries: p, gone, look."""
+    settle = lambda df, shares=1: exchanged(df, tasks, shares).mapInArrow(trimmed(_settle(refining)), "p long, gone binary, look binary")
+    if tasks <= 1 << FAN_BITS:
+        return settle(entries)
+    shares = min(SHARES, 1 << FAN_BITS)
+    stored = scratch.keep(entries.withColumn("share", F.col("r") % shares), "entries", "share")
+    replies = []
+    for k in range(shares):
+        replies.append(scratch.keep(settle(scratch.part(stored, "share", k), shares), "replies"))
+        scratch.drop_part(stored, "share", k)
+    return reduce(DataFrame.unionByName, replies)
+
+
+def _gathered(replies: DataFrame, *columns: str) -> DataFrame:
+    """Replies by sender."""
+    return replies.groupBy("p").agg(*(F.collect_list(c).alias(c) for c in columns))
+
+
 def _spans(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame:
     scratch = Scratch(spark, "suffix_dedup")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     chunks = scratch.keep(rows.mapInArrow(trimmed(_chunks), "p long, ids binary, sizes binary, blob binary"), "chunks")
     tasks = max(12, -(-chunks.count() * CHUNK_BYTES // 15 // TASK_ENTRIES))
     salts = max(1, tasks >> FAN_BITS)
-    reply = "p long, gone binary, look binary"
-    gather = lambda df, *cols: df.groupBy("p").agg(*(F.collect_list(c).alias(c) for c in cols))
-    runs = exchanged(chunks.mapInArrow(trimmed(_send_runs(salts)), ENTRY), tasks).mapInArrow(trimmed(_settle(True)), reply)
-    first = scratch.keep(gather(runs, "gone", "look"), "runs")
+    runs = _settled(scratch, chunks.mapInArrow(trimmed(_send_runs(salts)), ENTRY), tasks, True)
+    first = scratch.keep(_gathered(runs, "gone", "look"), "runs")
     open_chunks = chunks.join(first.select("p", "look"), "p").select("p", "ids", "sizes", "blob", "look")
-    strings = exchanged(open_chunks.mapInArrow(trimmed(_send_strings(salts)), ENTRY), tasks).mapInArrow(trimmed(_settle(False)), reply)
-    second = scratch.keep(gather(strings.select("p", F.col("gone").alias("gone2")), "gone2"), "strings")
+    strings = _settled(scratch, open_chunks.mapInArrow(trimmed(_send_strings(salts)), ENTRY), tasks, False)
+    second = scratch.keep(_gathered(strings.select("p", F.col("gone").alias("gone2")), "gone2"), "strings")
     every = chunks.join(first.join(second, "p", "left"), "p", "left").select("p", "ids", "sizes", "blob", "gone", "look", "gone2")
     return every.mapInArrow(trimmed(_finish(whole)), "id long, kept binary" if whole else "id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept_sha256 string")
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import components, decontaminate, exact_dedup, passage_dedup, pieces, pii, sharding, simhash, suffix_dedup, toxicity, url_filter
 from factloom.llm.queries import PIECE_MODEL, QUERIES, piece_model
-from factloom.llm.store import Scratch
+from factloom.llm.store import Scratch, _at
 
 ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "Ab c"), (4, "Ab c"), (5, "aB C"), (None, "x y z"), (6, "word " * 30_000)]
 WIDE = "doc_id long, text string, row long, id long, digest string, kept boolean, ids string, spans string, component_id long"
@@ -1074,6 +1074,27 @@ def test_suffix_dedup_in_two_passes_of_the_cluster(spark, frame, texts, monkeypa
     assert found_removal(df) == plain_removal(rows)
 
 
+def test_suffix_dedup_shuffles_one_part_of_the_ranges_at_a_time(spark, frame, texts, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "TASK_ENTRIES", 7000)
+    parts, part = [], Scratch.part
+
+    def seen(self, table, column, value):
+        out = part(self, table, column, value)
+        parts.append((table._factloom_path, out.count()))
+        return out
+
+    monkeypatch.setattr(Scratch, "part", seen)
+    rows = list(texts.items())[:120]
+    assert found_removal(suffix_dedup.repeated_spans(spark, frame(rows, parts=5))) == plain_removal(rows)
+    by = Counter(path for path, _ in parts)
+    assert len(by) == 2 and set(by.values()) == {suffix_dedup.SHARES}
+    for path in by:
+        sizes = [n for at, n in parts if at == path]
+        assert 0 < max(sizes) <= sum(sizes) / 4
+        where, fs = _at(spark, path)
+        assert not [f for f in fs.listStatus(where) if f.isDirectory()]
+
+
 def test_suffix_dedup_odd_rows(spark, frame):
     got = suffix_dedup.repeated_spans(spark, wide(frame, ODD)).collect()
     assert len(got) == len(ODD) and {r.id for r in got} == {i for i, _ in ODD} and all(not r.spans for r in got)
