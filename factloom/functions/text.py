@@ -243,14 +243,18 @@ ALIAS_NOISE = (
 )
 
 
+def clean_alias(title: Column, name: Column) -> Column:
+    """A redirect's title as a name for the thing, trailing brackets off; null where it is noise or the name itself."""
+    noise = "(?iU)" + "|".join(f"(?:{p})" for p in ALIAS_NOISE)
+    named = ~F.lower(title).rlike("(?:" + "|".join(s.replace("(", r"\(").replace(")", r"\)") for s in ALIAS_SUFFIXES) + ")$") & ~title.rlike(noise)
+    bare = strip(F.regexp_replace(title, r"\s*\([^)]*\)\s*$", ""))
+    return F.when(named & (F.length(bare) >= 3) & (F.lower(bare) != F.lower(name)), bare)
+
+
 def clean_aliases(titles: Column, name: Column) -> Column:
     """Redirect titles that can stand for the thing: noise and the name itself out, trailing brackets off, distinct."""
-    noise = "(?iU)" + "|".join(f"(?:{p})" for p in ALIAS_NOISE)
-    named = F.filter(titles, lambda t: ~F.lower(t).rlike("(?:" + "|".join(s.replace("(", r"\(").replace(")", r"\)") for s in ALIAS_SUFFIXES) + ")$") & ~t.rlike(noise))
-    bare = F.transform(named, lambda t: strip(F.regexp_replace(t, r"\s*\([^)]*\)\s*$", "")))
-    kept = F.filter(bare, lambda t: (F.length(t) >= 3) & (F.lower(t) != F.lower(name)))
-    low = F.transform(kept, lambda t: F.lower(t))
-    return F.filter(F.transform(kept, lambda t, i: F.when(F.array_position(low, F.lower(t)) == i + 1, t)), lambda t: t.isNotNull())
+    first = lambda kept: let(F.transform(kept, lambda t: F.lower(t)), lambda low: F.transform(kept, lambda t, i: F.when(F.array_position(low, F.lower(t)) == i + 1, t)))
+    return F.array_compact(let(F.array_compact(F.transform(titles, lambda t: clean_alias(t, name))), first))
 
 
 @F.pandas_udf(T.DoubleType())

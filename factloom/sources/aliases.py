@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import clean_aliases, rank_aliases
+from factloom.functions.text import clean_alias, rank_aliases
 from factloom.sources.retry import HostError
 
 # Qualifiers of article titles by medium, in the order in which they are tried, and their marks in titles.
@@ -51,16 +51,20 @@ def expand(redirects: DataFrame, works: DataFrame, kind: str = "auto", most: int
     Of a work's candidate articles the first with ``ENOUGH`` usable redirects counts, else the one with most (the earlier
     among equals); an article nobody wrote, or that could not be read, has none.  What names something else comes first, mere
     respellings of the name last, as found in either part.
+
+    Redirects stay rows: an article with very many is no array, and equal spellings are merged by a combined minimum.
     """
     suffixes = SUFFIXES.get(kind.lower())
     # a name that is qualified already is asked for as it is
     tails = ["", *(f" {s}" for s in ANY_SUFFIX)] if suffixes is None else [*(f" {s}" for s in suffixes), ""]
     asked = works.select("entity", "name", F.posexplode(F.when(F.col("name").rlike(r"\([^)]*\)\s*$"), F.array(F.lit(""))).otherwise(F.array(*(F.lit(t) for t in tails)))).alias("nth", "tail"))
     asked = asked.select("entity", "name", "nth", F.concat("name", "tail").alias("title"))
-    lists = redirects.groupBy("title").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "redirect"))), lambda x: x["redirect"]).alias("redirects"))
-    got = asked.join(lists, "title").select("entity", "name", "nth", clean_aliases(F.col("redirects"), F.col("name")).alias("aliases"))
-    size = F.size("aliases")
-    enough = F.min(F.when(size >= ENOUGH, F.col("nth")))
-    best = got.groupBy("entity", "name").agg(F.coalesce(F.min_by("aliases", F.when(size >= ENOUGH, F.col("nth"))), F.max_by("aliases", F.struct(size, -F.col("nth")))).alias("aliases"), enough.alias("__enough"))
-    rows = best.select("entity", "name", F.posexplode("aliases").alias("pos", "alias"))
+    by = ["entity", "name", "nth"]
+    usable = asked.join(redirects, "title").withColumn("alias", clean_alias(F.col("redirect"), F.col("name"))).where("alias is not null")
+    listed = usable.groupBy(*by, F.lower("alias").alias("low")).agg(F.min(F.struct("pos", "redirect", "alias")).alias("first"))
+    size = F.col("size")
+    sizes = listed.groupBy(*by).agg(F.count("*").alias("size"))
+    best = sizes.groupBy("entity", "name").agg(F.coalesce(F.min(F.when(size >= ENOUGH, F.col("nth"))), F.max_by("nth", F.struct(size, -F.col("nth")))).alias("nth"))
+    same = [F.col(f"__of.{c}").eqNullSafe(F.col(f"__best.{c}")) for c in by]
+    rows = listed.alias("__of").join(best.alias("__best"), same, "left_semi").select("entity", "name", F.struct("first.pos", "first.redirect").alias("pos"), "first.alias")
     return rank_aliases(rows, F.col("name")).where(F.col("rank") <= most).select("entity", "alias", "rank")

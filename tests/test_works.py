@@ -8,7 +8,7 @@ from pyspark.sql.datasource import EqualTo, IsNotNull
 
 from factloom.functions import markup, text
 from factloom.operators import corpus, entities
-from factloom.sources import paged
+from factloom.sources import aliases, paged
 from factloom.sources.retry import HostError
 
 
@@ -226,3 +226,16 @@ def test_documents_without_chapters_are_an_error(spark):
         corpus.read_chapters(df, "id", F.col("t")).collect()
     got = corpus.read_chapters(df, "id", F.col("t"), allow_single=True).collect()
     assert sorted((r.id, r["index"], r.title, r.text) for r in got) == [(1, 1, None, "One."), (2, 1, None, "no heading\nat all")]
+
+
+def test_an_article_with_many_redirects_stays_rows(spark):
+    """Equal spellings are merged, the first of them in order stays, and no article is gathered into an array."""
+    redirects = [("Nora", n, f"Alias {n % 500}" if n % 7 else f"ALIAS {n % 500} (old)") for n in range(5000)] + [("Nora (film)", 1, "Zed one"), ("Nora", None, "First of all"), ("Nora", 3, None)]
+    r = spark.createDataFrame(redirects, "title string, pos long, redirect string")
+    out = aliases.expand(r, spark.createDataFrame([("e", "Nora")], "entity string, name string"))
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    first = {}
+    for _, _, alias in sorted(((p is not None, p or 0, a) for _, p, a in redirects[:5000] + [redirects[5001]])):
+        bare = alias.removesuffix(" (old)")
+        first.setdefault(bare.lower(), bare)
+    assert [x.alias for x in sorted(out.collect(), key=lambda x: x["rank"])] == list(first.values())[:60]
