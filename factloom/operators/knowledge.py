@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.guard import is_valid_at, is_visible, learned_at, witnesses
 from factloom.schema import COMMITMENT_MOVES
+from factloom.sources.shared import written
 
 BUDGET = 40
 BLIND_SPOTS = 3
@@ -76,7 +77,8 @@ def packets(resolved: DataFrame, probes: DataFrame, budget: int = BUDGET) -> Dat
     """
     if budget < 1:
         raise ValueError("budget must be positive")
-    hit = resolved.join(probes, "root").withColumn("__seen", is_visible(F.col("knower"), F.col("chapter")))
+    # written, probes have a size that Spark knows: few go to the facts, which stay where they are
+    hit = resolved.join(written(probes, "probes"), "root").withColumn("__seen", is_visible(F.col("knower"), F.col("chapter")))
     key = ["root", "knower", "chapter"]
     withheld = hit.groupBy(*key).agg(F.count_if(~F.col("__seen")).alias("withheld"))
     near = F.coalesce(F.array_contains("focus", F.col("subject_id")), F.lit(False)) | F.coalesce(F.array_contains("focus", F.col("object_id")), F.lit(False))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.sources.shared import written
+
 
 def lineage(spark: SparkSession, forks: DataFrame) -> DataFrame:
     """root, ancestor, cap, depth.  The cap is the tightest divergence on the way; forks nobody registered are roots.
@@ -33,6 +35,8 @@ def resolved(facts: DataFrame, lines: DataFrame) -> DataFrame:
     on the fork; the nearest depth of a key is a map-side combined minimum that is joined back, so no key is sorted in one
     task and a hot one may be split.
     """
+    # what a recursion gives has no size that Spark knows, and it would send the facts to the lineage; a written table has one
+    lines = written(lines, "lineage")
     joined = facts.join(lines, facts["fork_id"] == lines["ancestor"])
     key = ["root", "subject_id", "predicate"]
     nearest = joined.groupBy(*key).agg(F.min("depth").alias("__nearest"))

@@ -61,7 +61,8 @@ def as_of_ranges(resolved: DataFrame, probes: DataFrame) -> DataFrame:
     best = spread.groupBy(*KEY, "p.level", "p.piece").agg(F.max("order").alias("order"))
     around = F.transform(levels, lambda level: F.struct(level.alias("level"), F.floor(F.col("chapter") / F.pow(F.lit(2), level)).alias("piece")))
     asks = probes.where("chapter >= 0").select(*KEY, "chapter", F.explode(around).alias("p")).select(*KEY, "chapter", "p.level", "p.piece")
-    found = asks.join(best, [*KEY, "level", "piece"]).groupBy(*KEY, "chapter").agg(F.max("order").alias("order"))
+    # Spark takes the asks for as small as the probes that they are made from, and would send them whole through the driver
+    found = asks.hint("merge").join(best, [*KEY, "level", "piece"]).groupBy(*KEY, "chapter").agg(F.max("order").alias("order"))
     return found.select(*KEY, "chapter", F.col("order.id").alias("id"))
 
 

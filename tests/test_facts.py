@@ -217,3 +217,16 @@ def test_entry_lives_without_the_training_data_part(monkeypatch):
     found = entry.queries()
     assert "visible_facts" in found and "pipeline" not in found and not any(n.startswith("op") and n[2].isdigit() for n in found)
     assert set(entry.oracle_sql()) <= set(found)
+
+
+def test_asks_of_many_chapters_are_not_broadcast(spark):
+    """A few probes make a multiple of asks, and a lineage is what goes to the facts, never the facts to the lineage."""
+    facts = spark.range(20000).selectExpr("id", "'f' as fork_id", "id % 500 as subject_id", "'p' as predicate", "'active' as status", "cast(id % 40 as int) as valid_from", "cast(null as int) as valid_to", "timestamp'2020-01-01' as recorded_at")
+    r = lineage.resolved(facts, spark.createDataFrame([("f", "f", None, 0), ("g", "f", 9, 1)], "root string, ancestor string, cap int, depth int"))
+    probes = r.select("root", "subject_id", "predicate").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("chapter"))
+    q = temporal.as_of_ranges(r, probes)._jdf.queryExecution()
+    assert q.toRdd().count() > 0
+    plan = q.executedPlan().toString().split("Initial Plan")[0]
+    join = [line for line in plan.splitlines() if "Join" in line and "level" in line]
+    assert len(join) == 1 and "SortMergeJoin" in join[0]
+    assert all("BuildRight" in line for line in plan.splitlines() if "BroadcastHashJoin" in line and "ancestor" in line)
