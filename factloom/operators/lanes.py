@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.vectors import cosine
+from factloom.operators import retrieval
 from factloom.sources.shared import written
 
 #: Rows that the centres are fitted on, in the order of a hash of their ids, and the number of centres: the bound of what the
@@ -94,8 +95,8 @@ def search(found: Index, queries: DataFrame, k: int, guard: Column | None = None
     seen = found.rows if guard is None else found.rows.where(guard)
 
     def scored(looks: DataFrame) -> DataFrame:
-        hit = seen.join(looks, (F.col(lane_col) == F.col("its_lane")) & (seen["cell"] == looks["look"]))
-        return hit.select("query_id", F.col(id_col).alias("ref_id"), cosine(F.col(vector_col), F.col("query")).alias("score"))
+        rows = seen.select(F.col(lane_col).alias("its_lane"), F.col("cell").alias("look"), F.col(id_col).alias("ref_id"), F.col(vector_col).alias("vector"))
+        return retrieval.nearest(rows, looks, ["its_lane", "look"], k, "ref_id")
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ref_id"))
     best = lambda df: df.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -6,11 +6,14 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import template
+from factloom.functions.guard import is_visible
+from factloom.functions.vectors import cosine
 from factloom.operators import harvest as H
-from factloom.operators import corpus, history, lanes, temporal, verify
+from factloom.operators import corpus, history, lanes, retrieval, temporal, verify
 from factloom.plans import surface
 from factloom.schema import FACT
 from factloom.streaming import settling
@@ -329,3 +332,21 @@ def test_places_in_an_order_are_counted_by_ranges(spark):
     works = spark.createDataFrame([(i, f"h{i}", (f"k{i % 3}",)) for i in range(90)] + [(99, "none", None)], "pos long, handle string, premise struct<key:string>").repartition(5)
     members = corpus.premise_members(works).collect()
     assert sorted((r.key, r.place, r.pos, r.handle) for r in members) == [(f"k{k}", n + 1, 3 * n + k, f"h{3 * n + k}") for k in range(3) for n in range(30)]
+
+
+def test_many_queries_are_scored_in_blocks_as_pairs_are(spark):
+    """Copies, vectors of no length, nulls and guards: the rows and scores of a join of all pairs, without that join."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(60, 6)).round(1).tolist() + [[0.0] * 6]
+    rows = [(i, f"f{i % 2}", None if i % 97 == 5 else base[int(rng.integers(61))], "quarantined" if i % 13 == 0 else "active", i % 9, None) for i in range(600)]
+    v = spark.createDataFrame(rows, "fact_id long, fork_id string, vector array<double>, status string, revealed_at int, knower_scope array<struct<knower:string,learned_at:int>>")
+    q = v.where("fact_id % 7 = 0").select(F.col("fact_id").alias("query_id"), "fork_id", F.lit("audience").alias("knower"), (F.col("fact_id") % 3 + 4).cast("int").alias("chapter"), F.col("vector").alias("query"))
+    found = retrieval.search_many(v, q, 5)
+    assert "BroadcastNestedLoop" not in (plan := found._jdf.queryExecution().toString()) and "CoGroup" in plan
+    pairs = v.join(q, "fork_id").where(is_visible(F.col("knower"), F.col("chapter"))).select("query_id", "fact_id", cosine(F.col("vector"), F.col("query")).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "fact_id"))
+    want = pairs.withColumn("rank", rank).where("rank <= 5")
+    told = lambda df: sorted((r.query_id, r["rank"], r.fact_id, r.score) for r in df.collect())
+    told_want, told_found = told(want), told(found)
+    assert [x[:3] for x in told_found] == [x[:3] for x in told_want] and len(told_want) > 300
+    assert [x[3] for x in told_found] == [x[3] for x in told_want]
