@@ -131,6 +131,33 @@ def thick(entities: DataFrame, least_words: int) -> DataFrame:
 
 #: Names and their letters up to which an automaton is broadcast.
 MOST_NAMES, MOST_LETTERS = 100_000, 4_000_000
+#: Names found that a task holds before it hands them on.
+MOST_FOUND = 20_000
+
+
+def _found_in(by: dict[str, list[tuple]], batches: Iterator[pa.RecordBatch], most: int = MOST_FOUND) -> Iterator[pa.RecordBatch]:
+    """Names in the texts of ``batches(key, text)``: a text at a time, and what is found goes on before there is much of it."""
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
+    a = ahocorasick.Automaton()
+    for match, of in by.items():
+        a.add_word(match, of)
+    if len(a):
+        a.make_automaton()
+
+    def found(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "name", "basis", "rank"])
+
+    for batch in batches:
+        rows: list[tuple] = []
+        for key, text in zip(batch.column(0), batch.column(1), strict=True):
+            if len(a):
+                key = key.as_py()
+                rows += [(key, *x) for x in {x for _, of in a.iter(text.as_py() or "") for x in of}]
+            if len(rows) >= most:
+                yield found(rows)
+                rows = []
+        yield found(rows)
 
 
 def names_in(texts: DataFrame, names: DataFrame, most_names: int = MOST_NAMES) -> DataFrame:
@@ -152,18 +179,7 @@ def names_in(texts: DataFrame, names: DataFrame, most_names: int = MOST_NAMES) -
     shared = texts.sparkSession.sparkContext.broadcast(by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = ahocorasick.Automaton()
-        for match, of in shared.value.items():
-            a.add_word(match, of)
-        if len(a):
-            a.make_automaton()
-        for batch in batches:
-            rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(key, *x) for x in {x for _, of in a.iter(text or "") for x in of}] if len(a) else []
-            columns = zip(*rows, strict=True) if rows else [()] * 4
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "name", "basis", "rank"])
+        return _found_in(shared.value, batches)
 
     return texts.select("key", "text").mapInArrow(run, schema)
 

@@ -239,3 +239,13 @@ def test_an_article_with_many_redirects_stays_rows(spark):
         bare = alias.removesuffix(" (old)")
         first.setdefault(bare.lower(), bare)
     assert [x.alias for x in sorted(out.collect(), key=lambda x: x["rank"])] == list(first.values())[:60]
+
+
+def test_names_found_are_handed_on_in_pieces():
+    import pyarrow as pa
+
+    by = {f"name{n:03d}": [(f"e{n}", "novel", n)] for n in range(50)}
+    batch = pa.RecordBatch.from_pydict({"key": [str(k) for k in range(100)], "text": [" ".join(by) if k % 2 else None for k in range(100)]})
+    got = list(entities._found_in(by, iter([batch]), most=120))
+    assert sum(b.num_rows for b in got) == 2500 and max(b.num_rows for b in got) < 120 + 50
+    assert [b.num_rows for b in entities._found_in({}, iter([batch]))] == [0]
