@@ -13,6 +13,15 @@ WIDTH = 256
 GRAM = 3
 
 
+class _Places(dict):
+    """Twice the bucket of a gram, and one more where its sign is negative."""
+
+    def __missing__(self, gram: str) -> int:
+        digest = hashlib.sha256(gram.encode()).digest()
+        found = self[gram] = 2 * digest[7] + digest[8] % 2
+        return found
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def embed(s: pd.Series) -> pd.Series:
     """Signed hashing of grams into ``WIDTH`` buckets, of unit length; zeros for an empty text.
@@ -21,21 +30,15 @@ def embed(s: pd.Series) -> pd.Series:
     ninth.  Counting into an array that changes is beyond built-in functions short of a pass per bucket, so this runs on
     Arrow batches, with the grams met before in mind.
     """
-    places: dict[str, tuple[int, int]] = {}
+    places = _Places()
 
     def vector(x: str | None) -> np.ndarray:
         t = (x or "").strip().lower()
-        out = np.zeros(WIDTH)
         if not t:
-            return out
-        got = []
-        for g in [t] if len(t) <= GRAM else map("".join, zip(*(t[k:] for k in range(GRAM)), strict=False)):
-            if (found := places.get(g)) is None:
-                digest = hashlib.sha256(g.encode()).digest()
-                found = places[g] = (digest[7], 1 - 2 * (digest[8] % 2))
-            got.append(found)
-        at, sign = np.array(got).T
-        np.add.at(out, at, sign)
+            return np.zeros(WIDTH)
+        grams = [t] if len(t) <= GRAM else [t[k : k + GRAM] for k in range(len(t) - GRAM + 1)]
+        n = np.bincount(list(map(places.__getitem__, grams)), minlength=2 * WIDTH)
+        out = (n[::2] - n[1::2]).astype(np.float64)
         norm = np.sqrt((out * out).sum())
         return out / norm if norm else out
 

@@ -210,3 +210,22 @@ def test_ranking_is_checked_across_blocks(spark):
     ok = lambda xs: corpus.is_ranked(df(xs), 3).first()["ranked"]
     assert ok([9.0, 8.0, 8.0, 7.0, 5.0]) and ok([]) and ok([1.0])
     assert not ok([9.0, 8.0, 7.0, 8.0]) and not ok([9.0, None, 7.0]) and not ok([1.0, 2.0])
+
+
+def test_grams_are_counted_at_their_places():
+    import hashlib
+
+    import numpy as np
+    import pandas as pd
+
+    from factloom.functions import vectors
+
+    text = " Banana bandana "
+    want = np.zeros(vectors.WIDTH)
+    for g in (text.strip().lower()[k : k + 3] for k in range(len(text.strip()) - 2)):
+        d = hashlib.sha256(g.encode()).digest()
+        want[d[7]] += 1 - 2 * (d[8] % 2)
+    got = vectors.embed.func(pd.Series([text, "", None]))
+    assert np.array_equal(got[0], want / np.sqrt((want * want).sum())) and not got[1].any() and not got[2].any()
+    places = vectors._Places()
+    assert places["ban"] // 2 == hashlib.sha256(b"ban").digest()[7] and len(places) == 1
