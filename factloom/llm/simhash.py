@@ -185,7 +185,8 @@ def _verify(most: int):
 
 
 def _meet(width: int):
-    """Pairs of segment values that share a one-wildcard variant: (side, value with a 0, value with a 1 at the wildcard).
+    """Pairs of segment values that share a one-wildcard variant: (side, value with a 0, value with a 1 at the wildcard), and
+    the numbers of both where rows bring their number as a fifth column.
 
     A wildcard lies in the lower or the upper half of a segment.  Values that agree in the other half have been brought
     together, so all their variants are looked up here and never travel: two rows per value instead of one per bit.
@@ -193,18 +194,20 @@ def _meet(width: int):
 
     low, mask = width // 2, (1 << 40) - 1
 
-    def meet(side: np.ndarray, half: np.ndarray, seg: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def meet(side: np.ndarray, half: np.ndarray, seg: np.ndarray, *n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for h, bits in ((0, range(low)), (1, range(low, width))):
             mine = half == h
-            values = np.unique(side[mine].astype(np.int64) << 40 | seg[mine])
+            values, first = np.unique(side[mine].astype(np.int64) << 40 | seg[mine], return_index=True)
+            counts = [x[mine][first] for x in n]
             for bit in bits:
-                zero = values[(values >> bit) & 1 == 0]
-                one = zero | (1 << bit)
+                zero = np.flatnonzero((values >> bit) & 1 == 0)
+                one = values[zero] | (1 << bit)
                 at = np.minimum(np.searchsorted(values, one), max(0, len(values) - 1))
                 hit = values[at] == one if len(values) else np.zeros(0, bool)
-                u, v = zero[hit], one[hit]
+                u, v = zero[hit], at[hit]
                 if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array((u >> 40).astype(np.int32)), pa.array(u & mask), pa.array(v & mask)], ["side", "u", "v"])
+                    both = [pa.array(c[w]) for c in counts for w in (u, v)]
+                    yield pa.RecordBatch.from_arrays([pa.array((values[u] >> 40).astype(np.int32)), pa.array(values[u] & mask), pa.array(values[v] & mask), *both], ["side", "u", "v", *["nu", "nv"][: len(both)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by side, half and the part they agree in; a group holds 2^(width / 2) values at most."""
@@ -212,44 +215,49 @@ def _meet(width: int):
         for batch in batches:
             got = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             got = got if rest is None else [np.concatenate(x) for x in zip(rest, got, strict=True)]
-            side, half, _, part = got
+            side, half, _, part = got[:4]
             new = np.flatnonzero((side[1:] != side[:-1]) | (half[1:] != half[:-1]) | (part[1:] != part[:-1])) + 1
             cut = int(new[-1]) if len(new) else 0
             if cut >= MET:
-                yield from meet(*(x[:cut] for x in got[:3]))
+                yield from meet(*(x[:cut] for x in (*got[:3], *got[4:])))
                 got = [x[cut:] for x in got]
             rest = got
         if rest is not None:
-            yield from meet(*rest[:3])
+            yield from meet(*rest[:3], *rest[4:])
 
     return run
 
 
 def near_links(prints: DataFrame, scratch: Scratch, most: int, width: int) -> DataFrame:
     """Spanning links ``(a, b)`` at ``most`` differing bits between rows ``prints(rep, segs)`` with distinct ``segs`` that
-    have a segment (of ``width`` bits) with at most one differing bit."""
-    seg = prints.select("rep", "segs", F.posexplode("segs").alias("side", "s")).select("rep", "segs", "side", F.col("s").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("seg"))
-    sizes = scratch.keep(seg.groupBy("side", "seg").agg(F.count("*").alias("n")), "segments")
+    have a segment (of ``width`` bits) with at most one differing bit.
+
+    Every row has many segments, so what travels of a segment is its side and value in one number (``at``); whole
+    fingerprints are brought to the members of buckets only.
+    """
+    at = lambda side, seg: F.shiftleft(F.col(side).cast("long"), 32).bitwiseOR(F.col(seg).bitwiseAND(F.lit(0xFFFFFFFF)))
+    side, value = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
+    seg = prints.select("rep", F.posexplode("segs").alias("side", "s")).select("rep", F.col("s").cast("long").alias("seg"), "side").select("rep", at("side", "seg").alias("at"))
+    sizes = scratch.keep(seg.groupBy("at").agg(F.count("*").alias("n")), "segments")
     low = width // 2
-    part = F.when(F.col("half") == 0, F.shiftright("seg", low)).otherwise(F.col("seg").bitwiseAND(F.lit((1 << low) - 1)))
-    open_halves = sizes.select("side", "seg", F.explode(F.array(F.lit(0), F.lit(1))).alias("half")).withColumn("rest", part)
-    dealt = open_halves.repartition("side", "half", "rest").sortWithinPartitions("side", "half", "rest")
-    met = dealt.select("side", "half", "seg", "rest").mapInArrow(trimmed(_meet(width)), "side int, u long, v long")
-    size_of = lambda name, n: sizes.select("side", F.col("seg").alias(name), F.col("n").alias(n))
-    pairs = met.join(size_of("u", "nu"), ["side", "u"]).join(size_of("v", "nv"), ["side", "v"])
+    part = F.when(F.col("half") == 0, F.shiftright(value, low)).otherwise(F.col("at").bitwiseAND(F.lit((1 << low) - 1)))
+    open_halves = sizes.select("at", "n", F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
+    dealt = open_halves.repartition(side, "half", part).select(side.cast("int").alias("side"), "half", value.alias("seg"), part.alias("rest"), "n").sortWithinPartitions("side", "half", "rest")
+    met = dealt.mapInArrow(trimmed(_meet(width)), "side int, u long, v long, nu long, nv long")
     # of two values that meet, the one with more fingerprints is the centre: its fingerprints stand in its bucket once,
     # however many values it meets, and only the others' are brought to it
     first = F.col("nu") >= F.col("nv")
-    pairs = pairs.select("side", F.when(first, F.col("u")).otherwise(F.col("v")).alias("centre"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("seg"), F.least("nu", "nv").alias("n"))
+    pairs = met.select(F.when(first, at("side", "u")).otherwise(at("side", "v")).alias("centre"), F.when(first, at("side", "v")).otherwise(at("side", "u")).alias("at"), F.greatest("nu", "nv").alias("own"), F.least("nu", "nv").alias("n"))
     leaves = scratch.keep(pairs, "leaves")
-    own = sizes.select("side", F.col("seg").alias("centre"), "n").join(leaves.groupBy("side", "centre").agg(F.sum("n").alias("more")), ["side", "centre"], "left").where("n > 1 or more is not null")
-    buckets = scratch.keep(own.select("side", "centre", F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("n") + F.coalesce("more", F.lit(0))) / 16)).cast("long").alias("blocks")), "buckets")
-    roles = buckets.select("side", "centre", "blocks", F.lit(0).alias("role"), F.col("centre").alias("seg")).unionByName(leaves.join(buckets, ["side", "centre"]).select("side", "centre", "blocks", F.lit(1).alias("role"), "seg"))
-    members = seg.join(roles, ["side", "seg"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    members = members.select("side", "centre", "role", "segs", "rep", "block", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
+    alone = sizes.where("n > 1").select(F.col("at").alias("centre"), F.col("n").alias("own"), F.lit(0).cast("long").alias("n"))
+    own = alone.unionByName(leaves.select("centre", "own", "n")).groupBy("centre").agg((F.max("own") + F.sum("n")).alias("n"))
+    buckets = scratch.keep(own.select("centre", F.greatest(F.lit(1), F.ceil(F.sqrt("n") / 16)).cast("long").alias("blocks")), "buckets")
+    roles = buckets.select("centre", "blocks", F.lit(0).cast("long").alias("role"), F.col("centre").alias("at")).unionByName(leaves.join(buckets, "centre").select("centre", "blocks", F.lit(1).cast("long").alias("role"), "at"))
+    members = seg.join(roles, "at").select("rep", "centre", "role", "blocks").join(prints.select("rep", "segs"), "rep")
+    members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).select("centre", "role", "segs", "rep", "block", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
     i, j = F.least("block", "other"), F.greatest("block", "other")
-    tasks = members.select(F.col("side").cast("long").alias("side"), "centre", i.alias("i"), j.alias("j"), F.col("role").cast("long").alias("role"), "block", "rep", "segs")
-    keys = ["side", "centre", "i", "j"]
+    tasks = members.select(F.shiftright("centre", 32).alias("side"), "centre", i.alias("i"), j.alias("j"), "role", "block", "rep", "segs")
+    keys = ["centre", "i", "j"]
     return tasks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(trimmed(_verify(most)), "a long, b long")
 
 

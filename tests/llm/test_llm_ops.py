@@ -1166,6 +1166,22 @@ def test_blocked_buckets_lose_no_link(spark):
     assert got == roots([(a, b) for a, b in itertools.combinations(range(len(prints)), 2) if (prints[a] ^ prints[b]).bit_count() <= 3])
 
 
+def test_segments_travel_without_their_fingerprints(spark):
+    df = spark.createDataFrame([(i, [i, i + 1, i << 3]) for i in range(20)], "rep long, segs array<int>")
+    plan = simhash.near_links(df, Scratch(spark, "t"), 3, 30)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    cut = [n for n, line in enumerate(plan) if "Generate posexplode(segs" in line]
+    above = [next(plan[k] for k in range(n - 1, -1, -1) if "Project [" in plan[k]) for n in cut]
+    assert above and not [line for line in above if "segs#" in line]
+
+
+def test_values_meet_with_their_numbers():
+    import pyarrow as pa
+
+    columns = [pa.array([3, 3, 3], pa.int32()), pa.array([0, 0, 0], pa.int32()), pa.array([16, 17, 19], pa.int64()), pa.array([1, 1, 1], pa.int64()), pa.array([5, 2, 9], pa.int64())]
+    out = simhash._meet(8)([pa.RecordBatch.from_arrays(columns, list("shvrn"))])
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == [(3, 16, 17, 5, 2), (3, 17, 19, 2, 9)]
+
+
 def test_similar_groups_hold_the_true_pairs(spark, frame):
     rng = random.Random(13)
     word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(5))
