@@ -199,11 +199,11 @@ def relations(field: Column, c: Column) -> Column:
     def read(e: Column) -> Column:
         bare = F.regexp_replace(F.regexp_replace(e, BREAK, " "), r"<[^>]+>", " ")
         notes = F.regexp_extract_all(bare, F.lit(r"\(([^()]*)\)"), F.lit(1))
-        kind = F.left(F.coalesce(value(F.try_element_at(notes, F.lit(-1))), F.lit("")), F.lit(120))
+        said = F.when(F.size(notes) > 0, F.left(value(F.try_element_at(notes, F.lit(-1))), F.lit(120)))
         rest = F.regexp_replace(bare, r"\([^()]*\)", " ")
         links = F.filter(F.transform(F.filter(F.regexp_extract_all(rest, F.lit(LINK), F.lit(1)), lambda x: ~x.rlike(ASSETS)), lambda x: strip(F.substring_index(x, "|", 1))), lambda x: x != "")
         of = F.element_at(F.create_map(*(F.lit(x) for kv in RELATIONS.items() for x in kv)), field)
-        return F.struct(F.coalesce(F.get(links, F.lit(0)), value(rest)).alias("target"), F.when(kind == "", of).otherwise(kind).alias("kind"))
+        return F.struct(F.coalesce(F.get(links, F.lit(0)), value(rest)).alias("target"), F.coalesce(let(said, lambda kind: F.nullif(kind, F.lit(""))), of).alias("kind"))
 
     return F.filter(F.transform(entries(c), read), lambda r: ~is_no_value(r["target"]) & (F.length(r["target"]) <= MOST_TARGET))
 
@@ -220,8 +220,9 @@ def life_status(params: Column) -> Column:
     """Alive or deceased, by the first status parameter that says so."""
     out = F.lit("unknown")
     for f in reversed(STATUS_FIELDS):
-        v = F.lower(value(F.coalesce(F.try_element_at(params, F.lit(f)), F.lit(""))))
-        out = F.when(v.rlike("deceased|dead|killed"), "deceased").when(v.rlike("alive|living"), "alive").otherwise(out)
+        told = F.try_element_at(params, F.lit(f))
+        said = let(F.lower(value(told)), lambda v: F.when(v.rlike("deceased|dead|killed"), "deceased").when(v.rlike("alive|living"), "alive"))
+        out = F.coalesce(F.when(told.isNotNull(), said), out)
     return out
 
 
@@ -263,15 +264,23 @@ def relationships(params: Column) -> Column:
 
 def aliases(params: Column, lead: Column, name: Column, titles: tuple[str, ...] = ()) -> Column:
     """Names in alias parameters and in bold in the lead, without the page's own name and those of works (``titles``)."""
+    return _aliases(params, lead_aliases(lead), name, titles)
+
+
+def _aliases(params: Column, bold: Column, name: Column, titles: tuple[str, ...]) -> Column:
     fields = F.array(*(F.lit(x) for x in ALIAS_FIELDS))
     listed = F.flatten(F.transform(F.filter(F.map_entries(params), lambda e: F.array_contains(fields, e["key"])), lambda e: field_aliases(e["value"])))
     out = F.array(F.lower(strip(name)), *(F.lit(t.strip().lower()) for t in titles))
-    return F.filter(first_seen(F.concat(listed, lead_aliases(lead))), lambda a: ~F.array_contains(out, F.lower(a)))
+    return let(out, lambda out: F.filter(first_seen(F.concat(listed, bold)), lambda a: ~F.array_contains(out, F.lower(a))))
 
 
 def is_entity_page(name: Column, has_profile: Column, found: Column, lead: Column) -> Column:
     """Whether a page is about one thing: it has a profile, relations to others, or its own name in bold in the lead."""
-    own = F.exists(lead_aliases(lead), lambda a: F.lower(a) == F.lower(strip(name)))
+    return _is_entity_page(name, has_profile, found, lead_aliases(lead))
+
+
+def _is_entity_page(name: Column, has_profile: Column, found: Column, bold: Column) -> Column:
+    own = let(F.lower(strip(name)), lambda mine: F.exists(bold, lambda a: F.lower(a) == mine))
     return F.coalesce(has_profile, F.lit(False)) | (F.coalesce(F.size(found), F.lit(0)) > 0) | F.coalesce(own, F.lit(False))
 
 
@@ -287,16 +296,16 @@ def entities_of(pages: DataFrame, titles: tuple[str, ...] = (), summary_chars: i
     p = p.select(*keep, "categories", "lead", F.explode(F.array(profile(F.col("ts")))).alias("box"))
     params = F.coalesce("box.params", F.create_map().cast("map<string,string>"))
     p = p.select(*keep, "lead", F.col("box").isNotNull().alias("boxed"), params.alias("params"), canonical_name(F.col("title")).alias("canonical_name"), canon_basis(F.col("title"), F.coalesce("categories", F.array().cast("array<string>"))).alias("b"))
-    cut = F.struct(relationships(F.col("params")).alias("relationships"), attributes(F.col("params")).alias("attributes"))
-    p = p.select("*", F.explode(F.array(cut)).alias("x")).where(is_entity_page(F.col("canonical_name"), F.col("boxed"), F.col("x.relationships"), F.col("lead")))
+    cut = F.struct(relationships(F.col("params")).alias("relationships"), attributes(F.col("params")).alias("attributes"), lead_aliases(F.col("lead")).alias("bold"))
+    p = p.select("*", F.explode(F.array(cut)).alias("x")).where(_is_entity_page(F.col("canonical_name"), F.col("boxed"), F.col("x.relationships"), F.col("x.bold")))
     basis, url = F.col("b.basis"), F.col("page_url")
     with_basis = lambda r, *names: F.struct(*(r[n].alias(n) for n in names), basis.alias("canon_basis"), url.alias("source_url"))
     return p.select(
         *[c for c in keep if c not in ("title", "page_url")],
         "canonical_name",
         basis.alias("canon_basis"),
-        aliases(F.col("params"), F.col("lead"), F.col("canonical_name"), titles).alias("aliases"),
-        truncate_at_word(plain(F.col("lead")), summary_chars).alias("summary"),
+        _aliases(F.col("params"), F.col("x.bold"), F.col("canonical_name"), titles).alias("aliases"),
+        let(plain(F.col("lead")), lambda told: truncate_at_word(told, summary_chars)).alias("summary"),
         life_status(F.col("params")).alias("life_status"),
         F.transform("x.relationships", lambda r: with_basis(r, "target", "kind", "field")).alias("relationships"),
         F.transform("x.attributes", lambda a: with_basis(a, "predicate", "value")).alias("attributes"),
