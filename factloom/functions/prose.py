@@ -46,14 +46,18 @@ def mean(xs: Column) -> Column:
     return total(F.transform(xs, lambda x: x.cast("double"))) / F.nullif(F.size(xs), F.lit(0))
 
 
-def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, SENTENCE_END, -1), strip), lambda s: s != "")
+def _full(xs: Column, bare: bool) -> Column:
+    """Pieces that are not blank, ``bare`` of white space at their ends where that matters (it does not for counts)."""
+    return F.filter(F.transform(xs, strip), lambda s: s != "") if bare else F.filter(xs, lambda s: s.rlike(r"(?U)\S"))
 
 
-def paragraphs(text: Column) -> Column:
+def sentences(text: Column, bare: bool = True) -> Column:
+    return _full(F.split(text, SENTENCE_END, -1), bare)
+
+
+def paragraphs(text: Column, bare: bool = True) -> Column:
     """Blocks between blank lines, or lines where there is but one block."""
-    full = lambda xs: F.filter(F.transform(xs, strip), lambda s: s != "")
-    return let(full(F.split(text, r"\n\s*\n", -1)), lambda blocks: F.when(F.size(blocks) > 1, blocks).otherwise(full(F.split(text, LINE_END, -1))))
+    return let(_full(F.split(text, r"\n\s*\n", -1), bare), lambda blocks: F.when(F.size(blocks) > 1, blocks).otherwise(_full(F.split(text, LINE_END, -1), bare)))
 
 
 def _count(s: Column) -> Column:
@@ -147,12 +151,14 @@ def with_components(df: DataFrame, c: Column | str) -> DataFrame:
     text = text_of(c)
     words = lambda t: F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
     spoken = F.filter(F.split(text, LINE_END, -1), lambda x: x.rlike('["“”«»]'))
+    # only these two become letters of words in lower case
+    odd = F.contains(text, F.lit("\u212A")) | F.contains(text, F.lit("\u0130"))
     cut = F.struct(
         text.alias("text"),
-        sentences(text).alias("sentences"),
+        sentences(text, bare=False).alias("sentences"),
         spoken.alias("spoken"),
-        paragraphs(text).alias("paragraphs"),
-        words(text).alias("words"),
+        paragraphs(text, bare=False).alias("paragraphs"),
+        F.when(odd, words(text)).alias("words"),
         words(F.lower(text)).alias("low"),
     )
     part = lambda n: F.col(f"__cut.{n}")
@@ -162,7 +168,7 @@ def with_components(df: DataFrame, c: Column | str) -> DataFrame:
         "vocabulary": vocabulary(part("low")),
         "interiority": interiority(part("low")),
         "paragraphs": paragraph_structure(part("paragraphs")),
-        "punctuation": punctuation(part("text"), part("words"), part("sentences")),
+        "punctuation": punctuation(part("text"), F.coalesce(part("words"), part("low")), part("sentences")),
     }
     return df.select("*", F.explode(F.array(cut)).alias("__cut")).select(*df.columns, *(found[n].alias(n) for n in COMPONENTS))
 

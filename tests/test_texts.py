@@ -241,3 +241,13 @@ def test_a_page_is_read_once_for_each_of_its_parts(spark):
     (r,) = found.collect()
     assert [(x.target, x.kind, x.field) for x in r.relationships] == [("Ann", "sister", "relatives"), ("Bob", "spouse", "spouse")]
     assert (r.life_status, r.aliases, r.summary) == ("alive", ["Cee", "Big Ben"], "Dan is Big Ben.")
+
+
+def test_pieces_are_counted_as_they_stand(spark):
+    rows = [("kelvin", "K KK"), ("dot", "İbcd efg. İ!! ABC"), ("plain", "Abc def.  ghi JKL!!\n\n \n\nmno pqr.\n \n")]
+    found = prose.with_components(spark.createDataFrame(rows, "k string, t string"), "t")
+    assert "(?U)^\\s+|\\s+$" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.k: r for r in found.collect()}
+    assert got["kelvin"].punctuation == 0.0 and got["plain"].sentence_rhythm == 0.5
+    # of "bcd efg ABC" three words are long, one of them in capitals; two marks in a row over three sentences
+    assert got["dot"].punctuation == pytest.approx(1 - 0.6 - 0.25 * 0.25 - 0.15)
