@@ -69,7 +69,8 @@ def past_tense_per_1k(c: Column | str) -> Column:
 
 
 def is_prose(c: Column | str, min_words: int = MIN_WORDS, min_quotes: float = MIN_QUOTES_PER_1K) -> Column:
-    return (words(c) >= min_words) & (quotes_per_1k(c) >= min_quotes)
+    # a density is never below nothing, so then quotation marks need no count
+    return words(c) >= min_words if min_quotes <= 0 else (words(c) >= min_words) & (quotes_per_1k(c) >= min_quotes)
 
 
 def strip(c: Column) -> Column:
@@ -81,6 +82,8 @@ def strip(c: Column) -> Column:
 #: may stand anywhere is tried on lines that hold its first word.
 _HEADS = "(?iU)^(?:" + "|".join(p[1:] for p in BOILERPLATE if p.startswith("^")) + ")"
 _ANYWHERE = "(?iU)" + "|".join(p for p in BOILERPLATE if not p.startswith("^"))
+#: None of these letters has another form beyond ASCII.
+_READ = "(?i)read"
 #: The words without which no sentence is a disclaimer.
 _TOLD = r"(?iU)\bown\b|\brights?\s|\bbased\s|\bbelongs?\s"
 
@@ -88,7 +91,7 @@ _TOLD = r"(?iU)\bown\b|\brights?\s|\bbased\s|\bbelongs?\s"
 def strip_boilerplate(c: Column | str) -> Column:
     """Without lines of author's notes and promotion; disclaimer sentences become a space; spaces inside lines collapsed."""
     lines = F.split(text_of(c), LINE_END, -1)
-    kept = F.filter(lines, lambda x: ~x.rlike(_HEADS) & ~(F.contains(F.lower(x), F.lit("read")) & x.rlike(_ANYWHERE)))
+    kept = F.filter(lines, lambda x: ~x.rlike(_HEADS) & ~(x.rlike(_READ) & x.rlike(_ANYWHERE)))
     # a disclaimer never crosses a line, so lines are searched on their own and only those that can hold one
     told = F.transform(kept, lambda x: F.when(x.rlike(_TOLD), F.regexp_replace(x, f"(?iU){DISCLAIMER}", " ")).otherwise(x))
     return strip(F.array_join(F.transform(told, lambda x: strip(F.regexp_replace(x, r"[ \t]+", " "))), "\n"))
@@ -99,9 +102,16 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
+#: Anything beyond ASCII but letters and marks of Latin-1 that NFKC leaves alone wherever they stand.
+_UNSTABLE = r"[[^\x00-\x7F]&&[^¡«»¿À-ÖØ-öø-ÿ]]"
+
+
 def normalize(c: Column | str) -> Column:
-    """NFKC, lower case, white space collapsed and stripped.  Exact for any text."""
-    return strip(F.regexp_replace(F.lower(_nfkc(text_of(c))), r"(?U)\s+", " "))
+    """NFKC, lower case, white space collapsed and stripped.  Exact for any text; only texts that NFKC may change leave the JVM."""
+    t = text_of(c)
+    odd = (F.length(t) != F.octet_length(t)) & t.rlike(_UNSTABLE)
+    whole = F.coalesce(_nfkc(F.when(odd, t)), t)
+    return strip(F.regexp_replace(F.lower(whole), r"(?U)\s+", " "))
 
 
 def normalize_plain(c: Column | str) -> Column:

@@ -15,6 +15,17 @@ from factloom.sources.shared import written
 MOST_OPTIONS = 4
 
 
+def _decided(chapters: DataFrame, min_words: int, min_quotes: float, plain: bool, *more: str) -> DataFrame:
+    """Texts cleaned and measured once, what comes of it (and ``more`` of it) written, and the fate looked up by fingerprint."""
+    # the explode of one keeps the cleaned text from being made anew for each of its uses
+    c = chapters.select("work", "pos", F.explode(F.array(strip_boilerplate("text"))).alias("clean"))
+    c = c.select("work", "pos", is_prose("clean", min_words, min_quotes).alias("prose"), fingerprint("clean", plain).alias("print"), words("clean").alias("words"), *more)
+    c = written(c, "fates")
+    first = c.where("prose").groupBy("print").agg(F.min("pos").alias("first"))
+    fate = F.when(~F.col("prose"), "prose").when(F.col("pos") == F.col("first"), "kept").otherwise("duplicate")
+    return c.join(first, "print", "left").select("work", "pos", "print", fate.alias("fate"), "words", *more)
+
+
 def fates(chapters: DataFrame, min_words: int, min_quotes: float, plain: bool = False) -> DataFrame:
     """What becomes of chapters ``(work, pos, text)``: work, pos, print, words and fate (kept, prose or duplicate).
 
@@ -22,19 +33,12 @@ def fates(chapters: DataFrame, min_words: int, min_quotes: float, plain: bool =
     others.  Texts are cleaned and measured once, the few columns that come of it are written to the shared folder, and the
     order decides by a minimum per fingerprint that is combined map-side and joined back.
     """
-    # the explode of one keeps the cleaned text from being made anew for each of its uses
-    c = chapters.select("work", "pos", F.explode(F.array(strip_boilerplate("text"))).alias("clean"))
-    c = c.select("work", "pos", is_prose("clean", min_words, min_quotes).alias("prose"), fingerprint("clean", plain).alias("print"), words("clean").alias("words"))
-    c = written(c, "fates")
-    first = c.where("prose").groupBy("print").agg(F.min("pos").alias("first"))
-    fate = F.when(~F.col("prose"), "prose").when(F.col("pos") == F.col("first"), "kept").otherwise("duplicate")
-    return c.join(first, "print", "left").select("work", "pos", "print", fate.alias("fate"), "words")
+    return _decided(chapters, min_words, min_quotes, plain)
 
 
 def clean_chapters(chapters: DataFrame, min_words: int, min_quotes: float, plain: bool = False) -> DataFrame:
-    """``fates`` beside the cleaned texts; places are unique."""
-    told = fates(chapters, min_words, min_quotes, plain)
-    return chapters.select("work", "pos", strip_boilerplate("text").alias("clean")).join(told, ["work", "pos"])
+    """``fates`` beside the cleaned texts, which are written with the rest instead of being made again."""
+    return _decided(chapters, min_words, min_quotes, plain, "clean").select("work", "pos", "clean", "print", "fate", "words")
 
 
 def report(cleaned: DataFrame) -> DataFrame:

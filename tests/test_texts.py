@@ -251,3 +251,20 @@ def test_pieces_are_counted_as_they_stand(spark):
     assert got["kelvin"].punctuation == 0.0 and got["plain"].sentence_rhythm == 0.5
     # of "bcd efg ABC" three words are long, one of them in capitals; two marks in a row over three sentences
     assert got["dot"].punctuation == pytest.approx(1 - 0.6 - 0.25 * 0.25 - 0.15)
+
+
+def test_texts_are_cleaned_once(spark):
+    rows = [("w", n, f"A/N: hi\n{'one two three ' * 9}{n % 2}") for n in range(4)]
+    found = corpus.clean_chapters(spark.createDataFrame(rows, "work string, pos long, text string"), 20, 0.0)
+    assert "fan\\s*fiction" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.pos, r.fate, r.clean) for r in found.collect()} == {(n, "kept" if n < 2 else "duplicate", "one two three " * 9 + str(n % 2)) for n in range(4)}
+
+
+def test_texts_that_nfkc_may_change_are_normalised(spark):
+    import unicodedata
+
+    chars = [chr(i) for i in range(1, 0x3100) if not chr(i).isspace()]
+    texts = [f"a{c}e{c}" for c in chars] + ["é", "Ȩ́", "plain", "Ñandú"]
+    got = spark.createDataFrame([(t,) for t in texts], "x string").select("x", F.col("x").rlike(text._UNSTABLE).alias("odd")).collect()
+    assert all(r.odd or unicodedata.normalize("NFKC", r.x) == r.x for r in got) and not any(r.odd for r in got if r.x.isascii() or r.x == "Ñandú")
+    assert one(spark, "É Ñ ﬁ", text.normalize) == "é ñ fi"
